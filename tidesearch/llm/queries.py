@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidesearch.llm import langid, mixing, quality, sharding, simhash
+from tidesearch.llm import langid, mixing, packing, quality, sharding, simhash, token_output
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +29,10 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_key", "group_fp")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(_table(spark, sf_dir, "documents"))
 
@@ -31,5 +41,9 @@ def op9_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op4_hash_tree_shards, op5_simhash_groups, op8_adaptive_quality, op9_hyperdimensional_language)}
+def op10_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_files(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mix, op4_hash_tree_shards, op5_simhash_groups, op7_best_fit_packing, op8_adaptive_quality, op9_hyperdimensional_language, op10_huffman_token_files)}
 ORACLE_SQL: dict[str, str] = {}
