@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidesearch.llm import langid, mixing, packing, quality, sharding, simhash, token_output
+from tidesearch.llm import langid, mixing, packing, quality, secrets, sharding, simhash, token_output
 
 
 def tokenizer_path() -> str:
@@ -21,6 +21,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents")).drop("source", "offset")
 
 
+def op3_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_files(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op4_hash_tree_shards, op5_simhash_groups, op7_best_fit_packing, op8_adaptive_quality, op9_hyperdimensional_language, op10_huffman_token_files)}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op3_randomness_secrets, op4_hash_tree_shards, op5_simhash_groups, op7_best_fit_packing, op8_adaptive_quality, op9_hyperdimensional_language, op10_huffman_token_files)}
 ORACLE_SQL: dict[str, str] = {}
