@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidesearch.llm import langid, mixing, packing, quality, secrets, sharding, simhash, token_output
+from tidesearch.llm import langid, mixing, packing, quality, secrets, sharding, simhash, token_output, warc
 
 
 def tokenizer_path() -> str:
@@ -33,6 +33,10 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_key", "group_fp")
 
 
+def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -49,5 +53,5 @@ def op10_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_files(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_randomness_secrets, op4_hash_tree_shards, op5_simhash_groups, op7_best_fit_packing, op8_adaptive_quality, op9_hyperdimensional_language, op10_huffman_token_files)}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op3_randomness_secrets, op4_hash_tree_shards, op5_simhash_groups, op6_warc_normaliser, op7_best_fit_packing, op8_adaptive_quality, op9_hyperdimensional_language, op10_huffman_token_files)}
 ORACLE_SQL: dict[str, str] = {}
