@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidesearch.llm import langid, mixing, packing, quality, secrets, sharding, simhash, token_output, warc
+from tidesearch.llm import ann, langid, mixing, packing, quality, secrets, sharding, simhash, token_output, warc
 
 
 def tokenizer_path() -> str:
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.usable(_table(spark, sf_dir, "embeddings"))
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents")).drop("source", "offset")
 
@@ -53,5 +58,5 @@ def op10_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_files(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_randomness_secrets, op4_hash_tree_shards, op5_simhash_groups, op6_warc_normaliser, op7_best_fit_packing, op8_adaptive_quality, op9_hyperdimensional_language, op10_huffman_token_files)}
+QUERIES = {f.__name__: f for f in (op1_forest_neighbours, op2_source_mix, op3_randomness_secrets, op4_hash_tree_shards, op5_simhash_groups, op6_warc_normaliser, op7_best_fit_packing, op8_adaptive_quality, op9_hyperdimensional_language, op10_huffman_token_files)}
 ORACLE_SQL: dict[str, str] = {}
