@@ -83,10 +83,9 @@ def mix_pieces(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epoc
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     b = block_words(total)
     slots = durable(schedule(docs.sparkSession, sources, -(-total // b)), "mix-slots")
-    placed = gapless_rank(sized, ["source"], ["doc_id", "size"], "offset", weight="size")
-    last = slots.groupBy("source").agg(F.max("k").alias("_last"))
-    per_source = sources.join(last, sources["source"].eqNullSafe(last["source"]), "left").select(sources["source"].alias("_s"), "source_size", "target", "_last")
-    stream = placed.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    last = slots.groupBy(F.col("source").alias("_s")).agg(F.max("k").alias("_last"))
+    per_source = sources.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    stream = gapless_rank(sized, ["source"], ["doc_id", "size"], "offset", weight="size", carry=per_source)
     stream = durable(stream, "mix-stream")
     turns = stream.where((F.col("size") > 0) & F.col("_last").isNotNull()).select("*", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch"))
     turns = turns.withColumn("_at", F.col("epoch") * F.col("source_size") + F.col("offset")).where(F.col("_at") < (F.col("_last") + 1) * b)

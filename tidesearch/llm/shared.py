@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -49,13 +51,14 @@ def unit_hash(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11) + 1) / F.lit(float(2**53))
 
 
-def gapless_rank(df: DataFrame, groups: list[str], order: list[str], name: str, weight: str | None = None, bucket: Column | None = None) -> DataFrame:
+def gapless_rank(df: DataFrame, groups: list[str], order: list[str], name: str, weight: str | None = None, bucket: Column | None = None, carry: DataFrame | None = None) -> DataFrame:
     """Adds ``name``: each row's place in its group (from 0, without gaps), or the sum of ``weight`` before it.
 
     A group may hold most of all rows, so none is ranked in one task: rows are ranked within hash buckets of
     ``order``, and every bucket is shifted by the totals of the buckets before it.  The order is that of
     (bucket, order), a fixed shuffle unless ``bucket`` itself follows ``order``.  ``df`` is read twice, so it should be cheap or a written table; rows equal in all
-    of ``order`` must be interchangeable.
+    of ``order`` must be interchangeable.  The columns of ``carry``, one row a group, are added on the way: they travel with the buckets'
+    totals, so no row is moved by its group.
     """
     amount = F.col(weight) if weight else F.lit(1)
     rows = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(1024)).cast("int") if bucket is None else bucket)
@@ -64,6 +67,9 @@ def gapless_rank(df: DataFrame, groups: list[str], order: list[str], name: str,
     before = W.partitionBy(*groups).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = rows.groupBy(*groups, "_bucket").agg(F.sum(amount).alias("_total"))
     offsets = totals.select(*[F.col(g).alias(f"_o_{g}") for g in groups], F.col("_bucket").alias("_o_bucket"), F.coalesce(F.sum("_total").over(before), F.lit(0)).cast("long").alias("_before"))
+    if carry is not None:
+        more = carry.select(*[F.col(g).alias(f"_c_{g}") for g in groups], *[c for c in carry.columns if c not in groups])
+        offsets = offsets.join(more, reduce(and_, [F.col(f"_o_{g}").eqNullSafe(F.col(f"_c_{g}")) for g in groups])).drop(*[f"_c_{g}" for g in groups])
     on = [F.col("_bucket") == F.col("_o_bucket"), *[F.col(g).eqNullSafe(F.col(f"_o_{g}")) for g in groups]]
     joined = ranked.join(offsets, on, "inner")
     return joined.withColumn(name, F.col("_before") + F.col("_within")).drop("_bucket", "_within", "_o_bucket", "_before", *[f"_o_{g}" for g in groups])
