@@ -129,7 +129,7 @@ def brute_measures(text):
         if grams[tuple(w[i : i + 8])] > 1:
             twice |= set(range(i, i + 8))
     lines = [x for x in text.split("\n") if WORD.search(x)]
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(twice), len(lines)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(twice), len(lines), sum(a == b for a, b in zip(w, w[1:]))
 
 
 def bounds(values):
@@ -149,8 +149,8 @@ def test_quality(docs, odd_docs, no_docs):
         src = rows(d.select("doc_id", "text", "lang", "source"))
         per = []
         for r in src:
-            n, c, s, dl, rep, nl = brute_measures(r["text"])
-            per.append((r, (n, c, s, dl, rep), {"word_length": c * 100 // n if n else 0, "symbols": s * 1000 // n if n else 0, "dup_lines": dl * 1000 // nl if nl else 0, "repeats": rep * 1000 // n if n else 0}))
+            n, c, s, dl, rep, nl, st = brute_measures(r["text"])
+            per.append((r, (n, c, s, dl, rep), {"word_length": c * 100 // n if n else 0, "symbols": s * 1000 // n if n else 0, "dup_lines": dl * 1000 // nl if nl else 0, "repeats": rep * 1000 // n if n else 0, "stutters": st * 1000 // n if n else 0}))
         want = Counter()
         for r, base, m in per:
             groups = [[x for x in per if x[0]["lang"] == r["lang"] and x[0]["source"] == r["source"]], [x for x in per if x[0]["lang"] == r["lang"]]]

@@ -19,7 +19,7 @@ from tidesearch.llm.shared import WORD, durable, let
 #: Relative width of a sketch's buckets.
 ACCURACY = 0.02
 #: metric -> (least width of the middle half that counts, whether values that are too low are also rejected).
-METRICS = {"word_length": (50, True), "symbols": (25, False), "dup_lines": (100, False), "repeats": (75, False)}
+METRICS = {"word_length": (50, True), "symbols": (25, False), "dup_lines": (100, False), "repeats": (75, False), "stutters": (50, False)}
 
 
 def repeated_positions(words: Column, size: int = 8) -> Column:
@@ -46,8 +46,14 @@ def repeated_positions(words: Column, size: int = 8) -> Column:
     return F.when(F.size(words) <= size, 0).otherwise(let(words, count)).cast("long")
 
 
+def stutters(words: Column) -> Column:
+    """How many words equal the word before them."""
+    same = lambda w: F.size(F.filter(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: a == b), lambda x: x))
+    return F.when(F.size(words) < 2, 0).otherwise(let(words, same)).cast("long")
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines of whole texts (null text: none)."""
+    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stutters of whole texts (null text: none)."""
     t = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", "lang", "source", t.alias("text"))
     rows = rows.select("*", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("_words"), F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(WORD))).alias("_lines"))
@@ -61,13 +67,14 @@ def measure(docs: DataFrame) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeated_positions(F.col("_words")).alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
+        stutters(F.col("_words")).alias("n_stutters"),
     )
 
 
 def metrics() -> dict[str, Column]:
     """The measured quantities that get fences: hundredths of a character a word, and counts per thousand words or lines."""
     share = lambda a, b, n: F.when(F.col(b) > 0, F.floor(F.col(a) * n / F.col(b))).otherwise(0).cast("long")
-    return {"word_length": share("word_chars", "n_words", 100), "symbols": share("n_symbols", "n_words", 1000), "dup_lines": share("n_dup_lines", "n_lines", 1000), "repeats": share("n_repeat_words", "n_words", 1000)}
+    return {"word_length": share("word_chars", "n_words", 100), "symbols": share("n_symbols", "n_words", 1000), "dup_lines": share("n_dup_lines", "n_lines", 1000), "repeats": share("n_repeat_words", "n_words", 1000), "stutters": share("n_stutters", "n_words", 1000)}
 
 
 def bucket(value: Column) -> Column:
