@@ -26,7 +26,7 @@ def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
 
-ODD = ["", " ", "a", " a", "a ", "a  b", "a \n b", "a\nb c", "it's they'll we've 's 'tis a 's", "x y z  w", " a b", "a\x1c b", "<|endoftext|> a <|endoftext|>", "日本 語 テ", "!! ! a! .b", "퟿ \U0001f600 é", "a\r\nb\tc d", "12 3 4a 5", "a\x85 b"]
+ODD = ["", " ", "a", " a", "a ", "a  b", "a \n b", "a\nb c", "it's they'll we've 's 'tis a 's", "x y z  w", " a b", "a\x1c b", "<|endoftext|> a <|endoftext|>", "日本 語 テ", "!! ! a! .b", "퟿ \U0001f600 é", "a\r\nb\tc d", "12 3 4a 5", "a\x85 b", "end.\nStart, it's, 's. ..", "a.\nb\n", "x\n\ny", "1. 2, é. ."]
 
 
 def check(texts, plain):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidesearch.llm.shared import durable, gapless_rank
-from tidesearch.llm.tokens import token_rows
+from tidesearch.llm.tokens import ids_crc32, token_batches
 
 CAPACITY = 2048
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -76,15 +76,14 @@ def match_runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[i
     return out
 
 
-def cut(tokens: DataFrame, keep: list[str], capacity: int = CAPACITY) -> DataFrame:
+def cut(docs: DataFrame, path: str, keep: list[str], capacity: int = CAPACITY) -> DataFrame:
     """``keep``, piece, start, length, ids_crc32 of each piece: longer documents are cut so that all pieces but the first are full."""
-    import zlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in token_batches(batches, path, keep):
             rows, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(b.column(len(keep))):
-                ids = np.frombuffer(t.as_buffer(), dtype="<u2").astype("<u4")
+                ids = np.frombuffer(t.as_buffer(), dtype="<u2")
                 at, k = 0, 0
                 while at < len(ids):
                     n = (len(ids) - at - 1) % capacity + 1 if not k else capacity
@@ -92,13 +91,14 @@ def cut(tokens: DataFrame, keep: list[str], capacity: int = CAPACITY) -> DataFra
                     piece.append(k)
                     start.append(at)
                     length.append(n)
-                    crc.append(zlib.crc32(ids[at : at + n].data))
+                    crc.append(ids_crc32(ids[at : at + n]))
                     at, k = at + n, k + 1
             own = [b.column(c).take(pa.array(rows, pa.int64())) for c in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*own, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], [*keep, "piece", "start", "length", "ids_crc32"])
 
-    kinds = "".join(f"`{c}` {t}, " for c, t in tokens.select(*keep).dtypes)
-    return tokens.select(*keep, "tokens").mapInArrow(run, f"{kinds}piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(*keep, F.col("text").alias("_text"))
+    kinds = "".join(f"`{c}` {t}, " for c, t in rows.dtypes[:-1])
+    return rows.mapInArrow(run, f"{kinds}piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -106,7 +106,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Data
 
     A null or empty text is the end id alone.  Repeated rows are documents of their own.  An empty table gives an empty result.
     """
-    cut_rows = durable(cut(token_rows(docs, path, ["doc_id"]), ["doc_id"], capacity), "pack-pieces")
+    cut_rows = durable(cut(docs, path, ["doc_id"], capacity), "pack-pieces")
     counts = {r["length"]: r["count"] for r in cut_rows.groupBy("length").count().collect()}  # at most `capacity` rows
     # One number orders the ranks of all lengths; a match is found by its first rank.  The plan's size is bounded like its runs.
     plan = np.array(match_runs(counts, capacity), dtype=np.int64).reshape(-1, 5)

@@ -14,7 +14,6 @@ from __future__ import annotations
 import json
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidesearch.llm.shared import durable, shared_folder
 from tidesearch.llm.store import open_store, whole_file
-from tidesearch.llm.tokens import token_rows
+from tidesearch.llm.tokens import ids_crc32, token_rows
 
 LIMIT = 20
 STRIDE = 256
@@ -120,15 +119,15 @@ def write_tokens(docs: DataFrame, path: str, folder: str) -> DataFrame:
     by_id = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
     by_id = by_id.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")
     by_id = by_id.select("doc_id", "text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
-    rows = durable(token_rows(by_id, path, ["doc_id", "part", "row"]).drop("n_tokens", "ids_crc32"), "token-rows")
+    rows = durable(token_rows(by_id, path, ["doc_id", "part", "row"]), "token-rows")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << 16, dtype=np.int64)
         for b in batches:
-            for t in b.column(0):
-                sums += np.bincount(np.frombuffer(t.as_buffer(), dtype="<u2"), minlength=1 << 16) if len(t.as_buffer()) > 1 << 16 else 0
-            small = [t.as_buffer() for t in b.column(0) if len(t.as_buffer()) <= 1 << 16]
-            sums += np.bincount(np.frombuffer(b"".join(small), dtype="<u2"), minlength=1 << 16)
+            for at in range(0, b.num_rows, 256):
+                raw = b"".join(t.as_buffer() for t in b.column(0).slice(at, 256))
+                for k in range(0, len(raw), 1 << 21):
+                    sums += np.bincount(np.frombuffer(raw[k : k + (1 << 21)], dtype="<u2"), minlength=1 << 16)
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[used])], ["id", "n"])
 
@@ -184,8 +183,8 @@ def block_starts(index: DataFrame) -> DataFrame:
     return rows.join(parts, F.col("part") == F.col("_part")).select("file", "at", "size", "part", "row", "ids", (F.col("_before") + F.col("_in")).cast("long").alias("start"))
 
 
-def read_tokens(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, tokens) of every document of a dataset, read from its files by the index."""
+def read_tokens(spark: SparkSession, folder: str, index: DataFrame, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, tokens) of every document of a dataset, read from its files by the index; ids_crc32 for tokens with ``digest``."""
     store, path = open_store(f"{folder}/code.json")
     with store.open_input_stream(path) as f:
         code = json.loads(f.read())
@@ -232,11 +231,15 @@ def read_tokens(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame
                 lens = np.concatenate([g[3] for g in group])
                 starts = np.concatenate([g[0] + np.cumsum(g[3]) - g[3] for g in group])
                 ids = pa.array(np.concatenate([g[1] for g in group]), pa.int64(), mask=np.concatenate([g[2] for g in group]).astype(bool))
-                raw = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(np.append(0, np.cumsum(lens)).astype(np.int64) * 2), pa.py_buffer(flat.astype("<u2"))])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(starts), pa.array(lens), raw.cast(pa.binary())], ["doc_id", "start", "n_tokens", "tokens"])
+                ends = np.cumsum(lens)
+                if digest:
+                    last = pa.array([ids_crc32(flat[i:j]) for i, j in zip((ends - lens).tolist(), ends.tolist())], pa.int64())
+                else:
+                    last = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(np.append(0, ends).astype(np.int64) * 2), pa.py_buffer(flat.astype("<u2"))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(starts), pa.array(lens), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "tokens"])
 
     placed = block_starts(index).repartitionByRange("part", "row").sortWithinPartitions("part", "row")
-    return placed.select("file", "at", "size", "start", "ids").mapInArrow(read, "doc_id long, start long, n_tokens long, tokens binary")
+    return placed.select("file", "at", "size", "start", "ids").mapInArrow(read, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "tokens binary"))
 
 
 def token_files(docs: DataFrame, path: str, folder: str | None = None) -> DataFrame:
@@ -247,11 +250,4 @@ def token_files(docs: DataFrame, path: str, folder: str | None = None) -> DataFr
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    back = read_tokens(spark, folder, write_tokens(docs, path, folder))
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crcs = [zlib.crc32(np.frombuffer(t.as_buffer(), dtype="<u2").astype("<u4").data) for t in b.column(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return back.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_tokens(spark, folder, write_tokens(docs, path, folder), digest=True)

@@ -1,14 +1,17 @@
 """Token ids of whole texts with the ``tokenizers`` library, every distinct word encoded once a worker.
 
-Byte-level BPE never merges across the place before a single space that has no white space beside it, so a
-text may be cut there and its words encoded on their own: the ids are the same.  Each Python worker remembers the ids of the words
-it has met, up to a bound.  Texts with other white space around a space, or with the text of a special token, are encoded
-whole.
+Byte-level BPE never merges across a single space or newline that has no other white space beside it, so a text may be cut
+before each of these and its units (" word" or "\\nword") encoded on their own: the ids are the same.  So are those of a letter and a
+full stop or comma at a unit's end.  Each Python worker remembers the ids of the units it has met, up to a bound.  Texts with
+other runs of white space, or with the text of a special token, are encoded whole.
 """
 
 from __future__ import annotations
 
+import os
+import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words that a worker remembers before it starts afresh, and bytes of text worked on at once.
-REMEMBER = 700_000
-CHUNK_BYTES = 1 << 23
-#: Texts that must be encoded whole: a space at either end or beside other white space, or a special token's text.
-WHOLE = r"^ | $|[\t-\r\x1c-\x20\x85\p{Z}] | [\t-\r\x1c-\x20\x85\p{Z}]|<\|"
+#: Distinct units that a worker remembers before it starts afresh, and bytes of text worked on at once.
+REMEMBER = 800_000
+CHUNK_BYTES = 1 << 22
+#: Texts that must be encoded whole: white space at either end or beside a space or newline, or a special token's text.
+WHOLE = r"^[ \n]|[ \n]$|[\t-\r\x1c-\x20\x85\p{Z}][ \n]|[ \n][\t-\r\x1c-\x20\x85\p{Z}]|<\|"
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -36,15 +39,14 @@ class Encoder:
     """Encodes arrays of texts to flat arrays of ids with a memo of words."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.starts[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True  # tokens that begin with a space
+        self.starts[[i for t, i in vocabulary.items() if t.startswith("Ġ") or t == "Ċ"]] = True  # tokens that begin a unit
+        self.marks = {c: self._ids([c])[0][0] for c in ".,"}
         self.forget()
 
     def forget(self) -> None:
@@ -54,16 +56,8 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _remember(self, words: list[str]) -> None:
-        """Encode words, each with a space before it, in one text; a token that begins with a space begins a word."""
-        ids = np.array(self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False).ids, dtype=np.int32)
-        begin = np.flatnonzero(self.starts[ids])
-        if len(begin) != len(words) or begin[0]:
-            parts = [np.array(x, dtype=np.int32) for x in self._ids([" " + w for w in words])]
-            ids, lens = np.concatenate(parts), np.array([len(x) for x in parts])
-        else:
-            lens = np.diff(np.append(begin, len(ids)))
-        first, n = len(self.known), len(words)
+    def _keep(self, units: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        first, n = len(self.known), len(units)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while first + n > len(self.at):
@@ -72,7 +66,35 @@ class Encoder:
         self.len[first : first + n] = lens
         self.at[first : first + n] = self.used + np.cumsum(lens) - lens
         self.used += len(ids)
-        self.known.update(zip(words, range(first, first + n)))
+        self.known.update(zip(units, range(first, first + n)))
+
+    def _encode_units(self, units: list[str]) -> None:
+        """Encode units many to a text; a token that begins with a space or is a newline begins a unit."""
+        texts = ["".join([w if w[0] == "\n" else " " + w for w in units[k : k + 500]]) for k in range(0, len(units), 500)]
+        ids = np.concatenate([np.array(x, dtype=np.int32) for x in self._ids(texts)])
+        begin = np.flatnonzero(self.starts[ids])
+        if len(begin) != len(units) or begin[0]:
+            parts = [np.array(x, dtype=np.int32) for x in self._ids([w if w[0] == "\n" else " " + w for w in units])]
+            self._keep(units, np.concatenate(parts), np.array([len(x) for x in parts]))
+        else:
+            self._keep(units, ids, np.diff(np.append(begin, len(ids))))
+
+    def _remember(self, units: list[str]) -> None:
+        marked = [w for w in units if w[-1] in ".," and len(w) > 1 and w[-2].isalpha()]
+        plain = {w for w in units if not (w[-1] in ".," and len(w) > 1 and w[-2].isalpha())}
+        plain.update(w[:-1] for w in marked)
+        fresh = [w for w in plain if w not in self.known]
+        if fresh:
+            self._encode_units(fresh)
+        if marked:
+            stem = np.fromiter((self.known[w[:-1]] for w in marked), dtype=np.int64, count=len(marked))
+            n = self.len[stem] + 1
+            ends = np.cumsum(n)
+            source = np.repeat(self.at[stem] - (ends - n), n) + np.arange(ends[-1])
+            source[ends - 1] = 0
+            ids = self.pool[source]
+            ids[ends - 1] = [self.marks[w[-1]] for w in marked]
+            self._keep(marked, ids, n)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each); texts without nulls."""
@@ -85,19 +107,21 @@ class Encoder:
                 order.append(i)
         plain = np.flatnonzero(~whole)
         if len(plain):
-            split = pc.split_pattern(texts.take(pa.array(plain)), " ")
+            split = pc.split_pattern(pc.replace_substring(texts if len(plain) == len(texts) else texts.take(pa.array(plain)), "\n", " \n"), " ")
             offsets = split.offsets.to_numpy().astype(np.int64)
             coded = split.flatten().dictionary_encode()
-            if len(self.known) + len(coded.dictionary) > REMEMBER:
+            if len(self.known) + len(coded.dictionary) // 2 > REMEMBER:
                 self.forget()
             words = coded.dictionary.to_pylist()
-            new = [w for w in words if w not in self.known]
-            if new:
-                self._remember(new)
-            number = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+            number = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+            new = np.flatnonzero(number < 0)
+            if len(new):
+                unknown = [words[i] for i in new]
+                self._remember(unknown)
+                number[new] = np.fromiter(map(self.known.__getitem__, unknown), dtype=np.int64, count=len(new))
             word = number[coded.indices.to_numpy()]
             at, n = self.at[word], self.len[word]
-            # The first word of a text has no space before it.
+            # The first unit of a text has no space before it.
             heads = self._ids([words[k] for k in coded.indices.to_numpy()[offsets[:-1] - offsets[0]]])
             head_ids = np.concatenate([np.array(h, dtype=np.int32) for h in heads])
             head_n = np.array([len(h) for h in heads])
@@ -129,30 +153,30 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         start = stop
 
 
-def token_rows(docs: DataFrame, path: str, keep: list[str], end_id: int = 0) -> DataFrame:
-    """The columns ``keep`` with ``tokens`` (little-endian uint16, ``end_id`` at the end), n_tokens and ids_crc32.
-
-    ids_crc32 is over the ids as little-endian unsigned 32-bit integers.  Null texts are empty.  Ids must be below 65,536.
-    """
-    import zlib
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for b in batches:
-            for start, texts in pieces(b.column(len(keep))):
-                flat, counts = enc.encode(texts)
-                n = counts + 1
-                ends = np.cumsum(n)
-                ids = np.full(int(ends[-1]), end_id, dtype=np.uint16)
-                inner = np.ones(len(ids), dtype=bool)
-                inner[ends - 1] = False
-                ids[inner] = flat
-                wide, offsets = ids.astype("<u4"), ends - n
-                crcs = [zlib.crc32(wide[i:j].data) for i, j in zip(offsets.tolist(), ends.tolist())]
-                raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(offsets, ends[-1]).astype(np.int64) * 2), pa.py_buffer(ids.astype("<u2"))])
-                own = [b.column(i).slice(start, len(texts)) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*own, raw.cast(pa.binary()), pa.array(n, pa.int64()), pa.array(crcs, pa.int64())], [*keep, "tokens", "n_tokens", "ids_crc32"])
+def token_batches(batches: Iterator[pa.RecordBatch], path: str, keep: list[str], end_id: int = 0) -> Iterator[pa.RecordBatch]:
+    """What ``token_rows`` gives, inside a task, for batches with the columns ``keep`` and the text last."""
+    enc = encoder(path)
+    for b in batches:
+        for start, texts in pieces(b.column(len(keep))):
+            flat, counts = enc.encode(texts)
+            n = counts + 1
+            ends = np.cumsum(n)
+            ids = np.full(int(ends[-1]), end_id, dtype="<u2")
+            inner = np.ones(len(ids), dtype=bool)
+            inner[ends - 1] = False
+            ids[inner] = flat
+            raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(0, ends).astype(np.int64) * 2), pa.py_buffer(ids)])
+            own = [b.column(i).slice(start, len(texts)) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*own, raw.cast(pa.binary())], [*keep, "tokens"])
+
+
+def ids_crc32(ids: np.ndarray) -> int:
+    """crc32 of ids as little-endian unsigned 32-bit integers."""
+    return zlib.crc32(ids.astype("<u4").data)
+
 
+def token_rows(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` with ``tokens``: little-endian uint16 ids with the end id last.  Null texts are empty."""
     rows = docs.select(*keep, F.col("text").alias("_text"))
     kinds = "".join(f"`{c}` {t}, " for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, f"{kinds}tokens binary, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(lambda batches: token_batches(batches, path, keep), f"{kinds}tokens binary")
