@@ -59,4 +59,11 @@ def op10_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_forest_neighbours, op2_source_mix, op3_randomness_secrets, op4_hash_tree_shards, op5_simhash_groups, op6_warc_normaliser, op7_best_fit_packing, op8_adaptive_quality, op9_hyperdimensional_language, op10_huffman_token_files)}
-ORACLE_SQL: dict[str, str] = {}
+#: Base32 of a SHA-1 in SQL: five hexadecimal digits are four of base 32.
+_BASE32 = " || ".join(f"to_base(CAST('0x' || substring(sha1(h), {5 * i + 1}, 5) AS BIGINT), 32, 4)" for i in range(8))
+#: SQL has no XXH64, tokenizer, model fit or search forest; the tests hold those queries against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_normaliser": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h AS same, min(page_id) AS first FROM p GROUP BY 1)
+      SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, translate({_BASE32}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+      CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN f ON h = same"""
+}
