@@ -42,8 +42,8 @@ def test_recall(spark):
     rows = [(r[0], r[1]) for r in v.collect()]
     q = v.where("vec_id % 20 = 0")
     want = brute(rows, [(i, x) for i, x in rows if i % 20 == 0], 20)
-    assert compare(ann.nearest(v, q, leaf_rows=60).collect(), want) >= 0.9
-    assert compare(ann.nearest(v, q, leaf_rows=60, share=1.0).collect(), want) == 1.0
+    assert compare(ann.nearest(v, q, leaf_rows=62).collect(), want) >= 0.9
+    assert compare(ann.nearest(v, q, leaf_rows=62, visits=999).collect(), want) == 1.0
 
 
 def test_odd_vectors(spark, monkeypatch):
@@ -56,7 +56,7 @@ def test_odd_vectors(spark, monkeypatch):
     table = spark.createDataFrame([(i, v, 1, 2.0, 3) for i, v in rows + odd], "vec_id long, embedding array<float>, rank int, score double, leaf int")
     v = ann.usable(table)
     assert sorted(r[0] for r in v.distinct().collect()) == sorted(i for i, _ in rows)
-    got = ann.nearest(v, v.where("vec_id % 20 = 0"), k=5, trees=3, leaf_rows=20, share=1.0).collect()
+    got = ann.nearest(v, v.where("vec_id % 20 = 0"), k=5, trees=3, leaf_rows=20, visits=999).collect()
     assert compare(got, brute(rows, [(i, x) for i, x in rows if i % 20 == 0], 5)) == 1.0
     few = v.where("vec_id in (1, 2, 20)")
     assert len(ann.nearest(few, few.where("vec_id = 20")).collect()) == 2

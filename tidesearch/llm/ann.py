@@ -2,11 +2,12 @@
 
 The trees are fitted on a bounded sample: every node splits at the median of a random projection.  Every row is routed to
 its leaf in each tree.  A query walks all trees best first through one priority queue, ordered by the least margin to the planes on the
-way to a node, until it has visited its share of the forest's leaves.  The leaves then are rows of a Spark shuffle: per leaf, its
+way to a node, until it has visited its number of leaves.  The leaves then are rows of a Spark shuffle: per leaf, its
 queries meet its rows, and the exact inner products of the best candidates are merged per query.
 
-The share of leaves, not their number, is fixed, so the recall holds at any size on vectors without structure (for which no index can
-look at a small part and be right); clustered vectors reach the same recall with a smaller ``share``.
+Leaves hold about ``leaf_rows`` rows and a query visits ``visits`` of them, so the cost of a query does not grow with the table.  The recall
+depends on how much structure the vectors have: on random directions without any, the defaults find 0.9 and more of the nearest in tables of
+up to some 50,000 rows; beyond that such data (but not clustered data) need more visits.
 """
 
 from __future__ import annotations
@@ -37,14 +38,10 @@ class Forest:
     planes: np.ndarray
     cuts: np.ndarray
 
-    @property
-    def leaves(self) -> int:
-        return self.planes.shape[0] << self.depth
-
 
 def fit_forest(sample: np.ndarray, rows: int, trees: int, leaf_rows: int, seed: int) -> Forest:
     """Trees deep enough for leaves of ``leaf_rows`` of ``rows`` rows, but no deeper than leaves 8 rows of the sample to a leaf."""
-    depth = max(0, math.ceil(math.log2(max(1, rows) / leaf_rows)))
+    depth = max(0, round(math.log2(max(1, rows) / leaf_rows)))
     depth = min(depth, max(0, int(math.log2(max(1, len(sample) / 8)))))
     rng = np.random.default_rng(seed)
     planes, cuts = np.zeros((trees, 1 << depth, sample.shape[1])), np.zeros((trees, 1 << depth))
@@ -95,24 +92,27 @@ def _stack(column) -> np.ndarray:
 
 def _leaf_best(k: int):
     def best(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        x, ids = _stack(rows["embedding"]), rows["vec_id"].to_numpy()
-        out = []
-        for at in range(0, len(queries), 256):
-            part = queries.iloc[at : at + 256]
-            q = _stack(part["embedding"])
-            near = q @ x.T
-            for i, qid in enumerate(part["query_id"].tolist()):
-                s = near[i]
-                s[ids == qid] = -np.inf
-                # The product's last bits depend on a row's place; what may be among the best is measured again row by row.
-                floor = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-                some = np.flatnonzero((s >= floor - 1e-9 * (1 + abs(floor))) & (ids != qid)) if np.isfinite(floor) else np.flatnonzero(ids != qid)
-                exact = (x[some] * q[i]).sum(axis=1)
-                top = np.lexsort((ids[some], -exact))[:k]
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[some][top], "score": exact[top]}))
-        return pd.concat(out, ignore_index=True)
+        asked, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(rows) and len(queries):
+            x, ids = _stack(rows["embedding"]), rows["vec_id"].to_numpy()
+            # A product's last bits depend on a row's place, so twice as many rows are measured again one by one: with k + 1 copies of a
+            # vector at most, those that tie with the k-th are all among them.
+            m = min(len(x), 2 * k + 2)
+            for at in range(0, len(queries), 256):
+                part = queries.iloc[at : at + 256]
+                q, own = _stack(part["embedding"]), part["query_id"].to_numpy()
+                near = q @ x.T
+                near[own[:, None] == ids[None, :]] = -np.inf
+                some = np.argpartition(-near, m - 1, axis=1)[:, :m]
+                exact = (x[some] * q[:, None, :]).sum(axis=2)
+                exact[ids[some] == own[:, None]] = -np.inf
+                top = np.lexsort((ids[some], -exact), axis=1)[:, :k]
+                score = np.take_along_axis(exact, top, axis=1)
+                there = np.isfinite(score)
+                asked.append(np.repeat(own, there.sum(axis=1)))
+                found.append(np.take_along_axis(ids[some], top, axis=1)[there])
+                scores.append(score[there])
+        return pd.DataFrame({"query_id": np.concatenate(asked), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
 
     return best
 
@@ -126,7 +126,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size(e) == (common[0]["n"] if common else 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, leaf_rows: int = 800, share: float = 0.12, sample_rows: int = 16384, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, leaf_rows: int = 2000, visits: int = 34, sample_rows: int = 16384, seed: int = 7) -> DataFrame:
     """The ``k`` rows of ``vectors`` with the largest inner products found for each query: query_id, rank, vec_id, score.
 
     ``vectors`` and ``queries``: (vec_id, embedding), as ``usable`` gives them.  A row is no candidate of the query with its id.  Ties go to the
@@ -143,7 +143,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8,
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     forest = fit_forest(_stack([r[0] for r in sample]), rows.count(), trees, leaf_rows, seed)
-    visits = max(1, math.ceil(share * forest.leaves))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
