@@ -63,7 +63,7 @@ def stream_ingest(spark: SparkSession, landing: str, root: str, vocab: DataFrame
         runs = tables.read("runs", runs_schema).where(F.col("run_id") != batch_id).unionByName(done.run)
         # Records come last: if the batch is cut off before, its replay does all of it again.
         for name, df, schema in (("links", links, schemas.LINKS), ("vectors", done.vectors, vectors_schema), ("items", items, items_schema), ("runs", runs, runs_schema), ("records", done.records, schemas.RECORDS)):
-            names = [f.split()[0] for f in schema.split(", ")] if isinstance(schema, str) else schema.fieldNames()
+            names = [f.split()[0] for f in schema.split(", ")]
             tables.write(name, df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in names]), batch_id)
 
     files = spark.readStream.format("text").option("wholetext", True).load(landing)
