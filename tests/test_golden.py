@@ -94,15 +94,15 @@ def brute_tags(fields, vocab):
     return out
 
 
-@pytest.mark.parametrize("by_grams", [False, True])
-def test_tagging(spark, by_grams):
+@pytest.mark.parametrize("method", ["automaton", "grams", "nested"])
+def test_tagging(spark, method):
     rng = random.Random(7)
     pick = lambda n: " ".join(rng.choice(["abcd", "bcda", "é", "dab", "x-y", "cab,", "ab", "dabcda"]) for _ in range(n))
     terms = [(f"D{i}", pick(rng.randint(1, 3)), [pick(rng.randint(1, 3)) for _ in range(rng.randint(0, 3))]) for i in range(25)]
     rows = [(f"GSE{i}", pick(rng.randint(0, 6)), pick(rng.randint(0, 12)), pick(rng.randint(0, 8))) for i in range(40)]
     records = spark.createDataFrame(rows, "accession string, title string, summary string, overall_design string")
     v = spark.createDataFrame(terms, "concept_id string, preferred_name string, entry_terms array<string>")
-    got = {(r["accession"], r["concept_id"]): r["confidence"] for r in tagging.match_records(records, v, by_grams=by_grams).collect()}
+    got = {(r["accession"], r["concept_id"]): r["confidence"] for r in tagging.match_records(records, v, method=method).collect()}
     want = {(a, c): x for a, t, s, d in rows for c, x in brute_tags([(t, 2.0), (s, 1.5), (d, 1.0)], terms).items()}
     assert got == pytest.approx(want)
 

@@ -5,6 +5,9 @@ A concept's term is in a text if it is a substring of it (words need not end the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +17,8 @@ from tidesearch.operators.joins import expand_union_all
 FIELD_WEIGHTS = {"title": 2.0, "summary": 1.5, "overall_design": 1.0}
 #: Shorter terms are not matched, so every term that is has a first gram.
 GRAM = 4
-#: Vocabularies of fewer variants are matched by a broadcast nested loop, larger ones by grams.
-NESTED_LOOP_VARIANTS = 1000
+#: Vocabularies of up to so many variants are sent to every worker as one automaton; larger ones are matched by a join on grams.
+AUTOMATON_VARIANTS = 1_000_000
 
 
 def term_variants(vocab: DataFrame) -> DataFrame:
@@ -48,21 +51,86 @@ def concept_match(fields: DataFrame, variants: DataFrame, by_grams: bool) -> Dat
     return met.select("accession", "concept_id", confidence.alias("confidence")).where("confidence is not null")
 
 
-def match_records(records: DataFrame, vocab: DataFrame, threshold: float = 0.3, by_grams: bool | None = None) -> DataFrame:
-    """(accession, concept_id, confidence): the best confidence of each concept in each record, from ``threshold`` on."""
+_automata: dict[int, tuple] = {}
+
+
+def _automaton(terms: list[tuple[str, str, list[str]]], key: int) -> tuple:
+    """(automaton of all terms, first word -> terms of several words, (phrase, subset) confidence of each); built once a Python worker."""
+    if key not in _automata:
+        import ahocorasick
+
+        number: dict[str, int] = {}
+        concepts: list[list[str]] = []
+        for term, concept, _ in terms:
+            if term not in number:
+                number[term] = len(concepts)
+                concepts.append([])
+            concepts[number[term]].append(concept)
+        words = {number[t]: w for t, _, w in terms}
+        tree, by_word = ahocorasick.Automaton(), {}
+        for t, k in number.items():
+            tree.add_word(t, k)
+            by_word.setdefault(words[k][0], []).append((k, frozenset(words[k])))
+        tree.make_automaton()
+        scores = {k: (min(1.0, 0.5 + len(w) * 0.1), min(0.7, 0.3 + len(set(w)) * 0.1)) for k, w in words.items()}
+        _automata.clear()
+        _automata[key] = tree, by_word, scores, concepts
+    return _automata[key]
+
+
+def automaton_match(fields: DataFrame, variants: DataFrame) -> DataFrame:
+    """As ``concept_match``, in one pass over each text for all terms together; ``variants`` must be few enough to send to every worker."""
+    terms = [(r["term"], r["concept_id"], r["words"]) for r in variants.collect()]
+    key = hash(tuple(sorted((t, c) for t, c, _ in terms)))
+    if not terms:
+        return fields.select("accession", F.lit("").alias("concept_id"), F.lit(0.0).alias("confidence")).where(F.lit(False))
+    shared = fields.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, by_word, scores, concepts = _automaton(shared.value, key)
+        for b in batches:
+            rows, found, confidence = [], [], []
+            for i, (weight, text, tokens) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3)))):
+                phrases = {k for _, k in tree.iter(text)}
+                best = {k: scores[k][0] for k in phrases}
+                have = set(tokens)
+                for w in tokens:
+                    for k, needed in by_word.get(w, ()):
+                        if k not in phrases and needed <= have:
+                            best[k] = scores[k][1]
+                top: dict[str, float] = {}
+                for k, c in best.items():
+                    for concept in concepts[k]:
+                        top[concept] = max(top.get(concept, 0.0), c)
+                rows += [i] * len(top)
+                found += top
+                confidence += [c * weight for c in top.values()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string()), pa.array(confidence, pa.float64())], ["accession", "concept_id", "confidence"])
+
+    tokens = fields.select("accession", "weight", "text", word_tokens(F.col("text")).alias("tokens"))
+    return tokens.mapInArrow(run, "accession string, concept_id string, confidence double")
+
+
+def match_records(records: DataFrame, vocab: DataFrame, threshold: float = 0.3, method: str | None = None) -> DataFrame:
+    """(accession, concept_id, confidence): the best confidence of each concept in each record, from ``threshold`` on.
+
+    ``method``: "automaton" (one pass for all terms; the default for vocabularies of a checked size), "grams" (joins, for any size) or "nested"
+    (every field with every term, for very small vocabularies).
+    """
     variants = term_variants(vocab)
-    if by_grams is None:
-        by_grams = variants.limit(NESTED_LOOP_VARIANTS).count() >= NESTED_LOOP_VARIANTS
-    found = concept_match(text_fields(records), variants, by_grams)
+    if method is None:
+        method = "automaton" if variants.limit(AUTOMATON_VARIANTS + 1).count() <= AUTOMATON_VARIANTS else "grams"
+    fields = text_fields(records)
+    found = automaton_match(fields, variants) if method == "automaton" else concept_match(fields, variants, method == "grams")
     return found.groupBy("accession", "concept_id").agg(F.max("confidence").alias("confidence")).where(F.col("confidence") >= threshold)
 
 
-def tag_records(records: DataFrame, vocab: DataFrame, stored: DataFrame | None = None, threshold: float = 0.3, overwrite: bool = False, by_grams: bool | None = None) -> DataFrame:
+def tag_records(records: DataFrame, vocab: DataFrame, stored: DataFrame | None = None, threshold: float = 0.3, overwrite: bool = False, method: str | None = None) -> DataFrame:
     """The link table after tagging ``records``: new links of source ``auto`` put over the stored ones.
 
     With ``overwrite`` the records' automatic links are deleted first; otherwise those not found again stay.
     """
-    links = match_records(records, vocab, threshold, by_grams).select("accession", "concept_id", F.lit("auto").alias("source"), "confidence")
+    links = match_records(records, vocab, threshold, method).select("accession", "concept_id", F.lit("auto").alias("source"), "confidence")
     if stored is None:
         return links
     if overwrite:

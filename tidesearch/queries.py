@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ from tidesearch.operators.fusion import fusion_order, rrf_fuse
 from tidesearch.plans import ingest as ING
 from tidesearch.plans import report
 from tidesearch.plans import search as S
+from tidesearch.schemas import LINKS
 from tidesearch.sources import readers, writers
 
 QUERY = "and tionth-er ingthe (ent)"
@@ -78,8 +82,26 @@ def query(oracle: str | None = None, *names: str, more: str = ""):
     return add
 
 
+def _folder(s: SparkSession) -> str:
+    """The shared folder; a session without one (a local one) gets its own."""
+    path = s.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="tidesearch-")
+        s.conf.set("spark.checkpoint.dir", path)
+    return f"{path}/{uuid.uuid4().hex}"
+
+
+_stored: dict[tuple[str, str], str] = {}
+
+
 def _links(s: SparkSession, d: str) -> DataFrame:
-    return TG.tag_records(V.records(s, d), V.vocab(s, d))
+    """The link table: the corpus is tagged once a session and stored, as searches and reports find it."""
+    key = s.sparkContext.applicationId, d
+    if key not in _stored:
+        path = _folder(s)
+        TG.tag_records(V.records(s, d), V.vocab(s, d)).write.parquet(path)
+        _stored[key] = path
+    return s.read.schema(LINKS).parquet(_stored[key])
 
 
 def _day(c: str):
@@ -168,14 +190,7 @@ def record_to_dict(s, d):
 @query("SELECT source AS tech_type, count(*) AS n FROM documents GROUP BY 1")
 def write_records(s, d):
     """Written partitioned, read again, counted."""
-    import uuid
-
-    folder = s.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="tidesearch-")
-    path = f"{folder}/records-{uuid.uuid4().hex}"
+    path = _folder(s)
     writers.write_records(V.records(s, d), path, ("tech_type",))
     return s.read.parquet(path).groupBy("tech_type").agg(F.count("*").alias("n"))
 
@@ -294,7 +309,7 @@ def fuse_full_outer(s, d):
 @query("SELECT accession, concept_id, round(confidence, 6) AS confidence FROM links", "links")
 def concept_match(s, d):
     """By grams and words, whatever the size of the vocabulary."""
-    return TG.match_records(V.records(s, d), V.vocab(s, d), by_grams=True).withColumn("confidence", F.round("confidence", 6))
+    return TG.match_records(V.records(s, d), V.vocab(s, d), method="grams").withColumn("confidence", F.round("confidence", 6))
 
 
 TOKENS = """cleaned AS (SELECT list_filter(string_split_regex(regexp_replace(lower('%s'), '[^\\p{L}\\p{N}_\\s-]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS w),
@@ -640,7 +655,7 @@ def expand_query(s, d):
 
 @query("SELECT accession, concept_id, source, round(confidence, 6) AS confidence FROM links", "links")
 def tag_records(s, d):
-    return _links(s, d).withColumn("confidence", F.round("confidence", 6))
+    return TG.tag_records(V.records(s, d), V.vocab(s, d)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("SELECT accession, concept_id, round(confidence, 6) AS confidence FROM links WHERE accession = 'GSE7'", "links")
