@@ -25,8 +25,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id.  Shingles and bits are those of op5."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    First the groups of op5 (three words, three bits), then texts whose five-word shingles have a similarity of 0.8 or more.
+    """
+    return simhash.drop_similar(durable(simhash.drop_near_duplicates(docs), "near-duplicates"))
 
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def test_links_lose_nothing(spark, monkeypatch, dense):
             fps.add(f)
     fps = sorted(fps)
     signed = lambda f: f - 2**64 if f >= 2**63 else f
-    table = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    table = spark.createDataFrame([(0, signed(f)) for f in fps], "seed int, fp long")
     found = simhash.links(table)
     pairs = {(r["a"], r["b"]) for r in found.collect()}
     want = {tuple(sorted((signed(x), signed(y)))) for i, x in enumerate(fps) for y in fps[:i] if (x ^ y).bit_count() <= 3}
@@ -79,3 +79,29 @@ def test_links_lose_nothing(spark, monkeypatch, dense):
     groups = brute_groups(fps, lambda x, y: (x ^ y).bit_count() <= 3)
     for f in fps:
         assert roots.get(signed(f), signed(f)) == min(map(signed, groups[f]))
+
+
+def test_similar_texts_go(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, similar, i = [], set(), 0
+    for g in range(60):
+        base = [word() for _ in range(200)]
+        rows.append((i, " ".join(base)))
+        first, i = i, i + 1
+        for edits in (3, 6, 40):
+            w = list(base)
+            for k in rng.sample(range(200), edits):
+                w[k] = word()
+            rows.append((i, " ".join(w)))
+            if simhash.shingle_similarity(rows[first][1].encode(), rows[i][1].encode()) >= 0.8:
+                similar.add(i)
+            i += 1
+    d = spark.createDataFrame(rows + [(None, "x"), (i, None)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.drop_similar(d).collect()}
+    gone = set(range(i)) - kept
+    assert len(similar) >= 60 and len(gone & similar) >= 0.9 * len(similar)
+    # Beyond pairs with the first text of a group, only texts similar to one another may go.
+    texts = dict(rows)
+    assert all(any(simhash.shingle_similarity(texts[x].encode(), texts[y].encode()) >= 0.8 for y in texts if y != x) for x in gone)
+    assert None in kept and i in kept

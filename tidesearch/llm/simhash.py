@@ -26,6 +26,14 @@ DENSE = 256
 BLOCK = 4096
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed 64-bit number."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     """The SimHash of a text's word shingles as a signed 64-bit number; 0 without words."""
     words = (text or b"").lower().split()  # bytes: lowers A-Z alone, splits at space and tab to carriage return
@@ -34,10 +42,7 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
     n = max(1, len(words) - shingle + 1)
     hashes = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype=np.uint64, count=n)
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+    return majority(hashes)
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -57,8 +62,8 @@ def _half(fp: Column, k: int) -> Column:
 
 
 def anchors(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(homes, replicas), both (half, anchor, fp)."""
-    halves = fps.select("fp", F.posexplode(F.array(_half(F.col("fp"), 0), _half(F.col("fp"), 1))).alias("half", "word"))
+    """(homes, replicas), both (half, anchor, fp), of a table (seed, fp); fingerprints of different seeds have different halves."""
+    halves = fps.select("seed", "fp", F.posexplode(F.array(_half(F.col("fp"), 0), _half(F.col("fp"), 1))).alias("_k", "word")).withColumn("half", F.col("seed") * 2 + F.col("_k"))
     # Bit p of the word (from 1 to 31) has the syndrome p; the 32nd bit is free.
     masks = [sum(1 << (p - 1) for p in range(1, 32) if p >> j & 1) for j in range(5)]
     parities = [F.bit_count(F.col("word").bitwiseAND(F.lit(m))).bitwiseAND(F.lit(1)).cast("long") * (1 << j) for j, m in enumerate(masks)]
@@ -103,11 +108,11 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     keep = x != y
     x, y = x[keep], y[keep]
     f = _forest(x, y)
-    return pd.DataFrame({"a": np.minimum(x[f], y[f]), "b": np.maximum(x[f], y[f])})
+    return pd.DataFrame({"seed": np.full(len(f), pdf["half"].iloc[0] // 2, dtype=np.int32), "a": np.minimum(x[f], y[f]), "b": np.maximum(x[f], y[f])})
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(a, b), a < b: links between different fingerprints.  Every link is there, but for dense anchors, of which
+    """(seed, a, b), a < b: links between different fingerprints of a table (seed, fp).  Every link is there, but for dense anchors, of which
     a spanning forest stands for the links of each block."""
     homes, replicas = anchors(fps)
     dense = durable(homes.groupBy("half", "anchor").count().where(F.col("count") > DENSE).select("half", "anchor", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "simhash-dense")
@@ -115,7 +120,7 @@ def links(fps: DataFrame) -> DataFrame:
     near = F.bit_count(F.col("h.fp").bitwiseXOR(F.col("r.fp"))) <= 3
     same = (F.col("h.half") == F.col("r.half")) & (F.col("h.anchor") == F.col("r.anchor"))
     sparse = homes.join(dense, ["half", "anchor"], "left_anti").alias("h").join(r, same & near & (F.col("h.fp") != F.col("r.fp")))
-    found = sparse.select(F.least("h.fp", "r.fp").alias("a"), F.greatest("h.fp", "r.fp").alias("b"))
+    found = sparse.select(F.floor(F.col("h.half") / 2).cast("int").alias("seed"), F.least("h.fp", "r.fp").alias("a"), F.greatest("h.fp", "r.fp").alias("b"))
     if dense.isEmpty():
         return found.distinct()
     spread = lambda d, own, other: (
@@ -125,7 +130,7 @@ def links(fps: DataFrame) -> DataFrame:
     )
     # Both sides are cut in as many blocks; a task compares one block of homes with one of replicas.
     crowd = spread(homes, "i", "j").withColumn("home", F.lit(True)).unionByName(spread(replicas, "j", "i").withColumn("home", F.lit(False)))
-    blocks = crowd.select("half", "anchor", "i", "j", "fp", "home").groupBy("half", "anchor", "i", "j").applyInPandas(_block_links, "a long, b long")
+    blocks = crowd.select("half", "anchor", "i", "j", "fp", "home").groupBy("half", "anchor", "i", "j").applyInPandas(_block_links, "seed int, a long, b long")
     return found.unionByName(blocks).distinct()
 
 
@@ -161,7 +166,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
     rows = durable(with_fingerprints(docs, shingle), "simhash-rows")
     fps = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("_doc")), "simhash-fps")
-    stars = components(durable(links(fps.select("fp")), "simhash-links"))
+    stars = components(durable(links(fps.select(F.lit(0).alias("seed"), "fp")), "simhash-links"))
     rooted = fps.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "_doc", F.coalesce("root", "fp").alias("group_fp"))
     least = rooted.groupBy("group_fp").agg(F.min("_doc").alias("component_id"))
     named = rooted.join(least, "group_fp").select(F.col("fp").alias("_fp"), "group_fp", "component_id")
@@ -171,7 +176,85 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the smallest id, one row of it."""
     found = near_duplicates(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.groupBy("group_fp").agg(F.min("text_key").alias("_key"), F.first("doc_id").alias("_doc"))
+    rows = found.groupBy("group_fp", "doc_id", "text_key").agg(F.count("*").alias("_rows"))
+    least = rows.groupBy("group_fp").agg(F.min(F.struct("text_key", "_rows")).alias("_first"), F.first("doc_id").alias("_doc"))
+    keep = durable(least.select(F.col("_first.text_key").alias("_key"), "_doc", F.col("_first._rows").alias("_rows")), "simhash-keep")
     texts = docs.withColumn("_text_key", F.xxhash64("text"))
     kept = texts.join(keep, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")))
-    return kept.dropDuplicates(["_text_key", "_doc"]).select(*docs.columns)
+    # Only documents with repeated rows are dealt out again to keep one of them.
+    once = kept.where("_rows = 1").select(*docs.columns)
+    return once.unionByName(kept.where("_rows > 1").dropDuplicates(["_text_key", "_doc"]).select(*docs.columns))
+
+
+# The constants of the splitmix64 generator.
+_STEP, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+
+def word_set_fingerprints(text: bytes | None, seeds: int) -> list[int]:
+    """SimHashes of a text's set of words under ``seeds`` hash functions; none without words."""
+    words = set((text or b"").lower().split())
+    if not words:
+        return []
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), dtype=np.uint64, count=len(words))
+    out = []
+    for _ in range(seeds):
+        h = h + _STEP
+        x = (h ^ (h >> np.uint64(30))) * _MIX1
+        x = (x ^ (x >> np.uint64(27))) * _MIX2
+        out.append(majority(x ^ (x >> np.uint64(31))))
+    return out
+
+
+def shingle_similarity(a: bytes, b: bytes, shingle: int = 5) -> float:
+    """Jaccard similarity of the sets of word shingles of two texts (fewer words: the whole sequence)."""
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append(set(zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else {tuple(w)})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seeds: int = 6) -> DataFrame:
+    """(a, b): keys of texts of ``docs`` (text_key, text; different texts) whose word shingles are similar.
+
+    An edited word changes ``shingle`` shingles but one word, so the candidates are found by SimHashes of word sets, under several hash
+    functions, by the same anchors; then the similarity is measured.  Texts with equal word sets are compared with one of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, seed, fp = [], [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1)):
+                found = word_set_fingerprints(t.as_py(), seeds)
+                key += [k] * len(found)
+                seed += range(len(found))
+                fp += found
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(seed, pa.int32()), pa.array(fp, pa.int64())], ["text_key", "seed", "fp"])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [shingle_similarity(x.as_py(), y.as_py(), shingle) >= similarity for x, y in zip(b.column(2), b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    texts = docs.select("text_key", F.col("text").cast("binary").alias("text"))
+    wide = durable(texts.mapInArrow(run, "text_key long, seed int, fp long"), "similar-fps")
+    centres = durable(wide.groupBy("seed", "fp").agg(F.min("text_key").alias("centre")), "similar-centres")
+    pair = lambda d, x, y: d.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    equal = pair(wide.join(centres, ["seed", "fp"]), "text_key", "centre")
+    near = durable(links(centres.select("seed", "fp")), "similar-links")
+    ends = near.join(centres.select("seed", F.col("fp").alias("a"), F.col("centre").alias("_x")), ["seed", "a"]).join(centres.select("seed", F.col("fp").alias("b"), F.col("centre").alias("_y")), ["seed", "b"])
+    pairs = durable(equal.unionByName(pair(ends, "_x", "_y")).distinct(), "similar-pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
+    some = durable(texts.join(needed, "text_key", "left_semi"), "similar-some")
+    met = pairs.join(some.select(F.col("text_key").alias("a"), F.col("text").alias("_ta")), "a").join(some.select(F.col("text_key").alias("b"), F.col("text").alias("_tb")), "b")
+    return met.select("a", "b", "_ta", "_tb").mapInArrow(measured, "a long, b long")
+
+
+def drop_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seeds: int = 6) -> DataFrame:
+    """The rows of ``docs`` (different texts) without those that are linked by similarity to a document with a smaller id."""
+    keyed = docs.withColumn("text_key", F.xxhash64("text")) if "text_key" not in docs.columns else docs
+    stars = components(durable(similar_texts(keyed, similarity, shingle, seeds), "similar-verified"))
+    member = keyed.select("doc_id", "text_key").join(stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct(), F.col("text_key") == F.col("node"))
+    least = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("_least"))
+    lost = member.join(least, "root").where(F.col("text_key") != F.col("_least.text_key")).select("text_key")
+    return keyed.join(durable(lost.distinct(), "similar-lost"), "text_key", "left_anti").select(*docs.columns)
