@@ -31,6 +31,8 @@ STRIDE = 256
 BLOCK_IDS = 1 << 16
 #: Ids that a reader decodes side by side.
 READ_IDS = 1 << 21
+#: Ids that a task reads.
+TASK_IDS = 1 << 23
 HEAD = "<IQQ"
 
 
@@ -238,7 +240,9 @@ def read_tokens(spark: SparkSession, folder: str, index: DataFrame, digest: bool
                     last = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(np.append(0, ends).astype(np.int64) * 2), pa.py_buffer(flat.astype("<u2"))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(starts), pa.array(lens), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "tokens"])
 
-    placed = block_starts(index).repartitionByRange("part", "row").sortWithinPartitions("part", "row")
+    # Index rows are small but stand for blocks: tasks are counted by ids, or else all rows would end in one.
+    tasks = max(1, -(-(index.agg(F.sum("ids")).first()[0] or 0) // TASK_IDS))
+    placed = block_starts(index).repartitionByRange(tasks, "part", "row").sortWithinPartitions("part", "row")
     return placed.select("file", "at", "size", "start", "ids").mapInArrow(read, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "tokens binary"))
 
 
