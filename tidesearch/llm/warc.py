@@ -22,9 +22,11 @@ from tidesearch.llm.shared import durable, shared_folder
 from tidesearch.llm.store import open_store, whole_file
 
 END = "\r\n\r\n"
-#: Rows of an archive file, and members that a reader takes from one file at a time.
+#: Rows of an archive file, and bytes of it that are inflated at a time.
 RECORDS_PER_FILE = 20_000
 READ_CHUNK = 1 << 16
+#: Bytes of members that a task reads.
+TASK_BYTES = 1 << 23
 
 
 def base32_of_hex(digest: Column) -> Column:
@@ -186,7 +188,9 @@ def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names[: len(columns)])
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    spread = index.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # Index rows are small but stand for members: tasks are counted by the members' bytes.
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    spread = index.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return spread.select("file", "offset", "length").mapInArrow(run, schema + (", payload binary" if payloads else ""))
 
 
