@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidesearch.operators.aggregates import boost_of
-from tidesearch.operators.expand import expand_query
+from tidesearch.operators.expand import expand_query, expansion_text, matched_terms
 from tidesearch.operators.filters import TEXT_FIELDS, add_url, filter_condition, lexical_match
 from tidesearch.operators.fusion import fused_score, fusion_order, rrf_fuse
 from tidesearch.operators.joins import tags_with_names
@@ -48,9 +48,10 @@ def hybrid_search(
     expanded, concepts = query, spark.createDataFrame([], "concept_id string")
     if use_concepts:
         queries = spark.createDataFrame([(1, query)], "query_id long, query string")
-        texts, terms = expand_query(queries, vocab)
-        expanded, found = texts.first()["expanded_query"], [r["concept_id"] for r in terms.select("concept_id").collect()]  # five at most
-        concepts = spark.createDataFrame([(c,) for c in found], "concept_id string")
+        terms = matched_terms(queries, vocab)
+        found = spark.createDataFrame(terms.collect(), terms.schema)  # five rows at most; the vocabulary is read once
+        expanded = expansion_text(queries, found).first()["expanded_query"]
+        concepts = found.select("concept_id")
     semantic = _empty(records)
     if use_semantic and query_vector is not None:
         side = vectors
