@@ -62,3 +62,14 @@ def test_odd_vectors(spark, monkeypatch):
     assert len(ann.nearest(few, few.where("vec_id = 20")).collect()) == 2
     none = v.where(F.lit(False))
     assert ann.nearest(none, none).collect() == []
+
+
+def test_recall_does_not_fall_with_the_number_of_leaves(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((6000, 64))
+    rows = [(i, (v / np.linalg.norm(v)).astype(np.float32).tolist()) for i, v in enumerate(x)]
+    v = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    want = brute(rows, [(i, e) for i, e in rows if i % 20 == 0], 20)
+    # 128 leaves a tree: the least number of visits alone finds far too few.
+    assert compare(ann.nearest(v, v.where("vec_id % 20 = 0"), leaf_rows=47, recall=0.0).collect(), want) < 0.8
+    assert compare(ann.nearest(v, v.where("vec_id % 20 = 0"), leaf_rows=47).collect(), want) >= 0.9

@@ -5,9 +5,9 @@ its leaf in each tree.  A query walks all trees best first through one priority
 way to a node, until it has visited its number of leaves.  The leaves then are rows of a Spark shuffle: per leaf, its
 queries meet its rows, and the exact inner products of the best candidates are merged per query.
 
-Leaves hold about ``leaf_rows`` rows and a query visits ``visits`` of them, so the cost of a query does not grow with the table.  The recall
-depends on how much structure the vectors have: on random directions without any, the defaults find 0.9 and more of the nearest in tables of
-up to some 50,000 rows; beyond that such data (but not clustered data) need more visits.
+Leaves hold about ``leaf_rows`` rows and a query visits ``visits`` of them, or more where that does not reach the recall: a sample of queries is
+held against brute force over all rows, and the visits are the fewest with which their recall surely is ``recall``.  On clustered vectors
+the cost of a query so does not grow with the table; on directions without any structure the visits grow with the leaves.
 """
 
 from __future__ import annotations
@@ -86,6 +86,19 @@ def search(forest: Forest, q: np.ndarray, visits: int) -> list[tuple[int, int]]:
     return out
 
 
+def visits_for(needed: np.ndarray, recall: float) -> int:
+    """The fewest visits with which the mean recall, less twice its standard error, is ``recall``; needed: [query, neighbour], the visit that
+    finds it (0: there is no such neighbour)."""
+    there = needed > 0
+    asked = there.sum(axis=1)
+    needed, there, asked = needed[asked > 0], there[asked > 0], asked[asked > 0]
+    for v in np.unique(needed[there]).tolist():
+        found = ((needed <= v) & there).sum(axis=1) / asked
+        if found.mean() - 2 * found.std() / math.sqrt(len(found)) >= recall:
+            return v
+    return 1
+
+
 def _stack(column) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.zeros((0, 0))
 
@@ -126,12 +139,53 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size(e) == (common[0]["n"] if common else 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, leaf_rows: int = 2000, visits: int = 34, sample_rows: int = 16384, seed: int = 7) -> DataFrame:
+def measured_visits(rows: DataFrame, queries: DataFrame, forest: Forest, k: int, recall: float) -> int:
+    """The visits that reach ``recall`` for the few ``queries`` (query_id, embedding), by their true neighbours among all ``rows``."""
+    sample = queries.collect()
+    if not sample:
+        return 1
+    own, q = np.array([r["query_id"] for r in sample], dtype=np.int64), _stack([r["embedding"] for r in sample])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, ids = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), dtype=np.int64)
+        leaf = np.zeros((len(q), 0, len(forest.planes)), dtype=np.int32)
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                x, new = _stack(part.column(1).to_pylist()), part.column(0).to_numpy()
+                near = q @ x.T
+                near[own[:, None] == new[None, :]] = -np.inf
+                top = np.argpartition(-near, min(k, len(x)) - 1, axis=1)[:, :k]
+                some, at_some = np.unique(top, return_inverse=True)
+                leaf = np.concatenate([leaf, route(forest, x[some])[at_some.reshape(top.shape)]], axis=1)
+                score, ids = np.concatenate([score, np.take_along_axis(near, top, axis=1)], axis=1), np.concatenate([ids, new[top]], axis=1)
+                first = np.lexsort((ids, -score), axis=1)[:, :k]
+                score, ids = np.take_along_axis(score, first, axis=1), np.take_along_axis(ids, first, axis=1)
+                leaf = np.take_along_axis(leaf, first[:, :, None], axis=1)
+        i, j = np.nonzero(np.isfinite(score))
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(ids[i, j]), pa.array(score[i, j]), pa.array(leaf[i, j].tolist(), pa.list_(pa.int32()))], ["query", "vec_id", "score", "leaf"])
+
+    parts = rows.select("vec_id", "embedding").mapInArrow(best, "query int, vec_id long, score double, leaf array<int>")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    needed = np.zeros((len(q), k), dtype=np.int64)
+    near: dict[int, list[list[int]]] = {}
+    for r in parts.withColumn("_rank", rank).where(F.col("_rank") <= k).collect():
+        near.setdefault(r["query"], []).append(r["leaf"])
+    for i, leaves in near.items():
+        when = {cell: n for n, cell in enumerate(search(forest, q[i], len(forest.planes) << forest.depth), 1)}
+        needed[i, : len(leaves)] = [min(when[t, n] for t, n in enumerate(row)) for row in leaves]
+    return visits_for(needed, recall)
+
+
+def nearest(
+    vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, leaf_rows: int = 2000, visits: int = 34, sample_rows: int = 16384, seed: int = 7, recall: float = 0.9, sample_queries: int = 128
+) -> DataFrame:
     """The ``k`` rows of ``vectors`` with the largest inner products found for each query: query_id, rank, vec_id, score.
 
     ``vectors`` and ``queries``: (vec_id, embedding), as ``usable`` gives them.  A row is no candidate of the query with its id.  Ties go to the
     smaller vec_id.  Repeated rows count once; a query id that occurs twice is asked once, with its greatest vector.  Trees are fitted on
-    ``sample_rows`` rows (the first by a hash of their id); all rows are indexed.  Empty tables give an empty result.
+    ``sample_rows`` rows (the first by a hash of their id); all rows are indexed.  ``visits`` is the least number of leaves a query visits; there
+    are more if ``sample_queries`` queries need more for ``recall``.  Empty tables give an empty result.
 
     Of equal vectors only the k + 1 smallest ids can be among a query's nearest, so only those enter the leaves.
     """
@@ -143,6 +197,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8,
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     forest = fit_forest(_stack([r[0] for r in sample]), rows.count(), trees, leaf_rows, seed)
+    if visits < trees << forest.depth:  # else all leaves are visited
+        some = asked.orderBy(F.xxhash64("query_id", F.lit(seed)), "query_id").limit(sample_queries)
+        visits = max(visits, measured_visits(rows, some, forest, k, recall))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
