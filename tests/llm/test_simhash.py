@@ -105,3 +105,34 @@ def test_similar_texts_go(spark):
     texts = dict(rows)
     assert all(any(simhash.shingle_similarity(texts[x].encode(), texts[y].encode()) >= 0.8 for y in texts if y != x) for x in gone)
     assert None in kept and i in kept
+
+
+def test_similar_passages_go(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    words = lambda n: [word() for _ in range(n)]
+    rows, similar = [], set()
+    for g in range(60):
+        base = words(200)
+        edited = (base, base[:-30], base[25:], base + words(40), words(20) + base, base[:80] + words(12) + base[92:])
+        for k, w in enumerate(edited):
+            rows.append((6 * g + k, " ".join(w)))
+            if k and simhash.shingle_similarity(rows[6 * g][1].encode(), rows[-1][1].encode()) >= 0.8:
+                similar.add(6 * g + k)
+    kept = {r["doc_id"] for r in simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(similar) == 300 and kept == {6 * g for g in range(60)}
+
+
+@pytest.mark.parametrize("members", [3, 512])
+def test_members_of_a_bucket_meet(spark, monkeypatch, members):
+    """Of a bucket's members those that are not similar to its smallest are compared with one another."""
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    monkeypatch.setattr(simhash, "band_keys", lambda text, shingle=5: [7])
+    rng = random.Random(10)
+    texts = []
+    for g in range(6):
+        base = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(100)]
+        texts += [" ".join(base + ["end"] * k) for k in (0, 1, 2)]
+    keyed = spark.createDataFrame(list(enumerate(texts)), "text_key long, text string")
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.similar_texts(keyed)).collect()}
+    assert roots == {3 * g + k: 3 * g for g in range(6) for k in (1, 2)}

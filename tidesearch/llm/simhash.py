@@ -186,74 +186,120 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return once.unionByName(kept.where("_rows > 1").dropDuplicates(["_text_key", "_doc"]).select(*docs.columns))
 
 
-# The constants of the splitmix64 generator.
-_STEP, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+#: Bands of least hash values, and values a band: texts of similarity 0.8 share none with a probability below 0.0001, of 0.85 below 0.000002.
+BANDS, BAND_ROWS = 24, 5
+#: Members of a bucket, on each side, that a task compares.
+MEMBERS = 512
+_MASKS, _FACTORS = np.random.default_rng(20017).integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_set_fingerprints(text: bytes | None, seeds: int) -> list[int]:
-    """SimHashes of a text's set of words under ``seeds`` hash functions; none without words."""
-    words = set((text or b"").lower().split())
-    if not words:
-        return []
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), dtype=np.uint64, count=len(words))
-    out = []
-    for _ in range(seeds):
-        h = h + _STEP
-        x = (h ^ (h >> np.uint64(30))) * _MIX1
-        x = (x ^ (x >> np.uint64(27))) * _MIX2
-        out.append(majority(x ^ (x >> np.uint64(31))))
-    return out
+def shingle_set(text: bytes, shingle: int = 5) -> set[bytes]:
+    """A text's word shingles (fewer words: the whole sequence)."""
+    w = text.lower().split()
+    return set(map(b" ".join, zip(*(w[i:] for i in range(shingle))))) if len(w) >= shingle else {b" ".join(w)}
 
 
-def shingle_similarity(a: bytes, b: bytes, shingle: int = 5) -> float:
-    """Jaccard similarity of the sets of word shingles of two texts (fewer words: the whole sequence)."""
-    sets = []
-    for t in (a, b):
-        w = t.lower().split()
-        sets.append(set(zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else {tuple(w)})
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+def band_keys(text: bytes | None, shingle: int = 5) -> list[int]:
+    """A key for each band of a text's least shingle hashes; none without words."""
+    if not (text or b"").split():
+        return []
+    some = shingle_set(text, shingle)
+    h = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in some), dtype=np.uint64, count=len(some))
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(h), 1 << 12):
+        least = np.minimum(least, ((h[None, at : at + (1 << 12)] ^ _MASKS[:, None]) * _FACTORS[:, None]).min(axis=1))
+    return [xxhash.xxh64_intdigest(v.tobytes(), k) - 2**63 for k, v in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
 
-def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seeds: int = 6) -> DataFrame:
-    """(a, b): keys of texts of ``docs`` (text_key, text; different texts) whose word shingles are similar.
+def _alike(x: set, y: set, similarity: float) -> bool:
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = len(x & y)
+    return both >= similarity * (len(x) + len(y) - both)
 
-    An edited word changes ``shingle`` shingles but one word, so the candidates are found by SimHashes of word sets, under several hash
-    functions, by the same anchors; then the similarity is measured.  Texts with equal word sets are compared with one of them.
+
+def shingle_similarity(a: bytes, b: bytes, shingle: int = 5) -> float:
+    """Jaccard similarity of the sets of word shingles of two texts (fewer words: the whole sequence)."""
+    x, y = shingle_set(a, shingle), shingle_set(b, shingle)
+    return len(x & y) / len(x | y)
+
+
+def _member_links(similarity: float, shingle: int):
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A spanning forest of the similar pairs between two blocks of a bucket, beyond what ``root`` links already."""
+        keys, roots, left = pdf["text_key"].tolist(), pdf["root"].tolist(), pdf["left"].tolist()
+        sets = [shingle_set(t, shingle) for t in pdf["text"]]
+        one = all(left)  # a block with itself
+        parent = {r: r for r in roots}
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        a, b = [], []
+        for i in range(len(keys)):
+            for j in range(len(keys)):
+                if left[i] and (i < j if one else not left[j]):
+                    x, y = top(roots[i]), top(roots[j])
+                    if x != y and _alike(sets[i], sets[j], similarity):
+                        parent[max(x, y)] = min(x, y)
+                        a.append(min(keys[i], keys[j]))
+                        b.append(max(keys[i], keys[j]))
+        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+    return links
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(a, b): pairs of texts of ``docs`` (text_key, text; different texts) whose word shingles are similar; they connect all such pairs found.
+
+    Candidates are texts that share a bucket, a band of least shingle hashes (an edit, be it scattered or of one passage, counts as
+    it does for the similarity).  All members of a bucket are compared with its smallest, then those of buckets that this does
+    not connect with one another, in blocks that return a spanning forest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, seed, fp = [], [], []
+            key, bucket = [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1)):
-                found = word_set_fingerprints(t.as_py(), seeds)
+                found = band_keys(t.as_py(), shingle)
                 key += [k] * len(found)
-                seed += range(len(found))
-                fp += found
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(seed, pa.int32()), pa.array(fp, pa.int64())], ["text_key", "seed", "fp"])
+                bucket += found
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(bucket, pa.int64())], ["text_key", "bucket"])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [shingle_similarity(x.as_py(), y.as_py(), shingle) >= similarity for x, y in zip(b.column(2), b.column(3))]
+            ok = [_alike(shingle_set(x.as_py(), shingle), shingle_set(y.as_py(), shingle), similarity) for x, y in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     texts = docs.select("text_key", F.col("text").cast("binary").alias("text"))
-    wide = durable(texts.mapInArrow(run, "text_key long, seed int, fp long"), "similar-fps")
-    centres = durable(wide.groupBy("seed", "fp").agg(F.min("text_key").alias("centre")), "similar-centres")
-    pair = lambda d, x, y: d.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    equal = pair(wide.join(centres, ["seed", "fp"]), "text_key", "centre")
-    near = durable(links(centres.select("seed", "fp")), "similar-links")
-    ends = near.join(centres.select("seed", F.col("fp").alias("a"), F.col("centre").alias("_x")), ["seed", "a"]).join(centres.select("seed", F.col("fp").alias("b"), F.col("centre").alias("_y")), ["seed", "b"])
-    pairs = durable(equal.unionByName(pair(ends, "_x", "_y")).distinct(), "similar-pairs")
+    wide = durable(texts.mapInArrow(run, "text_key long, bucket long"), "similar-bands")
+    buckets = wide.groupBy("bucket").agg(F.min("text_key").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    members = durable(wide.join(buckets, "bucket"), "similar-members")
+    pairs = durable(members.where("text_key != centre").select(F.col("centre").alias("a"), F.col("text_key").alias("b")).distinct(), "similar-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
     some = durable(texts.join(needed, "text_key", "left_semi"), "similar-some")
     met = pairs.join(some.select(F.col("text_key").alias("a"), F.col("text").alias("_ta")), "a").join(some.select(F.col("text_key").alias("b"), F.col("text").alias("_tb")), "b")
-    return met.select("a", "b", "_ta", "_tb").mapInArrow(measured, "a long, b long")
-
-
-def drop_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seeds: int = 6) -> DataFrame:
+    found = durable(met.select("a", "b", "_ta", "_tb").mapInArrow(measured, "a long, b long"), "similar-found")
+    stars = components(found)
+    rooted = members.where("n > 2").join(stars.select(F.col("node").alias("text_key"), "root"), "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
+    # Members that no pair with the smallest has linked to it, or that are alone in that, may be similar to others.
+    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("_r"), F.max("root").alias("_s"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")).where("_r != _s").select("bucket", "blocks")
+    rest = durable(rooted.join(open_, "bucket").select("bucket", "text_key", "root", "blocks"), "similar-open")
+    own = F.pmod(F.xxhash64("text_key", F.lit(1)), F.col("blocks")).cast("int")
+    # A member goes to the block pairs (i, j), i <= j, of its own block.
+    placed = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "text_key", "root").join(some, "text_key")
+    more = placed.groupBy("bucket", "i", "j").applyInPandas(_member_links(similarity, shingle), "a long, b long")
+    return found.unionByName(more).distinct()
+
+
+def drop_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` (different texts) without those that are linked by similarity to a document with a smaller id."""
     keyed = docs.withColumn("text_key", F.xxhash64("text")) if "text_key" not in docs.columns else docs
-    stars = components(durable(similar_texts(keyed, similarity, shingle, seeds), "similar-verified"))
+    stars = components(durable(similar_texts(keyed, similarity, shingle), "similar-verified"))
     member = keyed.select("doc_id", "text_key").join(stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct(), F.col("text_key") == F.col("node"))
     least = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("_least"))
     lost = member.join(least, "root").where(F.col("text_key") != F.col("_least.text_key")).select("text_key")
