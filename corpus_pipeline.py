@@ -14,14 +14,15 @@ from tidesearch.llm.shared import durable
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language.  Texts without a letter, and those hardly like any language (cosine below 0.03), go.
+    """Documents in a known language.  Texts without a letter, and those hardly like any language (see ``langid.score_cuts``), go.
 
     The prototypes are learnt from the documents that ``held_out`` leaves for learning; if nothing can be learnt all texts go.
     """
     rows = docs.select("doc_id", "lang", "text").where(~langid.held_out(docs) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     model = langid.learn(rows)
+    cuts = F.array(*[F.lit(c) for c in langid.score_cuts(rows, model)])
     judged = langid.predict(docs, model, docs.columns)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.03)).select(*docs.columns)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= F.get(cuts, langid.length_class("text") - 1))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

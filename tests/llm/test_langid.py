@@ -1,10 +1,12 @@
 """Language identification: held-out accuracy, brute-force bundles, odd input."""
 
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 
+import corpus_pipeline
 from tidesearch.llm import langid
 
 
@@ -51,3 +53,20 @@ def test_odd_input(odd_docs, no_docs):
         elif r["doc_id"] is not None:
             assert r["lang_pred"] in ("en", "fr", "es")
     assert langid.identify(no_docs).collect() == []
+
+
+def test_noise_and_foreign_scripts_go(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(6)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщыьэюя", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    noise = []
+    for k, alphabet in enumerate(alphabets):
+        for words, length in ((150, 7), (400, 5), (3, 600)):
+            for _ in range(5):
+                text = " ".join("".join(rng.choice(alphabet) for _ in range(length)) for _ in range(words))
+                noise.append((1_000_000 + len(noise), text, "en"))
+    both = d.unionByName(spark.createDataFrame(noise, d.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, both, "").select("doc_id").collect()}
+    assert not [i for i, _, _ in noise if i in kept]
+    lost = [r["doc_id"] for r in d.where("length(text) > 0").collect() if r["doc_id"] not in kept]
+    assert len(lost) <= 0.001 * d.count(), lost

@@ -166,6 +166,38 @@ def predict(docs: DataFrame, model: dict[str, list[int]], keep: list[str]) -> Da
     return rows.mapInArrow(run, ", ".join(filter(None, [kinds, "lang_pred string, score double"])))
 
 
+#: Learnt texts of a length class that give it a cut of its own, and the least cut.
+CLASS_TEXTS, LEAST_CUT = 20, 0.03
+CLASSES = 32
+
+
+def length_class(text: str):
+    """How many binary digits the text's length has: texts of one class differ in length by a factor below 2."""
+    return F.least(F.length(F.bin(F.length(text))), F.lit(CLASSES)).cast("int")
+
+
+def score_cuts(learnt: DataFrame, model: dict[str, list[int]]) -> list[float]:
+    """The score below which a text is in no learnt language, for each length class from 1 on: a quarter of the median score of the learnt texts
+    of that class.  Short texts score less, so a class of less than ``CLASS_TEXTS`` texts counts all shorter ones too; as long as
+    these are fewer still, nothing shows what a text of such a length should score, and only ``LEAST_CUT`` holds.
+
+    The median bears learnt texts that are no language; the letters of noise score a fifth of it at most.
+    """
+    scored = predict(learnt.withColumn("_class", length_class("text")), model, ["_class"]).where("lang_pred != 'und'")
+    cells: dict[int, dict[int, int]] = {}
+    for r in scored.groupBy("_class", F.floor(F.col("score") * 1000).cast("int").alias("cell")).count().collect():
+        cells.setdefault(r["_class"], {})[r["cell"]] = r["count"]
+    out, below = [], np.zeros(1001, dtype=np.int64)
+    for c in range(1, CLASSES + 1):
+        own = np.zeros(1001, dtype=np.int64)
+        for cell, n in cells.get(c, {}).items():
+            own[cell] = n
+        below = below + own
+        used = own if own.sum() >= CLASS_TEXTS else below
+        out.append(max(LEAST_CUT, float(np.searchsorted(2 * np.cumsum(used), used.sum())) / 4000) if used.sum() >= CLASS_TEXTS else LEAST_CUT)
+    return out
+
+
 def held_out(docs: DataFrame):
     """True where crc32 of the id as text leaves 1 on division by 3; null ids are not held out."""
     return F.coalesce(F.crc32(docs["doc_id"].cast("string")) % 3 == 1, F.lit(False))
