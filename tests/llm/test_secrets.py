@@ -61,3 +61,24 @@ def test_battery_tells_random_from_language():
         ok = sum(secrets.battery("".join(rng.choice(a) for _ in range(40)))[1] >= 0.001 for _ in range(300))
         assert ok >= 290, name
     assert secrets.battery("a" * 40)[1] < 1e-6 and secrets.battery("anticonstitutionnellementanticonstitution")[1] < 1e-3
+
+
+def test_letters_of_one_case_and_keys_in_paths(spark):
+    rng = random.Random(12)
+    words = ["internationalisation", "incomprehensibilities", "anticonstitutionnellement", "Verantwortungsbewusstsein", "counterrevolutionaries", "TELECOMMUNICATIONSLAW", "selbstverstaendlichkeiten", "electroencephalographically"]
+    rows, planted = [], {}
+    for i in range(300):
+        text = " ".join(rng.choice(words) for _ in range(5)) + " " + ("".join(w.lower() for w in rng.sample(words, 3)) + " " if i % 10 == 5 else "")
+        if i % 10 == 0:
+            kind = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")[i // 10 % 3]
+            text += "https://a.b/files/" if "-" in kind else ""
+            key = "".join(rng.choice(kind) for _ in range(62)) + ("-_" if "-" in kind else "ab" if kind.islower() else "AB")
+            planted[i] = (len(text), len(text) + 64)
+            text += key + ("/view" if "-" in kind else "")
+        rows.append((i, text))
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("random")] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(3):
+        mine = [i for i in planted if i // 10 % 3 == k]
+        assert sum(f"random:{planted[i][0]}:{planted[i][1]}" in got[i] for i in mine) >= 0.7 * len(mine), k
+    false = sum(map(len, got.values())) - sum(f"random:{a}:{b}" in got[i] for i, (a, b) in planted.items())
+    assert false <= 0.1 * len(planted)

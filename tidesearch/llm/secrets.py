@@ -7,7 +7,8 @@ a token they reject is not random and no secret.
 
 Long tokens of ordinary writing (letters of one case) show how uneven language is.  The excess of chi-squared over its degrees of
 freedom, per symbol, does not depend on a token's length, and its spread falls with the root of the length: all such tokens of the
-corpus give its mean and scale, and a candidate's place in that distribution is its p-value for "this is language".
+corpus give its mean and scale, and a candidate's place in that distribution is its p-value for "this is language".  Mean and scale are a median and a
+median deviation, which secrets among these tokens hardly move; the tokens are candidates like all others.
 Benjamini-Hochberg within each band of lengths then accepts secrets at a bounded share of false discoveries; short tokens
 need to be more even than long ones.
 """
@@ -32,6 +33,7 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+PIECE = re.compile(r"[A-Za-z0-9_-]{20,}={0,2}")
 LANGUAGE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Alphabets, the smallest that holds a token is its encoding.
 ENCODINGS = (
@@ -92,6 +94,15 @@ def battery(token: str) -> tuple[float, float, int]:
     return (chi - df) / (n - 1), min(1.0, math.exp(-half) * (1 + half + half * half / 2)), a
 
 
+def candidates(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, token) of the long tokens; one that no encoding holds, such as a key within a path, is cut at its / and +."""
+    for m in CANDIDATE.finditer(text):
+        if encoding(m[0].rstrip("=")) is not None:
+            yield m.start(), m.end(), m[0]
+        else:
+            yield from ((m.start() + x.start(), m.start() + x.end(), x[0]) for x in PIECE.finditer(m[0]))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the patterns' matches in a text, sorted."""
     out = []
@@ -107,13 +118,12 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple]]:
     spans, found = base_spans(text), []
     if max(map(len, text.split()), default=0) >= BANDS[0]:  # a candidate or a hexadecimal run lies within a word
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 32]
-        for m in CANDIDATE.finditer(text):
-            word = m[0]
-            stat, p, a = battery(word)
-            n = len(word)
-            band = max(b for b in BANDS if b <= n)
+        for start, end, word in candidates(text):
+            language = LANGUAGE.fullmatch(word) is not None
+            stat, p, a = battery(word.lower() if language else word)  # a capital that begins a word is no symbol of another alphabet
+            band = max(b for b in BANDS if b <= len(word))
             if a > 10:  # digits alone are numbers, not secrets
-                found.append((m.start(), m.end(), band, LANGUAGE.fullmatch(word) is not None, stat, p))
+                found.append((start, end, band, language, stat, p))
     return sorted(spans), found
 
 
@@ -140,20 +150,32 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(run, f"{kinds}base array<{SPAN}>, found array<{FOUND}>")
 
 
+def _median(cells) -> tuple[int, int]:
+    """(rows, median) of a table grouped by ``cell``."""
+    counts = sorted((r["cell"], r["count"]) for r in cells.count().collect())
+    k, upto = sum(n for _, n in counts), 0
+    for cell, n in counts:
+        upto += n
+        if 2 * upto >= k:
+            return k, cell
+    return 0, 0
+
+
 def thresholds(scan_rows: DataFrame, q: float) -> tuple[float, float, dict[int, float]]:
-    """(mean, scale, band -> highest z that is accepted).  What reaches the driver are sums, and counts by band and twentieths of z."""
+    """(mean, scale, band -> highest z that is accepted).  What reaches the driver are counts by thousandths, and by band and twentieths of z."""
     found = scan_rows.select(F.explode("found").alias("f")).select("f.*").withColumn("n", F.col("end") - F.col("start"))
-    # Statistics are summed as whole thousandths: the sums don't depend on their order.
+    # Whole thousandths, of which there are some ten thousands at most.
     s = F.round(F.col("stat") * 1000).cast("long")
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    k, n, x, nx, nxx = found.where("language").agg(F.count("*"), total(F.col("n")), total(s), total(s * F.col("n")), total(s * s * F.col("n"))).first()
+    ordinary = found.where("language")
+    k, mid = _median(ordinary.groupBy(s.alias("cell")))
     m0, d0, k0 = PRIOR
-    mean = (x / 1e3 + k0 * m0) / (k + k0)
-    dev = math.sqrt(max((nxx / 1e6 - 2 * mean * nx / 1e3 + mean * mean * n + k0 * d0 * d0) / (k + k0), 1e-4))
+    mean = (k * mid / 1e3 + k0 * m0) / (k + k0)
+    _, far = _median(ordinary.groupBy(F.round(F.abs(F.col("stat") - mean) * F.sqrt("n") * 1000).cast("long").alias("cell")))
+    dev = math.sqrt((k * max(1.4826 * far / 1e3, d0 / 2) ** 2 + k0 * d0 * d0) / (k + k0))
     z = (F.col("stat") - mean) * F.sqrt("n") / dev
     cell = F.greatest(F.floor(z * 20), F.lit(-400)).cast("int")
     counts: dict[int, dict[int, int]] = {b: {} for b in BANDS}
-    for r in found.where("not language").groupBy("band", F.least(cell, F.lit(100)).alias("cell")).count().collect():
+    for r in found.groupBy("band", F.least(cell, F.lit(100)).alias("cell")).count().collect():
         counts[r["band"]][r["cell"]] = r["count"]
     out = {}
     for b, by in counts.items():
@@ -178,7 +200,7 @@ def with_secret_spans(docs: DataFrame, keep: list[str], q: float = 0.05, alpha:
         for b, z in limits.items():
             if z > -math.inf:
                 ok = ok | ((c["band"] == b) & ((c["stat"] - mean) * F.sqrt(c["end"] - c["start"]) / dev < z))
-        return ok & ~c["language"] & (c["p"] >= alpha)
+        return ok & (c["p"] >= alpha)
 
     free = lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
     more = F.transform(F.filter("found", lambda c: accepted(c) & free(c)), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
