@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidesearch.llm.shared import durable, shared_folder
 from tidesearch.llm.store import open_store, whole_file
-from tidesearch.llm.tokens import ids_crc32, token_rows
+from tidesearch.llm.tokens import ids_crc32, token_batches
 
 LIMIT = 20
 STRIDE = 256
@@ -115,30 +116,60 @@ def decode_ids(payload: np.ndarray, checkpoints: np.ndarray, counts: np.ndarray,
     return out[np.arange(out.shape[1])[None, :] < counts[:, None]]
 
 
-def write_tokens(docs: DataFrame, path: str, folder: str) -> DataFrame:
-    """Write the dataset ``folder``; returns its index, a row a block: file, at, size, part, row, ids, and docs."""
-    spark = docs.sparkSession
-    by_id = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
-    by_id = by_id.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")
-    by_id = by_id.select("doc_id", "text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
-    rows = durable(token_rows(by_id, path, ["doc_id", "part", "row"]), "token-rows")
+def _merged_counts(parts: DataFrame) -> DataFrame:
+    """(id, n) summed up over rows of pairs."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << 16, dtype=np.int64)
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                raw = b"".join(t.as_buffer() for t in b.column(0).slice(at, 256))
-                for k in range(0, len(raw), 1 << 21):
-                    sums += np.bincount(np.frombuffer(raw[k : k + (1 << 21)], dtype="<u2"), minlength=1 << 16)
-        used = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[used])], ["id", "n"])
+            for t in b.column(0):
+                x = np.frombuffer(t.as_buffer(), dtype="<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int32)), pa.array(x[:, 1].copy())], ["id", "n"])
+
+    return parts.mapInArrow(pairs, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches (doc_id, tokens) with a crc and no counts; last a row with the counts of all their ids, as pairs (id, number) of int64."""
+    sums, kind = np.zeros(1 << 16, dtype=np.int64), None
+    for b in batches:
+        kind, crcs = b.column(0).type, []
+        for t in b.column(1):
+            ids = np.frombuffer(t.as_buffer(), dtype="<u2")
+            crcs.append(zlib.crc32(ids.data))
+            for k in range(0, len(ids), 1 << 21):
+                part = ids[k : k + (1 << 21)]
+                if len(part) < 1 << 12:
+                    np.add.at(sums, part, 1)
+                else:
+                    sums += np.bincount(part, minlength=1 << 16)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(crcs, pa.int64()), pa.nulls(len(crcs), pa.binary())], COUNTED)
+    used = np.flatnonzero(sums)
+    if kind is not None:
+        pairs = np.stack([used, sums[used]], axis=1).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([0], pa.int64()), pa.array([pairs])], COUNTED)
+
+
+COUNTED = ["doc_id", "tokens", "crc", "counts"]
+
 
+def write_tokens(docs: DataFrame, path: str, folder: str) -> DataFrame:
+    """Write the dataset ``folder``; returns its index, a row a block: file, at, size, part, row, ids.
+
+    Null and empty texts are the end id alone, repeated rows are documents of their own, null ids come first; an empty table gives an index without rows.
+    Ids are made and counted in one pass over the texts; what is then sorted by document are ids, not texts.
+    """
+    texts = docs.select("doc_id", F.col("text").alias("_text"))
+    kind = texts.dtypes[0][1]
+    counted = texts.mapInArrow(lambda batches: count_ids(token_batches(batches, path, ["doc_id"])), f"doc_id {kind}, tokens binary, crc long, counts binary")
+    counted = durable(counted, "token-rows")
     counts = np.zeros(1 << 16, dtype=np.int64)
-    for r in rows.select("tokens").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row an id at most
+    for r in _merged_counts(counted.where("counts is not null").select("counts")).collect():  # a row an id at most
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
     with whole_file(f"{folder}/code.json") as f:
         f.write(json.dumps({"limit": LIMIT, "stride": STRIDE, "lengths": {int(i): int(lengths[i]) for i in np.flatnonzero(lengths)}}).encode())
+    rows = counted.where("tokens is not null").repartitionByRange("doc_id", "crc").sortWithinPartitions("doc_id", "crc")
+    rows = rows.select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"), "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, index = canonical_codes(lengths), []
@@ -186,7 +217,10 @@ def block_starts(index: DataFrame) -> DataFrame:
 
 
 def read_tokens(spark: SparkSession, folder: str, index: DataFrame, digest: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, tokens) of every document of a dataset, read from its files by the index; ids_crc32 for tokens with ``digest``."""
+    """(doc_id, start, n_tokens, tokens) of every document of a dataset, read from its files by the index; ids_crc32 for tokens with ``digest``.
+
+    A document without text has its end id; null ids come back as nulls, repeated rows as rows of their own, an empty dataset as no rows.
+    """
     store, path = open_store(f"{folder}/code.json")
     with store.open_input_stream(path) as f:
         code = json.loads(f.read())

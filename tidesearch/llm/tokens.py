@@ -16,12 +16,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Distinct units that a worker remembers before it starts afresh, and bytes of text worked on at once.
 REMEMBER = 800_000
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 23
 #: Texts that must be encoded whole: white space at either end or beside a space or newline, or a special token's text.
 WHOLE = r"^[ \n]|[ \n]$|[\t-\r\x1c-\x20\x85\p{Z}][ \n]|[ \n][\t-\r\x1c-\x20\x85\p{Z}]|<\|"
 
@@ -35,6 +33,14 @@ def encoder(path: str) -> "Encoder":
     return _encoders[path]
 
 
+def _spans(at: np.ndarray, n: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places at[i], at[i] + 1, ... (n[i] of them) one span after the other; ends: n summed up."""
+    kind = np.int32 if max(int(ends[-1]), int(at.max()) + int(n.max())) < 1 << 31 else np.int64
+    out = np.repeat((at - (ends - n)).astype(kind), n)
+    out += np.arange(len(out), dtype=kind)
+    return out
+
+
 class Encoder:
     """Encodes arrays of texts to flat arrays of ids with a memo of words."""
 
@@ -44,6 +50,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
+            raise ValueError(f"{path}: ids of 65,536 and more do not fit the 16 bits that ids are kept in")
         self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.starts[[i for t, i in vocabulary.items() if t.startswith("Ġ") or t == "Ċ"]] = True  # tokens that begin a unit
         self.marks = {c: self._ids([c])[0][0] for c in ".,"}
@@ -90,7 +98,7 @@ class Encoder:
             stem = np.fromiter((self.known[w[:-1]] for w in marked), dtype=np.int64, count=len(marked))
             n = self.len[stem] + 1
             ends = np.cumsum(n)
-            source = np.repeat(self.at[stem] - (ends - n), n) + np.arange(ends[-1])
+            source = _spans(self.at[stem], n, ends)
             source[ends - 1] = 0
             ids = self.pool[source]
             ids[ends - 1] = [self.marks[w[-1]] for w in marked]
@@ -112,7 +120,7 @@ class Encoder:
             coded = split.flatten().dictionary_encode()
             if len(self.known) + len(coded.dictionary) // 2 > REMEMBER:
                 self.forget()
-            words = coded.dictionary.to_pylist()
+            words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             number = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
             new = np.flatnonzero(number < 0)
             if len(new):
@@ -129,7 +137,7 @@ class Encoder:
             pool = np.concatenate([self.pool[: self.used], head_ids])
             at[first], n[first] = self.used + np.cumsum(head_n) - head_n, head_n
             ends = np.cumsum(n)
-            flat = pool[np.repeat(at - (ends - n), n) + np.arange(ends[-1])]
+            flat = pool[_spans(at, n, ends)]
             counts[plain] = np.add.reduceat(n, first)
             if not parts:
                 return flat, counts
@@ -154,7 +162,7 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 
 
 def token_batches(batches: Iterator[pa.RecordBatch], path: str, keep: list[str], end_id: int = 0) -> Iterator[pa.RecordBatch]:
-    """What ``token_rows`` gives, inside a task, for batches with the columns ``keep`` and the text last."""
+    """Inside a task: the columns ``keep`` with ``tokens``, little-endian uint16 ids with the end id last, for batches with the text last.  Null texts are empty."""
     enc = encoder(path)
     for b in batches:
         for start, texts in pieces(b.column(len(keep))):
@@ -173,10 +181,3 @@ def token_batches(batches: Iterator[pa.RecordBatch], path: str, keep: list[str],
 def ids_crc32(ids: np.ndarray) -> int:
     """crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(ids.astype("<u4").data)
-
-
-def token_rows(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with ``tokens``: little-endian uint16 ids with the end id last.  Null texts are empty."""
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    kinds = "".join(f"`{c}` {t}, " for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(lambda batches: token_batches(batches, path, keep), f"{kinds}tokens binary")
