@@ -1,19 +1,23 @@
 """Best-fit packing of token sequences in bulk-synchronous rounds.
 
-Documents and gaps are kept sorted by length.  Documents of one length are interchangeable, and so are gaps of one size, so the
-sorted tables are run-length coded: they have at most ``capacity`` runs however large the corpus is.  A round takes the longest
-documents left and sweeps the sorted gaps for the successor of their length (the smallest gap that holds them); when more
-documents ask for a gap size than there are gaps, those of lower rank get them and the others go on in the next round, or
-open new sequences if no gap fits.  The gaps that were used are put back with what is left of them.
-
-A match gives a range of ranks among the documents of a length to a range of sequences.  Ranks come from a distributed
-sweep over the documents, and one join then places every row.
+Documents and gaps are sorted by length.  Documents of one length are interchangeable, and so are gaps of one size, so the tables
+that a round sorts are run-length coded: they have at most ``capacity`` runs of documents and a few thousand of gaps, however large the
+corpus is.  A round takes a class of the longest documents left and
+
+* sweeps documents and gaps, sorted together, for the successor of each length (the smallest gap that holds it);
+* resolves conflicts by rank: the documents that ask for the same gaps line up by length and rank, and those that come
+  too late move on to the next larger gaps, as far as the running maximum of what was asked before pushes them;
+* cuts the line at the borders of gaps and of lengths, which gives every range of ranks its range of sequences;
+* puts the gaps back with what is left of them.
+
+The largest gaps are the sequences not begun yet, so every document of a class finds a gap.  Rounds go on until no class is left.
+Ranks among the documents of a length come from a distributed sweep over all documents, and one lookup then places every row.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,56 +28,73 @@ from tidesearch.llm.shared import durable, gapless_rank
 from tidesearch.llm.tokens import ids_crc32, token_batches
 
 CAPACITY = 2048
+#: A class of lengths is at most this part of the capacity wide: more levels are more rounds, and sequences nearer to those of one document at a time.
+LEVELS = 32
+#: Sequences not begun yet.
+ENDLESS = 1 << 44
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
-def match_runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, number, first sequence, offset): where the documents of each length go.
+def length_classes(lengths: list[int], capacity: int = CAPACITY, levels: int = LEVELS) -> list[tuple[int, int]]:
+    """(shortest, longest) of each round's documents, longest first: lengths that differ by less than ``capacity / levels``, by a factor below two, and,
+    of long ones, that fit equally often in a sequence."""
+    out: list[tuple[int, int]] = []
+    for n in sorted(lengths, reverse=True):
+        top = out[-1][1] if out else 0
+        if out and top - n < capacity / levels and 2 * n > top and (16 * top < capacity or capacity // n == capacity // top):
+            out[-1] = (n, top)
+        else:
+            out.append((n, n))
+    return out
+
+
+#: One round.  Its tables are run-length coded and so small that one task sorts them; what is large, the documents, is only ranked and looked up.
+ROUND = """
+WITH runs AS (SELECT length AS size, 0 AS kind, n, 0L AS seq FROM {docs} UNION ALL SELECT size, 1, n, seq FROM {gaps}),
+  sides AS (SELECT /*+ COALESCE(1) */ * FROM runs),
+  sided AS (SELECT *, IF(kind = 1, greatest(1, size div max(IF(kind = 0, size, NULL)) OVER ()), 0) AS side FROM sides),
+  -- Successors: documents and gaps in one order, of equal size the document first.  The places in smaller gaps lie before the successor.
+  swept AS (SELECT *, coalesce(sum(IF(kind = 0, n, 0)) OVER w, 0) AS ahead, coalesce(sum(n * side) OVER w, 0) AS at FROM sided WINDOW w AS (ORDER BY size, kind, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  -- Conflicts: a document stands behind all shorter ones, and not before its successor.
+  lined AS (SELECT *, IF(kind = 1, at, ahead + max(IF(kind = 0, at - ahead, NULL)) OVER (ORDER BY size, kind, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS start FROM swept),
+  -- Cuts of the line: a length begins or ends, or a run of gaps begins.
+  cuts AS (SELECT cut.* FROM lined LATERAL VIEW explode(IF(kind = 1,
+      array(struct(start AS pos, 2 AS kind, CAST(NULL AS STRUCT<length: BIGINT, start: BIGINT>) AS doc, struct(size, seq, side, at, at + n * side AS til) AS gap)),
+      array(struct(start AS pos, 1 AS kind, struct(size AS length, start) AS doc, NULL AS gap), struct(start + n AS pos, 0 AS kind, struct(0L AS length, start) AS doc, NULL AS gap)))) AS cut),
+  spans AS (SELECT pos, lead(pos) OVER (ORDER BY pos, kind) AS next, last(doc, true) OVER (ORDER BY pos, kind) AS doc, last(gap, true) OVER (ORDER BY pos, kind) AS gap FROM cuts),
+  parts AS (SELECT coalesce(doc.length, 0) AS length, pos - doc.start AS rank, gap.size, gap.seq, gap.side, pos - gap.at AS a, coalesce(next, gap.til) - gap.at AS b FROM spans WHERE coalesce(next, gap.til) > pos),
+  -- A part fills gaps, of which it may share the first and the last with other parts; one without documents (length 0) leaves whole gaps as they are.
+  filled AS (SELECT length, rank + p.skip AS rank, p.n, seq + p.gap AS seq, p.gaps, side, size FROM parts LATERAL VIEW explode(CASE
+      WHEN length = 0 THEN array(struct((a + side - 1) div side AS gap, b div side - (a + side - 1) div side AS gaps, b div side - (a + side - 1) div side AS n, 0L AS skip))
+      WHEN a div side = b div side THEN array(struct(a div side AS gap, 1L AS gaps, b - a AS n, 0L AS skip))
+      ELSE array(struct(a div side AS gap, 1L AS gaps, IF(a % side > 0, side - a % side, 0L) AS n, 0L AS skip),
+        struct((a + side - 1) div side AS gap, b div side - (a + side - 1) div side AS gaps, (b div side - (a + side - 1) div side) * side AS n, (a + side - 1) div side * side - a AS skip),
+        struct(b div side AS gap, 1L AS gaps, b % side AS n, b div side * side - a AS skip)) END) AS p WHERE p.n > 0),
+  inside AS (SELECT *, coalesce(sum(length * n) OVER (PARTITION BY seq ORDER BY length, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+      lead(seq) OVER (PARTITION BY seq ORDER BY length, rank) IS NULL AS last FROM filled)
+SELECT state.* FROM inside LATERAL VIEW explode(filter(array(
+    IF(length > 0, struct(length, rank, n, seq, side, {capacity} - size + used AS offset, CAST(NULL AS BIGINT) AS size), NULL),
+    IF(last AND size * gaps > used * gaps + length * n, struct(CAST(NULL AS BIGINT) AS length, CAST(NULL AS BIGINT) AS rank, gaps AS n, seq, CAST(NULL AS BIGINT) AS side, CAST(NULL AS BIGINT) AS offset, size - used - length * n div gaps AS size), NULL)), x -> x IS NOT NULL)) AS state
+"""
 
-    ``counts``: number of documents by length.  The work and the result depend on the lengths that occur, not on the numbers.
+
+def match_rounds(counts: DataFrame, capacity: int = CAPACITY, levels: int = LEVELS) -> DataFrame:
+    """(length, rank, n, seq, side, offset): all matches for documents (length, n), by rounds; each is written before the next begins.
+
+    A match puts documents ``rank`` to ``rank + n - 1`` of a length, ``side`` of them to a sequence, in sequences from ``seq`` on, the first at
+    ``offset``.  Between rounds a run of gaps is ``n`` sequences from ``seq`` on with ``size`` tokens free.
     """
-    gaps: list[int] = []  # gap sizes in order; runs[g]: (first sequence, number), the lowest sequence last
-    runs: dict[int, list[tuple[int, int]]] = {}
-    out, opened = [], 0
-
-    def put(size: int, first: int, n: int) -> None:
-        if size:
-            if size not in runs:
-                bisect.insort(gaps, size)
-                runs[size] = []
-            runs[size].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            k = bisect.bisect_left(gaps, length)  # the successor sweep
-            if k == len(gaps):
-                fit = capacity // length  # new sequences are filled with this length in as many rounds
-                full, rest = divmod(left, fit)
-                for j in range(fit if full else 0):
-                    out.append((length, rank, full, opened, j * length))
-                    rank += full
-                if full:
-                    put(capacity - fit * length, opened, full)
-                opened += full
-                for j in range(rest):
-                    out.append((length, rank + j, 1, opened, j * length))
-                if rest:
-                    put(capacity - rest * length, opened, 1)
-                    opened += 1
-                left = 0
-                continue
-            size = gaps[k]
-            first, n = runs[size].pop()
-            taken = min(n, left)  # the documents of lower rank get the gaps there are
-            out.append((length, rank, taken, first, capacity - size))
-            if taken < n:
-                runs[size].append((first + taken, n - taken))
-            if not runs[size]:
-                del runs[size], gaps[k]
-            put(size - length, first, taken)
-            rank, left = rank + taken, left - taken
-    return out
+    spark = counts.sparkSession
+    lengths = [r[0] for r in counts.select("length").collect()]  # at most `capacity` rows
+    gaps, done = spark.range(1).selectExpr(f"{capacity}L AS size", "0L AS seq", f"{ENDLESS}L AS n").coalesce(1), []
+    for shortest, longest in length_classes(lengths, capacity, levels):
+        docs = counts.where(F.col("length").between(shortest, longest)).coalesce(1)
+        state = durable(spark.sql(ROUND, docs=docs, gaps=gaps, capacity=capacity), "pack-round")
+        done.append(state.where("length is not null").drop("size"))
+        gaps = state.where("length is null").select("size", "seq", "n").coalesce(1)
+    if not done:
+        return spark.createDataFrame([], "length long, rank long, n long, seq long, side long, offset long")
+    return reduce(DataFrame.unionByName, done)
 
 
 def cut(docs: DataFrame, path: str, keep: list[str], capacity: int = CAPACITY) -> DataFrame:
@@ -107,18 +128,19 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Data
     A null or empty text is the end id alone.  Repeated rows are documents of their own.  An empty table gives an empty result.
     """
     cut_rows = durable(cut(docs, path, ["doc_id"], capacity), "pack-pieces")
-    counts = {r["length"]: r["count"] for r in cut_rows.groupBy("length").count().collect()}  # at most `capacity` rows
-    # One number orders the ranks of all lengths; a match is found by its first rank.  The plan's size is bounded like its runs.
-    plan = np.array(match_runs(counts, capacity), dtype=np.int64).reshape(-1, 5)
+    counts = durable(cut_rows.groupBy("length").agg(F.count("*").alias("n")).coalesce(1), "pack-lengths")  # at most `capacity` rows
+    # One number orders the ranks of all lengths; a match is found by its first rank.  Matches are runs, so their number is bounded like lengths and gaps.
+    plan = np.array([tuple(r) for r in match_rounds(counts, capacity).collect()], dtype=np.int64).reshape(-1, 6)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
-    key, first, sequence, offset = (plan[:, 0] << 48) + plan[:, 1], plan[:, 1], plan[:, 3], plan[:, 4]
+    key, first, sequence, side, offset = (plan[:, 0] << 48) + plan[:, 1], plan[:, 1], plan[:, 3], plan[:, 4], plan[:, 5]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "_rank"))
             at = np.searchsorted(key, (length << 48) + rank, side="right") - 1
+            k = rank - first[at]
             own = [b.column(b.schema.get_field_index(c)) for c in PIECE]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])], [*PIECE, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sequence[at] + k // side[at]), pa.array(offset[at] + k % side[at] * length)], [*PIECE, "sequence_id", "offset"])
 
     ranked = gapless_rank(cut_rows, ["length"], ["doc_id", "piece", "ids_crc32"], "_rank")
     kinds = ", ".join(f"`{c}` {t}" for c, t in cut_rows.select(*PIECE).dtypes)
