@@ -2,7 +2,9 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, bucket int, `count` long"
+#: Names that the operators and stages use themselves.
+CLASHING = "size shard bucket count score lang_pred base found spans taken text_key fp row text_ _row _text _text_key _doc _key _rows _z0 _d _s n_words source_size target".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in CLASHING)
 
 
 @pytest.fixture(scope="session")
@@ -22,7 +24,7 @@ def odd_docs(spark):
         (7, "Éa élan ñandú x   y 'tis <|x|> \n\n a\n\nb", "es", "c"),
         (8, "12345 67890", "en", "a"),
     ]
-    return spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, 1, *range(len(CLASHING))) for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")

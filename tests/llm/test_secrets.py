@@ -1,6 +1,7 @@
 """Secret scans against brute force, with planted secrets."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -82,3 +83,38 @@ def test_letters_of_one_case_and_keys_in_paths(spark):
         assert sum(f"random:{planted[i][0]}:{planted[i][1]}" in got[i] for i in mine) >= 0.7 * len(mine), k
     false = sum(map(len, got.values())) - sum(f"random:{a}:{b}" in got[i] for i, (a, b) in planted.items())
     assert false <= 0.1 * len(planted)
+
+
+def middle(values):
+    return sorted(values)[(len(values) - 1) // 2]
+
+
+def test_accepted_spans_equal_brute_force(spark):
+    """The false-discovery control, from the battery's results on: every token's place among the language's, its weight, and the step-up procedure by bands."""
+    rng = random.Random(21)
+    words = ["internationalisation", "Verantwortungsbewusstsein", "INCOMPREHENSIBILITIES", "anticonstitutionnellement", "geschwindigkeitsbegrenzung"]
+    alphabets = [a for _, a in secrets.ENCODINGS[1:]]
+    texts = []
+    for i in range(200):
+        token = "".join(rng.choice(alphabets[i % len(alphabets)]) for _ in range(rng.choice([23, 30, 40, 50, 70])))
+        mixed = "".join(rng.choice("etaoinshrdlu0123") for _ in range(rng.choice([22, 35, 60])))
+        texts.append(" ".join([rng.choice(words), rng.choice(words) * rng.choice([1, 1, 2])] + [token] * (i % 3 == 0) + [mixed] * (i % 5 == 0)))
+    found = [(i, *c) for i, t in enumerate(texts) for c in secrets.scan(t)[1]]
+    near = lambda x: math.copysign(math.floor(abs(x) + 0.5), x)
+    plain, (m0, d0, k0) = [(f[5], f[2] - f[1]) for f in found if f[4]], secrets.PRIOR
+    mean = (len(plain) * middle([near(x * 1000) for x, _ in plain]) / 1e3 + k0 * m0) / (len(plain) + k0)
+    far = 1.4826 * middle([near(abs(x - mean) * math.sqrt(n) * 1000) for x, n in plain]) / 1e3
+    dev = math.sqrt((len(plain) * max(far, d0 / 2) ** 2 + k0 * d0 * d0) / (len(plain) + k0))
+    want, levels = set(), set()
+    for band in secrets.BANDS:
+        mine = [f for f in found if f[3] == band]
+        weight = [0.0 if f[6] < 0.001 else 0.1 if f[6] < 0.01 else 0.5 if f[6] < 0.05 else 1.0 for f in mine]
+        z = [math.floor(max((f[5] - mean) * math.sqrt(f[2] - f[1]) / dev * 20, -400)) for f in mine]
+        p = [0.5 * math.erfc(-(c + 1) / 20 / math.sqrt(2)) * sum(weight) / len(mine) / w if w and c < 100 else math.inf for c, w in zip(z, weight)]
+        passed = max((x for x in p if x <= 0.05 * sum(y <= x for y in p) / len(mine)), default=-1)
+        for f, x, w in zip(mine, p, weight):
+            if x <= passed and not any(a < f[2] and f[1] < b for a, _, b in brute(texts[f[0]])):
+                want.add((f[0], f"random:{f[1]}:{f[2]}"))
+                levels.add(w)
+    got = {(r["doc_id"], x) for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() for x in r["spans"].split(",") if x.startswith("random")}
+    assert len(want) >= 20 and len(levels) > 1 and got == want

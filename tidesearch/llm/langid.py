@@ -171,7 +171,7 @@ CLASS_TEXTS, LEAST_CUT = 20, 0.03
 CLASSES = 32
 
 
-def length_class(text: str):
+def length_class(text):
     """How many binary digits the text's length has: texts of one class differ in length by a factor below 2."""
     return F.least(F.length(F.bin(F.length(text))), F.lit(CLASSES)).cast("int")
 

@@ -115,14 +115,16 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_e
 def take_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """The mixed documents with the columns of ``docs``: a row for each epoch that takes a document.
 
-    Where the mix ends inside a document (at most once a source) its row holds the words taken, joined by spaces.
+    Where the mix ends inside a document (at most once a source) its row holds the words taken, joined by spaces.  Documents without words (null, empty)
+    are never taken; a null source is a source; repeated rows are documents of their own; an empty table gives an empty one.  Columns may have any names.
     """
     mixed = mix_documents(docs, weights, max_epochs).where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "taken", F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy("offset")).alias("_n"))
-    own = docs.withColumn("_z0", word_count(F.col("text")))
+    own = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text", word_count(F.col("text")).alias("_z0"))
     own = own.withColumn("_n0", F.row_number().over(W.partitionBy("doc_id", "source", "_z0").orderBy("text")))
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_z0") == F.col("_z")) & (F.col("_n0") == F.col("_n"))
     drawn = own.join(mixed, on).withColumn("_left", F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("_z")).cast("int") - 1), lambda e: F.col("taken") - e * F.col("_z"))))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_left").cast("int")), " ")
     text = F.when(F.col("_left") >= F.col("_z"), F.col("text")).otherwise(part)
-    drawn = drawn.withColumn("text", text)
-    return drawn.select([F.length("text").cast("long").alias("n_chars") if c == "n_chars" else c for c in docs.columns])
+    drawn = drawn.select("_row", text.alias("_taken_text"))
+    new = {"text": F.col("_taken_text"), "n_chars": F.length("_taken_text").cast("long")}
+    return drawn.select([new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -2,15 +2,17 @@
 
 Patterns find assignments, access keys and long hexadecimal runs.  Beside them every long token is a candidate.  Its encoding (the
 smallest alphabet that holds its characters) turns it into a row of symbols, which three tests hold against random symbols:
-chi-squared for a uniform alphabet, runs above and below the alphabet's middle, and serial correlation.  Fisher's method combines them;
-a token they reject is not random and no secret.
+chi-squared for a uniform alphabet, runs above and below the alphabet's middle, and serial correlation.  Fisher's method combines them
+to a p-value for "random symbols".
 
 Long tokens of ordinary writing (letters of one case) show how uneven language is.  The excess of chi-squared over its degrees of
 freedom, per symbol, does not depend on a token's length, and its spread falls with the root of the length: all such tokens of the
 corpus give its mean and scale, and a candidate's place in that distribution is its p-value for "this is language".  Mean and scale are a median and a
 median deviation, which secrets among these tokens hardly move; the tokens are candidates like all others.
-Benjamini-Hochberg within each band of lengths then accepts secrets at a bounded share of false discoveries; short tokens
-need to be more even than long ones.
+
+Within each band of lengths the weighted procedure of Benjamini and Hochberg then accepts secrets at a bounded share of false discoveries: a
+candidate's p-value for language is divided by its weight, which its combined p-value for random symbols sets (none where the battery
+rejects random symbols outright, little where it nearly does), relative to the mean weight of the band.  Short tokens need to be more even than long ones.
 """
 
 from __future__ import annotations
@@ -53,6 +55,8 @@ ENCODINGS = (
 BANDS = (20, 24, 32, 48, 64)
 #: What language is taken to look like before the corpus has shown it: mean, scale, and for how many tokens this counts.
 PRIOR = (0.7, 1.6, 10)
+#: Combined p-values from which on a candidate has a weight, and the weights.
+WEIGHTS = ((0.001, 0.1), (0.01, 0.5), (0.05, 1.0))
 
 
 def normal_tail(z: float) -> float:
@@ -161,8 +165,8 @@ def _median(cells) -> tuple[int, int]:
     return 0, 0
 
 
-def thresholds(scan_rows: DataFrame, q: float) -> tuple[float, float, dict[int, float]]:
-    """(mean, scale, band -> highest z that is accepted).  What reaches the driver are counts by thousandths, and by band and twentieths of z."""
+def thresholds(scan_rows: DataFrame, q: float) -> tuple[float, float, dict[tuple[int, int], float]]:
+    """(mean, scale, (band, level) -> highest z that is accepted).  What reaches the driver are counts by thousandths, and by band, level and twentieths of z."""
     found = scan_rows.select(F.explode("found").alias("f")).select("f.*").withColumn("n", F.col("end") - F.col("start"))
     # Whole thousandths, of which there are some ten thousands at most.
     s = F.round(F.col("stat") * 1000).cast("long")
@@ -174,33 +178,44 @@ def thresholds(scan_rows: DataFrame, q: float) -> tuple[float, float, dict[int,
     dev = math.sqrt((k * max(1.4826 * far / 1e3, d0 / 2) ** 2 + k0 * d0 * d0) / (k + k0))
     z = (F.col("stat") - mean) * F.sqrt("n") / dev
     cell = F.greatest(F.floor(z * 20), F.lit(-400)).cast("int")
-    counts: dict[int, dict[int, int]] = {b: {} for b in BANDS}
-    for r in found.groupBy("band", F.least(cell, F.lit(100)).alias("cell")).count().collect():
-        counts[r["band"]][r["cell"]] = r["count"]
-    out = {}
-    for b, by in counts.items():
-        m, upto, best = sum(by.values()), 0, -math.inf
-        for c in sorted(by):
-            upto += by[c]
-            edge = (c + 1) / 20
-            if c < 100 and normal_tail(-edge) <= q * upto / m:
-                best = edge
-        out[b] = best
-    return mean, dev, out
-
-
-def with_secret_spans(docs: DataFrame, keep: list[str], q: float = 0.05, alpha: float = 0.001) -> DataFrame:
+    counts: dict[int, dict[tuple[int, int], int]] = {b: {} for b in BANDS}
+    for r in found.groupBy("band", level(F.col("p")).alias("level"), F.least(cell, F.lit(100)).alias("cell")).count().collect():
+        counts[r["band"]][r["level"], r["cell"]] = r["count"]
+    return mean, dev, {(b, k): z for b, by in counts.items() for k, z in accepted_below(by, q).items()}
+
+
+def level(p):
+    """How many of the bounds in ``WEIGHTS`` a combined p-value reaches."""
+    return sum(F.when(p >= low, 1).otherwise(0) for low, _ in WEIGHTS)
+
+
+def accepted_below(counts: dict[tuple[int, int], int], q: float) -> dict[int, float]:
+    """Weighted Benjamini-Hochberg over candidates counted by (level, twentieths of z): level -> the highest z that is accepted."""
+    m = sum(counts.values())
+    weight = {k + 1: w for k, (_, w) in enumerate(WEIGHTS)}
+    whole = sum(n * weight.get(k, 0.0) for (k, _), n in counts.items())
+    tested = sorted((normal_tail(-(c + 1) / 20) * whole / (m * weight[k]), k, c) for k, c in counts if k and c < 100)
+    upto, best = 0, 0
+    for i, (p, k, c) in enumerate(tested, 1):
+        upto += counts[k, c]
+        if p <= q * upto / m:
+            best = i
+    out: dict[int, float] = {}
+    for _, k, c in tested[:best]:
+        out[k] = max(out.get(k, -math.inf), (c + 1) / 20)
+    return out
+
+
+def with_secret_spans(docs: DataFrame, keep: list[str], q: float = 0.05) -> DataFrame:
     """The columns ``keep`` with ``spans``, an array of (start, kind, end) sorted: pattern spans, and random tokens that touch none of them."""
     rows = durable(scanned(docs, keep), "secrets-scan")
-    accept = F.lit(False)
     mean, dev, limits = thresholds(rows, q)
 
     def accepted(c):
-        ok = accept
-        for b, z in limits.items():
-            if z > -math.inf:
-                ok = ok | ((c["band"] == b) & ((c["stat"] - mean) * F.sqrt(c["end"] - c["start"]) / dev < z))
-        return ok & (c["p"] >= alpha)
+        ok = F.lit(False)
+        for (b, k), z in limits.items():
+            ok = ok | ((c["band"] == b) & (level(c["p"]) == k) & ((c["stat"] - mean) * F.sqrt(c["end"] - c["start"]) / dev < z))
+        return ok
 
     free = lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
     more = F.transform(F.filter("found", lambda c: accepted(c) & free(c)), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
@@ -212,20 +227,24 @@ def _joined(spans: str):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, q: float = 0.05, alpha: float = 0.001) -> DataFrame:
+def find_secrets(docs: DataFrame, q: float = 0.05) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every document.
 
     Positions are code points, the end exclusive.  Null and empty texts have no spans (base_sha256 of the empty string).  Repeated rows
     give a row each.  An empty table gives an empty result.
     """
-    rows = with_secret_spans(docs, ["doc_id"], q, alpha)
+    rows = with_secret_spans(docs, ["doc_id"], q)
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return rows.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
 def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with the spans of all secrets replaced by ``mask``, n_chars counted anew where it is a column; every row stays."""
-    rows = with_secret_spans(docs, docs.columns)
+    """``docs`` with the spans of all secrets replaced by ``mask``, n_chars counted anew where it is a column; every row stays.
+
+    Null texts stay null, repeated rows stay repeated, an empty table stays empty; columns may have any names.
+    """
+    rows = with_secret_spans(docs.select(F.struct(*docs.columns).alias("row"), "text"), ["row"])  # whatever names the columns have
+    rows = rows.select("row", "spans", F.col("row.text").alias("text"))
     # Texts are joined from what lies between spans; spans that overlap count as one.
     ends = F.aggregate(
         "spans",
@@ -238,4 +257,5 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     done = rows.withColumn("_m", ends)
     text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat(F.col("_m")["out"], F.expr("substring(text, cast(_m.at as int) + 1)")))
     done = done.withColumn("text", text)
-    return done.select([F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return done.select([new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

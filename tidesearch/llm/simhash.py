@@ -174,16 +174,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest id, one row of it."""
+    """The rows of ``docs`` that stay: of each component the document with the smallest id, one row of it.
+
+    Texts without words are one component.  A component whose ids are all null keeps one row; an empty table stays empty.  Columns may have any names.
+    """
     found = near_duplicates(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows = found.groupBy("group_fp", "doc_id", "text_key").agg(F.count("*").alias("_rows"))
     least = rows.groupBy("group_fp").agg(F.min(F.struct("text_key", "_rows")).alias("_first"), F.first("doc_id").alias("_doc"))
     keep = durable(least.select(F.col("_first.text_key").alias("_key"), "_doc", F.col("_first._rows").alias("_rows")), "simhash-keep")
-    texts = docs.withColumn("_text_key", F.xxhash64("text"))
+    texts = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", F.xxhash64("text").alias("_text_key"))
     kept = texts.join(keep, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")))
     # Only documents with repeated rows are dealt out again to keep one of them.
-    once = kept.where("_rows = 1").select(*docs.columns)
-    return once.unionByName(kept.where("_rows > 1").dropDuplicates(["_text_key", "_doc"]).select(*docs.columns))
+    once = kept.where("_rows = 1").select("_row.*")
+    return once.unionByName(kept.where("_rows > 1").dropDuplicates(["_text_key", "_doc"]).select("_row.*"))
 
 
 #: Bands of least hash values, and values a band: texts of similarity 0.8 share none with a probability below 0.0001, of 0.85 below 0.000002.
@@ -297,10 +300,14 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) ->
 
 
 def drop_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` (different texts) without those that are linked by similarity to a document with a smaller id."""
-    keyed = docs.withColumn("text_key", F.xxhash64("text")) if "text_key" not in docs.columns else docs
+    """The rows of ``docs`` (different texts) without those that are linked by similarity to a document with a smaller id.
+
+    Texts without words (null, empty) are similar to none.  Null ids are the greatest, ties go by a hash of the text; rows with one text are linked to the
+    same others.  An empty table stays empty.  Columns may have any names.
+    """
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("text_key"))
     stars = components(durable(similar_texts(keyed, similarity, shingle), "similar-verified"))
     member = keyed.select("doc_id", "text_key").join(stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct(), F.col("text_key") == F.col("node"))
     least = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("_least"))
     lost = member.join(least, "root").where(F.col("text_key") != F.col("_least.text_key")).select("text_key")
-    return keyed.join(durable(lost.distinct(), "similar-lost"), "text_key", "left_anti").select(*docs.columns)
+    return keyed.join(durable(lost.distinct(), "similar-lost"), "text_key", "left_anti").select("_row.*")
