@@ -16,35 +16,45 @@ from tidesearch.llm.shared import durable
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language.  Texts without a letter, and those hardly like any language (see ``langid.score_cuts``), go.
 
-    The prototypes are learnt from the documents that ``held_out`` leaves for learning; if nothing can be learnt all texts go.
+    The prototypes are learnt from the documents that ``held_out`` leaves for learning; if nothing can be learnt all texts go.  Null and empty
+    texts go, null ids and langs teach nothing but are judged, repeated rows are judged each, an empty table stays empty.  Columns may have any names.
     """
     rows = docs.select("doc_id", "lang", "text").where(~langid.held_out(docs) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     model = langid.learn(rows)
     cuts = F.array(*[F.lit(c) for c in langid.score_cuts(rows, model)])
-    judged = langid.predict(docs, model, docs.columns)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= F.get(cuts, langid.length_class("text") - 1))).select(*docs.columns)
+    judged = langid.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, ["row"])  # whatever names the columns have
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= F.get(cuts, langid.length_class(F.col("row.text")) - 1))).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
-    First the groups of op5 (three words, three bits), then texts whose five-word shingles have a similarity of 0.8 or more.
+    First the groups of op5 (three words, three bits), then texts whose five-word shingles have a similarity of 0.8 or more.  Texts without words
+    are one group; of repeated rows one stays; a null id is the greatest; an empty table stays empty.  Columns may have any names.
     """
     return simhash.drop_similar(durable(simhash.drop_near_duplicates(docs), "near-duplicates"))
 
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets masked."""
+    """All documents, their secrets masked.  Null and empty texts, null ids and repeated rows stay as they are; columns may have any names."""
     return secrets.mask_secrets(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, a row for each time."""
+    """The documents that the mix takes, a row for each time.
+
+    Documents without words are never taken, a null source is a source, repeated rows are documents of their own, of an empty table nothing is taken.
+    Columns may have any names.
+    """
     return mixing.take_mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens, the columns of op7."""
+    """Pieces of documents in sequences of 2048 tokens, the columns of op7.
+
+    A null or empty text is its end id, repeated rows are documents of their own, a null id is an id like any other, an empty table gives no pieces.
+    Other columns are dropped.
+    """
     return packing.pack_documents(docs, tokenizer_path())
 
 
