@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
@@ -30,9 +31,27 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``durable`` writes within are deleted at the end, but for those to keep: these belong to the scope around it, if there is one."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def durable(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    owner = _scopes[-2:-1] if keep else _scopes[-1:]
+    if owner:
+        owner[0].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidesearch.llm.shared import durable
+from tidesearch.llm.shared import durable, scratch
 
 #: Anchors that are home to more fingerprints than this are compared in blocks that return a spanning forest.
 DENSE = 256
@@ -164,12 +164,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     smallest doc_id reachable by links of at most 3 bits; null ids never are, unless a component has no other.  group_fp is the
     component's own key.  Repeated rows are rows of one component.  An empty table gives an empty result.
     """
-    rows = durable(with_fingerprints(docs, shingle), "simhash-rows")
-    fps = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("_doc")), "simhash-fps")
-    stars = components(durable(links(fps.select(F.lit(0).alias("seed"), "fp")), "simhash-links"))
-    rooted = fps.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "_doc", F.coalesce("root", "fp").alias("group_fp"))
-    least = rooted.groupBy("group_fp").agg(F.min("_doc").alias("component_id"))
-    named = rooted.join(least, "group_fp").select(F.col("fp").alias("_fp"), "group_fp", "component_id")
+    with scratch(docs.sparkSession):
+        rows = durable(with_fingerprints(docs, shingle), "simhash-rows", keep=True)
+        fps = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("_doc")), "simhash-fps")
+        stars = components(durable(links(fps.select(F.lit(0).alias("seed"), "fp")), "simhash-links"))
+        rooted = fps.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "_doc", F.coalesce("root", "fp").alias("group_fp"))
+        least = rooted.groupBy("group_fp").agg(F.min("_doc").alias("component_id"))
+        named = durable(rooted.join(least, "group_fp").select(F.col("fp").alias("_fp"), "group_fp", "component_id"), "simhash-named", keep=True)
     return rows.join(named, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key", "group_fp")
 
 
@@ -178,10 +179,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     Texts without words are one component.  A component whose ids are all null keeps one row; an empty table stays empty.  Columns may have any names.
     """
-    found = near_duplicates(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    rows = found.groupBy("group_fp", "doc_id", "text_key").agg(F.count("*").alias("_rows"))
-    least = rows.groupBy("group_fp").agg(F.min(F.struct("text_key", "_rows")).alias("_first"), F.first("doc_id").alias("_doc"))
-    keep = durable(least.select(F.col("_first.text_key").alias("_key"), "_doc", F.col("_first._rows").alias("_rows")), "simhash-keep")
+    with scratch(docs.sparkSession):
+        found = near_duplicates(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        rows = found.groupBy("group_fp", "doc_id", "text_key").agg(F.count("*").alias("_rows"))
+        least = rows.groupBy("group_fp").agg(F.min(F.struct("text_key", "_rows")).alias("_first"), F.first("doc_id").alias("_doc"))
+        keep = durable(least.select(F.col("_first.text_key").alias("_key"), "_doc", F.col("_first._rows").alias("_rows")), "simhash-keep", keep=True)
     texts = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", F.xxhash64("text").alias("_text_key"))
     kept = texts.join(keep, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")))
     # Only documents with repeated rows are dealt out again to keep one of them.
@@ -306,8 +308,10 @@ def drop_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) ->
     same others.  An empty table stays empty.  Columns may have any names.
     """
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("text_key"))
-    stars = components(durable(similar_texts(keyed, similarity, shingle), "similar-verified"))
-    member = keyed.select("doc_id", "text_key").join(stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct(), F.col("text_key") == F.col("node"))
-    least = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("_least"))
-    lost = member.join(least, "root").where(F.col("text_key") != F.col("_least.text_key")).select("text_key")
-    return keyed.join(durable(lost.distinct(), "similar-lost"), "text_key", "left_anti").select("_row.*")
+    with scratch(docs.sparkSession):
+        own = durable(keyed.select("doc_id", "text", "text_key"), "similar-texts")
+        stars = components(durable(similar_texts(own, similarity, shingle), "similar-verified"))
+        member = own.select("doc_id", "text_key").join(stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct(), F.col("text_key") == F.col("node"))
+        least = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("_least"))
+        lost = durable(member.join(least, "root").where(F.col("text_key") != F.col("_least.text_key")).select("text_key").distinct(), "similar-lost", keep=True)
+    return keyed.join(lost, "text_key", "left_anti").select("_row.*")

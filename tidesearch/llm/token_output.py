@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidesearch.llm.shared import durable, shared_folder
+from tidesearch.llm.shared import durable, scratch, shared_folder
 from tidesearch.llm.store import open_store, whole_file
 from tidesearch.llm.tokens import ids_crc32, token_batches
 
@@ -204,7 +204,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str) -> DataFrame:
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["file", "at", "size", "part", "row", "ids"])
 
-    return durable(rows.mapInArrow(write, "file string, at long, size long, part int, row long, ids long"), "token-index")
+    return durable(rows.mapInArrow(write, "file string, at long, size long, part int, row long, ids long"), "token-index", keep=True)
 
 
 def block_starts(index: DataFrame) -> DataFrame:
@@ -288,4 +288,6 @@ def token_files(docs: DataFrame, path: str, folder: str | None = None) -> DataFr
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    return read_tokens(spark, folder, write_tokens(docs, path, folder), digest=True)
+    with scratch(spark):
+        index = write_tokens(docs, path, folder)
+    return read_tokens(spark, folder, index, digest=True)
