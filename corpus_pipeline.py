@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     First the groups of op5 (three words, three bits), then texts whose five-word shingles have a similarity of 0.8 or more.  Texts without words
     are one group; of repeated rows one stays; a null id is the greatest; an empty table stays empty.  Columns may have any names.
     """
-    return simhash.drop_similar(durable(simhash.drop_near_duplicates(docs), "near-duplicates"))
+    return simhash.drop_similar(simhash.drop_near_duplicates(docs))
 
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
