@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,21 @@ def hashed_embedding(text: Column, dim: int = 384) -> Column:
     return F.transform(F.array(summed), scaled).getItem(0)
 
 
+def hashed_embeddings(texts: DataFrame, key: str, text: str, dim: int = 384) -> DataFrame:
+    """(key, embedding): feature hashing of the words of each row (unique by ``key``), scaled to unit length; the work grows with the words alone.
+
+    A word's MD5 gives its cell (first seven digits) and its sign (the eighth).  Counts are made where the words are read and summed by (key, cell).
+    """
+    words = texts.select(key, F.explode_outer(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("_w"))
+    cell = words.select(key, (F.conv(F.substring(F.md5("_w"), 1, 7), 16, 10).cast("long") % dim).cast("int").alias("_k"), F.when(F.substring(F.md5("_w"), 8, 1) < "8", 1.0).otherwise(-1.0).alias("_v"))
+    summed = cell.groupBy(key, "_k").agg(F.sum("_v").alias("_v"))
+    norm = F.sqrt(F.sum(F.when(F.col("_k").isNotNull(), F.col("_v") * F.col("_v"))))
+    cells = F.map_from_entries(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "_v"))))  # at most `dim` of a row
+    rows = summed.groupBy(key).agg(cells.alias("_m"), norm.alias("_n"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(F.col("_n") > 0, F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.col("_n")).otherwise(0.0).cast("float"))
+    return rows.select(key, dense.alias("embedding"))
+
+
 def embed_column(text: Column, provider: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, dim: int = 384, batch: int = 32) -> Column:
     """``array<float>`` of each text.  ``provider()`` loads a model once a Python worker and returns a function of a list of texts."""
     if provider is None:

@@ -32,5 +32,7 @@ def sample_rows(df: DataFrame, key: str, first: int = 10) -> DataFrame:
     return df.orderBy(key).limit(first)
 
 
-def tag_sort(links: DataFrame, accession: str) -> DataFrame:
-    return links.where(F.col("accession") == accession).orderBy(F.desc("confidence"), "concept_id")
+def tag_sort(links: DataFrame, accession: str | None = None) -> DataFrame:
+    """The links of each record (or of one) by confidence, ties by concept, with their ``place`` from 1; a record has no more links than concepts."""
+    mine = links if accession is None else links.where(F.col("accession") == accession)
+    return mine.withColumn("place", F.row_number().over(W.partitionBy("accession").orderBy(F.desc("confidence"), "concept_id")))

@@ -33,22 +33,25 @@ def text_fields(records: DataFrame, weights: dict[str, float] | None = None) ->
     return records.select("accession", F.explode(F.array(*parts)).alias("_f")).select("accession", "_f.*").where("text != ''")
 
 
-def concept_match(fields: DataFrame, variants: DataFrame, by_grams: bool) -> DataFrame:
-    """(accession, concept_id, confidence), a row for each field and variant that match.
+def concept_match(fields: DataFrame, variants: DataFrame, by_keys: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(accession, concept_id, confidence) and the columns ``keep`` of ``variants``, a row for each field and variant that match.
 
-    By grams: a variant that is a substring shares its first gram with the text, and one whose words are all there shares its first word; both
-    equi-joins lose nothing and the match is verified.  Otherwise every field meets every variant of a broadcast vocabulary.
+    By keys: a variant that is a substring shares its first gram with the text, and one whose words are all there shares its first word; so both
+    equi-joins lose nothing.  Only keys of a field go through that join; the pairs it finds then meet their texts once and are verified.
+    Otherwise every field meets every variant of a broadcast vocabulary, which the caller knows to be small.
     """
-    tokens = fields.withColumn("tokens", word_tokens(F.col("text")))
     confidence = match_confidence(F.col("text"), F.col("tokens"), F.col("term"), F.col("words")) * F.col("weight")
-    if not by_grams:
-        met = tokens.join(F.broadcast(variants), F.contains("text", F.col("term")) | (F.size(F.array_except("words", "tokens")) == 0))
-        return met.select("accession", "concept_id", confidence.alias("confidence"))
-    keyed = variants.withColumn("_key", F.explode(F.array(F.concat(F.lit("g"), F.substring("term", 1, GRAM)), F.concat(F.lit("w"), F.element_at("words", 1)))))
+    if not by_keys:
+        met = fields.withColumn("tokens", word_tokens(F.col("text"))).join(F.broadcast(variants), F.contains("text", F.col("term")))
+        subset = fields.withColumn("tokens", word_tokens(F.col("text"))).join(F.broadcast(variants), ~F.contains("text", F.col("term")) & (F.size(F.array_except("words", "tokens")) == 0))
+        return met.unionByName(subset).select("accession", "concept_id", *keep, confidence.alias("confidence"))
+    whole = fields.withColumn("tokens", word_tokens(F.col("text"))).withColumn("field", F.xxhash64("accession", "weight", "text"))
     grams = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
     keys = F.concat(F.transform(grams, lambda g: F.concat(F.lit("g"), g)), F.transform("tokens", lambda w: F.concat(F.lit("w"), w)))
-    met = tokens.withColumn("_key", F.explode(keys)).join(keyed, "_key")
-    return met.select("accession", "concept_id", confidence.alias("confidence")).where("confidence is not null")
+    keyed = variants.select("term", "concept_id", F.explode(F.array(F.concat(F.lit("g"), F.substring("term", 1, GRAM)), F.concat(F.lit("w"), F.element_at("words", 1)))).alias("_key"))
+    pairs = whole.select("accession", "field", F.explode(keys).alias("_key")).join(keyed, "_key").select("accession", "field", "term", "concept_id").distinct()
+    met = whole.join(pairs, ["accession", "field"]).join(variants.select("term", "concept_id", "words"), ["term", "concept_id"])
+    return met.select("accession", "concept_id", *keep, confidence.alias("confidence")).where("confidence is not null")
 
 
 _automata: dict[int, tuple] = {}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidesearch.functions import text as T
-from tidesearch.functions.embedding import embed_column
+from tidesearch.functions.embedding import embed_column, hashed_embeddings
 from tidesearch.operators.aggregates import run_status
 from tidesearch.operators.filters import reject_invalid
 from tidesearch.operators.joins import skip_existing
@@ -56,13 +56,18 @@ def ingest_batch(landed: DataFrame, records: DataFrame, vectors: DataFrame, run_
     A bad record fails alone: its item says why.  A batch without candidates is a completed run of nothing.  Replaying a batch with ``skip`` changes
     neither records nor vectors.
     """
-    raw = summary_to_raw(flatten_esummary(landed)).dropDuplicates(["accession"])
+    raw = summary_to_raw(flatten_esummary(landed))
+    # Of entries with one accession the same one each time: the greatest in the order of all columns.
+    raw = raw.groupBy("accession").agg(F.max(F.struct(*[c for c in raw.columns if c != "accession"])).alias("_raw")).select("accession", "_raw.*")
     good, bad = reject_invalid(raw, prefix)
     new = skip_existing(good, records) if skip else good
     stamp = F.lit(at).cast("timestamp")
     parsed = parse_record(new).withColumn("created_at", stamp).withColumn("updated_at", stamp)
     texts = T.embedding_text(*[F.col(c) for c in ("title", "summary", "overall_design", "organisms", "tech_type")])
-    embedded = parsed.select("accession", embed_column(texts, provider, dim).alias("embedding"), "updated_at")
+    if provider is None:
+        embedded = hashed_embeddings(parsed.select("accession", texts.alias("text")), "accession", "text", dim).withColumn("updated_at", stamp)
+    else:
+        embedded = parsed.select("accession", embed_column(texts, provider, dim).alias("embedding"), "updated_at")
     item = lambda d, status, why: d.select(F.lit(run_id).cast("long").alias("run_id"), "accession", F.lit(status).alias("status"), why.alias("error_message"), stamp.alias("process_time"))
     items = item(parsed, "completed", F.lit(None).cast("string")).unionByName(item(bad, "failed", F.col("reason")))
     counts = run_status(items)

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidesearch.operators.aggregates import boost_of
+from tidesearch.operators.aggregates import boost_of, tag_boost
 from tidesearch.operators.expand import expand_query, expansion_text, matched_terms
 from tidesearch.operators.filters import TEXT_FIELDS, add_url, filter_condition, lexical_match
-from tidesearch.operators.fusion import fused_score, fusion_order, rrf_fuse
-from tidesearch.operators.joins import tags_with_names
-from tidesearch.operators.ranking import overfetch_filter_limit
+from tidesearch.operators.fusion import fused_score, fusion_order
+from tidesearch.operators.joins import fuse_full_outer, tags_with_names
 from tidesearch.operators.vectors import vector_topk, vector_topk_batch
 
 RECORD_URL = "https://example.org/records/"
@@ -21,6 +20,11 @@ def _empty(like: DataFrame) -> DataFrame:
     return like.select("accession", F.lit(0).alias("rank"), F.lit(0.0).alias("score")).where(F.lit(False))
 
 
+def _local(bounded: DataFrame) -> DataFrame:
+    """A short list, of a length that a limit bounds, as a local relation: it is computed once, and its size is known to the planner."""
+    return bounded.sparkSession.createDataFrame(bounded.toArrow(), bounded.schema)
+
+
 def hybrid_search(
     records: DataFrame,
     vectors: DataFrame,
@@ -44,42 +48,45 @@ def hybrid_search(
     and the number of semantic, lexical and returned rows.  Filters apply to the keyword side before its limit and to the fused list after
     ``overfetch * top_k``; with ``prefilter`` also to the vectors before their limit.
     """
+    expanded, concepts, named = query, None, None
     spark = records.sparkSession
-    expanded, concepts = query, spark.createDataFrame([], "concept_id string")
     if use_concepts:
         queries = spark.createDataFrame([(1, query)], "query_id long, query string")
-        terms = matched_terms(queries, vocab)
-        found = spark.createDataFrame(terms.collect(), terms.schema)  # five rows at most; the vocabulary is read once
-        expanded = expansion_text(queries, found).first()["expanded_query"]
-        concepts = found.select("concept_id")
+        named = _local(matched_terms(queries, vocab))  # five rows at most; the vocabulary is read once
+        expanded = expansion_text(queries, named).first()["expanded_query"]
+        concepts = [r["concept_id"] for r in named.collect()]
+    condition = filter_condition(filters, exact=True)
     semantic = _empty(records)
     if use_semantic and query_vector is not None:
         side = vectors
         if prefilter and filters:
-            side = vectors.join(records.where(filter_condition(filters, exact=True)).select("accession"), "accession", "left_semi")
-        semantic = vector_topk(side, query_vector, candidates)
-    lexical = lexical_match(records, expanded, filters, candidates) if use_lexical else _empty(records)
-    fused = rrf_fuse(semantic, lexical, links if use_concepts else None, concepts if use_concepts else None)
-    ranked = fused.withColumn("rank", F.row_number().over(W.orderBy(*fusion_order())))  # two bounded lists
-    kept = overfetch_filter_limit(ranked, records, filter_condition(filters, exact=True), top_k, overfetch)
-    results = kept.withColumn("rank", F.row_number().over(W.orderBy("rank")))
-    results = add_url(results, base_url)
+            side = vectors.join(records.where(condition).select("accession"), "accession", "left_semi")
+        semantic = _local(vector_topk(side, query_vector, candidates))
+    lexical = _local(lexical_match(records, expanded, filters, candidates)) if use_lexical else _empty(records)
+    # Both lists are bounded and local from here on: one scan of the vectors, one of the texts, one of the links for boosts.
+    fused = _local(fuse_full_outer(semantic, lexical))
+    boosts = spark.createDataFrame([], "accession string, boost double")
+    if links is not None and concepts:
+        boosts = _local(tag_boost(links.where(F.col("concept_id").isin(concepts)).join(F.broadcast(fused.select("accession")), "accession", "left_semi")))
+    scored = fused.join(boosts, "accession", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0))).withColumn("score", fused_score())
+    ranked = scored.withColumn("rank", F.row_number().over(W.orderBy(*fusion_order())))
+    head = _local(ranked.where(F.col("rank") <= overfetch * top_k))
+    met = records.where(F.col("accession").isin([r["accession"] for r in head.collect()])).where(condition)
+    kept = F.broadcast(head).join(met, "accession").orderBy("rank").limit(top_k)
+    results = add_url(kept.withColumn("rank", F.row_number().over(W.orderBy("rank"))), base_url)
     if links is not None:
-        near = links.join(F.broadcast(results.select("accession")), "accession", "left_semi")  # top_k accessions
-        tags = tags_with_names(near, vocab, concepts if use_concepts else None)
+        near = links.join(F.broadcast(head.select("accession")), "accession", "left_semi")
+        if concepts is not None:  # their names are known already
+            tags = tags_with_names(near.where(F.col("concept_id").isin(concepts)), named)
+        else:
+            tags = tags_with_names(near, vocab)
         results = results.join(tags, "accession", "left")
     else:
         results = results.withColumn("tags", F.lit(None).cast("array<struct<concept_id:string,preferred_name:string,confidence:double>>"))
     count = lambda d, name: d.agg(F.count("*").alias(name))
-    listed = concepts.agg(F.array_sort(F.collect_list("concept_id")).alias("concept_ids"))
-    metadata = (
-        count(semantic, "semantic_count")
-        .crossJoin(count(lexical, "lexical_count"))
-        .crossJoin(count(results, "returned"))
-        .crossJoin(listed)
-        .select(F.lit(query).alias("query"), F.lit(expanded).alias("expanded_query"), "concept_ids", "semantic_count", "lexical_count", "returned")
-    )
-    return results, metadata
+    listed = F.array(*[F.lit(c) for c in sorted(concepts or [])]).cast("array<string>")
+    metadata = count(semantic, "semantic_count").crossJoin(count(lexical, "lexical_count")).crossJoin(count(kept, "returned"))  # a row each
+    return results, metadata.select(F.lit(query).alias("query"), F.lit(expanded).alias("expanded_query"), listed.alias("concept_ids"), "semantic_count", "lexical_count", "returned")
 
 
 def search_batch(records: DataFrame, vectors: DataFrame, vocab: DataFrame, links: DataFrame | None, queries: DataFrame, top_k: int = 20, candidates: int = 100, overfetch: int = 2) -> DataFrame:

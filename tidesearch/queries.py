@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidesearch import views as V
 from tidesearch.functions import text as T
-from tidesearch.functions.embedding import embed_column
+from tidesearch.functions.embedding import hashed_embeddings
 from tidesearch.operators import aggregates as A
 from tidesearch.operators import filters as FL
 from tidesearch.operators import joins as J
@@ -36,10 +36,10 @@ ORACLE_SQL: dict[str, str] = {}
 
 # Views of the oracle, written independently of the Spark code.
 CTES = {
-    "records": """records AS (SELECT 'GSE' || doc_id AS accession, substring(text, 1, 80) AS title, substring(text, 81, 2000) AS summary, substring(text, 2081, 1000) AS overall_design,
+    "records": """records AS (SELECT 'GSE' || doc_id AS accession, substring(text, 1, 80) AS title, substring(text, 81, 2000) AS summary, substring(text, 2081) AS overall_design,
       [lang, source] AS organisms, source AS tech_type, (DATE '2020-01-01' + CAST(doc_id % 1500 AS INTEGER))::TIMESTAMP AS submission_date, CAST(n_chars % 100 AS INTEGER) AS sample_count FROM documents)""",
     "vocab": """vocab AS (SELECT 'D' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS concept_id, array_to_string(w[3:4], ' ') AS preferred_name,
-      [array_to_string(w[5:7], ' '), w[9], w[10], array_to_string(w[11:12], ' ')] AS entry_terms, ['C' || lpad(CAST(item_id % 10 AS VARCHAR), 2, '0')] AS tree_numbers
+      [array_to_string(w[5:7], ' '), w[9], w[10], array_to_string(w[11:12], ' '), array_to_string(w[13:], ' ')] AS entry_terms, ['C' || lpad(CAST(item_id % 10 AS VARCHAR), 2, '0')] AS tree_numbers
       FROM (SELECT item_id, string_split_regex(text, '\\s+') AS w FROM benchmark))""",
     "vectors": "vectors AS (SELECT 'GSE' || vec_id AS accession, embedding FROM embeddings)",
     "items": "items AS (SELECT user_id AS run_id, event_id AS item_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status, ts AS process_time FROM events)",
@@ -83,20 +83,22 @@ def query(oracle: str | None = None, *names: str, more: str = ""):
 
 
 def _folder(s: SparkSession) -> str:
-    """The shared folder; a session without one (a local one) gets its own."""
+    """A new folder in the one that all executors share; only a local session without that setting gets its own."""
     path = s.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not (s.sparkContext.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidesearch-")
         s.conf.set("spark.checkpoint.dir", path)
     return f"{path}/{uuid.uuid4().hex}"
 
 
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple[str, ...], str] = {}
 
 
 def _links(s: SparkSession, d: str) -> DataFrame:
-    """The link table: the corpus is tagged once a session and stored, as searches and reports find it."""
-    key = s.sparkContext.applicationId, d
+    """The link table: the corpus is tagged once a session and stored, as searches and reports find it; again if the tables have other files."""
+    key = s.sparkContext.applicationId, d, *sorted(V.table(s, d, "documents").inputFiles()), *sorted(V.table(s, d, "benchmark").inputFiles())
     if key not in _stored:
         path = _folder(s)
         TG.tag_records(V.records(s, d), V.vocab(s, d)).write.parquet(path)
@@ -136,7 +138,7 @@ def _landed(s, d) -> DataFrame:
     """Summary responses made from documents, as they would land: one JSON object a document."""
     e = V.table(s, d, "documents")
     name = F.concat(F.lit("GSE"), F.col("doc_id").cast("string"))
-    entry = F.struct(name.alias("accession"), F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 300).alias("summary"), F.lit("array").alias("gdstype"), F.lit("570").alias("gpl"), F.col("lang").alias("taxon"), F.lit("2023/01/15").alias("pdat"), F.col("n_chars").cast("string").alias("n_samples"))
+    entry = F.struct(name.alias("accession"), F.substring("text", 1, 80).alias("title"), F.expr("substring(text, 81)").alias("summary"), F.lit("array").alias("gdstype"), F.lit("570").alias("gpl"), F.col("lang").alias("taxon"), F.lit("2023/01/15").alias("pdat"), F.col("n_chars").cast("string").alias("n_samples"))
     uid = F.col("doc_id").cast("string")
     return e.select(F.to_json(F.struct(F.map_from_entries(F.array(F.struct(F.lit("uids"), F.to_json(F.array(uid))), F.struct(uid, F.to_json(entry)))).alias("result"))).alias("_j"), uid.alias("_uid"), F.to_json(entry).alias("_e")).select(F.concat(F.lit('{"result": {"uids": ["'), "_uid", F.lit('"], "'), "_uid", F.lit('": '), "_e", F.lit("}}")).alias("value"))
 
@@ -149,7 +151,7 @@ def flatten_esummary(s, d):
     return readers.flatten_esummary(_landed(s, d)).select("uid", "summary.accession", "summary.title", "summary.n_samples")
 
 
-@query("SELECT 'GSE' || doc_id AS accession, substring(text, 81, 300) AS summary, '570' AS platforms, lang AS organisms, '2023/01/15' AS entrez_date, '' AS overall_design FROM documents")
+@query("SELECT 'GSE' || doc_id AS accession, substring(text, 81) AS summary, '570' AS platforms, lang AS organisms, '2023/01/15' AS entrez_date, '' AS overall_design FROM documents")
 def summary_to_raw(s, d):
     raw = readers.summary_to_raw(readers.flatten_esummary(_landed(s, d)))
     return raw.select("accession", "summary", F.array_join("platform_ids", ",").alias("platforms"), F.array_join("organisms", ",").alias("organisms"), "entrez_date", "overall_design")
@@ -486,9 +488,9 @@ def latest_records(s, d):
     return R.latest_records(V.records(s, d), "submission_date", "accession").select("accession", _day("submission_date"))
 
 
-@query("SELECT accession, concept_id, round(confidence, 6) AS confidence FROM links WHERE accession = 'GSE5'", "links")
+@query("SELECT accession, concept_id, confidence, CAST(row_number() OVER (PARTITION BY accession ORDER BY confidence DESC, concept_id) AS INTEGER) AS place FROM (SELECT accession, concept_id, round(confidence, 6) AS confidence FROM links)", "links")
 def tag_sort(s, d):
-    return R.tag_sort(_links(s, d), "GSE5").select("accession", "concept_id", F.round("confidence", 6).alias("confidence"))
+    return R.tag_sort(_links(s, d).withColumn("confidence", F.round("confidence", 6))).select("accession", "concept_id", "confidence", "place")
 
 
 @query(f"SELECT accession, rank FROM pordered JOIN records USING (accession) WHERE rank <= 80 AND {FILTER_EX} ORDER BY rank LIMIT 40", "links", "vectors", more=f"{TOPK}, {LEXICAL}, {MATCHED}, {PLAIN}")
@@ -586,15 +588,22 @@ def snippet(s, d):
     return V.records(s, d).select("accession", T.snippet(F.col("summary"), ["Tion the", "ingth"]).alias("snippet"))
 
 
-@query("SELECT pos, token FROM tokens", more=TOKENS)
+CLEAN = "list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_\\s-]', ' ', 'g'), '\\s+'), lambda x: x <> '')"
+
+
+@query(f"""SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY i, n) - 1 AS INTEGER) AS pos, array_to_string(w[i:i + n - 1], ' ') AS token
+  FROM (SELECT item_id, {CLEAN} AS w FROM benchmark), unnest(generate_series(1, len(w))) t(i), unnest([1, 2, 3]) u(n) WHERE i + n - 1 <= len(w)""")
 def query_ngrams(s, d):
-    return s.createDataFrame([(QUERY,)], "query string").select(F.posexplode(T.ngrams(F.col("query"))).alias("pos", "token"))
+    """Every benchmark text taken as a query."""
+    return V.table(s, d, "benchmark").select("item_id", F.posexplode(T.ngrams(F.col("text"))).alias("pos", "token"))
 
 
-@query("""SELECT item_id, CAST(len(w) AS INTEGER) AS n_words, CAST(3 * len(w) - 3 AS INTEGER) AS n_grams FROM (SELECT item_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s-]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS w FROM benchmark)""")
+@query(f"""SELECT doc_id, CAST(len(w) AS INTEGER) AS n_words, md5(array_to_string(list_transform(list_filter(generate_series(0, 3 * len(w) - 1), lambda k: k // 3 + k % 3 < len(w)), lambda k: array_to_string(w[k // 3 + 1:k // 3 + 1 + k % 3], ' ')), '|')) AS grams
+  FROM (SELECT doc_id, {CLEAN} AS w FROM documents)""")
 def ngrams(s, d):
-    g = V.table(s, d, "benchmark").select("item_id", T.ngrams(F.col("text")).alias("g"))
-    return g.select("item_id", F.size(F.filter("g", lambda x: ~F.contains(x, F.lit(" ")))).alias("n_words"), F.size("g").alias("n_grams"))
+    """All grams of all documents, as a digest of each."""
+    g = V.table(s, d, "documents").select("doc_id", T.ngrams(F.coalesce("text", F.lit(""))).alias("g"))
+    return g.select("doc_id", F.size(F.filter("g", lambda x: ~F.contains(x, F.lit(" ")))).alias("n_words"), F.md5(F.array_join("g", "|")).alias("grams"))
 
 
 @query("SELECT accession, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]+'))), ' ') AS tokens FROM records", "records")
@@ -602,11 +611,13 @@ def word_tokens(s, d):
     return V.records(s, d).select("accession", F.array_join(F.array_sort(T.word_tokens(F.col("title"))), " ").alias("tokens"))
 
 
-@query("SELECT accession, concept_id, term, round(confidence, 6) AS confidence FROM (SELECT accession, concept_id, term, CASE WHEN contains(t, term) THEN least(1.0::DOUBLE, 0.5::DOUBLE + len(words) * 0.1::DOUBLE) WHEN len(words) > 0 AND len(list_filter(words, lambda x: NOT list_contains(tokens, x))) = 0 THEN least(0.7::DOUBLE, 0.3::DOUBLE + len(list_distinct(words)) * 0.1::DOUBLE) END AS confidence FROM toks, terms WHERE w = 2.0) WHERE confidence IS NOT NULL", "links")
+@query("""SELECT accession, concept_id, term, max(confidence) AS confidence FROM (SELECT accession, concept_id, term, round(CASE WHEN contains(t, term) THEN least(1.0::DOUBLE, 0.5::DOUBLE + len(words) * 0.1::DOUBLE)
+  WHEN len(words) > 0 AND len(list_filter(words, lambda x: NOT list_contains(tokens, x))) = 0 THEN least(0.7::DOUBLE, 0.3::DOUBLE + len(list_distinct(words)) * 0.1::DOUBLE) END, 6) AS confidence FROM toks, terms) WHERE confidence IS NOT NULL GROUP BY ALL""", "links")
 def match_confidence(s, d):
-    f = V.records(s, d).where("title != ''").select("accession", F.lower("title").alias("t")).withColumn("tokens", T.word_tokens(F.col("t")))
-    met = f.join(F.broadcast(TG.term_variants(V.vocab(s, d))))
-    return met.select("accession", "concept_id", "term", F.round(T.match_confidence(F.col("t"), F.col("tokens"), F.col("term"), F.col("words")), 6).alias("confidence")).where("confidence is not null")
+    """The best confidence of each term in any field, unweighted; pairs to measure come from the join by keys."""
+    fields = TG.text_fields(V.records(s, d), dict.fromkeys(TG.FIELD_WEIGHTS, 1.0))
+    met = TG.concept_match(fields, TG.term_variants(V.vocab(s, d)), True, keep=("term",))
+    return met.groupBy("accession", "concept_id", "term").agg(F.round(F.max("confidence"), 6).alias("confidence"))
 
 
 EXPANDED = f"""added AS (SELECT m.term_rank, i, list_concat([preferred_name], entry_terms[1:2])[i] AS x FROM matched m JOIN vocab USING (concept_id), unnest([1, 2, 3]) u(i)),
@@ -618,7 +629,7 @@ def expansion_text(s, d):
     return expand(s.createDataFrame([(1, QUERY)], "query_id long, query string"), V.vocab(s, d))[0].select("query", "expanded_query")
 
 
-@query("SELECT item_id, CAST(4 AS INTEGER) AS n, e AS element FROM (SELECT item_id, unnest([array_to_string(w[5:7], ' '), w[9], w[10], array_to_string(w[11:12], ' ')]) AS e FROM (SELECT item_id, string_split_regex(text, '\\s+') AS w FROM benchmark))")
+@query("SELECT item_id, CAST(5 AS INTEGER) AS n, e AS element FROM (SELECT item_id, unnest([array_to_string(w[5:7], ' '), w[9], w[10], array_to_string(w[11:12], ' '), array_to_string(w[13:], ' ')]) AS e FROM (SELECT item_id, string_split_regex(text, '\\s+') AS w FROM benchmark))")
 def json_array_functions(s, d):
     """Length and elements of arrays that are stored as JSON text."""
     v = V.vocab(s, d).select(F.substring("concept_id", 2, 10).cast("long").alias("item_id"), F.to_json("entry_terms").alias("j"))
@@ -658,9 +669,9 @@ def tag_records(s, d):
     return TG.tag_records(V.records(s, d), V.vocab(s, d)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("SELECT accession, concept_id, round(confidence, 6) AS confidence FROM links WHERE accession = 'GSE7'", "links")
+@query("SELECT accession, concept_id, round(confidence, 6) AS confidence FROM links", "links")
 def match_record(s, d):
-    return TG.match_records(V.records(s, d).where("accession = 'GSE7'"), V.vocab(s, d)).withColumn("confidence", F.round("confidence", 6))
+    return TG.match_records(V.records(s, d), V.vocab(s, d)).withColumn("confidence", F.round("confidence", 6))
 
 
 SEARCH_LEX = f"""qwords AS (SELECT DISTINCT t FROM (SELECT unnest(string_split_regex(lower(expanded_query), '\\s+')) AS t FROM expanded) WHERE length(t) >= 3),
@@ -716,14 +727,25 @@ def parse_record(s, d):
     return p.select("accession", "title", F.array_join("organisms", ",").alias("organisms"), "sample_count", _day("submission_date"))
 
 
-@query("SELECT 'GSE' || doc_id AS accession, CASE WHEN doc_id % 3 = 0 THEN 'stored' ELSE 'new' END AS state FROM documents")
+@query("""SELECT 'GSE' || doc_id AS accession, CASE WHEN doc_id % 3 = 0 THEN 'stored' ELSE 'new' END AS state, md5(trim(regexp_replace(substring(text, 81), '[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+', ' ', 'g'))) AS summary_md5, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 384 END AS INTEGER) AS dim,
+  CASE WHEN doc_id % 3 <> 0 THEN 'completed' END AS item, CAST((SELECT count(*) FROM documents WHERE doc_id % 3 <> 0) AS BIGINT) AS run_total, 'completed' AS run_state FROM documents""")
 def ingest_batch(s, d):
+    """Two thirds of the landed records are new: what an ingest makes of records, vectors, items and the run."""
     stored = ING.parse_record(readers.summary_to_raw(readers.flatten_esummary(_landed(s, d)))).where("cast(substring(accession, 4) as bigint) % 3 = 0").withColumn("created_at", F.lit("2020-01-01").cast("timestamp")).withColumn("updated_at", F.lit("2020-01-01").cast("timestamp"))
     vectors = stored.select("accession", F.array(F.lit(1.0).cast("float")).alias("embedding"), "updated_at")
-    done = ING.ingest_batch(_landed(s, d), stored, vectors, 1, "2024-01-01", dim=16)
-    return done.records.select("accession", F.when(F.col("created_at") < "2021-01-01", "stored").otherwise("new").alias("state"))
+    done = ING.ingest_batch(_landed(s, d), stored, vectors, 1, "2024-01-01")
+    run = done.run.select(F.col("total_count").cast("long").alias("run_total"), F.col("status").alias("run_state"))
+    out = done.records.select("accession", F.when(F.col("created_at") < "2021-01-01", "stored").otherwise("new").alias("state"), F.md5("summary").alias("summary_md5"))
+    out = out.join(done.vectors.select("accession", F.size("embedding").alias("dim")), "accession").join(done.items.select("accession", F.col("status").alias("item")), "accession", "left")
+    return out.join(F.broadcast(run))  # one row
 
 
-@query()
+@query("""SELECT accession, CAST(count(*) AS BIGINT) AS cells, round(sum(abs(v)) / sqrt(sum(v * v)), 4) AS spread, round(max(abs(v)) / sqrt(sum(v * v)), 4) AS peak FROM (
+    SELECT accession, k, sum(sign) AS v FROM (SELECT accession, ('0x' || substring(h, 1, 7))::BIGINT % 384 AS k, CASE WHEN substring(h, 8, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign
+      FROM (SELECT accession, md5(unnest(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(summary, '') || ' ' || coalesce(overall_design, '')), '[\\p{L}\\p{N}_]+'))) AS h FROM records)) GROUP BY 1, 2 HAVING sum(sign) <> 0) GROUP BY 1""", "records")
 def embed_column_hashed(s, d):
-    return V.records(s, d).select("accession", embed_column(F.col("title"), dim=32).alias("embedding"))
+    """Whole records in the default 384 dimensions."""
+    texts = V.records(s, d).select("accession", F.concat_ws(" ", "title", "summary", "overall_design").alias("text"))
+    e = hashed_embeddings(texts, "accession", "text").where(F.exists("embedding", lambda x: x != 0))
+    size = lambda f, start=0.0: F.aggregate("embedding", F.lit(start), f)
+    return e.select("accession", F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("cells"), F.round(size(lambda a, x: a + F.abs(x)), 4).alias("spread"), F.round(F.array_max(F.transform("embedding", F.abs)).cast("double"), 4).alias("peak"))

@@ -14,12 +14,16 @@ def latest_wins(rows: DataFrame, keys: list[str], version: Column) -> DataFrame:
 
 
 def upsert_records(stored: DataFrame, incoming: DataFrame, keys: list[str], version: str = "updated_at", created: str | None = "created_at") -> DataFrame:
-    """``stored`` with ``incoming`` inserted or put in place by key; the first ``created`` of a key is kept.  Replaying a batch changes nothing."""
-    rows = stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    if created:
-        rows = rows.withColumn(created, F.min(created).over(W.partitionBy(*keys)))
-    order = F.struct("_new", version) if version in rows.columns else F.col("_new")
-    return latest_wins(rows, keys, order).drop("_new")
+    """``stored`` (unique by key) with ``incoming`` inserted or put in place by key; the first ``created`` of a key is kept.  Replaying a batch changes nothing.
+
+    Only the batch is sorted; stored rows that it does not name pass an anti-join, which Spark broadcasts where the batch is small.
+    """
+    new = latest_wins(incoming, keys, F.col(version) if version in incoming.columns else F.lit(0))
+    if created and created in stored.columns:
+        first = stored.select(*keys, F.col(created).alias("_first"))
+        kept = new.withColumn(created, F.lit(None).cast("timestamp")) if created not in new.columns else new
+        new = kept.join(first, keys, "left").withColumn(created, F.least(created, "_first")).drop("_first")
+    return stored.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def upsert_vocab(stored: DataFrame, incoming: DataFrame, skip_existing: bool = True) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Study-like views over the driver's tables, so that every query reads them whole."""
+"""Study-like views over the driver's tables.  A record's title, summary and design are its document's whole text, one after the other."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("GSE"), F.col("doc_id").cast("string")).alias("accession"),
         F.substring("text", 1, 80).alias("title"),
         F.substring("text", 81, 2000).alias("summary"),
-        F.substring("text", 2081, 1000).alias("overall_design"),
+        F.expr("substring(text, 2081)").alias("overall_design"),
         F.array("lang", "source").alias("organisms"),
         F.col("source").alias("tech_type"),
         F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 1500).cast("int")).cast("timestamp").alias("submission_date"),
@@ -30,7 +30,7 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(
         F.concat(F.lit("D"), F.lpad(F.col("item_id").cast("string"), 6, "0")).alias("concept_id"),
         part(3, 2).alias("preferred_name"),
-        F.array(part(5, 3), part(9, 1), part(10, 1), part(11, 2)).alias("entry_terms"),
+        F.array(part(5, 3), part(9, 1), part(10, 1), part(11, 2), F.array_join(F.slice("w", 13, F.size("w")), " ")).alias("entry_terms"),
         F.array(F.concat(F.lit("C"), F.lpad((F.col("item_id") % 10).cast("string"), 2, "0"))).alias("tree_numbers"),
     )
 
