@@ -5,9 +5,10 @@ its leaf in each tree.  A query walks all trees best first through one priority
 way to a node, until it has visited its number of leaves.  The leaves then are rows of a Spark shuffle: per leaf, its
 queries meet its rows, and the exact inner products of the best candidates are merged per query.
 
-Leaves hold about ``leaf_rows`` rows and a query visits ``visits`` of them, or more where that does not reach the recall: a sample of queries is
-held against brute force over all rows, and the visits are the fewest with which their recall surely is ``recall``.  On clustered vectors
-the cost of a query so does not grow with the table; on directions without any structure the visits grow with the leaves.
+Leaves hold about ``leaf_rows`` rows, by default four times the root of the number of rows, so trees get deeper and leaves larger as the table grows
+(until the sample that fits them bounds their depth; from then on leaves grow with the table).  How many leaves a query visits is measured: a sample of
+queries is held against brute force over all rows, and the visits are the fewest with which their recall surely is ``recall``.
+On clustered vectors these are few; on directions without any structure, about half of all rows.
 """
 
 from __future__ import annotations
@@ -178,12 +179,13 @@ def measured_visits(rows: DataFrame, queries: DataFrame, forest: Forest, k: int,
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, leaf_rows: int = 2000, visits: int = 34, sample_rows: int = 16384, seed: int = 7, recall: float = 0.9, sample_queries: int = 128
+    vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, leaf_rows: int | None = None, visits: int = 1, sample_rows: int = 16384, seed: int = 7, recall: float = 0.92, sample_queries: int = 128
 ) -> DataFrame:
     """The ``k`` rows of ``vectors`` with the largest inner products found for each query: query_id, rank, vec_id, score.
 
     ``vectors`` and ``queries``: (vec_id, embedding), as ``usable`` gives them.  A row is no candidate of the query with its id.  Ties go to the
-    smaller vec_id.  Repeated rows count once; a query id that occurs twice is asked once, with its greatest vector.  Trees are fitted on
+    smaller vec_id.  Repeated rows count once; a query id that occurs with several vectors is asked once, with its greatest vector; ``usable`` leaves out vectors
+    that have not the length of most.  Trees are fitted on
     ``sample_rows`` rows (the first by a hash of their id); all rows are indexed.  ``visits`` is the least number of leaves a query visits; there
     are more if ``sample_queries`` queries need more for ``recall``.  Empty tables give an empty result.
 
@@ -196,7 +198,8 @@ def nearest(
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    forest = fit_forest(_stack([r[0] for r in sample]), rows.count(), trees, leaf_rows, seed)
+    count = rows.count()
+    forest = fit_forest(_stack([r[0] for r in sample]), count, trees, leaf_rows or max(1, round(4 * math.sqrt(count))), seed)
     if visits < trees << forest.depth:  # else all leaves are visited
         some = asked.orderBy(F.xxhash64("query_id", F.lit(seed)), "query_id").limit(sample_queries)
         visits = max(visits, measured_visits(rows, some, forest, k, recall))
