@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ def hybrid_search(
     expanded, concepts, named = query, None, None
     spark = records.sparkSession
     if use_concepts:
-        queries = spark.createDataFrame([(1, query)], "query_id long, query string")
+        queries = spark.createDataFrame(pa.table({"query_id": [1], "query": [query]}))
         named = _local(matched_terms(queries, vocab))  # five rows at most; the vocabulary is read once
         expanded = expansion_text(queries, named).first()["expanded_query"]
         concepts = [r["concept_id"] for r in named.collect()]
@@ -64,11 +65,12 @@ def hybrid_search(
         semantic = _local(vector_topk(side, query_vector, candidates))
     lexical = _local(lexical_match(records, expanded, filters, candidates)) if use_lexical else _empty(records)
     # Both lists are bounded and local from here on: one scan of the vectors, one of the texts, one of the links for boosts.
-    fused = _local(fuse_full_outer(semantic, lexical))
-    boosts = spark.createDataFrame([], "accession string, boost double")
+    fused = fuse_full_outer(semantic, lexical)
+    boosted = fused.withColumn("boost", F.lit(0.0))
     if links is not None and concepts:
-        boosts = _local(tag_boost(links.where(F.col("concept_id").isin(concepts)).join(F.broadcast(fused.select("accession")), "accession", "left_semi")))
-    scored = fused.join(boosts, "accession", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0))).withColumn("score", fused_score())
+        boosts = tag_boost(links.where(F.col("concept_id").isin(concepts)).join(F.broadcast(fused.select("accession")), "accession", "left_semi"))
+        boosted = fused.join(F.broadcast(boosts), "accession", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))  # a row a candidate at most
+    scored = boosted.withColumn("score", fused_score())
     ranked = scored.withColumn("rank", F.row_number().over(W.orderBy(*fusion_order())))
     head = _local(ranked.where(F.col("rank") <= overfetch * top_k))
     met = records.where(F.col("accession").isin([r["accession"] for r in head.collect()])).where(condition)
