@@ -73,5 +73,6 @@ def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key), (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t).alias("text_crc32"))
     placed = place(place(rows, key, layout(shards), "shard"), key, layout(shards + 1), "grown_shard")
-    ranked = gapless_rank(placed, ["shard"], [key], "slot")
+    # Rows with one key (or none) but different texts are ranked in different tasks.
+    ranked = gapless_rank(placed, ["shard"], [key, "size", "text_crc32"], "slot")
     return ranked.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
