@@ -132,35 +132,85 @@ def brute_measures(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(twice), len(lines), sum(a == b for a, b in zip(w, w[1:]))
 
 
-def bounds(values):
-    counts = Counter(math.floor(math.log(v + 1) / math.log1p(quality.ACCURACY)) for v in values)
-    upto, out = 0, {}
-    for b in sorted(counts):
-        upto += counts[b]
-        for q in (0.25, 0.75):
-            if q not in out and upto >= q * len(values):
-                out[q] = math.exp((b + 0.5) * math.log1p(quality.ACCURACY)) - 1
-    return out[0.25], out[0.75]
+def in_bucket(v):
+    return math.floor(math.log(v + 1) / math.log1p(quality.ACCURACY))
+
+
+def own_thresholds(values, width=4.0):
+    """How many values are positive, low and high fence, cut."""
+    up = sorted(in_bucket(v) for v in values if v > 0)
+    middle = [math.exp((up[math.ceil(q * len(up)) - 1] + 0.5) * math.log1p(quality.ACCURACY)) - 1 for q in (0.25, 0.75)] if up else [0, 0]
+    slack, found = width * (middle[1] - middle[0]), sorted({in_bucket(v) for v in values})
+    cuts = [y for x, y in zip(found, found[1:]) if y - x > max(x - found[0], found[-1] - y) and 2 * sum(in_bucket(v) <= x for v in values) >= len(values)]
+    return len(up), middle[0] - slack, middle[1] + slack, cuts[0] if cuts else None
+
+
+def judge(table, group_docs):
+    """(doc_id, measures, base_failed, kept) of every row, and the metrics that reject each."""
+    per = []
+    for r in table:
+        n, c, s, dl, rep, nl, st = brute_measures(r["text"])
+        failed = n < 20 or 100 * rep > 30 * n
+        values = {"word_length": c * 100 // n if n else 0, "symbols": s * 1000 // n if n else 0, "dup_lines": dl * 1000 // nl if nl else 0, "repeats": rep * 1000 // n if n else 0, "stutters": st * 1000 // n if n else 0}
+        per.append((r, (n, c, s, dl, rep), failed, values))
+    out, reasons = Counter(), {}
+    for r, base, failed, values in per:
+        bad = set()
+        for k in quality.METRICS:
+            of = lambda same: own_thresholds([x[3][k] for x in per if not x[2] and same(x[0])])
+            corpus = of(lambda x: True)
+            shrink = lambda g, i, parent: parent if g[0] == 0 else (g[0] * g[i] + group_docs * parent) / (g[0] + group_docs)
+            lang, source, own = of(lambda x: x["lang"] == r["lang"]), of(lambda x: x["source"] == r["source"]), of(lambda x: (x["lang"], x["source"]) == (r["lang"], r["source"]))
+            low, high = (shrink(own, i, (shrink(lang, i, corpus[i]) + shrink(source, i, corpus[i])) / 2) for i in (1, 2))
+            cut = next((g[3] for g in (lang, corpus) if g[0] >= group_docs), None)
+            if corpus[0] and (values[k] > high or quality.METRICS[k] and values[k] < low) or cut is not None and in_bucket(values[k]) >= cut:
+                bad.add(k)
+        out[(r["doc_id"], *base, failed, not failed and not bad)] += 1
+        reasons[r["doc_id"]] = bad
+    return out, reasons
 
 
 def test_quality(docs, odd_docs, no_docs):
     for d, group_docs in ((docs, 5), (docs, 40), (odd_docs, 2)):
-        got = rows(quality.quality_verdicts(d, group_docs=group_docs))
-        src = rows(d.select("doc_id", "text", "lang", "source"))
-        per = []
-        for r in src:
-            n, c, s, dl, rep, nl, st = brute_measures(r["text"])
-            per.append((r, (n, c, s, dl, rep), {"word_length": c * 100 // n if n else 0, "symbols": s * 1000 // n if n else 0, "dup_lines": dl * 1000 // nl if nl else 0, "repeats": rep * 1000 // n if n else 0, "stutters": st * 1000 // n if n else 0}))
-        want = Counter()
-        for r, base, m in per:
-            groups = [[x for x in per if x[0]["lang"] == r["lang"] and x[0]["source"] == r["source"]], [x for x in per if x[0]["lang"] == r["lang"]]]
-            group = next((g for g in groups if len(g) >= group_docs), per)
-            kept = True
-            for k, (least, low) in quality.METRICS.items():
-                q1, q3 = bounds([x[2][k] for x in group])
-                slack = 4.0 * max(q3 - q1, least)
-                kept &= m[k] <= q3 + slack and (not low or m[k] >= q1 - slack)
-            failed = base[0] < 20 or 100 * base[4] > 30 * base[0]
-            want[(r["doc_id"], *base, failed, kept and not failed)] += 1
-        assert Counter(tuple(r.values()) for r in got) == want
+        want, _ = judge(rows(d.select("doc_id", "text", "lang", "source")), group_docs)
+        assert Counter(tuple(r.values()) for r in rows(quality.quality_verdicts(d, group_docs=group_docs))) == want
     assert rows(quality.quality_verdicts(no_docs)) == []
+
+
+def plain(i, n=100, long=0):
+    return [f"w{i:03}x{j:04}" + "y" * (long + j % 3 + i % 2) for j in range(n)]
+
+
+def test_every_metric_rejects_and_groups_differ(spark):
+    """Ordinary documents of two sources; one outlier a metric; and one text that is ordinary in one source alone."""
+    table = []
+
+    def add(i, words, source="a", per_line=10):
+        table.append((i, "\n".join(" ".join(words[j : j + per_line]) for j in range(0, len(words), per_line)), "en", source))
+
+    for i in range(60):
+        add(i, plain(i))
+        add(100 + i, plain(100 + i, long=12 + i % 7), "b")
+    for i in range(20):  # positive, but ordinary values of the metrics that are mostly zero
+        w = plain(200 + i, 400)
+        add(200 + i, w + w[-1:] * (1 + i % 5))
+        add(300 + i, [x + "#" * (j < 2 + i % 3) for j, x in enumerate(plain(300 + i))])
+        w = plain(400 + i, 400)
+        add(400 + i, w + w[: 1 + i % 6], per_line=1)
+        w = plain(600 + i, 3000)
+        add(600 + i, w + w[: 8 + 4 * i], per_line=7)
+    w = plain(500)
+    add(500, plain(500, long=60))
+    add(501, [x + "#" for x in w])
+    add(502, ["one"] * 25 + w, per_line=1)
+    add(503, w + w[:17])
+    add(504, w + ["so"] * 7 + ["no"] * 7 + w[::-1])
+    add(505, plain(505, long=15))
+    add(506, plain(506, long=15), "b")
+    d = spark.createDataFrame(table, "doc_id long, text string, lang string, source string")
+    want, reasons = judge(rows(d), 20)
+    assert Counter(tuple(r.values()) for r in rows(quality.quality_verdicts(d, group_docs=20))) == want
+    for i, metric in zip(range(500, 505), quality.METRICS):
+        assert metric in reasons[i], (metric, reasons)
+    assert reasons[505] == {"word_length"} and reasons[506] == set()
+    assert sum(bool(v) for k, v in reasons.items() if not 500 <= k <= 506) <= 5

@@ -2,8 +2,16 @@
 
 Every metric of a document is an integer.  Its distribution per language and source is kept as a sketch: counts by
 logarithmic bucket, each within ``ACCURACY`` of the values it stands for.  Such sketches merge by adding counts, so one
-aggregation gives those of sources, languages and the corpus.  From each sketch come fences, wide of the middle half of its
-documents by a multiple of that half's width; a document outside the fences of its own group is rejected.
+aggregation gives those of sources within languages, of languages, of sources and of the corpus.  They hold the documents that
+pass the base rule.  Two thresholds are read off each, and no other cutoff is used:
+
+- fences, wide of the middle half of the positive values by a multiple of that half's width (most documents have no symbol or
+  repeated line at all, so the middle half of all values says nothing).  Those of a group are shrunk towards its language's and
+  source's, and these towards the corpus's, by the numbers of positive values;
+- a cut, where the upper values stand apart: the buckets above an empty stretch that is longer than the buckets on either side
+  of it reach are no tail of the rest.  It takes at least ``group_docs`` positive values to tell, in a language or else the corpus.
+
+A document outside the fences of its own group, or at or above the cut, is rejected.
 """
 
 from __future__ import annotations
@@ -18,8 +26,9 @@ from tidesearch.llm.shared import WORD, durable, let
 
 #: Relative width of a sketch's buckets.
 ACCURACY = 0.02
-#: metric -> (least width of the middle half that counts, whether values that are too low are also rejected).
-METRICS = {"word_length": (50, True), "symbols": (25, False), "dup_lines": (100, False), "repeats": (75, False), "stutters": (50, False)}
+#: metric -> whether values that are too low are also rejected.
+METRICS = {"word_length": True, "symbols": False, "dup_lines": False, "repeats": False, "stutters": False}
+GROUP = ["level", "lang", "source", "metric"]
 
 
 def repeated_positions(words: Column, size: int = 8) -> Column:
@@ -87,50 +96,77 @@ def bucket_value(b: Column) -> Column:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """level, lang, source, metric, bucket, n: mergeable sketches of sources in a language (level 0), languages (1), all (3)."""
+    """level, lang, source, metric, bucket, n: mergeable sketches of sources in a language (level 0), languages (1), sources (2), all (3)."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), bucket(v).alias("bucket")) for k, v in metrics().items()]))
     rows = measured.select("lang", "source", pairs.alias("_p")).select("lang", "source", "_p.*")
     fine = rows.groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
-    return (
-        fine.withColumn("_level", F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))))
-        .select(F.col("_level").alias("level"), F.when(F.col("_level") < 3, F.col("lang")).alias("lang"), F.when(F.col("_level") < 1, F.col("source")).alias("source"), "metric", "bucket", "n")
-        .groupBy("level", "lang", "source", "metric", "bucket")
-        .agg(F.sum("n").alias("n"))
+    level = F.col("level")
+    wider = fine.withColumn("level", F.explode(F.array(*map(F.lit, range(4)))))
+    wider = wider.select("level", F.when(level.isin(0, 1), F.col("lang")).alias("lang"), F.when(level.isin(0, 2), F.col("source")).alias("source"), "metric", "bucket", "n")
+    return wider.groupBy(*GROUP, "bucket").agg(F.sum("n").alias("n"))
+
+
+def thresholds(sketch: DataFrame, width: float) -> DataFrame:
+    """level, lang, source, metric, positive (number of positive values), low and high fence, cut (a bucket), each of one sketch alone."""
+    group = W.partitionBy(*GROUP)
+    upto = group.orderBy("bucket")
+    positive = F.when(F.col("bucket") > 0, F.col("n")).otherwise(0)
+    seen = sketch.select(
+        *GROUP,
+        "bucket",
+        F.sum(positive).over(group).alias("positive"),
+        F.sum(positive).over(upto).alias("_positive_upto"),
+        (2 * (F.sum("n").over(upto) - F.col("n")) >= F.sum("n").over(group)).alias("_upper_half"),
+        F.lag("bucket").over(upto).alias("_below"),
+        F.min("bucket").over(group).alias("_first"),
+        F.max("bucket").over(group).alias("_last"),
     )
+    quantile = lambda q: bucket_value(F.min(F.when((F.col("bucket") > 0) & (F.col("_positive_upto") >= q * F.col("positive")), F.col("bucket"))))
+    apart = F.col("bucket") - F.col("_below") > F.greatest(F.col("_below") - F.col("_first"), F.col("_last") - F.col("bucket"))
+    rows = seen.groupBy(*GROUP).agg(F.max("positive").alias("positive"), quantile(0.25).alias("_q1"), quantile(0.75).alias("_q3"), F.min(F.when(apart & F.col("_upper_half"), F.col("bucket"))).alias("cut"))
+    slack = width * (F.col("_q3") - F.col("_q1"))
+    return rows.select(*GROUP, "positive", (F.col("_q1") - slack).alias("low"), (F.col("_q3") + slack).alias("high"), "cut")
+
+
+def fences(sketch: DataFrame, width: float, group_docs: int) -> DataFrame:
+    """lang, source and, for each metric, {metric}_low, {metric}_high and {metric}_cut of every source in a language.  Null: no such threshold."""
+    each = thresholds(sketch, width)
+    cut = F.when(F.col("positive") >= group_docs, F.col("cut"))
 
+    def shrink(c: str, parent: Column) -> Column:
+        return F.when(F.col("positive") == 0, parent).otherwise((F.col("positive") * F.col(c) + group_docs * parent) / (F.col("positive") + group_docs))
 
-def fences(sketch: DataFrame, width: float) -> DataFrame:
-    """level, lang, source, docs and a low and a high fence for each metric."""
-    group = W.partitionBy("level", "lang", "source", "metric")
-    seen = sketch.select("*", F.sum("n").over(group.orderBy("bucket")).alias("_upto"), F.sum("n").over(group).alias("_all"))
-    quantile = lambda q: bucket_value(F.min(F.when(F.col("_upto") >= q * F.col("_all"), F.col("bucket"))))
-    rows = seen.groupBy("level", "lang", "source", "metric").agg(F.max("_all").alias("docs"), quantile(0.25).alias("_q1"), quantile(0.75).alias("_q3"))
-    least = F.coalesce(*[F.when(F.col("metric") == k, float(v)) for k, (v, _) in METRICS.items()])
-    slack = width * F.greatest(F.col("_q3") - F.col("_q1"), least)
-    pick = lambda k, c: F.max(F.when(F.col("metric") == k, c))
-    wide = [x for k, (_, low) in METRICS.items() for x in ([pick(k, F.col("_q1") - slack).alias(f"{k}_low")] if low else []) + [pick(k, F.col("_q3") + slack).alias(f"{k}_high")]]
-    return rows.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *wide)
+    corpus = each.where("level = 3").select("metric", F.col("low").alias("_low"), F.col("high").alias("_high"), cut.alias("_cut"))
+
+    def parents(level: int, key: str, name: str) -> DataFrame:
+        shrunk = [shrink("low", F.col("_low")).alias(f"_low_{name}"), shrink("high", F.col("_high")).alias(f"_high_{name}")]
+        own_cut = F.when(F.col("positive") >= group_docs, F.col("cut")).otherwise(F.col("_cut")).alias(f"_cut_{name}")
+        return each.where(F.col("level") == level).join(F.broadcast(corpus), "metric").select(F.col("metric").alias(f"_metric_{name}"), F.col(key).alias(f"_{key}_{name}"), *shrunk, own_cut)
+
+    own = each.where("level = 0").drop("cut")
+    own = own.join(parents(1, "lang", "l"), F.col("lang").eqNullSafe(F.col("_lang_l")) & (F.col("metric") == F.col("_metric_l")))
+    own = own.join(parents(2, "source", "s"), F.col("source").eqNullSafe(F.col("_source_s")) & (F.col("metric") == F.col("_metric_s")))
+    both = lambda c: (F.col(f"_{c}_l") + F.col(f"_{c}_s")) / 2
+    own = own.select("lang", "source", "metric", shrink("low", both("low")).alias("low"), shrink("high", both("high")).alias("high"), F.col("_cut_l").alias("cut"))
+    pick = lambda k, c: F.max(F.when(F.col("metric") == k, F.col(c))).alias(f"{k}_{c}")
+    return own.groupBy("lang", "source").agg(*[pick(k, c) for k in METRICS for c in ("low", "high", "cut")])
 
 
 def quality_verdicts(docs: DataFrame, width: float = 4.0, group_docs: int = 200, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every document.
 
-    A group with fewer than ``group_docs`` documents uses the fences of its language, or else those of the corpus.  Null lang
-    or source is a value like any other.  Null or empty text has no words and fails the base rule.  Repeated rows are judged
-    each.  An empty table gives an empty result.
+    ``group_docs`` is the weight of the wider group in a fence, in documents, and the least number of positive values that a cut
+    is read from.  Null lang or source is a value like any other.  Null or empty text has no words and fails the base rule.
+    Repeated rows are judged each.  An empty table gives an empty result.
     """
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     measured = durable(measure(docs), "quality-measures")
-    bounds = durable(fences(sketches(measured), width), "quality-fences")
-    names = [c for c in bounds.columns if c.endswith(("_low", "_high"))]
-    at = {level: bounds.where(f"level = {level}").select(F.col("lang").alias(f"_l{level}"), F.col("source").alias(f"_s{level}"), F.struct("docs", *names).alias(f"_f{level}")) for level in (0, 1, 3)}
-    own = at[0].join(at[1], F.col("_l0").eqNullSafe(F.col("_l1"))).crossJoin(F.broadcast(at[3]))
-    enough = lambda c: F.when(F.col(c)["docs"] >= group_docs, F.col(c))
-    own = own.select("_l0", "_s0", F.coalesce(enough("_f0"), enough("_f1"), F.col("_f3")).alias("_f"))
-    judged = measured.join(own, F.col("lang").eqNullSafe(F.col("_l0")) & F.col("source").eqNullSafe(F.col("_s0")))
+    bounds = durable(fences(sketches(measured.where(~failed)), width, group_docs), "quality-fences")
+    bounds = bounds.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    judged = measured.join(bounds, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     outside = F.lit(False)
     for k, v in metrics().items():
-        outside = outside | (v > F.col("_f")[f"{k}_high"])
-        if METRICS[k][1]:
-            outside = outside | (v < F.col("_f")[f"{k}_low"])
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
+        tests = [v > F.col(f"{k}_high"), bucket(v) >= F.col(f"{k}_cut")] + ([v < F.col(f"{k}_low")] if METRICS[k] else [])
+        for test in tests:
+            outside = outside | F.coalesce(test, F.lit(False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~outside).alias("kept"))

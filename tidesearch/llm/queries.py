@@ -64,8 +64,7 @@ QUERIES = {f.__name__: f for f in (op1_forest_neighbours, op2_source_mix, op3_ra
 #: Base32 of a SHA-1 in SQL: five hexadecimal digits are four of base 32.
 _BASE32 = " || ".join(f"to_base(CAST('0x' || substring(sha1(h), {5 * i + 1}, 5) AS BIGINT), 32, 4)" for i in range(8))
 _LOG = repr(math.log1p(quality.ACCURACY))
-_LEAST = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v}.0" for k, (v, _) in quality.METRICS.items()) + " END"
-_LOW = " OR ".join(f"metric = '{k}'" for k, (_, low) in quality.METRICS.items() if low)
+_LOW = ", ".join(f"'{k}'" for k, low in quality.METRICS.items() if low)
 _WORD = "[^ \\t\\n\\x0B\\f\\r]+"
 _VALUE = f"(exp((%s + 0.5) * {_LOG}) - 1)"
 _QUALITY = f"""WITH w AS (SELECT row_number() OVER () AS rn, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words,
@@ -74,19 +73,26 @@ _QUALITY = f"""WITH w AS (SELECT row_number() OVER () AS rn, doc_id, lang, sourc
     twice AS (SELECT rn, i FROM windows QUALIFY count(*) OVER (PARTITION BY rn, g) > 1),
     covered AS (SELECT rn, count(DISTINCT p) AS n FROM twice, unnest(generate_series(i, i + 7)) u(p) GROUP BY 1),
     base AS (SELECT w.*, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-      CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(list_filter(generate_series(1, len(words) - 1), lambda i: words[i] = words[i + 1])) AS n_stutters FROM w LEFT JOIN covered c USING (rn)),
-    m AS (SELECT rn, lang, source, metric, v, CAST(floor(ln(v + 1) / {_LOG}) AS INTEGER) AS b FROM (SELECT rn, lang, source, unnest(['word_length', 'symbols', 'dup_lines', 'repeats', 'stutters']) AS metric,
+      CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(list_filter(generate_series(1, len(words) - 1), lambda i: words[i] = words[i + 1])) AS n_stutters, len(words) < 20 OR 100 * coalesce(c.n, 0) > 30 * len(words) AS failed FROM w LEFT JOIN covered c USING (rn)),
+    m AS (SELECT rn, lang, source, failed, metric, v, CAST(floor(ln(v + 1) / {_LOG}) AS INTEGER) AS b FROM (SELECT rn, lang, source, failed, unnest(['word_length', 'symbols', 'dup_lines', 'repeats', 'stutters']) AS metric,
       unnest([CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END, CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END, CASE WHEN len(lines) > 0 THEN n_dup_lines * 1000 // len(lines) ELSE 0 END,
       CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END, CASE WHEN n_words > 0 THEN n_stutters * 1000 // n_words ELSE 0 END]) AS v FROM base)),
-    sk AS (SELECT 0 AS level, lang AS gl, source AS gs, metric, b, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT 1, lang, NULL, metric, b, count(*) FROM m GROUP BY ALL UNION ALL SELECT 3, NULL, NULL, metric, b, count(*) FROM m GROUP BY ALL),
-    run AS (SELECT *, sum(n) OVER (PARTITION BY level, gl, gs, metric ORDER BY b) AS upto, sum(n) OVER (PARTITION BY level, gl, gs, metric) AS total FROM sk),
-    q AS (SELECT level, gl, gs, metric, max(total) AS docs, {_VALUE % "min(b) FILTER (upto >= 0.25 * total)"} AS q1, {_VALUE % "min(b) FILTER (upto >= 0.75 * total)"} AS q3 FROM run GROUP BY ALL),
-    f AS (SELECT level, gl, gs, metric, docs, q1 - 4.0 * greatest(q3 - q1, {_LEAST}) AS low, q3 + 4.0 * greatest(q3 - q1, {_LEAST}) AS high FROM q),
-    verdict AS (SELECT m.rn, bool_or(v > coalesce(CASE WHEN a.docs >= 200 THEN a.high END, CASE WHEN b1.docs >= 200 THEN b1.high END, c.high) OR (({_LOW}) AND v < coalesce(CASE WHEN a.docs >= 200 THEN a.low END, CASE WHEN b1.docs >= 200 THEN b1.low END, c.low))) AS outside
-      FROM (SELECT rn, lang, source, metric AS mm, v FROM m) m JOIN f a ON a.level = 0 AND a.metric = mm AND a.gl IS NOT DISTINCT FROM m.lang AND a.gs IS NOT DISTINCT FROM m.source JOIN f b1 ON b1.level = 1 AND b1.metric = mm AND b1.gl IS NOT DISTINCT FROM m.lang
-      JOIN f c ON c.level = 3 AND c.metric = mm GROUP BY 1)
-  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND NOT outside AS kept FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS failed FROM base) JOIN verdict USING (rn)"""
-_QUALITY = _QUALITY.replace(f"({_LOW}) AND", f"({_LOW.replace('metric', 'mm')}) AND")
+    ok AS (SELECT * FROM m WHERE NOT failed),
+    sk AS (SELECT 0 AS level, lang AS gl, source AS gs, metric, b, count(*) AS n FROM ok GROUP BY ALL UNION ALL SELECT 1, lang, NULL, metric, b, count(*) FROM ok GROUP BY ALL
+      UNION ALL SELECT 2, NULL, source, metric, b, count(*) FROM ok GROUP BY ALL UNION ALL SELECT 3, NULL, NULL, metric, b, count(*) FROM ok GROUP BY ALL),
+    run AS (SELECT level, gl, gs, metric, b, coalesce(sum(n) FILTER (b > 0) OVER g, 0) AS positive, sum(n) FILTER (b > 0) OVER u AS upto, 2 * (sum(n) OVER u - n) >= sum(n) OVER g AS upper_half, lag(b) OVER u AS below,
+      min(b) OVER g AS first, max(b) OVER g AS last FROM sk WINDOW g AS (PARTITION BY level, gl, gs, metric), u AS (PARTITION BY level, gl, gs, metric ORDER BY b)),
+    q AS (SELECT level, gl, gs, metric, max(positive) AS n, {_VALUE % "min(b) FILTER (b > 0 AND upto >= 0.25 * positive)"} AS q1, {_VALUE % "min(b) FILTER (b > 0 AND upto >= 0.75 * positive)"} AS q3,
+      min(b) FILTER (upper_half AND b - below > greatest(below - first, last - b)) AS cut FROM run GROUP BY ALL),
+    f AS (SELECT level, gl, gs, metric, n, q1 - 4.0 * (q3 - q1) AS low, q3 + 4.0 * (q3 - q1) AS high, cut FROM q),
+    p AS (SELECT a.level, a.gl, a.gs, a.metric, CASE WHEN a.n = 0 THEN c.low ELSE (a.n * a.low + 200 * c.low) / (a.n + 200) END AS low, CASE WHEN a.n = 0 THEN c.high ELSE (a.n * a.high + 200 * c.high) / (a.n + 200) END AS high,
+      CASE WHEN a.n >= 200 THEN a.cut WHEN c.n >= 200 THEN c.cut END AS cut FROM f a JOIN f c USING (metric) WHERE a.level IN (1, 2) AND c.level = 3),
+    own AS (SELECT a.gl, a.gs, a.metric, CASE WHEN a.n = 0 THEN (l.low + s.low) / 2 ELSE (a.n * a.low + 200 * (l.low + s.low) / 2) / (a.n + 200) END AS low,
+      CASE WHEN a.n = 0 THEN (l.high + s.high) / 2 ELSE (a.n * a.high + 200 * (l.high + s.high) / 2) / (a.n + 200) END AS high, l.cut FROM f a
+      JOIN p l ON l.level = 1 AND l.gl IS NOT DISTINCT FROM a.gl AND l.metric = a.metric JOIN p s ON s.level = 2 AND s.gs IS NOT DISTINCT FROM a.gs AND s.metric = a.metric WHERE a.level = 0),
+    verdict AS (SELECT m.rn, bool_or(coalesce(v > high, false) OR coalesce(b >= cut, false) OR (m.metric IN ({_LOW}) AND coalesce(v < low, false))) AS outside
+      FROM m LEFT JOIN own ON own.metric = m.metric AND own.gl IS NOT DISTINCT FROM m.lang AND own.gs IS NOT DISTINCT FROM m.source GROUP BY 1)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND NOT outside AS kept FROM base JOIN verdict USING (rn)"""
 #: SQL has no XXH64, tokenizer, model fit or search forest; the tests hold those queries against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op6_warc_normaliser": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h AS same, min(page_id) AS first FROM p GROUP BY 1)
