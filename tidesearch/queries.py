@@ -128,6 +128,66 @@ def read_id_list(s, d):
     return readers.wanted(V.records(s, d), ids.distinct()).select("accession", "title")
 
 
+@query("SELECT accession, title FROM records WHERE accession IN (SELECT 'GSE' || item_id FROM benchmark)", "records")
+def read_id_file(s, d):
+    """The ids are written as text files, with blanks and blank lines, and read again."""
+    path = _folder(s)
+    V.table(s, d, "benchmark").select(F.explode(F.array(F.concat(F.lit(" GSE"), F.col("item_id").cast("string")), F.lit(""))).alias("value")).write.text(path)
+    return readers.wanted(V.records(s, d), readers.read_id_list(s, path)).select("accession", "title")
+
+
+def _vocab_files(s, d) -> str:
+    """The vocabulary as XML files of descriptor records: a blank around each term, the first synonym twice, the name among them."""
+    v = V.vocab(s, d).where(F.col("preferred_name") != "")
+    term = lambda t: F.struct(F.struct(F.array(F.struct(t.alias("String"))).alias("Term")).alias("TermList"))
+    terms = F.transform(F.concat(F.array("preferred_name"), F.col("entry_terms"), F.slice("entry_terms", 1, 1)), lambda t: term(F.concat(F.lit(" "), t, F.lit(" "))))
+    path = _folder(s)
+    v.select(F.col("concept_id").alias("DescriptorUI"), F.struct(F.col("preferred_name").alias("String")).alias("DescriptorName"), F.struct(terms.alias("Concept")).alias("ConceptList"), F.struct(F.col("tree_numbers").alias("TreeNumber")).alias("TreeNumberList")).write.format("xml").option("rowTag", "DescriptorRecord").option("rootTag", "DescriptorRecordSet").save(path)
+    return path
+
+
+def _joined(v: DataFrame) -> DataFrame:
+    return v.select("concept_id", "preferred_name", F.array_join("entry_terms", "|").alias("entry_terms"), F.array_join("tree_numbers", "|").alias("tree_numbers"))
+
+
+NAMED = "SELECT concept_id, preferred_name, %s AS entry_terms, array_to_string(tree_numbers, '|') AS tree_numbers FROM vocab WHERE preferred_name <> ''"
+OTHERS = "list_filter(list_concat(entry_terms, entry_terms[1:1]), lambda t: t <> '' AND t <> preferred_name)"
+
+
+@query(NAMED % f"array_to_string({OTHERS}, '|')", "vocab")
+def load_vocab_xml(s, d):
+    return _joined(readers.load_vocab_xml(s, _vocab_files(s, d)))
+
+
+@query(NAMED % f"array_to_string(list_sort(list_distinct({OTHERS})), '|')", "vocab")
+def load_vocab_xml_dedupe(s, d):
+    v = readers.load_vocab_xml(s, _vocab_files(s, d), dedupe=True)
+    return _joined(v.withColumn("entry_terms", F.array_sort("entry_terms")))
+
+
+BLANKS = "[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+"
+
+
+@query(f"""SELECT 'GSE' || doc_id AS accession, md5(trim(regexp_replace(coalesce(text, ''), '{BLANKS}', ' ', 'g'))) AS summary_md5, '570,571' AS platforms, CAST(doc_id AS VARCHAR) AS pubmed_ids, coalesce(lang, '') AS taxon,
+  CAST(n_chars AS VARCHAR) AS n_samples, coalesce(lang, '') AS organisms FROM documents""")
+def load_docsum_xml(s, d):
+    """Whole documents as the summaries of XML files; blanks are compared as one space."""
+    path, e = _folder(s), V.table(s, d, "documents")
+    one = lambda c: F.struct(c.alias("Organism"))
+    e.select(
+        F.concat(F.lit("GSE"), F.col("doc_id").cast("string")).alias("Accession"),
+        F.col("text").alias("summary"),
+        F.array(F.lit("570"), F.lit(" "), F.lit("571")).alias("GPL"),
+        F.struct(F.array(F.col("doc_id").cast("string")).alias("int")).alias("PubMedIds"),
+        F.col("lang").alias("taxon"),
+        F.col("n_chars").cast("string").alias("n_samples"),
+        F.struct(F.array(one(F.col("lang")), one(F.col("lang"))).alias("Sample")).alias("Samples"),
+    ).write.format("xml").option("rowTag", "DocumentSummary").save(path)
+    r = readers.load_docsum_xml(s, path)
+    plain = F.trim(F.regexp_replace("summary", r"[\s\x0B\x1C-\x1F\x85\p{Z}]+", " "))
+    return r.select("accession", F.md5(plain).alias("summary_md5"), F.array_join("platform_ids", ",").alias("platforms"), F.array_join("pubmed_ids", ",").alias("pubmed_ids"), "taxon", "n_samples", F.array_join("organisms", ",").alias("organisms"))
+
+
 @query("SELECT accession FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'GSE' ELSE 'GDS' END || doc_id AS accession FROM documents) WHERE accession LIKE 'GSE%'")
 def filter_accessions(s, d):
     named = V.table(s, d, "documents").select(F.concat(F.when(F.col("doc_id") % 2 == 0, "GSE").otherwise("GDS"), F.col("doc_id").cast("string")).alias("accession"))
@@ -697,11 +757,18 @@ def search_metadata(s, d):
     return m.withColumn("concept_ids", F.array_join("concept_ids", ","))
 
 
-@query()
+def _one_of_batch(i: int, text: str) -> str:
+    """The SQL of one query of the batch: that of a single search without filters."""
+    more = f"{MATCHED}, {EXPANDED}, {SEARCH_LEX.replace(FILTER_IN, 'TRUE')}, {FUSED.replace('lexical l', 'slexical l')}".replace(QUERY, text)
+    top = TOPK.replace("ORDER BY vec_id LIMIT 1", f"WHERE vec_id = {i}")
+    kept = "SELECT accession, score, rank AS r FROM ordered JOIN records USING (accession) WHERE rank <= 40 ORDER BY rank LIMIT 20"
+    return f"SELECT * FROM (WITH {top}, {more} SELECT CAST({i} AS BIGINT) AS query_id, CAST(row_number() OVER (ORDER BY r) AS INTEGER) AS rank, accession, round(score, 9) AS score FROM ({kept}))"
+
+
+@query(" UNION ALL ".join(_one_of_batch(i, q) for i, q in enumerate(QUERIES_TEXT)), "links", "vectors")
 def search_batch(s, d):
-    """Checked in the tests against one search a query."""
     vectors = V.table(s, d, "embeddings").where(F.col("vec_id") < len(QUERIES_TEXT)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return S.search_batch(V.records(s, d), V.vectors(s, d), V.vocab(s, d), _links(s, d), _batch(s, d).join(vectors, "query_id"))
+    return S.search_batch(V.records(s, d), V.vectors(s, d), V.vocab(s, d), _links(s, d), _batch(s, d).join(vectors, "query_id")).withColumn("score", F.round("score", 9))
 
 
 @query("""SELECT 'organism' AS option, value FROM (SELECT DISTINCT unnest(organisms) AS value FROM records ORDER BY value LIMIT 100) UNION ALL SELECT 'tech_type', tech_type FROM (SELECT DISTINCT tech_type FROM records WHERE tech_type <> '')
