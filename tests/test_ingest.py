@@ -6,7 +6,7 @@ from pathlib import Path
 from tidesearch import schemas
 from tidesearch.plans.ingest import ingest_batch
 from tidesearch.sources import readers, writers
-from tidesearch.streaming.ingest import Tables, stream_ingest
+from tidesearch.streaming.ingest import read_table, stream_ingest
 
 VOCAB_XML = """<?xml version="1.0"?><DescriptorRecordSet>
 <DescriptorRecord><DescriptorUI>D1</DescriptorUI><DescriptorName><String>Lung Cancer</String></DescriptorName>
@@ -66,15 +66,15 @@ def test_stream(spark, tmp_path):
     vocab = spark.createDataFrame([("D1", "Lung Cancer", ["Lung Tumor"])], "concept_id string, preferred_name string, entry_terms array<string>")
     Path(landing, "1.json").write_text(response(1))
     stream_ingest(spark, f"file://{landing}", root, vocab, dim=8)
-    t = Tables(spark, root)
-    assert [r["accession"] for r in t.read("records", schemas.RECORDS).collect()] == ["GSE1"]
-    assert [(r["concept_id"], r["confidence"]) for r in t.read("links", schemas.LINKS).collect()] == [("D1", 1.4)]
+    t = lambda name: read_table(spark, root, name)
+    assert [r["accession"] for r in t("records").collect()] == ["GSE1"]
+    assert [(r["concept_id"], r["confidence"]) for r in t("links").collect()] == [("D1", 1.4)]
     Path(landing, "2.json").write_text(response(1, title="changed"))
     Path(landing, "3.json").write_text(response(4))
     stream_ingest(spark, f"file://{landing}", root, vocab, dim=8)
-    assert sorted((r["accession"], r["title"]) for r in t.read("records", schemas.RECORDS).collect()) == [("GSE1", "Lung cancer RNA-seq"), ("GSE4", "Lung cancer RNA-seq")]
+    assert sorted((r["accession"], r["title"]) for r in t("records").collect()) == [("GSE1", "Lung cancer RNA-seq"), ("GSE4", "Lung cancer RNA-seq")]
     stream_ingest(spark, f"file://{landing}", root, vocab, dim=8)
-    assert t.read("records", schemas.RECORDS).count() == 2 and t.read("runs", "run_id long, status string").count() == 2
+    assert t("records").count() == 2 and t("runs").count() == 2
 
 
 def test_record_json(spark):

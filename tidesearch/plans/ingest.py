@@ -42,7 +42,7 @@ def parse_record(raw: DataFrame) -> DataFrame:
 
 @dataclass
 class Ingested:
-    """What an ingest makes: the new content of the tables, and its logs."""
+    """What an ingest makes: rows or new content of the tables, and its logs."""
 
     records: DataFrame
     vectors: DataFrame
@@ -50,11 +50,10 @@ class Ingested:
     run: DataFrame
 
 
-def ingest_batch(landed: DataFrame, records: DataFrame, vectors: DataFrame, run_id: int, at, provider: Callable | None = None, dim: int = 384, skip: bool = True, prefix: str = "GSE") -> Ingested:
-    """Ingest landed JSON responses (``value``) at time ``at`` as run ``run_id``.
+def ingest_new(landed: DataFrame, records: DataFrame, run_id: int, at, provider: Callable | None = None, dim: int = 384, skip: bool = True, prefix: str = "GSE") -> Ingested:
+    """What landed JSON responses (``value``) add at time ``at`` as run ``run_id``; with ``skip`` nothing for an accession in ``records``.
 
-    A bad record fails alone: its item says why.  A batch without candidates is a completed run of nothing.  Replaying a batch with ``skip`` changes
-    neither records nor vectors.
+    A bad record fails alone: its item says why.  A batch without candidates is a completed run of nothing.
     """
     raw = summary_to_raw(flatten_esummary(landed))
     # Of entries with one accession the same one each time: the greatest in the order of all columns.
@@ -74,4 +73,10 @@ def ingest_batch(landed: DataFrame, records: DataFrame, vectors: DataFrame, run_
     run = landed.sparkSession.createDataFrame([(run_id,)], "run_id long").join(counts, "run_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     run = run.select("run_id", F.coalesce("status", F.lit("completed")).alias("status"), zero("total_count"), zero("success_count"), zero("error_count"), stamp.alias("start_time"))
-    return Ingested(upsert_records(records, parsed, ["accession"]), upsert_records(vectors, embedded, ["accession"], "updated_at", None), items, run)
+    return Ingested(parsed, embedded, items, run)
+
+
+def ingest_batch(landed: DataFrame, records: DataFrame, vectors: DataFrame, run_id: int, at, provider: Callable | None = None, dim: int = 384, skip: bool = True, prefix: str = "GSE") -> Ingested:
+    """``ingest_new`` upserted into ``records`` and ``vectors``.  Replaying a batch with ``skip`` changes neither."""
+    new = ingest_new(landed, records, run_id, at, provider, dim, skip, prefix)
+    return Ingested(upsert_records(records, new.records, ["accession"]), upsert_records(vectors, new.vectors, ["accession"], "updated_at", None), new.items, new.run)

@@ -26,6 +26,7 @@ from tidesearch.plans import report
 from tidesearch.plans import search as S
 from tidesearch.schemas import LINKS
 from tidesearch.sources import readers, writers
+from tidesearch.streaming import ingest as ST
 
 QUERY = "and tionth-er ingthe (ent)"
 QUERIES_TEXT = ("and tionth", "ingthe ent", "no such words zzzz", "ation of", "ent re")
@@ -194,13 +195,13 @@ def filter_accessions(s, d):
     return readers.filter_accessions(named)
 
 
-def _landed(s, d) -> DataFrame:
+def _landed(s, d, *keep: str) -> DataFrame:
     """Summary responses made from documents, as they would land: one JSON object a document."""
     e = V.table(s, d, "documents")
     name = F.concat(F.lit("GSE"), F.col("doc_id").cast("string"))
     entry = F.struct(name.alias("accession"), F.substring("text", 1, 80).alias("title"), F.expr("substring(text, 81)").alias("summary"), F.lit("array").alias("gdstype"), F.lit("570").alias("gpl"), F.col("lang").alias("taxon"), F.lit("2023/01/15").alias("pdat"), F.col("n_chars").cast("string").alias("n_samples"))
     uid = F.col("doc_id").cast("string")
-    return e.select(F.to_json(F.struct(F.map_from_entries(F.array(F.struct(F.lit("uids"), F.to_json(F.array(uid))), F.struct(uid, F.to_json(entry)))).alias("result"))).alias("_j"), uid.alias("_uid"), F.to_json(entry).alias("_e")).select(F.concat(F.lit('{"result": {"uids": ["'), "_uid", F.lit('"], "'), "_uid", F.lit('": '), "_e", F.lit("}}")).alias("value"))
+    return e.select(F.to_json(F.struct(F.map_from_entries(F.array(F.struct(F.lit("uids"), F.to_json(F.array(uid))), F.struct(uid, F.to_json(entry)))).alias("result"))).alias("_j"), uid.alias("_uid"), F.to_json(entry).alias("_e")).select(F.concat(F.lit('{"result": {"uids": ["'), "_uid", F.lit('"], "'), "_uid", F.lit('": '), "_e", F.lit("}}")).alias("value"), *keep)
 
 
 FLAT = "SELECT CAST(doc_id AS VARCHAR) AS uid, 'GSE' || doc_id AS accession, substring(text, 1, 80) AS title, CAST(n_chars AS VARCHAR) AS n_samples FROM documents"
@@ -808,6 +809,20 @@ def ingest_batch(s, d):
     return out.join(F.broadcast(run))  # one row
 
 
+@query("""SELECT 'GSE' || doc_id AS accession, CAST(doc_id % 2 AS BIGINT) AS run_id, md5(trim(regexp_replace(substring(text, 81), '[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+', ' ', 'g'))) AS summary_md5, CAST(64 AS INTEGER) AS dim, 'completed' AS item,
+  CAST(count(*) OVER (PARTITION BY doc_id % 2) AS BIGINT) AS run_total FROM documents""")
+def stream_ingest(s, d):
+    """All documents land in two halves; the second landing repeats the first, which is skipped."""
+    landing, root = _folder(s), _folder(s)
+    even = F.col("_uid").cast("long") % 2 == 0
+    for landed in (_landed(s, d, "_uid").where(even), _landed(s, d, "_uid")):
+        landed.select("value").write.mode("append").text(landing)
+        ST.stream_ingest(s, landing, root, V.vocab(s, d), wholetext=False)
+    t = lambda name: ST.read_table(s, root, name).drop("batch")
+    out = t("records").select("accession", F.md5("summary").alias("summary_md5")).join(t("vectors").select("accession", F.size("embedding").alias("dim")), "accession")
+    return out.join(t("items").select("accession", "run_id", F.col("status").alias("item")), "accession").join(t("runs").select("run_id", F.col("total_count").alias("run_total")), "run_id")
+
+
 @query("""SELECT accession, CAST(count(*) AS BIGINT) AS cells, round(sum(abs(v)) / sqrt(sum(v * v)), 4) AS spread, round(max(abs(v)) / sqrt(sum(v * v)), 4) AS peak FROM (
     SELECT accession, k, sum(sign) AS v FROM (SELECT accession, ('0x' || substring(h, 1, 7))::BIGINT % 384 AS k, CASE WHEN substring(h, 8, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign
       FROM (SELECT accession, md5(unnest(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(summary, '') || ' ' || coalesce(overall_design, '')), '[\\p{L}\\p{N}_]+'))) AS h FROM records)) GROUP BY 1, 2 HAVING sum(sign) <> 0) GROUP BY 1""", "records")

@@ -2,71 +2,59 @@
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidesearch import schemas
 from tidesearch.operators.tagging import tag_records
-from tidesearch.plans.ingest import ingest_batch
-
-
-@dataclass
-class Tables:
-    """Folders of the stored tables.  A version is written whole, then named in ``current``; readers never see half a table."""
+from tidesearch.plans.ingest import ingest_new
 
-    spark: SparkSession
-    root: str
+TABLES = {
+    "records": schemas.RECORDS,
+    "links": schemas.LINKS,
+    "vectors": "accession string, embedding array<float>, updated_at timestamp",
+    "items": "run_id long, accession string, status string, error_message string, process_time timestamp",
+    "runs": "run_id long, status string, total_count long, success_count long, error_count long, start_time timestamp",
+}
 
-    def read(self, name: str, schema) -> DataFrame:
-        try:
-            versions = self.spark.read.schema("path string, batch long").json(f"{self.root}/current/{name}")
-            path = versions.orderBy(F.desc("batch")).first()["path"]
-        except (AnalysisException, TypeError):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
 
-    def has(self, name: str, batch: int) -> bool:
-        try:
-            return not self.spark.read.schema("path string, batch long").json(f"{self.root}/current/{name}").where(F.col("batch") == batch).isEmpty()
-        except AnalysisException:
-            return False
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A stored table with the micro-batch that added each row; empty before the first."""
+    schema = f"{TABLES[name]}, batch long"
+    try:
+        return spark.read.schema(schema).parquet(f"{root}/{name}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
-    def write(self, name: str, df: DataFrame, batch: int) -> None:
-        path = f"{self.root}/data/{name}/{batch}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.spark.createDataFrame([(path, batch)], "path string, batch long").coalesce(1).write.mode("append").json(f"{self.root}/current/{name}")
 
-
-def stream_ingest(spark: SparkSession, landing: str, root: str, vocab: DataFrame, dim: int = 64, at: str = "2024-01-01"):
+def stream_ingest(spark: SparkSession, landing: str, root: str, vocab: DataFrame, dim: int = 64, at: str = "2024-01-01", wholetext: bool = True):
     """Ingest the files that have landed since the last call, once each; returns the finished query.
 
-    Every micro-batch skips stored records, upserts the rest, tags them and logs a run.  A batch that is replayed changes nothing: its
-    last write, of the records, tells that it was done.
+    A file is one JSON response, or with ``wholetext=False`` one a line.  Every micro-batch skips stored records and adds the rest, their
+    vectors, their links and a run's log as a folder of its own, so its work grows with what has landed.  A batch that is replayed after a
+    failure looks at earlier batches alone and writes its own folders anew.
     """
-    tables = Tables(spark, root)
-    vectors_schema = "accession string, embedding array<float>, updated_at timestamp"
-    items_schema = "run_id long, accession string, status string, error_message string, process_time timestamp"
-    runs_schema = "run_id long, status string, total_count long, success_count long, error_count long, start_time timestamp"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        if tables.has("records", batch_id):  # replayed after it was done
-            return
-        stored = tables.read("records", schemas.RECORDS)
-        done = ingest_batch(batch, stored, tables.read("vectors", vectors_schema), batch_id, at, dim=dim)
-        fresh = done.records.join(stored.select("accession"), "accession", "left_anti")
-        links = tag_records(fresh, vocab, tables.read("links", schemas.LINKS))
-        items = tables.read("items", items_schema).where(F.col("run_id") != batch_id).unionByName(done.items)
-        runs = tables.read("runs", runs_schema).where(F.col("run_id") != batch_id).unionByName(done.run)
-        # Records come last: if the batch is cut off before, its replay does all of it again.
-        for name, df, schema in (("links", links, schemas.LINKS), ("vectors", done.vectors, vectors_schema), ("items", items, items_schema), ("runs", runs, runs_schema), ("records", done.records, schemas.RECORDS)):
-            names = [f.split()[0] for f in schema.split(", ")]
-            tables.write(name, df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in names]), batch_id)
-
-    files = spark.readStream.format("text").option("wholetext", True).load(landing)
+        earlier = read_table(spark, root, "records").where(F.col("batch") < batch_id).select("accession")
+        new = ingest_new(batch, earlier, batch_id, at, dim=dim)
+
+        def add(name: str, df: DataFrame) -> None:
+            columns = spark.createDataFrame([], TABLES[name]).schema
+            rows = df.select(*[(F.col(c.name) if c.name in df.columns else F.lit(None)).cast(c.dataType).alias(c.name) for c in columns])
+            rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+
+        add("records", new.records)
+        parsed = read_table(spark, root, "records").where(F.col("batch") == batch_id)
+        add("links", tag_records(parsed, vocab))
+        add("vectors", new.vectors)
+        add("items", new.items)
+        add("runs", new.run)
+
+    files = spark.readStream.format("text").option("wholetext", wholetext).load(landing)
     query = files.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return query
