@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidesearch.llm import ann, langid, mixing, packing, quality, secrets, sharding, simhash, token_output, warc
+from tidesearch.llm import ann, bpe, langid, mixing, packing, periodic, quality, secrets, sharding, simhash, spelling, token_output, warc
 
 
 def tokenizer_path() -> str:
@@ -60,7 +60,21 @@ def op10_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_files(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_forest_neighbours, op2_source_mix, op3_randomness_secrets, op4_hash_tree_shards, op5_simhash_groups, op6_warc_normaliser, op7_best_fit_packing, op8_adaptive_quality, op9_hyperdimensional_language, op10_huffman_token_files)}
+def op11_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(_table(spark, sf_dir, "documents"))
+
+
+def op13_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+_FIRST = (op1_forest_neighbours, op2_source_mix, op3_randomness_secrets, op4_hash_tree_shards, op5_simhash_groups, op6_warc_normaliser, op7_best_fit_packing)
+_LATER = (op8_adaptive_quality, op9_hyperdimensional_language, op10_huffman_token_files, op11_recompression_runs, op12_spelling_trie, op13_streaming_bpe)
+QUERIES = {f.__name__: f for f in _FIRST + _LATER}
 #: Base32 of a SHA-1 in SQL: five hexadecimal digits are four of base 32.
 _BASE32 = " || ".join(f"to_base(CAST('0x' || substring(sha1(h), {5 * i + 1}, 5) AS BIGINT), 32, 4)" for i in range(8))
 _LOG = repr(math.log1p(quality.ACCURACY))

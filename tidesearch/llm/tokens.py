@@ -33,7 +33,7 @@ def encoder(path: str) -> "Encoder":
     return _encoders[path]
 
 
-def _spans(at: np.ndarray, n: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def spans(at: np.ndarray, n: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The places at[i], at[i] + 1, ... (n[i] of them) one span after the other; ends: n summed up."""
     kind = np.int32 if max(int(ends[-1]), int(at.max()) + int(n.max())) < 1 << 31 else np.int64
     out = np.repeat((at - (ends - n)).astype(kind), n)
@@ -98,7 +98,7 @@ class Encoder:
             stem = np.fromiter((self.known[w[:-1]] for w in marked), dtype=np.int64, count=len(marked))
             n = self.len[stem] + 1
             ends = np.cumsum(n)
-            source = _spans(self.at[stem], n, ends)
+            source = spans(self.at[stem], n, ends)
             source[ends - 1] = 0
             ids = self.pool[source]
             ids[ends - 1] = [self.marks[w[-1]] for w in marked]
@@ -137,7 +137,7 @@ class Encoder:
             pool = np.concatenate([self.pool[: self.used], head_ids])
             at[first], n[first] = self.used + np.cumsum(head_n) - head_n, head_n
             ends = np.cumsum(n)
-            flat = pool[_spans(at, n, ends)]
+            flat = pool[spans(at, n, ends)]
             counts[plain] = np.add.reduceat(n, first)
             if not parts:
                 return flat, counts
