@@ -3,31 +3,34 @@
 Every metric of a document is an integer.  Its distribution per language and source is kept as a sketch: counts by
 logarithmic bucket, each within ``ACCURACY`` of the values it stands for.  Such sketches merge by adding counts, so one
 aggregation gives those of sources within languages, of languages, of sources and of the corpus.  They hold the documents that
-pass the base rule.  Two thresholds are read off each, and no other cutoff is used:
+pass the base rule.  Every threshold is a tail quantile of such a sketch, of all its values, so the share of zeros decides
+where the tail of a metric begins that most documents do not have at all.  A group's quantile is shrunk towards its language's and its source's,
+and these towards the corpus's, by numbers of documents; one document moves it by a bucket at most.
 
-- fences, wide of the middle half of the positive values by a multiple of that half's width (most documents have no symbol or
-  repeated line at all, so the middle half of all values says nothing).  Those of a group are shrunk towards its language's and
-  source's, and these towards the corpus's, by the numbers of positive values;
-- a cut, where the upper values stand apart: the buckets above an empty stretch that is longer than the buckets on either side
-  of it reach are no tail of the rest.  It takes at least ``group_docs`` positive values to tell, in a language or else the corpus.
-
-A document outside the fences of its own group, or at or above the cut, is rejected.
+A document is rejected if one metric lies beyond the far quantile of its own group, or two kinds of metrics beyond the near one.  (Repeated lines,
+repeated passages and words that follow themselves are one kind, as one repetition makes several of them.)
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidesearch.llm.shared import WORD, durable, let
+from tidesearch.llm.shared import WORD, durable, let, scratch
 
 #: Relative width of a sketch's buckets.
 ACCURACY = 0.02
 #: metric -> whether values that are too low are also rejected.
 METRICS = {"word_length": True, "symbols": False, "dup_lines": False, "repeats": False, "stutters": False}
+KINDS = (("word_length",), ("symbols",), ("dup_lines", "repeats", "stutters"))
+#: Tails of the sketch, in hundredths on either side: one metric beyond "far" rejects, two kinds beyond "near" do.
+TAILS = {"near": 5, "far": 1}
+FENCES = [f"{side}_{tail}" for side in ("low", "high") for tail in TAILS]
 GROUP = ["level", "lang", "source", "metric"]
 
 
@@ -106,67 +109,55 @@ def sketches(measured: DataFrame) -> DataFrame:
     return wider.groupBy(*GROUP, "bucket").agg(F.sum("n").alias("n"))
 
 
-def thresholds(sketch: DataFrame, width: float) -> DataFrame:
-    """level, lang, source, metric, positive (number of positive values), low and high fence, cut (a bucket), each of one sketch alone."""
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """level, lang, source, metric, docs (how many), low and high quantiles of each tail, each of one sketch alone."""
     group = W.partitionBy(*GROUP)
     upto = group.orderBy("bucket")
-    positive = F.when(F.col("bucket") > 0, F.col("n")).otherwise(0)
-    seen = sketch.select(
-        *GROUP,
-        "bucket",
-        F.sum(positive).over(group).alias("positive"),
-        F.sum(positive).over(upto).alias("_positive_upto"),
-        (2 * (F.sum("n").over(upto) - F.col("n")) >= F.sum("n").over(group)).alias("_upper_half"),
-        F.lag("bucket").over(upto).alias("_below"),
-        F.min("bucket").over(group).alias("_first"),
-        F.max("bucket").over(group).alias("_last"),
-    )
-    quantile = lambda q: bucket_value(F.min(F.when((F.col("bucket") > 0) & (F.col("_positive_upto") >= q * F.col("positive")), F.col("bucket"))))
-    apart = F.col("bucket") - F.col("_below") > F.greatest(F.col("_below") - F.col("_first"), F.col("_last") - F.col("bucket"))
-    rows = seen.groupBy(*GROUP).agg(F.max("positive").alias("positive"), quantile(0.25).alias("_q1"), quantile(0.75).alias("_q3"), F.min(F.when(apart & F.col("_upper_half"), F.col("bucket"))).alias("cut"))
-    slack = width * (F.col("_q3") - F.col("_q1"))
-    return rows.select(*GROUP, "positive", (F.col("_q1") - slack).alias("low"), (F.col("_q3") + slack).alias("high"), "cut")
+    seen = sketch.select(*GROUP, "bucket", F.sum("n").over(group).alias("docs"), F.sum("n").over(upto).alias("_upto"))
+    quantile = lambda percent: bucket_value(F.min(F.when(100 * F.col("_upto") >= percent * F.col("docs"), F.col("bucket"))))
+    tails = [quantile(percent).alias(f"low_{t}") for t, percent in TAILS.items()] + [quantile(100 - percent).alias(f"high_{t}") for t, percent in TAILS.items()]
+    return seen.groupBy(*GROUP).agg(F.max("docs").alias("docs"), *tails)
 
 
-def fences(sketch: DataFrame, width: float, group_docs: int) -> DataFrame:
-    """lang, source and, for each metric, {metric}_low, {metric}_high and {metric}_cut of every source in a language.  Null: no such threshold."""
-    each = thresholds(sketch, width)
-    cut = F.when(F.col("positive") >= group_docs, F.col("cut"))
+def fences(sketch: DataFrame, group_docs: int) -> DataFrame:
+    """lang, source and, for each metric, {metric}_{side}_{tail} of every source in a language."""
+    each = thresholds(sketch)
 
     def shrink(c: str, parent: Column) -> Column:
-        return F.when(F.col("positive") == 0, parent).otherwise((F.col("positive") * F.col(c) + group_docs * parent) / (F.col("positive") + group_docs))
+        return (F.col("docs") * F.col(c) + group_docs * parent) / (F.col("docs") + group_docs)
 
-    corpus = each.where("level = 3").select("metric", F.col("low").alias("_low"), F.col("high").alias("_high"), cut.alias("_cut"))
+    corpus = each.where("level = 3").select("metric", *[F.col(c).alias(f"_{c}") for c in FENCES])
 
     def parents(level: int, key: str, name: str) -> DataFrame:
-        shrunk = [shrink("low", F.col("_low")).alias(f"_low_{name}"), shrink("high", F.col("_high")).alias(f"_high_{name}")]
-        own_cut = F.when(F.col("positive") >= group_docs, F.col("cut")).otherwise(F.col("_cut")).alias(f"_cut_{name}")
-        return each.where(F.col("level") == level).join(F.broadcast(corpus), "metric").select(F.col("metric").alias(f"_metric_{name}"), F.col(key).alias(f"_{key}_{name}"), *shrunk, own_cut)
+        shrunk = [shrink(c, F.col(f"_{c}")).alias(f"_{c}_{name}") for c in FENCES]
+        return each.where(F.col("level") == level).join(F.broadcast(corpus), "metric").select(F.col("metric").alias(f"_metric_{name}"), F.col(key).alias(f"_{key}_{name}"), *shrunk)
 
-    own = each.where("level = 0").drop("cut")
+    own = each.where("level = 0")
     own = own.join(parents(1, "lang", "l"), F.col("lang").eqNullSafe(F.col("_lang_l")) & (F.col("metric") == F.col("_metric_l")))
     own = own.join(parents(2, "source", "s"), F.col("source").eqNullSafe(F.col("_source_s")) & (F.col("metric") == F.col("_metric_s")))
-    both = lambda c: (F.col(f"_{c}_l") + F.col(f"_{c}_s")) / 2
-    own = own.select("lang", "source", "metric", shrink("low", both("low")).alias("low"), shrink("high", both("high")).alias("high"), F.col("_cut_l").alias("cut"))
+    own = own.select("lang", "source", "metric", *[shrink(c, (F.col(f"_{c}_l") + F.col(f"_{c}_s")) / 2).alias(c) for c in FENCES])
     pick = lambda k, c: F.max(F.when(F.col("metric") == k, F.col(c))).alias(f"{k}_{c}")
-    return own.groupBy("lang", "source").agg(*[pick(k, c) for k in METRICS for c in ("low", "high", "cut")])
+    return own.groupBy("lang", "source").agg(*[pick(k, c) for k in METRICS for c in FENCES])
 
 
-def quality_verdicts(docs: DataFrame, width: float = 4.0, group_docs: int = 200, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
+def quality_verdicts(docs: DataFrame, group_docs: int = 200, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every document.
 
-    ``group_docs`` is the weight of the wider group in a fence, in documents, and the least number of positive values that a cut
-    is read from.  Null lang or source is a value like any other.  Null or empty text has no words and fails the base rule.
-    Repeated rows are judged each.  An empty table gives an empty result.
+    ``group_docs`` is the weight of the wider group in a threshold, in documents.  Null lang or source is a value like any other.  Null or
+    empty text has no words and fails the base rule.  Repeated rows are judged each.  An empty table gives an empty result.
     """
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    measured = durable(measure(docs), "quality-measures")
-    bounds = durable(fences(sketches(measured.where(~failed)), width, group_docs), "quality-fences")
+    with scratch(docs.sparkSession):
+        measured = durable(measure(docs), "quality-measures", keep=True)
+        bounds = durable(fences(sketches(measured.where(~failed)), group_docs), "quality-fences", keep=True)
     bounds = bounds.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     judged = measured.join(bounds, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    outside = F.lit(False)
-    for k, v in metrics().items():
-        tests = [v > F.col(f"{k}_high"), bucket(v) >= F.col(f"{k}_cut")] + ([v < F.col(f"{k}_low")] if METRICS[k] else [])
-        for test in tests:
-            outside = outside | F.coalesce(test, F.lit(False))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~outside).alias("kept"))
+    value = metrics()
+
+    def beyond(k: str, tail: str) -> Column:
+        high = value[k] > F.col(f"{k}_high_{tail}")
+        return F.coalesce(high | (value[k] < F.col(f"{k}_low_{tail}")) if METRICS[k] else high, F.lit(False))
+
+    far = reduce(or_, [beyond(k, "far") for k in METRICS])
+    near = reduce(add, [reduce(or_, [beyond(k, "near") for k in kind]).cast("int") for kind in KINDS])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far & (near < 2)).alias("kept"))

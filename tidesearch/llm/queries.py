@@ -94,18 +94,17 @@ _QUALITY = f"""WITH w AS (SELECT row_number() OVER () AS rn, doc_id, lang, sourc
     ok AS (SELECT * FROM m WHERE NOT failed),
     sk AS (SELECT 0 AS level, lang AS gl, source AS gs, metric, b, count(*) AS n FROM ok GROUP BY ALL UNION ALL SELECT 1, lang, NULL, metric, b, count(*) FROM ok GROUP BY ALL
       UNION ALL SELECT 2, NULL, source, metric, b, count(*) FROM ok GROUP BY ALL UNION ALL SELECT 3, NULL, NULL, metric, b, count(*) FROM ok GROUP BY ALL),
-    run AS (SELECT level, gl, gs, metric, b, coalesce(sum(n) FILTER (b > 0) OVER g, 0) AS positive, sum(n) FILTER (b > 0) OVER u AS upto, 2 * (sum(n) OVER u - n) >= sum(n) OVER g AS upper_half, lag(b) OVER u AS below,
-      min(b) OVER g AS first, max(b) OVER g AS last FROM sk WINDOW g AS (PARTITION BY level, gl, gs, metric), u AS (PARTITION BY level, gl, gs, metric ORDER BY b)),
-    q AS (SELECT level, gl, gs, metric, max(positive) AS n, {_VALUE % "min(b) FILTER (b > 0 AND upto >= 0.25 * positive)"} AS q1, {_VALUE % "min(b) FILTER (b > 0 AND upto >= 0.75 * positive)"} AS q3,
-      min(b) FILTER (upper_half AND b - below > greatest(below - first, last - b)) AS cut FROM run GROUP BY ALL),
-    f AS (SELECT level, gl, gs, metric, n, q1 - 4.0 * (q3 - q1) AS low, q3 + 4.0 * (q3 - q1) AS high, cut FROM q),
-    p AS (SELECT a.level, a.gl, a.gs, a.metric, CASE WHEN a.n = 0 THEN c.low ELSE (a.n * a.low + 200 * c.low) / (a.n + 200) END AS low, CASE WHEN a.n = 0 THEN c.high ELSE (a.n * a.high + 200 * c.high) / (a.n + 200) END AS high,
-      CASE WHEN a.n >= 200 THEN a.cut WHEN c.n >= 200 THEN c.cut END AS cut FROM f a JOIN f c USING (metric) WHERE a.level IN (1, 2) AND c.level = 3),
-    own AS (SELECT a.gl, a.gs, a.metric, CASE WHEN a.n = 0 THEN (l.low + s.low) / 2 ELSE (a.n * a.low + 200 * (l.low + s.low) / 2) / (a.n + 200) END AS low,
-      CASE WHEN a.n = 0 THEN (l.high + s.high) / 2 ELSE (a.n * a.high + 200 * (l.high + s.high) / 2) / (a.n + 200) END AS high, l.cut FROM f a
-      JOIN p l ON l.level = 1 AND l.gl IS NOT DISTINCT FROM a.gl AND l.metric = a.metric JOIN p s ON s.level = 2 AND s.gs IS NOT DISTINCT FROM a.gs AND s.metric = a.metric WHERE a.level = 0),
-    verdict AS (SELECT m.rn, bool_or(coalesce(v > high, false) OR coalesce(b >= cut, false) OR (m.metric IN ({_LOW}) AND coalesce(v < low, false))) AS outside
-      FROM m LEFT JOIN own ON own.metric = m.metric AND own.gl IS NOT DISTINCT FROM m.lang AND own.gs IS NOT DISTINCT FROM m.source GROUP BY 1)
+    run AS (SELECT *, sum(n) OVER (PARTITION BY level, gl, gs, metric) AS docs, sum(n) OVER (PARTITION BY level, gl, gs, metric ORDER BY b) AS upto FROM sk),
+    q AS (SELECT level, gl, gs, metric, tail, max(docs) AS n, {_VALUE % "min(b) FILTER (100 * upto >= tail * docs)"} AS low, {_VALUE % "min(b) FILTER (100 * upto >= (100 - tail) * docs)"} AS high
+      FROM run, (VALUES (1), (5)) t(tail) GROUP BY ALL),
+    p AS (SELECT a.level, a.gl, a.gs, a.metric, a.tail, (a.n * a.low + 200 * c.low) / (a.n + 200) AS low, (a.n * a.high + 200 * c.high) / (a.n + 200) AS high
+      FROM q a JOIN q c USING (metric, tail) WHERE a.level IN (1, 2) AND c.level = 3),
+    own AS (SELECT a.gl, a.gs, a.metric, a.tail, (a.n * a.low + 200 * ((l.low + s.low) / 2)) / (a.n + 200) AS low, (a.n * a.high + 200 * ((l.high + s.high) / 2)) / (a.n + 200) AS high FROM q a
+      JOIN p l ON l.level = 1 AND l.gl IS NOT DISTINCT FROM a.gl AND l.metric = a.metric AND l.tail = a.tail JOIN p s ON s.level = 2 AND s.gs IS NOT DISTINCT FROM a.gs AND s.metric = a.metric AND s.tail = a.tail WHERE a.level = 0),
+    signs AS (SELECT m.rn, own.tail, CASE WHEN m.metric IN ('word_length', 'symbols') THEN m.metric ELSE 'repetition' END AS kind, bool_or(v > high OR (m.metric IN ({_LOW}) AND v < low)) AS sign
+      FROM m JOIN own ON own.metric = m.metric AND own.gl IS NOT DISTINCT FROM m.lang AND own.gs IS NOT DISTINCT FROM m.source GROUP BY ALL),
+    judged AS (SELECT rn, count(*) FILTER (sign AND tail = 1) >= 1 OR count(*) FILTER (sign AND tail = 5) >= 2 AS outside FROM signs GROUP BY 1),
+    verdict AS (SELECT base.rn, coalesce(outside, false) AS outside FROM base LEFT JOIN judged USING (rn))
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND NOT outside AS kept FROM base JOIN verdict USING (rn)"""
 #: SQL has no XXH64, tokenizer, model fit or search forest; the tests hold those queries against brute force.
 ORACLE_SQL: dict[str, str] = {
