@@ -3,8 +3,8 @@ import pytest
 SF = "/root/testdata/sf0.001"
 
 #: Names that the operators and stages use themselves.
-CLASHING = "size shard bucket count score lang_pred base found spans taken text_key fp row text_ _row _text _text_key _doc _key _rows _z0 _d _s n_words source_size target".split()
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in CLASHING)
+CLASHING = "size shard bucket count score lang_pred base found spans taken text_key fp row text_ _row _text _text_key _doc _key _rows _z0 _d _s n_words source_size target a.b place bucket`s".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + c.replace("`", "``") + "` long" for c in CLASHING)
 
 
 @pytest.fixture(scope="session")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidesearch.llm.shared import extended
 
 DIMENSIONS = 1024
 SEED = 20011
@@ -162,8 +163,7 @@ def predict(docs: DataFrame, model: dict[str, list[int]], keep: list[str]) -> Da
             yield pa.RecordBatch.from_arrays(out, [*keep, "lang_pred", "score"])
 
     rows = docs.select(*keep, F.col("text").cast("binary").alias("_text"))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, ", ".join(filter(None, [kinds, "lang_pred string, score double"])))
+    return rows.mapInArrow(run, extended(rows, "lang_pred string, score double"))
 
 
 #: Learnt texts of a length class that give it a cut of its own, and the least cut.

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidesearch.llm.shared import WORD, durable, gapless_rank, word_count
+from tidesearch.llm.shared import WORD, durable, gapless_rank, whole_row, word_count
 
 #: Fractional part of the golden ratio, and of 2**20 times it.
 PHI = 0.6180339887498949
@@ -119,7 +119,7 @@ def take_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs
     are never taken; a null source is a source; repeated rows are documents of their own; an empty table gives an empty one.  Columns may have any names.
     """
     mixed = mix_documents(docs, weights, max_epochs).where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "taken", F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy("offset")).alias("_n"))
-    own = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text", word_count(F.col("text")).alias("_z0"))
+    own = docs.select(whole_row(docs).alias("_row"), "doc_id", "source", "text", word_count(F.col("text")).alias("_z0"))
     own = own.withColumn("_n0", F.row_number().over(W.partitionBy("doc_id", "source", "_z0").orderBy("text")))
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_z0") == F.col("_z")) & (F.col("_n0") == F.col("_n"))
     drawn = own.join(mixed, on).withColumn("_left", F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("_z")).cast("int") - 1), lambda e: F.col("taken") - e * F.col("_z"))))

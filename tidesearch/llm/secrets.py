@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidesearch.llm.shared import durable
+from tidesearch.llm.shared import durable, extended, whole_row
 
 # Fixed patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -150,8 +150,7 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(base, span), pa.array(found, cand)], [*keep, "base", "found"])
 
     rows = docs.select(*keep, F.col("text").alias("_text"))
-    kinds = "".join(f"`{c}` {t}, " for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, f"{kinds}base array<{SPAN}>, found array<{FOUND}>")
+    return rows.mapInArrow(run, extended(rows, f"base array<{SPAN}>, found array<{FOUND}>"))
 
 
 def _median(cells) -> tuple[int, int]:
@@ -243,7 +242,7 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
 
     Null texts stay null, repeated rows stay repeated, an empty table stays empty; columns may have any names.
     """
-    rows = with_secret_spans(docs.select(F.struct(*docs.columns).alias("row"), "text"), ["row"])  # whatever names the columns have
+    rows = with_secret_spans(docs.select(whole_row(docs).alias("row"), "text"), ["row"])  # whatever names the columns have
     rows = rows.select("row", "spans", F.col("row.text").alias("text"))
     # Texts are joined from what lies between spans; spans that overlap count as one.
     ends = F.aggregate(

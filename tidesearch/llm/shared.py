@@ -11,6 +11,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of characters other than these (space, tab to carriage return).
 WORD = "[^ \\t\\n\\x0B\\f\\r]+"
@@ -61,6 +62,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+
+
+def extended(rows: DataFrame, columns: str) -> StructType:
+    """The schema of all columns of ``rows`` but the last, whatever their names, with others behind them."""
+    return StructType([*rows.schema.fields[:-1], *StructType.fromDDL(columns).fields])
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

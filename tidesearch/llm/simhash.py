@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidesearch.llm.shared import durable, scratch
+from tidesearch.llm.shared import durable, scratch, whole_row
 
 #: Anchors that are home to more fingerprints than this are compared in blocks that return a spanning forest.
 DENSE = 256
@@ -184,7 +184,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
         rows = found.groupBy("group_fp", "doc_id", "text_key").agg(F.count("*").alias("_rows"))
         least = rows.groupBy("group_fp").agg(F.min(F.struct("text_key", "_rows")).alias("_first"), F.first("doc_id").alias("_doc"))
         keep = durable(least.select(F.col("_first.text_key").alias("_key"), "_doc", F.col("_first._rows").alias("_rows")), "simhash-keep", keep=True)
-    texts = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", F.xxhash64("text").alias("_text_key"))
+    texts = docs.select(whole_row(docs).alias("_row"), "doc_id", F.xxhash64("text").alias("_text_key"))
     kept = texts.join(keep, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")))
     # Only documents with repeated rows are dealt out again to keep one of them.
     once = kept.where("_rows = 1").select("_row.*")
@@ -193,8 +193,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 #: Bands of least hash values, and values a band: texts of similarity 0.8 share none with a probability below 0.0001, of 0.85 below 0.000002.
 BANDS, BAND_ROWS = 24, 5
-#: Members of a bucket, on each side, that a task compares.
-MEMBERS = 512
+#: Members of a bucket, on each side, that a task compares, shingles it counts at once, and rounds of first members before that.
+MEMBERS, COLUMNS, ROUNDS = 512, 4096, 4
 _MASKS, _FACTORS = np.random.default_rng(20017).integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -229,89 +229,94 @@ def shingle_similarity(a: bytes, b: bytes, shingle: int = 5) -> float:
     return len(x & y) / len(x | y)
 
 
-def _member_links(similarity: float, shingle: int):
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A spanning forest of the similar pairs between two blocks of a bucket, beyond what ``root`` links already."""
-        keys, roots, left = pdf["text_key"].tolist(), pdf["root"].tolist(), pdf["left"].tolist()
-        sets = [shingle_set(t, shingle) for t in pdf["text"]]
-        one = all(left)  # a block with itself
-        parent = {r: r for r in roots}
-
-        def top(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        a, b = [], []
-        for i in range(len(keys)):
-            for j in range(len(keys)):
-                if left[i] and (i < j if one else not left[j]):
-                    x, y = top(roots[i]), top(roots[j])
-                    if x != y and _alike(sets[i], sets[j], similarity):
-                        parent[max(x, y)] = min(x, y)
-                        a.append(min(keys[i], keys[j]))
-                        b.append(max(keys[i], keys[j]))
-        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
-
-    return links
-
-
-def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(a, b): pairs of texts of ``docs`` (text_key, text; different texts) whose word shingles are similar; they connect all such pairs found.
-
-    Candidates are texts that share a bucket, a band of least shingle hashes (an edit, be it scattered or of one passage, counts as
-    it does for the similarity).  All members of a bucket are compared with its smallest, then those of buckets that this does
-    not connect with one another, in blocks that return a spanning forest.
+def alike_pairs(texts: list[bytes], left: np.ndarray, right: np.ndarray, similarity: float, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i in ``left``, j in ``right``, i != j) of texts that are similar: shared shingles are counted for all pairs by products of incidence matrices."""
+    number: dict[bytes, int] = {}
+    rows, cols = [], []
+    for k, t in enumerate(texts):
+        own = [number.setdefault(g, len(number)) for g in shingle_set(t, shingle)]
+        rows += [k] * len(own)
+        cols += own
+    row, col = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
+    size = np.bincount(row, minlength=len(texts))
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    shared = np.zeros((len(left), len(right)), dtype=np.float32)  # exact: counts stay far below 2**24
+    for at in range(0, len(number), COLUMNS):
+        span = slice(*np.searchsorted(col, [at, at + COLUMNS]))
+        there = np.zeros((len(texts), COLUMNS), dtype=np.float32)
+        there[row[span], col[span] - at] = 1
+        shared += there[left] @ there[right].T
+    union = size[left][:, None] + size[right][None] - shared
+    i, j = np.nonzero((shared >= similarity * union) & (left[:, None] != right[None]))
+    return left[i], right[j]
+
+
+def drop_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` without those whose text is similar to that of a document that stays and has a smaller id.
+
+    As in going through the documents by id and keeping each unless one kept before is similar: of a chain in which only neighbours are similar, every
+    other one may stay.  Candidates are texts that share a bucket, a band of least shingle hashes (an edit, be it scattered or of one passage, counts as it does for the
+    similarity).  A text that is the first of all its buckets stays, and what is similar to it goes; after ``ROUNDS`` such rounds the texts left are compared
+    with all others in their buckets, and decided round by round along the similar pairs.
+
+    Texts without words (null, empty) are similar to none.  Null ids are the greatest, ties go by a digest of the text; rows with one text stay or go
+    together, with the smallest of their ids.  An empty table stays empty.  Columns may have any names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, bucket = [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1)):
+            at, bucket = [], []
+            for k, t in enumerate(b.column(1)):
                 found = band_keys(t.as_py(), shingle)
-                key += [k] * len(found)
+                at += [k] * len(found)
                 bucket += found
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(bucket, pa.int64())], ["text_key", "bucket"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(bucket, pa.int64())], ["place", "bucket"])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [_alike(shingle_set(x.as_py(), shingle), shingle_set(y.as_py(), shingle), similarity) for x, y in zip(b.column(2), b.column(3))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    texts = docs.select("text_key", F.col("text").cast("binary").alias("text"))
-    wide = durable(texts.mapInArrow(run, "text_key long, bucket long"), "similar-bands")
-    buckets = wide.groupBy("bucket").agg(F.min("text_key").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    members = durable(wide.join(buckets, "bucket"), "similar-members")
-    pairs = durable(members.where("text_key != centre").select(F.col("centre").alias("a"), F.col("text_key").alias("b")).distinct(), "similar-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
-    some = durable(texts.join(needed, "text_key", "left_semi"), "similar-some")
-    met = pairs.join(some.select(F.col("text_key").alias("a"), F.col("text").alias("_ta")), "a").join(some.select(F.col("text_key").alias("b"), F.col("text").alias("_tb")), "b")
-    found = durable(met.select("a", "b", "_ta", "_tb").mapInArrow(measured, "a long, b long"), "similar-found")
-    stars = components(found)
-    rooted = members.where("n > 2").join(stars.select(F.col("node").alias("text_key"), "root"), "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
-    # Members that no pair with the smallest has linked to it, or that are alone in that, may be similar to others.
-    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("_r"), F.max("root").alias("_s"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")).where("_r != _s").select("bucket", "blocks")
-    rest = durable(rooted.join(open_, "bucket").select("bucket", "text_key", "root", "blocks"), "similar-open")
-    own = F.pmod(F.xxhash64("text_key", F.lit(1)), F.col("blocks")).cast("int")
-    # A member goes to the block pairs (i, j), i <= j, of its own block.
-    placed = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "text_key", "root").join(some, "text_key")
-    more = placed.groupBy("bucket", "i", "j").applyInPandas(_member_links(similarity, shingle), "a long, b long")
-    return found.unionByName(more).distinct()
-
-
-def drop_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` (different texts) without those that are linked by similarity to a document with a smaller id.
-
-    Texts without words (null, empty) are similar to none.  Null ids are the greatest, ties go by a hash of the text; rows with one text are linked to the
-    same others.  An empty table stays empty.  Columns may have any names.
-    """
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("text_key"))
-    with scratch(docs.sparkSession):
-        own = durable(keyed.select("doc_id", "text", "text_key"), "similar-texts")
-        stars = components(durable(similar_texts(own, similarity, shingle), "similar-verified"))
-        member = own.select("doc_id", "text_key").join(stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct(), F.col("text_key") == F.col("node"))
-        least = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("_least"))
-        lost = durable(member.join(least, "root").where(F.col("text_key") != F.col("_least.text_key")).select("text_key").distinct(), "similar-lost", keep=True)
-    return keyed.join(lost, "text_key", "left_anti").select("_row.*")
+            ok = [_alike(shingle_set(x.as_py(), shingle), shingle_set(y.as_py(), shingle), similarity) for x, y in zip(b.column(1), b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["text_key"]).filter(pa.array(ok, pa.bool_()))
+
+    def block(t: pa.Table) -> pa.Table:
+        left = t.column("left").to_numpy(zero_copy_only=False)
+        here, there = np.flatnonzero(left), np.arange(t.num_rows) if left.all() else np.flatnonzero(~left)
+        i, j = alike_pairs(t.column("text").to_pylist(), here, there, similarity, shingle)
+        return pa.table([t.column("place").take(pa.array(i)), t.column("place").take(pa.array(j))], ["x", "y"])
+
+    spark = docs.sparkSession
+    keyed = docs.select(whole_row(docs).alias("_row"), "doc_id", "text", F.md5("text").alias("text_key"))
+    with scratch(spark):
+        own = durable(keyed.select(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key").alias("place"), F.col("text").cast("binary").alias("text")).where("text is not null"), "similar-texts")
+        first = own.groupBy("place.text_key").agg(F.min("place").alias("place"))
+        first = durable(first.select("place"), "similar-first")  # one place a text
+        texts = own.join(first, "place").dropDuplicates(["place"])
+        place = "struct<late:boolean,doc_id:bigint,text_key:string>"
+        wide = durable(texts.select("place", "text").mapInArrow(run, f"place {place}, bucket long"), "similar-bands")
+        members = durable(wide.join(wide.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket").select("bucket", "place"), "similar-members")
+        some = durable(texts.join(members.select("place").distinct(), "place", "left_semi").select(F.col("place.text_key").alias("text_key"), "text"), "similar-some")
+        lost = []
+        for _ in range(ROUNDS):
+            centred = durable(members.join(members.groupBy("bucket").agg(F.min("place").alias("centre")), "bucket"), "similar-centred")
+            stay = durable(centred.groupBy("place").agg(F.bool_and(F.col("place") == F.col("centre")).alias("_first")).where("_first").select("place"), "similar-stay")
+            pairs = centred.join(stay.select(F.col("place").alias("centre")), "centre").where("place != centre").select(F.col("centre.text_key").alias("a"), F.col("place.text_key").alias("text_key")).distinct()
+            met = durable(pairs, "similar-pairs").join(some.select(F.col("text_key").alias("a"), F.col("text").alias("_ta")), "a").join(some.withColumnRenamed("text", "_tb"), "text_key")
+            lost.append(durable(met.select("text_key", "_ta", "_tb").mapInArrow(measured, "text_key string").distinct(), "similar-lost"))
+            open_ = members.join(stay, "place", "left_anti").where(F.col("place.text_key").isNotNull()).join(lost[-1].withColumnRenamed("text_key", "_lost"), F.col("place.text_key") == F.col("_lost"), "left_anti")
+            members = durable(open_.join(open_.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket").select("bucket", "place"), "similar-members")
+            if members.isEmpty():
+                break
+        blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+        mine = F.pmod(F.xxhash64("place.text_key", F.lit(1)), F.col("blocks")).cast("int")
+        # A member goes to the block pairs (i, j), i <= j, of its own block.
+        placed = members.join(blocks, "bucket").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        placed = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "place", F.col("place.text_key").alias("text_key")).join(some, "text_key")
+        found = placed.groupBy("bucket", "i", "j").applyInArrow(block, f"x {place}, y {place}")
+        edges = durable(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "similar-edges")
+        while not edges.isEmpty():
+            stay = durable(edges.select(F.col("a").alias("p")).distinct().join(edges.select(F.col("b").alias("p")), "p", "left_anti"), "similar-stay")
+            gone = durable(edges.join(stay.withColumnRenamed("p", "a"), "a", "left_semi").select(F.col("b").alias("p")).distinct(), "similar-gone")
+            lost.append(gone.select("p.text_key"))
+            edges = durable(edges.join(stay.unionByName(gone).withColumnRenamed("p", "a"), "a", "left_anti").join(gone.withColumnRenamed("p", "b"), "b", "left_anti").select("a", "b"), "similar-edges")
+        out = durable(reduce(DataFrame.unionByName, lost).distinct(), "similar-out", keep=True)
+    return keyed.join(out, "text_key", "left_anti").select("_row.*")
