@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidesearch.llm import langid, mixing, packing, secrets, simhash
 from tidesearch.llm.queries import tokenizer_path
-from tidesearch.llm.shared import durable
+from tidesearch.llm.shared import durable, whole_row
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", "lang", "text").where(~langid.held_out(docs) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     model = langid.learn(rows)
     cuts = F.array(*[F.lit(c) for c in langid.score_cuts(rows, model)])
-    judged = langid.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, ["row"])  # whatever names the columns have
+    judged = langid.predict(docs.select(whole_row(docs).alias("row"), "text"), model, ["row"])  # whatever names the columns have
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= F.get(cuts, langid.length_class(F.col("row.text")) - 1))).select("row.*")
 
 
