@@ -15,9 +15,15 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 
 
 def query_term_match(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(query_id, pos, token, concept_id): concepts whose name or a synonym holds the token.  Queries are few, so their tokens are the broadcast side."""
+    """(query_id, pos, token, concept_id): concepts whose name or a synonym holds the token.
+
+    Names that hold a token hold its first three characters, so the concepts' grams are joined with these and what meets is compared.
+    """
     hit = F.contains(F.lower("preferred_name"), F.col("token")) | F.exists(F.coalesce("entry_terms", F.array().cast("array<string>")), lambda e: F.contains(F.lower(e), F.col("token")))
-    return vocab.join(F.broadcast(tokens), hit).select("query_id", "pos", "token", "concept_id", "preferred_name", "entry_terms")
+    names = F.lower(F.array_join(F.concat(F.array("preferred_name"), F.coalesce("entry_terms", F.array().cast("array<string>"))), "\n"))
+    keyed = vocab.select("*", F.explode(F.array_distinct(F.regexp_extract_all(names, F.lit("(?s)(?=(.{3}))"), F.lit(1)))).alias("_gram"))
+    met = keyed.join(tokens.withColumn("_gram", F.substring("token", 1, 3)), "_gram").where(hit)
+    return met.select("query_id", "pos", "token", "concept_id", "preferred_name", "entry_terms")
 
 
 def limit_per_token(hits: DataFrame, max_terms: int = 5) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Queries that are asked in one batch at most.
+MAX_QUERIES = 1000
+
+
 def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -26,8 +32,16 @@ def vector_topk(vectors: DataFrame, query: list[float], top_k: int = 100, where:
 
 
 def vector_topk_batch(vectors: DataFrame, queries: DataFrame, top_k: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, accession, rank, score) and the columns ``keep`` for a small table (query_id, query_vector): one pass over the vectors."""
-    scored = vectors.join(F.broadcast(queries.select("query_id", "query_vector"))).select("query_id", "accession", *keep, inner_product(F.col("embedding"), F.col("query_vector")).alias("score"))
+    """(query_id, accession, rank, score) and the columns ``keep`` for a small table (query_id, query_vector): one pass over the vectors.
+
+    The queries, ``MAX_QUERIES`` at most, are part of the plan: every vector is scored for all of them where it is read.
+    """
+    asked = queries.select("query_id", "query_vector").limit(MAX_QUERIES + 1).collect()
+    if len(asked) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries: ask them in several batches")
+    stated = json.dumps([{"q": r["query_id"], "v": [float(x) for x in r["query_vector"]]} for r in asked])
+    each = F.transform(F.from_json(F.lit(stated), "array<struct<q:bigint,v:array<double>>>"), lambda a: F.struct(a["q"].alias("query_id"), inner_product(F.col("embedding"), a["v"]).alias("score")))
+    scored = vectors.select("accession", *keep, F.explode(each).alias("_s")).select("_s.query_id", "accession", *keep, "_s.score")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "accession")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidesearch.operators.aggregates import boost_of, tag_boost
-from tidesearch.operators.expand import expand_query, expansion_text, matched_terms
-from tidesearch.operators.filters import TEXT_FIELDS, add_url, filter_condition, lexical_match
+from tidesearch.operators.expand import expansion_text, matched_terms
+from tidesearch.operators.filters import add_url, filter_condition, lexical_match, query_terms
 from tidesearch.operators.fusion import fused_score, fusion_order
+from tidesearch.operators.gram_index import GramIndex
 from tidesearch.operators.joins import fuse_full_outer, tags_with_names
-from tidesearch.operators.vectors import vector_topk, vector_topk_batch
+from tidesearch.operators.vectors import MAX_QUERIES, vector_topk, vector_topk_batch
 
 RECORD_URL = "https://example.org/records/"
 
@@ -42,12 +43,14 @@ def hybrid_search(
     overfetch: int = 2,
     prefilter: bool = False,
     base_url: str = RECORD_URL,
+    index: GramIndex | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(results, metadata).
 
     results: rank, accession, score, url, tags and the record's columns.  metadata: one row with the expanded query, the ids of matched concepts
     and the number of semantic, lexical and returned rows.  Filters apply to the keyword side before its limit and to the fused list after
-    ``overfetch * top_k``; with ``prefilter`` also to the vectors before their limit.
+    ``overfetch * top_k``; with ``prefilter`` also to the vectors before their limit.  With a stored ``index`` of the records, keywords are looked up there
+    and results fetched from it, so no scan of the texts is made.
     """
     expanded, concepts, named = query, None, None
     spark = records.sparkSession
@@ -63,7 +66,10 @@ def hybrid_search(
         if prefilter and filters:
             side = vectors.join(records.where(condition).select("accession"), "accession", "left_semi")
         semantic = _local(vector_topk(side, query_vector, candidates))
-    lexical = _local(lexical_match(records, expanded, filters, candidates)) if use_lexical else _empty(records)
+    if not use_lexical:
+        lexical = _empty(records)
+    else:
+        lexical = index.lexical_match(query_terms(expanded), filters, candidates) if index else _local(lexical_match(records, expanded, filters, candidates))
     # Both lists are bounded and local from here on: one scan of the vectors, one of the texts, one of the links for boosts.
     fused = fuse_full_outer(semantic, lexical)
     boosted = fused.withColumn("boost", F.lit(0.0))
@@ -73,7 +79,8 @@ def hybrid_search(
     scored = boosted.withColumn("score", fused_score())
     ranked = scored.withColumn("rank", F.row_number().over(W.orderBy(*fusion_order())))
     head = _local(ranked.where(F.col("rank") <= overfetch * top_k))
-    met = records.where(F.col("accession").isin([r["accession"] for r in head.collect()])).where(condition)
+    wanted = [r["accession"] for r in head.collect()]
+    met = (index.fetch(wanted) if index else records.where(F.col("accession").isin(wanted))).where(condition)
     kept = F.broadcast(head).join(met, "accession").orderBy("rank").limit(top_k)
     results = add_url(kept.withColumn("rank", F.row_number().over(W.orderBy("rank"))), base_url)
     if links is not None:
@@ -91,28 +98,28 @@ def hybrid_search(
     return results, metadata.select(F.lit(query).alias("query"), F.lit(expanded).alias("expanded_query"), listed.alias("concept_ids"), "semantic_count", "lexical_count", "returned")
 
 
-def search_batch(records: DataFrame, vectors: DataFrame, vocab: DataFrame, links: DataFrame | None, queries: DataFrame, top_k: int = 20, candidates: int = 100, overfetch: int = 2) -> DataFrame:
-    """(query_id, rank, accession, score) of many queries (query_id, query, query_vector) in one job.
+def search_batch(index: GramIndex, vectors: DataFrame, vocab: DataFrame, links: DataFrame | None, queries: DataFrame, top_k: int = 20, candidates: int = 100, overfetch: int = 2) -> DataFrame:
+    """(query_id, rank, accession, score) of many queries (query_id, query, query_vector) together, ``MAX_QUERIES`` at most.
 
-    The query table is small and broadcast; records, vectors and links are each read once for all queries.
+    Keywords of all queries are looked up in the stored index at once; vectors and links are read once for all queries.
     """
-    texts, terms = expand_query(queries, vocab)
-    low: Column = F.lower(F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in TEXT_FIELDS]))
-    words = texts.select("query_id", F.filter(F.split(F.lower("expanded_query"), r"(?U)\s+"), lambda t: F.length(t) >= 3).alias("words"))
-    hits = records.select("accession", low.alias("_low")).join(F.broadcast(words), F.exists("words", lambda t: F.contains(F.col("_low"), t)))
-    by_id = W.partitionBy("query_id").orderBy("accession")
-    lexical = hits.select("query_id", "accession", F.row_number().over(by_id).alias("lex_rank")).where(F.col("lex_rank") <= candidates)
-    semantic = vector_topk_batch(vectors, queries, candidates).select("query_id", "accession", F.col("rank").alias("sem_rank"))
+    asked = _local(queries.select("query_id", "query", "query_vector").limit(MAX_QUERIES + 1))
+    terms = _local(matched_terms(asked.select("query_id", "query"), vocab))  # a few for each query
+    words = {r["query_id"]: query_terms(r["expanded_query"]) for r in expansion_text(asked.select("query_id", "query"), terms).collect()}
+    spark = vectors.sparkSession
+    lexical = spark.createDataFrame(index.match(words, candidates), "query_id long, accession string, lex_rank int")
+    semantic = _local(vector_topk_batch(vectors, asked, candidates).select("query_id", "accession", F.col("rank").alias("sem_rank")))
     fused = semantic.join(lexical, ["query_id", "accession"], "full_outer")
     if links is not None:
-        matched = links.join(F.broadcast(terms.select("query_id", "concept_id")), "concept_id")
-        boosts = matched.join(fused.select("query_id", "accession"), ["query_id", "accession"], "left_semi").groupBy("query_id", "accession").agg(boost_of(F.count("*")).alias("boost"))
+        concepts = [r["concept_id"] for r in terms.select("concept_id").distinct().collect()]
+        matched = links.where(F.col("concept_id").isin(concepts)).join(F.broadcast(terms.select("query_id", "concept_id")), "concept_id")
+        boosts = matched.join(F.broadcast(fused.select("query_id", "accession")), ["query_id", "accession"], "left_semi").groupBy("query_id", "accession").agg(boost_of(F.count("*")).alias("boost"))
         fused = fused.join(boosts, ["query_id", "accession"], "left")
     else:
         fused = fused.withColumn("boost", F.lit(0.0))
     scored = fused.withColumn("score", fused_score())
     order = W.partitionBy("query_id").orderBy(*fusion_order())
-    head = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= overfetch * top_k)
-    there = head.join(records.select("accession"), "accession", "left_semi")
-    final = there.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("_r")))
+    head = _local(scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= overfetch * top_k))  # so many for each query
+    there = index.fetch([r["accession"] for r in head.select("accession").distinct().collect()]).select("accession")
+    final = head.join(there, "accession", "left_semi").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("_r")))
     return final.where(F.col("rank") <= top_k).select("query_id", "rank", "accession", "score")

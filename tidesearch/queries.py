@@ -21,6 +21,7 @@ from tidesearch.operators.expand import expand_query as expand
 from tidesearch.operators.expand import limit_per_token as limit_hits
 from tidesearch.operators.expand import matched_terms, query_term_match, query_tokens
 from tidesearch.operators.fusion import fusion_order, rrf_fuse
+from tidesearch.operators.gram_index import GramIndex, build_gram_index, open_gram_index
 from tidesearch.plans import ingest as ING
 from tidesearch.plans import report
 from tidesearch.plans import search as S
@@ -94,19 +95,40 @@ def _folder(s: SparkSession) -> str:
     return f"{path}/{uuid.uuid4().hex}"
 
 
-_stored: dict[tuple[str, ...], str] = {}
+_stored: dict[tuple, str] = {}
+
+
+def _state(s: SparkSession, d: str, *tables: str) -> tuple:
+    """What tells whether tables are still the same: their files with length and time."""
+    out = []
+    for name in tables:
+        for f in sorted(V.table(s, d, name).inputFiles()):
+            place = s._jvm.org.apache.hadoop.fs.Path(f)
+            status = place.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(place)
+            out.append((f, status.getLen(), status.getModificationTime()))
+    return s.sparkContext.applicationId, d, *out
 
 
 def _links(s: SparkSession, d: str) -> DataFrame:
-    """The link table: the corpus is tagged once a session and stored, as searches and reports find it; again if the tables have other files."""
-    key = s.sparkContext.applicationId, d, *sorted(V.table(s, d, "documents").inputFiles()), *sorted(V.table(s, d, "benchmark").inputFiles())
+    """The link table: the corpus is tagged once a session and stored by concept, as searches and reports find it; again if the tables have changed."""
+    key = "links", *_state(s, d, "documents", "benchmark")
     if key not in _stored:
         path = _folder(s)
-        TG.tag_records(V.records(s, d), V.vocab(s, d)).write.parquet(path)
+        TG.tag_records(V.records(s, d), V.vocab(s, d)).repartitionByRange("concept_id").sortWithinPartitions("concept_id", "accession").write.parquet(path)
         _stored[key] = path
     return s.read.schema(LINKS).parquet(_stored[key])
 
 
+def _index(s: SparkSession, d: str) -> GramIndex:
+    """The stored records with their gram index, made once a session, as searches find them; again if the table has changed."""
+    key = "grams", *_state(s, d, "documents")
+    if key not in _stored:
+        path = _folder(s)
+        build_gram_index(V.records(s, d), path)
+        _stored[key] = path
+    return open_gram_index(s, _stored[key])
+
+
 def _day(c: str):
     return F.date_format(c, "yyyy-MM-dd").alias(c)
 
@@ -268,9 +290,25 @@ FILTER_EX = FILTER_IN.replace("len(list_filter(organisms, lambda o: contains(o,
 
 @query(f"SELECT accession, rank, 1.0::DOUBLE / rank AS score FROM (SELECT accession, CAST(row_number() OVER (ORDER BY accession) AS INTEGER) AS rank FROM records WHERE ({HIT}) AND {FILTER_IN}) WHERE rank <= 100", "records")
 def lexical_match(s, d):
+    """From the stored index."""
+    return _index(s, d).lexical_match(FL.query_terms(QUERY), FILTERS)
+
+
+@query(f"SELECT accession, rank, 1.0::DOUBLE / rank AS score FROM (SELECT accession, CAST(row_number() OVER (ORDER BY accession) AS INTEGER) AS rank FROM records WHERE ({HIT}) AND {FILTER_IN}) WHERE rank <= 100", "records")
+def lexical_match_scan(s, d):
+    """Without an index: all texts are read."""
     return FL.lexical_match(V.records(s, d), QUERY, FILTERS)
 
 
+RARE = ("ingthe ention", "licensed", "tionthenes")
+
+
+@query(" UNION ALL ".join(f"SELECT {i}::BIGINT AS query_id, accession FROM records WHERE {' OR '.join(f'contains({LEX}, {chr(39)}{t}{chr(39)})' for t in q.split())}" for i, q in enumerate(RARE)), "records")
+def lexical_match_all(s, d):
+    """Every record that holds a term of three queries: candidates come from posting lists, whatever their number."""
+    return _index(s, d).matches({i: FL.query_terms(q) for i, q in enumerate(RARE)})
+
+
 @query(f"SELECT accession FROM records WHERE {FILTER_IN}", "records")
 def structured_filter(s, d):
     return FL.structured_filter(V.records(s, d), FILTERS).select("accession")
@@ -742,7 +780,7 @@ SEARCH = f"{TOPK}, {MATCHED}, {EXPANDED}, {SEARCH_LEX}, {FUSED.replace('lexical
 
 
 def _search(s, d):
-    return S.hybrid_search(V.records(s, d), V.vectors(s, d), V.vocab(s, d), _links(s, d), QUERY, V.query_vector(s, d), FILTERS)
+    return S.hybrid_search(V.records(s, d), V.vectors(s, d), V.vocab(s, d), _links(s, d), QUERY, V.query_vector(s, d), FILTERS, index=_index(s, d))
 
 
 @query("""SELECT CAST(row_number() OVER (ORDER BY r) AS INTEGER) AS rank, k.accession, round(k.score, 9) AS score, 'https://example.org/records/' || k.accession AS url, t.tags FROM kept k
@@ -769,7 +807,7 @@ def _one_of_batch(i: int, text: str) -> str:
 @query(" UNION ALL ".join(_one_of_batch(i, q) for i, q in enumerate(QUERIES_TEXT)), "links", "vectors")
 def search_batch(s, d):
     vectors = V.table(s, d, "embeddings").where(F.col("vec_id") < len(QUERIES_TEXT)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return S.search_batch(V.records(s, d), V.vectors(s, d), V.vocab(s, d), _links(s, d), _batch(s, d).join(vectors, "query_id")).withColumn("score", F.round("score", 9))
+    return S.search_batch(_index(s, d), V.vectors(s, d), V.vocab(s, d), _links(s, d), _batch(s, d).join(vectors, "query_id")).withColumn("score", F.round("score", 9))
 
 
 @query("""SELECT 'organism' AS option, value FROM (SELECT DISTINCT unnest(organisms) AS value FROM records ORDER BY value LIMIT 100) UNION ALL SELECT 'tech_type', tech_type FROM (SELECT DISTINCT tech_type FROM records WHERE tech_type <> '')
