@@ -32,8 +32,8 @@ def test_scalars(spark):
     assert values(spark, T.infer_type, ["bulk RNA-Seq of leaf tissue", "a Single Cell atlas by RNA-seq", "agilent chips of roots", "an array, then sequencing", "x", None]) == ["rna-seq", "single-cell", "microarray", "other-seq", "unknown", "unknown"]
     assert values(spark, T.normalize_labels, [["human", "Homo sapiens", " mouse", ""], None], "array<string>") == [["Homo sapiens", "Mus musculus"], []]
     assert values(spark, T.safe_int, ["10", " 7 ", "10.7", "x", "", None, "-3"]) == [10, 7, None, None, None, None, -3]
-    days = values(spark, T.parse_date_multi, ["2023/01/15", "2023-01-15", "20230115", "2023/1/5 10:05", "2023-01-15 10:05:07", "invalid", None])
-    assert [d and d.strftime("%Y-%m-%d %H:%M:%S") for d in days] == ["2023-01-15 00:00:00"] * 3 + ["2023-01-05 10:05:00", "2023-01-15 10:05:07", None, None]
+    days = values(spark, T.parse_date_multi, ["1998/12/31", "1998-12-31", "19981231", "2004/2/9 23:40", "2011-07-30 00:59:01", "31.12.1998", None])
+    assert [d and d.strftime("%Y-%m-%d %H:%M:%S") for d in days] == ["1998-12-31 00:00:00"] * 3 + ["2004-02-09 23:40:00", "2011-07-30 00:59:01", None, None]
     assert values(spark, T.ngrams, ["Deep river X-ray", "", "!"]) == [["deep", "deep river", "deep river x-ray", "river", "river x-ray", "x-ray"], [], []]
     assert values(spark, T.word_tokens, ["Éleère a_b a_b"]) == [["éleère", "a_b"]]
 
@@ -93,7 +93,7 @@ def brute_tags(fields, vocab):
     return out
 
 
-@pytest.mark.parametrize("method", ["automaton", "grams", "nested"])
+@pytest.mark.parametrize("method", ["keys", "nested"])
 def test_tagging(spark, method):
     rng = random.Random(7)
     pick = lambda n: " ".join(rng.choice(["abcd", "bcda", "é", "dab", "x-y", "cab,", "ab", "dabcda"]) for _ in range(n))

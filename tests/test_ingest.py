@@ -71,10 +71,27 @@ def test_stream(spark, tmp_path):
     assert [(r["concept_id"], r["confidence"]) for r in t("links").collect()] == [("D1", 1.4)]
     Path(landing, "2.json").write_text(response(1, title="changed"))
     Path(landing, "3.json").write_text(response(4))
+    Path(landing, "4.json").write_text(response(5, accession="GDS5"))
     stream_ingest(spark, f"file://{landing}", root, vocab, dim=8)
-    assert sorted((r["accession"], r["title"]) for r in t("records").collect()) == [("GSE1", "Lung cancer RNA-seq"), ("GSE4", "Lung cancer RNA-seq")]
+    titles = lambda: sorted((r["accession"], r["title"]) for r in t("records").collect())
+    assert titles() == [("GSE1", "changed"), ("GSE4", "Lung cancer RNA-seq")]
+    links = {(r["accession"], r["concept_id"]): r["confidence"] for r in t("links").collect()}
+    assert links[("GSE4", "D1")] == 1.4 and links.get(("GSE1", "D1"), 0) < 1.4 and t("vectors").count() == 2
+    assert sorted((r["accession"], r["status"]) for r in t("items").where("run_id = 1").collect()) == [("GDS5", "failed"), ("GSE1", "completed"), ("GSE4", "completed")]
     stream_ingest(spark, f"file://{landing}", root, vocab, dim=8)
     assert t("records").count() == 2 and t("runs").count() == 2
+    Path(landing, "5.json").write_text(response(1, title="changed"))  # as it is: nothing to do
+    Path(landing, "6.json").write_text(response(4, title="other"))
+    Path(landing, "7.json").write_text(response(1))  # back to the first content, and greater than that of 5.json
+    stream_ingest(spark, f"file://{landing}", root, vocab, dim=8)
+    assert titles()[1] == ("GSE4", "other") and t("records").count() == 2
+    # The last batch again, as after a failure before its commit: its folders are written anew, with the same rows.
+    before = {n: sorted(map(str, t(n).collect())) for n in ("records", "links", "vectors", "items", "runs")}
+    last = max((tmp_path / "tables" / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    stream_ingest(spark, f"file://{landing}", root, vocab, dim=8)
+    assert {n: sorted(map(str, t(n).collect())) for n in before} == before
 
 
 def test_record_json(spark):

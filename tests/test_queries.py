@@ -1,5 +1,7 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -52,17 +54,61 @@ def test_search_batch_is_single_searches(spark):
         assert got == want
 
 
-def test_ivf_recall(spark):
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_stored_ivf(spark, tmp_path):
+    """Recall on other queries than those measured; vectors added later are found; a search reads the lists it probes alone."""
+    from pyspark.sql import functions as F
+
     from tidesearch import views as V
+    from tidesearch.operators import ivf
     from tidesearch.operators import vectors as VEC
 
     v = V.vectors(spark, "/root/testdata/sf0.01").cache()
-    indexed, centroids = VEC.ivf_index(v, lists=32)
-    indexed = indexed.cache()
-    probes, shares = VEC.probes_for(indexed, centroids), []
-    for r in v.where("cast(substring(accession, 4) as long) % 60 = 7").collect():  # not those that were measured
+    late = F.pmod(F.xxhash64("accession"), F.lit(4)) == 0
+    ivf.build_ivf(v.where(~late), f"file://{tmp_path}", lists=32)
+    index = ivf.open_ivf(spark, f"file://{tmp_path}")
+    before = {p.name: len(list(p.iterdir())) for p in (tmp_path / "vectors").glob("list=*")}
+    index.add(v.where(late))
+    assert index.vectors().count() == v.count() and set(before) == {p.name for p in (tmp_path / "vectors").glob("list=*")}
+    shares = []
+    for r in v.where("cast(substring(accession, 4) as long) % 60 = 7").collect():
         exact = {x["accession"] for x in VEC.vector_topk(v, list(r["embedding"])).collect()}
-        near = {x["accession"] for x in VEC.vector_topk_ivf(indexed, centroids, list(r["embedding"]), probes=probes).collect()}
-        shares.append(len(exact & near) / len(exact))
-    assert probes < 32 and sum(shares) / len(shares) >= 0.9
-    assert Q.vector_topk_ivf(spark, "/root/testdata/sf0.001").count() == 100
+        shares.append(len(exact & {x["accession"] for x in index.search(list(r["embedding"])).collect()}) / len(exact))
+    assert index.probes < 32 and index.recall >= 0.9 and sum(shares) / len(shares) >= 0.88
+    text = plan(index.search([1.0] * 64, probes=2))
+    assert re.search(r"PartitionFilters: \[[^\]]*list", text) and "KMeans" not in text
+    odd = spark.createDataFrame([("x", None), ("y", [1.0]), ("z", [float("nan")] * 64)], "accession string, embedding array<float>")
+    assert index.assigned(odd).count() == 0
+
+
+def test_gram_index(spark, tmp_path):
+    """Random texts and terms against a scan; the plan reads the partitions of the grams alone; small blocks are read in rounds."""
+    import random
+
+    from tidesearch.operators import filters, gram_index
+
+    rng = random.Random(4)
+    rows = [(f"GSE{i}", *("".join(rng.choice("abcé \n") for _ in range(rng.choice([0, 3, 40]))) or None for _ in range(3))) for i in range(400)]
+    records = spark.createDataFrame([*rows, ("GSE7", "abc repeated", None, "É"), ("GSE900", "only zebra here", "", None)], "accession string, title string, summary string, overall_design string")
+    index = gram_index.build_gram_index(records, f"file://{tmp_path}", block_rows=40, buckets=8)
+    assert index.blocks >= 8 and index.rows == 402
+    for query in ("abc", "zebra abca", "cabb éab bbbb", "zzz", "abcabcab cccc zebra", "é\u00a0a", ""):
+        for k in (5, 1000):
+            want = filters.lexical_match(records, query, top_k=k).orderBy("rank").collect()
+            got = index.lexical_match(filters.query_terms(query), None, k)
+            assert [r["accession"] for r in got.orderBy("rank").collect()] == [r["accession"] for r in want]
+        every = {r["accession"] for r in index.matches({1: filters.query_terms(query)}).collect()}
+        assert every == {r["accession"] for r in filters.lexical_match(records, query, top_k=1000).collect()}
+    text = plan(index.postings(["abc"]))
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", text) and re.search(r"PushedFilters: \[[^\]]*gram,abc", text)
+    assert {r["bucket"] for r in index.postings(["abc"]).collect()} == {r["bucket"] for r in index.postings(["abc"]).select("bucket").distinct().collect()}
+    empty = gram_index.build_gram_index(records.limit(0), f"file://{tmp_path}/empty")
+    assert empty.lexical_match(["abc"]).count() == 0
+
+
+def test_batch_plan_has_no_nested_loops(spark):
+    assert "NestedLoop" not in plan(Q.search_batch(spark, SF))
+    assert "NestedLoop" not in plan(Q.query_term_matches(spark, SF))

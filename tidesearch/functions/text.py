@@ -107,11 +107,17 @@ def term_words(term: Column) -> Column:
     return F.filter(F.split(term, r"(?U)\s+"), lambda w: w != "")
 
 
+def phrase_confidence(words: Column) -> Column:
+    return F.least(F.lit(1.0), 0.5 + F.size(words) * 0.1)
+
+
+def subset_confidence(words: Column) -> Column:
+    return F.least(F.lit(0.7), 0.3 + F.size(F.array_distinct(words)) * 0.1)
+
+
 def match_confidence(text_low: Column, tokens: Column, term: Column, words: Column) -> Column:
     """Confidence that a lower-case term is in a text: as a phrase, or by all of its words; null if neither."""
-    phrase = F.least(F.lit(1.0), 0.5 + F.size(words) * 0.1)
-    subset = F.least(F.lit(0.7), 0.3 + F.size(F.array_distinct(words)) * 0.1)
-    return F.when(F.contains(text_low, term), phrase).when((F.size(words) > 0) & (F.size(F.array_except(words, tokens)) == 0), subset)
+    return F.when(F.contains(text_low, term), phrase_confidence(words)).when((F.size(words) > 0) & (F.size(F.array_except(words, tokens)) == 0), subset_confidence(words))
 
 
 def run_duration(start: Column, end: Column) -> Column:

@@ -5,20 +5,18 @@ A concept's term is in a text if it is a substring of it (words need not end the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidesearch.functions.text import match_confidence, term_words, word_tokens
+from tidesearch.functions.text import match_confidence, phrase_confidence, subset_confidence, term_words, word_tokens
 from tidesearch.operators.joins import expand_union_all
+from tidesearch.sources.scratch import stored
 
 FIELD_WEIGHTS = {"title": 2.0, "summary": 1.5, "overall_design": 1.0}
 #: Shorter terms are not matched, so every term that is has a first gram.
 GRAM = 4
-#: Vocabularies of up to so many variants are sent to every worker as one automaton; larger ones are matched by a join on grams.
-AUTOMATON_VARIANTS = 1_000_000
+#: Tables of terms or keys of up to so many rows are sent to every task; larger ones are shuffled, with keys of over ``HEAVY`` texts dealt out in parts.
+SENT, HEAVY = 200_000, 100_000
 
 
 def term_variants(vocab: DataFrame) -> DataFrame:
@@ -33,102 +31,97 @@ def text_fields(records: DataFrame, weights: dict[str, float] | None = None) ->
     return records.select("accession", F.explode(F.array(*parts)).alias("_f")).select("accession", "_f.*").where("text != ''")
 
 
-def concept_match(fields: DataFrame, variants: DataFrame, by_keys: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+def _sent(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """The table as one that every task gets, if it has ``SENT`` rows at most, and whether it is."""
+    some = rows.limit(SENT + 1).toArrow()
+    if some.num_rows > SENT:
+        return rows, False
+    return F.broadcast(rows.sparkSession.createDataFrame(some, rows.schema)), True
+
+
+def _grams(text: Column, n: int) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def holding(strings: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, columns of ``strings``): strings (_string, distinct) that hold a word (word, distinct).
+
+    Both are split into grams, of three characters or as long as a shorter word; a word looks among the strings that hold the rarest of its grams."""
+    size = F.least(F.length("word"), F.lit(3))
+    own = words.select("word", F.explode(F.when(size == 1, _grams(F.col("word"), 1)).when(size == 2, _grams(F.col("word"), 2)).otherwise(_grams(F.col("word"), 3))).alias("_gram"))
+    own = stored(own)
+    some = [n for n in (1, 2, 3) if not own.where(F.length("_gram") == n).isEmpty()]
+    if not some:
+        return strings.select("*", F.lit("").alias("word")).where(F.lit(False))
+    wanted, _ = _sent(own.select("_gram").distinct())
+    held = strings.select("*", F.explode(F.concat(*[_grams(F.col("_string"), n) for n in some])).alias("_gram")).join(wanted, "_gram")
+    counts = held.groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = own.join(counts, "_gram").groupBy("word").agg(F.min(F.struct("_n", "_gram")).alias("_r"))
+    chosen, _ = _sent(rarest.select("word", "_r._gram"))
+    return held.join(chosen, "_gram").where(F.contains("_string", F.col("word"))).drop("_gram")
+
+
+def rarest_words(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(_string, term, texts): for each term the strings of the texts that hold its rarest word, with the number of texts that have the string.
+
+    A text that holds a term, or all of its words, has a string between blanks that holds this word.  Strings are counted over all texts; a word is as frequent as
+    the strings that hold it.  A term with a word that no text holds is left out.  ``texts``: a row for each text and different string."""
+    counted = stored(texts.groupBy("_string").agg(F.count("*").alias("texts")))
+    own = terms.select("term", F.explode(F.array_distinct(term_words(F.col("term")))).alias("word"))
+    found = stored(holding(counted, own.select("word").distinct()))
+    often = found.groupBy("word").agg(F.sum("texts").alias("n"))
+    rarest = own.join(often, "word", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("_r"))
+    return rarest.where("_r.n > 0").select("term", "_r.word").join(found, "word").select("_string", "term", "texts")
+
+
+def _meet(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(accession, weight, term): texts that have a string of a term.  A string that many texts have is dealt out in parts where the table of keys is not sent whole."""
+    table, sent = _sent(keys)
+    if sent:
+        return texts.join(table, "_string").select("accession", "weight", "term")
+    parts = F.ceil(F.col("texts") / HEAVY).cast("int")
+    heavy, _ = _sent(keys.where(F.col("texts") > HEAVY).select("_string", parts.alias("_parts")).distinct())
+    dealt = texts.join(heavy, "_string", "left").withColumn("_part", F.pmod(F.xxhash64("accession", "weight"), F.coalesce("_parts", F.lit(1))).cast("int"))
+    each = table.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(each, ["_string", "_part"]).select("accession", "weight", "term")
+
+
+def concept_match(fields: DataFrame, variants: DataFrame, by_keys: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """(accession, concept_id, confidence) and the columns ``keep`` of ``variants``, a row for each field and variant that match.
 
-    By keys: a variant that is a substring shares its first gram with the text, and one whose words are all there shares its first word; so both
-    equi-joins lose nothing.  Only keys of a field go through that join; the pairs it finds then meet their texts once and are verified.
+    By keys: the strings between blanks of all texts are counted, and each term is looked for where its rarest word is (see ``rarest_words``).  Only strings go
+    through that join; each text then meets the list of its terms once, and they are verified there.
     Otherwise every field meets every variant of a broadcast vocabulary, which the caller knows to be small.
     """
-    confidence = match_confidence(F.col("text"), F.col("tokens"), F.col("term"), F.col("words")) * F.col("weight")
     if not by_keys:
-        met = fields.withColumn("tokens", word_tokens(F.col("text"))).join(F.broadcast(variants), F.contains("text", F.col("term")))
-        subset = fields.withColumn("tokens", word_tokens(F.col("text"))).join(F.broadcast(variants), ~F.contains("text", F.col("term")) & (F.size(F.array_except("words", "tokens")) == 0))
-        return met.unionByName(subset).select("accession", "concept_id", *keep, confidence.alias("confidence"))
-    whole = fields.withColumn("tokens", word_tokens(F.col("text"))).withColumn("field", F.xxhash64("accession", "weight", "text"))
-    grams = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
-    keys = F.concat(F.transform(grams, lambda g: F.concat(F.lit("g"), g)), F.transform("tokens", lambda w: F.concat(F.lit("w"), w)))
-    keyed = variants.select("term", "concept_id", F.explode(F.array(F.concat(F.lit("g"), F.substring("term", 1, GRAM)), F.concat(F.lit("w"), F.element_at("words", 1)))).alias("_key"))
-    pairs = whole.select("accession", "field", F.explode(keys).alias("_key")).join(keyed, "_key").select("accession", "field", "term", "concept_id").distinct()
-    met = whole.join(pairs, ["accession", "field"]).join(variants.select("term", "concept_id", "words"), ["term", "concept_id"])
-    return met.select("accession", "concept_id", *keep, confidence.alias("confidence")).where("confidence is not null")
-
-
-_automata: dict[int, tuple] = {}
-
-
-def _automaton(terms: list[tuple[str, str, list[str]]], key: int) -> tuple:
-    """(automaton of all terms, first word -> terms of several words, (phrase, subset) confidence of each); built once a Python worker."""
-    if key not in _automata:
-        import ahocorasick
-
-        number: dict[str, int] = {}
-        concepts: list[list[str]] = []
-        for term, concept, _ in terms:
-            if term not in number:
-                number[term] = len(concepts)
-                concepts.append([])
-            concepts[number[term]].append(concept)
-        words = {number[t]: w for t, _, w in terms}
-        tree, by_word = ahocorasick.Automaton(), {}
-        for t, k in number.items():
-            tree.add_word(t, k)
-            by_word.setdefault(words[k][0], []).append((k, frozenset(words[k])))
-        tree.make_automaton()
-        scores = {k: (min(1.0, 0.5 + len(w) * 0.1), min(0.7, 0.3 + len(set(w)) * 0.1)) for k, w in words.items()}
-        _automata.clear()
-        _automata[key] = tree, by_word, scores, concepts
-    return _automata[key]
-
-
-def automaton_match(fields: DataFrame, variants: DataFrame) -> DataFrame:
-    """As ``concept_match``, in one pass over each text for all terms together; ``variants`` must be few enough to send to every worker."""
-    terms = [(r["term"], r["concept_id"], r["words"]) for r in variants.collect()]
-    key = hash(tuple(sorted((t, c) for t, c, _ in terms)))
-    if not terms:
-        return fields.select("accession", F.lit("").alias("concept_id"), F.lit(0.0).alias("confidence")).where(F.lit(False))
-    shared = fields.sparkSession.sparkContext.broadcast(terms)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, by_word, scores, concepts = _automaton(shared.value, key)
-        for b in batches:
-            rows, found, confidence = [], [], []
-            for i, (weight, text, tokens) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3)))):
-                phrases = {k for _, k in tree.iter(text)}
-                best = {k: scores[k][0] for k in phrases}
-                have = set(tokens)
-                for w in tokens:
-                    for k, needed in by_word.get(w, ()):
-                        if k not in phrases and needed <= have:
-                            best[k] = scores[k][1]
-                top: dict[str, float] = {}
-                for k, c in best.items():
-                    for concept in concepts[k]:
-                        top[concept] = max(top.get(concept, 0.0), c)
-                rows += [i] * len(top)
-                found += top
-                confidence += [c * weight for c in top.values()]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string()), pa.array(confidence, pa.float64())], ["accession", "concept_id", "confidence"])
-
-    tokens = fields.select("accession", "weight", "text", word_tokens(F.col("text")).alias("tokens"))
-    return tokens.mapInArrow(run, "accession string, concept_id string, confidence double")
-
-
-def match_records(records: DataFrame, vocab: DataFrame, threshold: float = 0.3, method: str | None = None) -> DataFrame:
+        score = match_confidence(F.col("text"), F.col("tokens"), F.col("term"), F.col("words"))
+        whole = fields.withColumn("tokens", word_tokens(F.col("text")))
+        met = whole.join(F.broadcast(variants), F.contains("text", F.col("term"))).unionByName(whole.join(F.broadcast(variants), ~F.contains("text", F.col("term")) & (F.size(F.array_except("words", "tokens")) == 0)))
+        return met.select("accession", "concept_id", *keep, (score * F.col("weight")).alias("confidence"))
+    texts = fields.select("accession", "weight", F.explode(F.array_distinct(term_words(F.col("text")))).alias("_string"))
+    pairs = _meet(texts, rarest_words(texts, variants.select("term").distinct()))
+    listed = pairs.groupBy("accession", "weight").agg(F.collect_set("term").alias("_terms"))
+    # Words of a text, each between blanks: a term's words are among them if each is found between blanks.
+    spoken = F.concat(F.lit(" "), F.array_join(word_tokens(F.col("text")), " "), F.lit(" "))
+    said = lambda t, words: F.forall(term_words(t), lambda w: F.contains(words, F.concat(F.lit(" "), w, F.lit(" "))))
+    judged = lambda words: F.transform("_terms", lambda t: F.struct(t.alias("term"), F.when(F.contains("text", t), True).when(said(t, words), False).alias("_whole")))
+    each = F.filter(F.transform(F.array(spoken), judged).getItem(0), lambda x: x["_whole"].isNotNull())  # the words of a text are found once, not once a term
+    met = fields.join(listed, ["accession", "weight"]).select("accession", "weight", F.explode(each).alias("_m"))
+    scored, _ = _sent(variants.select("term", "concept_id", phrase_confidence(F.col("words")).alias("_p"), subset_confidence(F.col("words")).alias("_s")))
+    named = met.select("accession", "weight", "_m.*").join(scored, "term")
+    return named.select("accession", "concept_id", *keep, (F.when(F.col("_whole"), F.col("_p")).otherwise(F.col("_s")) * F.col("weight")).alias("confidence"))
+
+
+def match_records(records: DataFrame, vocab: DataFrame, threshold: float = 0.3, method: str = "keys") -> DataFrame:
     """(accession, concept_id, confidence): the best confidence of each concept in each record, from ``threshold`` on.
 
-    ``method``: "automaton" (one pass for all terms; the default for vocabularies of a checked size), "grams" (joins, for any size) or "nested"
-    (every field with every term, for very small vocabularies).
+    ``method``: "keys" (joins on the rarest keys of the terms, for any size; the default) or "nested" (every field with every term, for very small vocabularies).
     """
-    variants = term_variants(vocab)
-    if method is None:
-        method = "automaton" if variants.limit(AUTOMATON_VARIANTS + 1).count() <= AUTOMATON_VARIANTS else "grams"
-    fields = text_fields(records)
-    found = automaton_match(fields, variants) if method == "automaton" else concept_match(fields, variants, method == "grams")
+    found = concept_match(text_fields(records), term_variants(vocab), method == "keys")
     return found.groupBy("accession", "concept_id").agg(F.max("confidence").alias("confidence")).where(F.col("confidence") >= threshold)
 
 
-def tag_records(records: DataFrame, vocab: DataFrame, stored: DataFrame | None = None, threshold: float = 0.3, overwrite: bool = False, method: str | None = None) -> DataFrame:
+def tag_records(records: DataFrame, vocab: DataFrame, stored: DataFrame | None = None, threshold: float = 0.3, overwrite: bool = False, method: str = "keys") -> DataFrame:
     """The link table after tagging ``records``: new links of source ``auto`` put over the stored ones.
 
     With ``overwrite`` the records' automatic links are deleted first; otherwise those not found again stay.

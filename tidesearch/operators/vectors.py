@@ -44,42 +44,3 @@ def vector_topk_batch(vectors: DataFrame, queries: DataFrame, top_k: int = 100,
     scored = vectors.select("accession", *keep, F.explode(each).alias("_s")).select("_s.query_id", "accession", *keep, "_s.score")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "accession")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
-
-
-def ivf_index(vectors: DataFrame, lists: int = 1024, seed: int = 1, sample_rows: int = 100_000):
-    """(indexed, centroids): vectors with the list (cluster) they are in.  KMeans is fitted on a bounded sample, every vector is assigned."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors.withColumn("features", array_to_vector("embedding"))
-    sample = rows.orderBy(F.xxhash64("accession")).limit(sample_rows)
-    model = KMeans(k=lists, seed=seed, maxIter=10, predictionCol="list").fit(sample)
-    return model.transform(rows).drop("features"), [c.tolist() for c in model.clusterCenters()]
-
-
-def _by_nearness(centroids: list[list[float]], query: list[float]) -> list[int]:
-    """Lists by the inner product of their centroid with the query, largest first."""
-    return sorted(range(len(centroids)), key=lambda i: (-sum(a * b for a, b in zip(centroids[i], query)), i))
-
-
-def probes_for(indexed: DataFrame, centroids: list[list[float]], top_k: int = 100, recall: float = 0.9, queries: int = 32, seed: int = 3) -> int:
-    """The fewest probes with which the mean recall of ``queries`` stored vectors, held against all vectors, is ``recall`` by more than its standard error."""
-    asked = indexed.orderBy(F.xxhash64("accession", F.lit(seed)), "accession").limit(queries).select(F.xxhash64("accession").alias("query_id"), F.col("embedding").alias("query_vector")).collect()
-    if not asked:
-        return 1
-    places = {r["query_id"]: {c: n for n, c in enumerate(_by_nearness(centroids, r["query_vector"]), 1)} for r in asked}
-    table = indexed.sparkSession.createDataFrame([(r["query_id"], list(r["query_vector"])) for r in asked], "query_id long, query_vector array<float>")
-    needed: dict[int, list[int]] = {q: [] for q in places}
-    for r in vector_topk_batch(indexed, table, top_k, ("list",)).select("query_id", "list").collect():  # at most queries * top_k rows
-        needed[r["query_id"]].append(places[r["query_id"]][r["list"]])
-    for p in range(1, len(centroids) + 1):
-        found = [sum(n <= p for n in v) / len(v) for v in needed.values()]
-        mean = sum(found) / len(found)
-        if mean - (sum((x - mean) ** 2 for x in found) / len(found) ** 2) ** 0.5 >= recall:
-            return p
-    return len(centroids)
-
-
-def vector_topk_ivf(indexed: DataFrame, centroids: list[list[float]], query: list[float], top_k: int = 100, probes: int = 10) -> DataFrame:
-    """As ``vector_topk``, over the ``probes`` lists whose centroids have the largest inner products with the query; ``probes_for`` measures how many."""
-    return vector_topk(indexed, query, top_k, F.col("list").isin(_by_nearness(centroids, query)[:probes]))

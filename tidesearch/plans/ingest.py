@@ -55,11 +55,18 @@ def ingest_new(landed: DataFrame, records: DataFrame, run_id: int, at, provider:
 
     A bad record fails alone: its item says why.  A batch without candidates is a completed run of nothing.
     """
-    raw = summary_to_raw(flatten_esummary(landed))
-    # Of entries with one accession the same one each time: the greatest in the order of all columns.
-    raw = raw.groupBy("accession").agg(F.max(F.struct(*[c for c in raw.columns if c != "accession"])).alias("_raw")).select("accession", "_raw.*")
-    good, bad = reject_invalid(raw, prefix)
-    new = skip_existing(good, records) if skip else good
+    raw = one_entry(summary_to_raw(flatten_esummary(landed)))
+    return ingest_raw(skip_existing(raw, records) if skip else raw, run_id, at, provider, dim, prefix)
+
+
+def one_entry(raw: DataFrame) -> DataFrame:
+    """Of entries with one accession the same one each time: the greatest in the order of all columns."""
+    return raw.groupBy("accession").agg(F.max(F.struct(*[c for c in raw.columns if c != "accession"])).alias("_raw")).select("accession", "_raw.*")
+
+
+def ingest_raw(raw: DataFrame, run_id: int, at, provider: Callable | None = None, dim: int = 384, prefix: str = "GSE") -> Ingested:
+    """As ``ingest_new`` for raw records, one an accession, all of which are taken."""
+    new, bad = reject_invalid(raw, prefix)
     stamp = F.lit(at).cast("timestamp")
     parsed = parse_record(new).withColumn("created_at", stamp).withColumn("updated_at", stamp)
     texts = T.embedding_text(*[F.col(c) for c in ("title", "summary", "overall_design", "organisms", "tech_type")])
@@ -70,7 +77,7 @@ def ingest_new(landed: DataFrame, records: DataFrame, run_id: int, at, provider:
     item = lambda d, status, why: d.select(F.lit(run_id).cast("long").alias("run_id"), "accession", F.lit(status).alias("status"), why.alias("error_message"), stamp.alias("process_time"))
     items = item(parsed, "completed", F.lit(None).cast("string")).unionByName(item(bad, "failed", F.col("reason")))
     counts = run_status(items)
-    run = landed.sparkSession.createDataFrame([(run_id,)], "run_id long").join(counts, "run_id", "left")
+    run = raw.sparkSession.createDataFrame([(run_id,)], "run_id long").join(counts, "run_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     run = run.select("run_id", F.coalesce("status", F.lit("completed")).alias("status"), zero("total_count"), zero("success_count"), zero("error_count"), stamp.alias("start_time"))
     return Ingested(parsed, embedded, items, run)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +18,14 @@ from tidesearch.operators.expand import expand_query as expand
 from tidesearch.operators.expand import limit_per_token as limit_hits
 from tidesearch.operators.expand import matched_terms, query_term_match, query_tokens
 from tidesearch.operators.fusion import fusion_order, rrf_fuse
+from tidesearch.operators.ivf import IvfIndex, build_ivf, open_ivf
 from tidesearch.operators.gram_index import GramIndex, build_gram_index, open_gram_index
 from tidesearch.plans import ingest as ING
 from tidesearch.plans import report
 from tidesearch.plans import search as S
 from tidesearch.schemas import LINKS
 from tidesearch.sources import readers, writers
+from tidesearch.sources.scratch import new_folder
 from tidesearch.streaming import ingest as ST
 
 QUERY = "and tionth-er ingthe (ent)"
@@ -84,17 +83,6 @@ def query(oracle: str | None = None, *names: str, more: str = ""):
     return add
 
 
-def _folder(s: SparkSession) -> str:
-    """A new folder in the one that all executors share; only a local session without that setting gets its own."""
-    path = s.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not (s.sparkContext.master or "").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tidesearch-")
-        s.conf.set("spark.checkpoint.dir", path)
-    return f"{path}/{uuid.uuid4().hex}"
-
-
 _stored: dict[tuple, str] = {}
 
 
@@ -113,7 +101,7 @@ def _links(s: SparkSession, d: str) -> DataFrame:
     """The link table: the corpus is tagged once a session and stored by concept, as searches and reports find it; again if the tables have changed."""
     key = "links", *_state(s, d, "documents", "benchmark")
     if key not in _stored:
-        path = _folder(s)
+        path = new_folder(s)
         TG.tag_records(V.records(s, d), V.vocab(s, d)).repartitionByRange("concept_id").sortWithinPartitions("concept_id", "accession").write.parquet(path)
         _stored[key] = path
     return s.read.schema(LINKS).parquet(_stored[key])
@@ -123,7 +111,7 @@ def _index(s: SparkSession, d: str) -> GramIndex:
     """The stored records with their gram index, made once a session, as searches find them; again if the table has changed."""
     key = "grams", *_state(s, d, "documents")
     if key not in _stored:
-        path = _folder(s)
+        path = new_folder(s)
         build_gram_index(V.records(s, d), path)
         _stored[key] = path
     return open_gram_index(s, _stored[key])
@@ -154,7 +142,7 @@ def read_id_list(s, d):
 @query("SELECT accession, title FROM records WHERE accession IN (SELECT 'GSE' || item_id FROM benchmark)", "records")
 def read_id_file(s, d):
     """The ids are written as text files, with blanks and blank lines, and read again."""
-    path = _folder(s)
+    path = new_folder(s)
     V.table(s, d, "benchmark").select(F.explode(F.array(F.concat(F.lit(" GSE"), F.col("item_id").cast("string")), F.lit(""))).alias("value")).write.text(path)
     return readers.wanted(V.records(s, d), readers.read_id_list(s, path)).select("accession", "title")
 
@@ -164,7 +152,7 @@ def _vocab_files(s, d) -> str:
     v = V.vocab(s, d).where(F.col("preferred_name") != "")
     term = lambda t: F.struct(F.struct(F.array(F.struct(t.alias("String"))).alias("Term")).alias("TermList"))
     terms = F.transform(F.concat(F.array("preferred_name"), F.col("entry_terms"), F.slice("entry_terms", 1, 1)), lambda t: term(F.concat(F.lit(" "), t, F.lit(" "))))
-    path = _folder(s)
+    path = new_folder(s)
     v.select(F.col("concept_id").alias("DescriptorUI"), F.struct(F.col("preferred_name").alias("String")).alias("DescriptorName"), F.struct(terms.alias("Concept")).alias("ConceptList"), F.struct(F.col("tree_numbers").alias("TreeNumber")).alias("TreeNumberList")).write.format("xml").option("rowTag", "DescriptorRecord").option("rootTag", "DescriptorRecordSet").save(path)
     return path
 
@@ -195,7 +183,7 @@ BLANKS = "[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+"
   CAST(n_chars AS VARCHAR) AS n_samples, coalesce(lang, '') AS organisms FROM documents""")
 def load_docsum_xml(s, d):
     """Whole documents as the summaries of XML files; blanks are compared as one space."""
-    path, e = _folder(s), V.table(s, d, "documents")
+    path, e = new_folder(s), V.table(s, d, "documents")
     one = lambda c: F.struct(c.alias("Organism"))
     e.select(
         F.concat(F.lit("GSE"), F.col("doc_id").cast("string")).alias("Accession"),
@@ -217,11 +205,11 @@ def filter_accessions(s, d):
     return readers.filter_accessions(named)
 
 
-def _landed(s, d, *keep: str) -> DataFrame:
+def _landed(s, d, *keep: str, title=None) -> DataFrame:
     """Summary responses made from documents, as they would land: one JSON object a document."""
     e = V.table(s, d, "documents")
     name = F.concat(F.lit("GSE"), F.col("doc_id").cast("string"))
-    entry = F.struct(name.alias("accession"), F.substring("text", 1, 80).alias("title"), F.expr("substring(text, 81)").alias("summary"), F.lit("array").alias("gdstype"), F.lit("570").alias("gpl"), F.col("lang").alias("taxon"), F.lit("2023/01/15").alias("pdat"), F.col("n_chars").cast("string").alias("n_samples"))
+    entry = F.struct(name.alias("accession"), (F.substring("text", 1, 80) if title is None else title).alias("title"), F.expr("substring(text, 81)").alias("summary"), F.lit("array").alias("gdstype"), F.lit("570").alias("gpl"), F.col("lang").alias("taxon"), F.lit("2023/01/15").alias("pdat"), F.col("n_chars").cast("string").alias("n_samples"))
     uid = F.col("doc_id").cast("string")
     return e.select(F.to_json(F.struct(F.map_from_entries(F.array(F.struct(F.lit("uids"), F.to_json(F.array(uid))), F.struct(uid, F.to_json(entry)))).alias("result"))).alias("_j"), uid.alias("_uid"), F.to_json(entry).alias("_e")).select(F.concat(F.lit('{"result": {"uids": ["'), "_uid", F.lit('"], "'), "_uid", F.lit('": '), "_e", F.lit("}}")).alias("value"), *keep)
 
@@ -275,7 +263,7 @@ def record_to_dict(s, d):
 @query("SELECT source AS tech_type, count(*) AS n FROM documents GROUP BY 1")
 def write_records(s, d):
     """Written partitioned, read again, counted."""
-    path = _folder(s)
+    path = new_folder(s)
     writers.write_records(V.records(s, d), path, ("tech_type",))
     return s.read.parquet(path).groupBy("tech_type").agg(F.count("*").alias("n"))
 
@@ -409,8 +397,8 @@ def fuse_full_outer(s, d):
 
 @query("SELECT accession, concept_id, round(confidence, 6) AS confidence FROM links", "links")
 def concept_match(s, d):
-    """By grams and words, whatever the size of the vocabulary."""
-    return TG.match_records(V.records(s, d), V.vocab(s, d), method="grams").withColumn("confidence", F.round("confidence", 6))
+    """By the rarest grams and words of the terms."""
+    return TG.match_records(V.records(s, d), V.vocab(s, d), method="keys").withColumn("confidence", F.round("confidence", 6))
 
 
 TOKENS = """cleaned AS (SELECT list_filter(string_split_regex(regexp_replace(lower('%s'), '[^\\p{L}\\p{N}_\\s-]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS w),
@@ -576,11 +564,28 @@ def vector_topk(s, d):
     return VEC.vector_topk(V.vectors(s, d), V.query_vector(s, d)).withColumn("score", F.round("score", 6))
 
 
+def _ivf(s: SparkSession, d: str) -> IvfIndex:
+    """The stored cluster index, made once a session from two thirds of the vectors, the rest added later; again if the table has changed."""
+    key = "ivf", *_state(s, d, "embeddings")
+    if key not in _stored:
+        path = new_folder(s)
+        late = F.pmod(F.xxhash64("accession"), F.lit(3)) == 0
+        build_ivf(V.vectors(s, d).where(~late), path, lists=32).add(V.vectors(s, d).where(late))
+        _stored[key] = path
+    return open_ivf(s, _stored[key])
+
+
 @query()
 def vector_topk_ivf(s, d):
-    """With as many probes as a recall of 0.9 needs."""
-    indexed, centroids = VEC.ivf_index(V.vectors(s, d), lists=32)
-    return VEC.vector_topk_ivf(indexed, centroids, V.query_vector(s, d), probes=VEC.probes_for(indexed, centroids))
+    """With as many probes as a recall of 0.9 needed when the index was built."""
+    return _ivf(s, d).search(V.query_vector(s, d))
+
+
+@query("SELECT accession, round(score, 6) AS score, rank FROM topk", "vectors", more=TOPK)
+def vector_topk_ivf_all(s, d):
+    """With all lists: what exact search finds."""
+    index = _ivf(s, d)
+    return index.search(V.query_vector(s, d), probes=len(index.centroids)).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT accession, strftime(submission_date, '%Y-%m-%d') AS submission_date FROM records ORDER BY records.submission_date DESC, accession LIMIT 100", "records")
@@ -847,18 +852,20 @@ def ingest_batch(s, d):
     return out.join(F.broadcast(run))  # one row
 
 
-@query("""SELECT 'GSE' || doc_id AS accession, CAST(doc_id % 2 AS BIGINT) AS run_id, md5(trim(regexp_replace(substring(text, 81), '[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+', ' ', 'g'))) AS summary_md5, CAST(64 AS INTEGER) AS dim, 'completed' AS item,
-  CAST(count(*) OVER (PARTITION BY doc_id % 2) AS BIGINT) AS run_total FROM documents""")
+@query("""SELECT 'GSE' || doc_id AS accession, run_id, CASE WHEN doc_id % 4 = 0 THEN 'changed' ELSE trim(regexp_replace(coalesce(substring(text, 1, 80), ''), '[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+', ' ', 'g')) END AS title,
+  md5(trim(regexp_replace(substring(text, 81), '[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+', ' ', 'g'))) AS summary_md5, CAST(64 AS INTEGER) AS dim, 'completed' AS item, CAST(count(*) OVER (PARTITION BY run_id) AS BIGINT) + CASE WHEN run_id = 0 THEN (SELECT count(*) FROM documents WHERE doc_id % 4 = 0) ELSE 0 END AS run_total
+  FROM (SELECT *, CASE WHEN doc_id % 4 = 2 THEN 0 ELSE 1 END::BIGINT AS run_id FROM documents)""")
 def stream_ingest(s, d):
-    """All documents land in two halves; the second landing repeats the first, which is skipped."""
-    landing, root = _folder(s), _folder(s)
+    """The even documents land, then all of them, half of the even ones with another title: these are put in place, the rest of them skipped."""
+    landing, root = new_folder(s), new_folder(s)
     even = F.col("_uid").cast("long") % 2 == 0
-    for landed in (_landed(s, d, "_uid").where(even), _landed(s, d, "_uid")):
+    again = F.when(F.col("doc_id") % 4 == 0, F.lit("changed")).otherwise(F.substring("text", 1, 80))
+    for landed in (_landed(s, d, "_uid").where(even), _landed(s, d, "_uid", title=again)):
         landed.select("value").write.mode("append").text(landing)
         ST.stream_ingest(s, landing, root, V.vocab(s, d), wholetext=False)
-    t = lambda name: ST.read_table(s, root, name).drop("batch")
-    out = t("records").select("accession", F.md5("summary").alias("summary_md5")).join(t("vectors").select("accession", F.size("embedding").alias("dim")), "accession")
-    return out.join(t("items").select("accession", "run_id", F.col("status").alias("item")), "accession").join(t("runs").select("run_id", F.col("total_count").alias("run_total")), "run_id")
+    t = lambda name: ST.read_table(s, root, name)
+    out = t("records").select("accession", F.col("batch").alias("run_id"), "title", F.md5("summary").alias("summary_md5")).join(t("vectors").select("accession", F.size("embedding").alias("dim")), "accession")
+    return out.join(t("items").select("accession", "run_id", F.col("status").alias("item")), ["accession", "run_id"]).join(t("runs").select("run_id", F.col("total_count").alias("run_total")), "run_id")
 
 
 @query("""SELECT accession, CAST(count(*) AS BIGINT) AS cells, round(sum(abs(v)) / sqrt(sum(v * v)), 4) AS spread, round(max(abs(v)) / sqrt(sum(v * v)), 4) AS peak FROM (

@@ -1,14 +1,20 @@
-"""Ingest and tagging as an incremental job over landed files."""
+"""Ingest and tagging as an incremental job over landed files, with the content of every record as keyed state."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidesearch import schemas
 from tidesearch.operators.tagging import tag_records
-from tidesearch.plans.ingest import ingest_new
+from tidesearch.plans.ingest import ingest_raw
+from tidesearch.sources.readers import flatten_esummary, summary_to_raw
+from tidesearch.sources.scratch import stored
 
 TABLES = {
     "records": schemas.RECORDS,
@@ -17,10 +23,30 @@ TABLES = {
     "items": "run_id long, accession string, status string, error_message string, process_time timestamp",
     "runs": "run_id long, status string, total_count long, success_count long, error_count long, start_time timestamp",
 }
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A stored table with the micro-batch that added each row; empty before the first."""
+class NewContent(StatefulProcessor):
+    """Lets an entry pass if its accession is new or its content is not that which passed last.  The state of an accession is a digest.
+
+    Of several entries in a batch the greatest counts, so a batch that is replayed gives the same again.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "digest string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        raw, digest = max((r, d) for part in rows for r, d in zip(part["raw"], part["digest"]))
+        if not self.last.exists() or self.last.get()[0] != digest:
+            self.last.update((digest,))
+            yield pd.DataFrame({"accession": [key[0]], "raw": [raw]})
+
+    def close(self) -> None:
+        pass
+
+
+def all_rows(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Every version of a stored table's rows with the micro-batch that added it; empty before the first."""
     schema = f"{TABLES[name]}, batch long"
     try:
         return spark.read.schema(schema).parquet(f"{root}/{name}")
@@ -30,17 +56,30 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A stored table with the micro-batch that added each row.  Of records, their links and vectors those of each record's latest content, with
+    the time when the record first came; of logs all rows."""
+    rows = all_rows(spark, root, name)
+    if name in ("items", "runs"):
+        return rows
+    current = all_rows(spark, root, "records").groupBy("accession").agg(F.max("batch").alias("batch"), F.min("created_at").alias("_created"))
+    latest = rows.join(current, ["accession", "batch"])
+    return (latest.withColumn("created_at", F.col("_created")) if name == "records" else latest).select(rows.columns)
+
+
 def stream_ingest(spark: SparkSession, landing: str, root: str, vocab: DataFrame, dim: int = 64, at: str = "2024-01-01", wholetext: bool = True):
     """Ingest the files that have landed since the last call, once each; returns the finished query.
 
-    A file is one JSON response, or with ``wholetext=False`` one a line.  Every micro-batch skips stored records and adds the rest, their
-    vectors, their links and a run's log as a folder of its own, so its work grows with what has landed.  A batch that is replayed after a
-    failure looks at earlier batches alone and writes its own folders anew.
+    A file is one JSON response, or with ``wholetext=False`` one a line.  Records that are new or whose content has changed pass a keyed state and are
+    added with their vectors, their links and a run's log, as a folder of the micro-batch; stored tables are not read.  So the work of a batch grows with what has landed alone.  A batch that
+    is replayed after a failure writes its own folders anew.  Equal content changes nothing; content that comes back after another is a change.
     """
+    json_of = {"ignoreNullFields": "false"}
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        earlier = read_table(spark, root, "records").where(F.col("batch") < batch_id).select("accession")
-        new = ingest_new(batch, earlier, batch_id, at, dim=dim)
+        passed = stored(batch)  # the state is used once a batch
+        raw = passed.select(F.from_json("raw", shape).alias("_r")).select("_r.*")
+        new = ingest_raw(raw, batch_id, at, dim=dim)
 
         def add(name: str, df: DataFrame) -> None:
             columns = spark.createDataFrame([], TABLES[name]).schema
@@ -48,13 +87,22 @@ def stream_ingest(spark: SparkSession, landing: str, root: str, vocab: DataFrame
             rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
 
         add("records", new.records)
-        parsed = read_table(spark, root, "records").where(F.col("batch") == batch_id)
+        parsed = all_rows(spark, root, "records").where(F.col("batch") == batch_id)
         add("links", tag_records(parsed, vocab))
         add("vectors", new.vectors)
         add("items", new.items)
         add("runs", new.run)
 
     files = spark.readStream.format("text").option("wholetext", wholetext).load(landing)
-    query = files.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    entries = summary_to_raw(flatten_esummary(files))
+    shape = entries.schema
+    keyed = entries.select(F.coalesce("accession", F.lit("")).alias("accession"), F.to_json(F.struct(*entries.columns), json_of).alias("raw"))
+    before = spark.conf.get(STATE_STORE[0])
+    spark.conf.set(*STATE_STORE)
+    try:
+        changed = keyed.withColumn("digest", F.md5("raw")).groupBy("accession").transformWithStateInPandas(NewContent(), "accession string, raw string", "Update", "None")
+        query = changed.writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE[0], before)
     return query
