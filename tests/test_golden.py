@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidesearch.functions import text as T
-from tidesearch.functions.embedding import embed_column, hashed_embeddings
+from tidesearch.functions.embedding import embed_column, embed_texts, hashed_embeddings
 from tidesearch.operators import expand, filters, fusion, tagging
 from tidesearch.operators.aggregates import tag_boost
 
@@ -122,12 +122,28 @@ def test_lexical(spark):
     assert filters.lexical_match(records, "of in").collect() == []
 
 
-def test_embedding(spark):
-    df = spark.createDataFrame([("a b a",), ("",), (None,)], "t string")
-    v = [r[0] for r in df.select(embed_column(F.col("t"), dim=8)).collect()]
-    assert sum(x * x for x in v[0]) == pytest.approx(1) and v[1] == v[2] == [0.0] * 8
-    loaded = lambda: lambda texts: [[float(len(t)), 1.0] for t in texts]
-    assert [r[0] for r in df.select(embed_column(F.col("t"), loaded, batch=2)).collect()] == [[5.0, 1.0], [0.0, 1.0], [0.0, 1.0]]
+def test_embedding(spark, tmp_path):
+    """A provider meets each different text once, and none that is known."""
+    df = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "a b a")], "k long, t string")
+
+    def loaded():
+        def model(texts):
+            with open(tmp_path / "calls", "a") as f:
+                f.write("x" * len(texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    assert [r[0] for r in df.orderBy("k").select(embed_column(F.col("t"), loaded, batch=2)).collect()] == [[5.0, 1.0], [0.0, 1.0], [0.0, 1.0], [5.0, 1.0]]
+    (tmp_path / "calls").unlink()
+    made = embed_texts(df, "k", "t", loaded).cache()
+    assert {r["k"]: r["embedding"] for r in made.collect()} == {1: [5.0, 1.0], 2: [0.0, 1.0], 3: [0.0, 1.0], 4: [5.0, 1.0]}
+    calls = (tmp_path / "calls").read_text()
+    assert len(calls) == 2
+    again = embed_texts(df, "k", "t", loaded, known=made)
+    assert sorted(map(str, again.collect())) == sorted(map(str, made.collect())) and (tmp_path / "calls").read_text() == calls
+    hashed = {r["k"]: r["embedding"] for r in embed_texts(df, "k", "t", dim=8).collect()}
+    assert hashed == {r["k"]: r["embedding"] for r in hashed_embeddings(df, "k", "t", 8).collect()}
 
 
 def test_hashed_embeddings(spark):

@@ -99,3 +99,48 @@ def test_record_json(spark):
 
     r = spark.createDataFrame([("GSE1", "t", ["a"], datetime.datetime(2023, 1, 15))], "accession string, title string, organisms array<string>, submission_date timestamp")
     assert json.loads(writers.record_to_dict(r).first()["record"]) == {"accession": "GSE1", "title": "t", "organisms": ["a"], "submission_date": "2023-01-15T00:00:00"}
+
+
+def test_keyed_table(spark, tmp_path):
+    """An upsert rewrites the partitions of its keys alone; equal versions are settled by the rest of the row; a delete may empty a partition."""
+    import os
+    import re
+
+    from tests.test_queries import plan
+
+    table = writers.KeyedTable(spark, f"file://{tmp_path}/t", ("k",), buckets=32)
+    table.create(spark.range(400).selectExpr("id as k", "'old' as v", "1 as updated_at"))
+    files = lambda: {p.parent.name: (p.name, os.stat(p).st_mtime_ns) for p in (tmp_path / "t").glob("bucket=*/part*")}
+    before = files()
+    batch = spark.createDataFrame([(k, "new", 2) for k in range(5)] + [(k, "newer", 2) for k in range(3)] + [(1000 + k, "added", 2) for k in range(5)], "k long, v string, updated_at int")
+    touched = table.upsert(batch, created=None)
+    changed = {n for n, x in files().items() if before.get(n) != x}
+    assert len(touched) <= 10 and changed == {f"bucket={b}" for b in touched} and len(before) == 32
+    rows = {r["k"]: r["v"] for r in table.read().collect()}
+    assert len(rows) == 405 and [rows[k] for k in (0, 2, 3, 5, 1004)] == ["newer", "newer", "new", "old", "added"]
+    table.upsert(batch, created=None)
+    assert {r["k"]: r["v"] for r in table.read().collect()} == rows
+    one = next(k for k in range(400))
+    gone = table.read().where(f"pmod(xxhash64(cast(k as string)), 32) = pmod(xxhash64('{one}'), 32)").select("k")
+    n = gone.count()
+    table.delete(spark.createDataFrame(gone.collect(), "k long"))
+    assert table.read().count() == 405 - n and len(files()) == 31
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan(table._touched(spark.range(1).selectExpr("id as k"))[1]))
+
+
+def test_delete_cascade(spark):
+    """Records take their links, vectors and items with them, and these what refers to them."""
+    records = spark.createDataFrame([(f"GSE{i}",) for i in range(200)] + [(None,)], "accession string")
+    links = spark.createDataFrame([(f"GSE{i % 210}", f"D{i % 7}", i) for i in range(2000)] + [(None, "D1", -1)], "accession string, concept_id string, link long")
+    notes = spark.createDataFrame([(i, f"note {i}") for i in range(0, 2000, 3)] + [(None, "free")], "link_id long, note string")
+    keys = spark.createDataFrame([(f"GSE{i}",) for i in range(0, 200, 4)] + [("GSE205",), ("GSE4",), (None,)], "accession string")
+    out = writers.delete_cascade({"records": records, "links": links, "notes": notes}, "records", keys, [("links", "accession", "records", "accession"), ("notes", "link_id", "links", "link")])
+    gone = {f"GSE{i}" for i in range(0, 200, 4)} | {"GSE205"}
+    assert {r[0] for r in out["records"].collect()} == {f"GSE{i}" for i in range(200)} - gone | {None}
+    kept = {r["link"] for r in out["links"].collect()}
+    assert kept == {i for i in range(2000) if f"GSE{i % 210}" not in gone} | {-1}
+    assert {r["link_id"] for r in out["notes"].collect()} == {i for i in range(0, 2000, 3) if i in kept} | {None}
+    bitmaps = writers.key_filter(keys)
+    marked = writers.maybe_among(records, ["accession"], bitmaps)
+    maybe = {r["accession"] for r in marked.where("_maybe").collect()}
+    assert gone - {"GSE205"} <= maybe and len(maybe) < 80 and bitmaps.count() <= 128

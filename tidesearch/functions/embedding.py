@@ -9,21 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def hashed_embedding(text: Column, dim: int = 384) -> Column:
-    """Feature hashing of words into ``dim`` signed counts, scaled to unit length; the default as it needs no model."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    cells = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dim)).cast("int").alias("k"), F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("v")))
-    # Costs dim comparisons a word: meant for tests and small dim; real models come as a provider.
-    total = lambda cs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(cs, lambda c: c["k"] == i), F.lit(0.0), lambda a, c: a + c["v"]))
-    summed = F.transform(F.array(cells), total).getItem(0)
-
-    def scaled(v: Column) -> Column:
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
-
-    return F.transform(F.array(summed), scaled).getItem(0)
-
-
 def hashed_embeddings(texts: DataFrame, key: str, text: str, dim: int = 384) -> DataFrame:
     """(key, embedding): feature hashing of the words of each row (unique by ``key``), scaled to unit length; the work grows with the words alone.
 
@@ -39,10 +24,8 @@ def hashed_embeddings(texts: DataFrame, key: str, text: str, dim: int = 384) ->
     return rows.select(key, dense.alias("embedding"))
 
 
-def embed_column(text: Column, provider: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, dim: int = 384, batch: int = 32) -> Column:
+def embed_column(text: Column, provider: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 32) -> Column:
     """``array<float>`` of each text.  ``provider()`` loads a model once a Python worker and returns a function of a list of texts."""
-    if provider is None:
-        return hashed_embedding(text, dim)
 
     @F.pandas_udf("array<float>")
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -54,3 +37,21 @@ def embed_column(text: Column, provider: Callable[[], Callable[[list[str]], list
             yield pd.Series(out, index=part.index, dtype=object)
 
     return embed(text)
+
+
+def embed_texts(texts: DataFrame, key: str, text: str, provider: Callable | None = None, dim: int = 384, batch: int = 32, known: DataFrame | None = None) -> DataFrame:
+    """(key, embedding, digest) of each row (unique by ``key``): from ``provider``, or by feature hashing (``hashed_embeddings``) without one.
+
+    Every different text is embedded once, and not at all if ``known`` (digest, embedding; of the same provider) has it.  A null text is embedded as an empty one.
+    """
+    rows = texts.select(key, F.coalesce(text, F.lit("")).alias("_text")).withColumn("digest", F.sha2("_text", 256))
+    fresh = rows.select("digest", "_text").dropDuplicates(["digest"])
+    if known is not None:
+        fresh = fresh.join(known.select("digest"), "digest", "left_anti")
+    if provider is None:
+        made = hashed_embeddings(fresh, "digest", "_text", dim)
+    else:
+        made = fresh.select("digest", embed_column(F.col("_text"), provider, batch).alias("embedding"))
+    if known is not None:
+        made = made.unionByName(known.select("digest", "embedding").dropDuplicates(["digest"]))
+    return rows.select(key, "digest").join(made, "digest").select(key, "embedding", "digest")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidesearch.functions import text as T
-from tidesearch.functions.embedding import embed_column, hashed_embeddings
+from tidesearch.functions.embedding import embed_texts
 from tidesearch.operators.aggregates import run_status
 from tidesearch.operators.filters import reject_invalid
 from tidesearch.operators.joins import skip_existing
@@ -50,13 +50,13 @@ class Ingested:
     run: DataFrame
 
 
-def ingest_new(landed: DataFrame, records: DataFrame, run_id: int, at, provider: Callable | None = None, dim: int = 384, skip: bool = True, prefix: str = "GSE") -> Ingested:
+def ingest_new(landed: DataFrame, records: DataFrame, run_id: int, at, provider: Callable | None = None, dim: int = 384, skip: bool = True, prefix: str = "GSE", known: DataFrame | None = None) -> Ingested:
     """What landed JSON responses (``value``) add at time ``at`` as run ``run_id``; with ``skip`` nothing for an accession in ``records``.
 
-    A bad record fails alone: its item says why.  A batch without candidates is a completed run of nothing.
+    Texts that ``known`` (digest, embedding) has are not embedded again.  A bad record fails alone: its item says why.  A batch without candidates is a completed run of nothing.
     """
     raw = one_entry(summary_to_raw(flatten_esummary(landed)))
-    return ingest_raw(skip_existing(raw, records) if skip else raw, run_id, at, provider, dim, prefix)
+    return ingest_raw(skip_existing(raw, records) if skip else raw, run_id, at, provider, dim, prefix, known)
 
 
 def one_entry(raw: DataFrame) -> DataFrame:
@@ -64,16 +64,13 @@ def one_entry(raw: DataFrame) -> DataFrame:
     return raw.groupBy("accession").agg(F.max(F.struct(*[c for c in raw.columns if c != "accession"])).alias("_raw")).select("accession", "_raw.*")
 
 
-def ingest_raw(raw: DataFrame, run_id: int, at, provider: Callable | None = None, dim: int = 384, prefix: str = "GSE") -> Ingested:
+def ingest_raw(raw: DataFrame, run_id: int, at, provider: Callable | None = None, dim: int = 384, prefix: str = "GSE", known: DataFrame | None = None) -> Ingested:
     """As ``ingest_new`` for raw records, one an accession, all of which are taken."""
     new, bad = reject_invalid(raw, prefix)
     stamp = F.lit(at).cast("timestamp")
     parsed = parse_record(new).withColumn("created_at", stamp).withColumn("updated_at", stamp)
     texts = T.embedding_text(*[F.col(c) for c in ("title", "summary", "overall_design", "organisms", "tech_type")])
-    if provider is None:
-        embedded = hashed_embeddings(parsed.select("accession", texts.alias("text")), "accession", "text", dim).withColumn("updated_at", stamp)
-    else:
-        embedded = parsed.select("accession", embed_column(texts, provider, dim).alias("embedding"), "updated_at")
+    embedded = embed_texts(parsed.select("accession", texts.alias("text")), "accession", "text", provider, dim, known=known).withColumn("updated_at", stamp)
     item = lambda d, status, why: d.select(F.lit(run_id).cast("long").alias("run_id"), "accession", F.lit(status).alias("status"), why.alias("error_message"), stamp.alias("process_time"))
     items = item(parsed, "completed", F.lit(None).cast("string")).unionByName(item(bad, "failed", F.col("reason")))
     counts = run_status(items)
@@ -84,6 +81,6 @@ def ingest_raw(raw: DataFrame, run_id: int, at, provider: Callable | None = None
 
 
 def ingest_batch(landed: DataFrame, records: DataFrame, vectors: DataFrame, run_id: int, at, provider: Callable | None = None, dim: int = 384, skip: bool = True, prefix: str = "GSE") -> Ingested:
-    """``ingest_new`` upserted into ``records`` and ``vectors``.  Replaying a batch with ``skip`` changes neither."""
-    new = ingest_new(landed, records, run_id, at, provider, dim, skip, prefix)
+    """``ingest_new`` upserted into ``records`` and ``vectors``; texts whose digest ``vectors`` has keep their vector.  Replaying a batch with ``skip`` changes neither."""
+    new = ingest_new(landed, records, run_id, at, provider, dim, skip, prefix, vectors if "digest" in vectors.columns else None)
     return Ingested(upsert_records(records, new.records, ["accession"]), upsert_records(vectors, new.vectors, ["accession"], "updated_at", None), new.items, new.run)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidesearch import views as V
+from tidesearch.functions import embedding as EMB
 from tidesearch.functions import text as T
 from tidesearch.functions.embedding import hashed_embeddings
 from tidesearch.operators import aggregates as A
@@ -21,11 +22,11 @@ from tidesearch.operators.fusion import fusion_order, rrf_fuse
 from tidesearch.operators.ivf import IvfIndex, build_ivf, open_ivf
 from tidesearch.operators.gram_index import GramIndex, build_gram_index, open_gram_index
 from tidesearch.plans import ingest as ING
-from tidesearch.plans import report
+from tidesearch.plans import partials, report
 from tidesearch.plans import search as S
 from tidesearch.schemas import LINKS
 from tidesearch.sources import readers, writers
-from tidesearch.sources.scratch import new_folder
+from tidesearch.sources.scratch import new_folder, stored
 from tidesearch.streaming import ingest as ST
 
 QUERY = "and tionth-er ingthe (ent)"
@@ -242,11 +243,40 @@ def upsert_vocab(s, d):
     return writers.upsert_vocab(v.where("cast(substring(concept_id, 2) as int) % 2 = 0"), v.withColumn("preferred_name", F.lit("added")))
 
 
-@query("SELECT accession, CASE WHEN i % 3 = 0 THEN 2 ELSE 1 END AS updated_at FROM (SELECT 'GSE' || vec_id AS accession, vec_id AS i FROM embeddings)")
+@query("SELECT accession, CASE WHEN sample_count % 7 = 0 THEN title || '!' ELSE title END AS title, CASE WHEN sample_count % 7 = 0 THEN 2 ELSE 1 END AS version FROM records WHERE sample_count % 11 <> 0", "records")
+def upsert_keyed(s, d):
+    """A stored table: one in seven records is put in place, two rows of one version for each, and one in eleven deleted."""
+    r = V.records(s, d).select("accession", "title", "sample_count", F.lit(1).alias("version"))
+    table = writers.KeyedTable(s, new_folder(s), ("accession",))
+    table.create(r)
+    again = r.where("sample_count % 7 = 0").withColumn("version", F.lit(2))
+    table.upsert(again.withColumn("title", F.explode(F.array("title", F.concat("title", F.lit("!"))))), "version", None)
+    table.delete(r.where("sample_count % 11 = 0").select("accession"))
+    return table.read().select("accession", "title", "version")
+
+
+@query("SELECT accession, CASE WHEN i % 3 = 0 THEN 2 ELSE 1 END AS updated_at, round(CASE WHEN i % 3 = 0 THEN -1 ELSE 1 END * list_sum(e), 4) AS total, round(list_sum(list_transform(e, lambda x: x * x)), 4) AS squares FROM (SELECT 'GSE' || vec_id AS accession, vec_id AS i, embedding::DOUBLE[] AS e FROM embeddings)")
 def upsert_vectors(s, d):
+    """Every third vector is put in place by its negative."""
     v = V.vectors(s, d).select("accession", "embedding", F.lit(1).alias("updated_at"))
-    again = v.where("cast(substring(accession, 4) as bigint) % 3 = 0").withColumn("updated_at", F.lit(2))
-    return writers.upsert_vectors(v, again).select("accession", "updated_at")
+    again = v.where("cast(substring(accession, 4) as bigint) % 3 = 0").withColumn("updated_at", F.lit(2)).withColumn("embedding", F.transform("embedding", lambda x: -x))
+    total = lambda f: F.round(F.aggregate("embedding", F.lit(0.0), f), 4)
+    return writers.upsert_vectors(v, again).select("accession", "updated_at", total(lambda a, x: a + x.cast("double")).alias("total"), total(lambda a, x: a + x.cast("double") * x.cast("double")).alias("squares"))
+
+
+FOREIGN_KEYS = [("links", "accession", "records", "accession"), ("vectors", "accession", "records", "accession"), ("links", "concept_id", "vocab", "concept_id")]
+LEFT = "SELECT accession FROM records WHERE sample_count < 30"
+
+
+@query(f"""SELECT 'records' AS table_name, accession AS key FROM records WHERE accession IN ({LEFT}) UNION ALL SELECT 'links', accession || ' ' || concept_id FROM links WHERE accession IN ({LEFT})
+  UNION ALL SELECT 'vectors', accession FROM vectors WHERE accession NOT IN (SELECT accession FROM records WHERE sample_count >= 30)""", "links", "vectors")
+def delete_cascade(s, d):
+    """Records of 30 samples or more go, with their links and vectors."""
+    r = V.records(s, d)
+    tables = {"records": r, "links": _links(s, d), "vectors": V.vectors(s, d), "vocab": V.vocab(s, d)}
+    left = writers.delete_cascade(tables, "records", r.where("sample_count >= 30").select("accession"), FOREIGN_KEYS)
+    row = lambda name, key: left[name].select(F.lit(name).alias("table_name"), key.alias("key"))
+    return row("records", F.col("accession")).unionByName(row("links", F.concat_ws(" ", "accession", "concept_id"))).unionByName(row("vectors", F.col("accession")))
 
 
 @query("SELECT accession FROM records WHERE accession NOT IN (SELECT accession FROM vectors)", "records", "vectors")
@@ -833,6 +863,18 @@ def corpus_report(s, d):
     return report.corpus_report(V.records(s, d), V.vocab(s, d), _links(s, d), V.vectors(s, d), 64).withColumn("value", F.round("value", 6))
 
 
+@query(ORACLE_SQL["corpus_report"])
+def corpus_report_merged(s, d):
+    """The same from the stored figures of three batches of records."""
+    folder = new_folder(s)
+    part = lambda k, key="accession": F.pmod(F.substring(key, 4, 20).cast("long"), F.lit(3)) == k
+    for k in range(3):
+        mine = [t.where(part(k)) for t in (V.records(s, d), _links(s, d), V.vectors(s, d))]
+        partials.partial_report(*mine, V.vocab(s, d) if k == 0 else None).write.parquet(f"{folder}/batch={k}")
+    whole = partials.report_of(s.read.parquet(folder), 64).where("name != 'tagged_about'")
+    return whole.withColumn("value", F.round("value", 6))
+
+
 @query("""SELECT 'GSE' || doc_id AS accession, trim(regexp_replace(substring(text, 1, 80), '[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+', ' ', 'g')) AS title, lang AS organisms, CAST(n_chars AS INTEGER) AS sample_count, '2023-01-15' AS submission_date FROM documents""")
 def parse_record(s, d):
     p = ING.parse_record(readers.summary_to_raw(readers.flatten_esummary(_landed(s, d))))
@@ -868,6 +910,26 @@ def stream_ingest(s, d):
     return out.join(t("items").select("accession", "run_id", F.col("status").alias("item")), ["accession", "run_id"]).join(t("runs").select("run_id", F.col("total_count").alias("run_total")), "run_id")
 
 
+@query("SELECT CAST(count(DISTINCT coalesce(text, '')) AS BIGINT) AS met, CAST(0 AS BIGINT) AS met_again, CAST(count(*) AS BIGINT) AS rows, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS letters FROM documents")
+def embed_texts(s, d):
+    """A provider that tells how often it is called: it meets each different text once, and none in a second run over all texts."""
+    met, texts = s.sparkContext.accumulator(0), V.table(s, d, "documents").select(F.monotonically_increasing_id().alias("k"), "text")
+    texts = stored(texts)
+
+    def lengths():
+        def model(batch):
+            met.add(len(batch))
+            return [[float(len(t))] for t in batch]
+
+        return model
+
+    made = stored(EMB.embed_texts(texts, "k", "text", lengths))
+    first = met.value
+    again = stored(EMB.embed_texts(texts, "k", "text", lengths, known=made.select("digest", "embedding").distinct()))
+    figures = again.agg(F.count("*").alias("rows"), F.sum(F.col("embedding")[0]).cast("long").alias("letters"))
+    return figures.select(F.lit(first).cast("long").alias("met"), F.lit(met.value - first).cast("long").alias("met_again"), "rows", "letters")
+
+
 @query("""SELECT accession, CAST(count(*) AS BIGINT) AS cells, round(sum(abs(v)) / sqrt(sum(v * v)), 4) AS spread, round(max(abs(v)) / sqrt(sum(v * v)), 4) AS peak FROM (
     SELECT accession, k, sum(sign) AS v FROM (SELECT accession, ('0x' || substring(h, 1, 7))::BIGINT % 384 AS k, CASE WHEN substring(h, 8, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign
       FROM (SELECT accession, md5(unnest(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(summary, '') || ' ' || coalesce(overall_design, '')), '[\\p{L}\\p{N}_]+'))) AS h FROM records)) GROUP BY 1, 2 HAVING sum(sign) <> 0) GROUP BY 1""", "records")
