@@ -92,3 +92,13 @@ def integrity_report(records: DataFrame, vocab: DataFrame, links: DataFrame, sou
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def keys_and_orphans(parent: DataFrame, child: DataFrame, key: str) -> DataFrame:
+    """(repeated, orphans): keys that ``parent`` has more than once, and rows of ``child`` whose key it does not have (null keys included), in one pass.
+
+    Both tables are counted by key where they are read, so a key that is common moves once a task."""
+    one = lambda d, p, c: d.select(key, F.lit(p).alias("_p"), F.lit(c).alias("_c"))
+    by_key = one(parent, 1, 0).unionByName(one(child, 0, 1)).groupBy(key).agg(F.sum("_p").alias("_p"), F.sum("_c").alias("_c"))
+    lost = F.when((F.col("_p") == 0) | F.col(key).isNull(), F.col("_c")).otherwise(0)
+    return by_key.agg(F.count_if(F.col("_p") > 1).alias("repeated"), F.coalesce(F.sum(lost), F.lit(0)).cast("long").alias("orphans"))

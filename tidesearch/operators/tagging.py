@@ -16,7 +16,7 @@ FIELD_WEIGHTS = {"title": 2.0, "summary": 1.5, "overall_design": 1.0}
 #: Shorter terms are not matched, so every term that is has a first gram.
 GRAM = 4
 #: Tables of terms or keys of up to so many rows are sent to every task; larger ones are shuffled, with keys of over ``HEAVY`` texts dealt out in parts.
-SENT, HEAVY = 200_000, 100_000
+SENT, HEAVY = 500_000, 100_000
 
 
 def term_variants(vocab: DataFrame) -> DataFrame:
@@ -32,58 +32,51 @@ def text_fields(records: DataFrame, weights: dict[str, float] | None = None) ->
 
 
 def _sent(rows: DataFrame) -> tuple[DataFrame, bool]:
-    """The table as one that every task gets, if it has ``SENT`` rows at most, and whether it is."""
-    some = rows.limit(SENT + 1).toArrow()
-    if some.num_rows > SENT:
-        return rows, False
-    return F.broadcast(rows.sparkSession.createDataFrame(some, rows.schema)), True
+    """The table written once and, if it has ``SENT`` rows at most, sent to every task; and whether it is."""
+    kept = stored(rows)
+    return (F.broadcast(kept), True) if kept.count() <= SENT else (kept, False)
 
 
 def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
-def holding(strings: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, columns of ``strings``): strings (_string, distinct) that hold a word (word, distinct).
-
-    Both are split into grams, of three characters or as long as a shorter word; a word looks among the strings that hold the rarest of its grams."""
-    size = F.least(F.length("word"), F.lit(3))
-    own = words.select("word", F.explode(F.when(size == 1, _grams(F.col("word"), 1)).when(size == 2, _grams(F.col("word"), 2)).otherwise(_grams(F.col("word"), 3))).alias("_gram"))
-    own = stored(own)
-    some = [n for n in (1, 2, 3) if not own.where(F.length("_gram") == n).isEmpty()]
-    if not some:
-        return strings.select("*", F.lit("").alias("word")).where(F.lit(False))
-    wanted, _ = _sent(own.select("_gram").distinct())
-    held = strings.select("*", F.explode(F.concat(*[_grams(F.col("_string"), n) for n in some])).alias("_gram")).join(wanted, "_gram")
-    counts = held.groupBy("_gram").agg(F.count("*").alias("_n"))
-    rarest = own.join(counts, "_gram").groupBy("word").agg(F.min(F.struct("_n", "_gram")).alias("_r"))
-    chosen, _ = _sent(rarest.select("word", "_r._gram"))
-    return held.join(chosen, "_gram").where(F.contains("_string", F.col("word"))).drop("_gram")
-
-
 def rarest_words(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(_string, term, texts): for each term the strings of the texts that hold its rarest word, with the number of texts that have the string.
+    """(_string, term, exact, texts): for each term the strings of the texts that its rarest word may be in, with the number of texts that have the string.
 
-    A text that holds a term, or all of its words, has a string between blanks that holds this word.  Strings are counted over all texts; a word is as frequent as
-    the strings that hold it.  A term with a word that no text holds is left out.  ``texts``: a row for each text and different string."""
+    A text that holds a term, or all of its words, has a string between blanks that holds any of these words: the first at its end, the last at its beginning, an inner one
+    as a whole, or each as a word within the string.  Strings are counted over all texts, and so is how many texts have each gram of the terms' words (of three characters, or as long as a shorter
+    word); the word with the rarest gram is looked for among the strings that hold this gram.  ``exact``: the term is that word, so no text need be verified.  A term with a
+    gram that no text holds is left out.  ``texts``: a row for each text and different string."""
     counted = stored(texts.groupBy("_string").agg(F.count("*").alias("texts")))
-    own = terms.select("term", F.explode(F.array_distinct(term_words(F.col("term")))).alias("word"))
-    found = stored(holding(counted, own.select("word").distinct()))
-    often = found.groupBy("word").agg(F.sum("texts").alias("n"))
-    rarest = own.join(often, "word", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("_r"))
-    return rarest.where("_r.n > 0").select("term", "_r.word").join(found, "word").select("_string", "term", "texts")
+    placed = terms.select("term", F.size(term_words(F.col("term"))).alias("_n"), F.posexplode(term_words(F.col("term"))).alias("_pos", "word"))
+    kind = F.when(F.col("term") == F.col("word"), "whole").when(F.col("_n") == 1, "part").when(F.col("_pos") == 0, "first").when(F.col("_pos") == F.col("_n") - 1, "last").otherwise("inner")
+    length = F.length("word")
+    own = stored(placed.select("term", "word", kind.alias("kind"), F.explode(F.when(length == 1, _grams(F.col("word"), 1)).when(length == 2, _grams(F.col("word"), 2)).otherwise(_grams(F.col("word"), 3))).alias("_gram")))
+    sizes = sorted(r[0] for r in own.select(F.length("_gram")).distinct().collect())  # 1, 2, 3
+    wanted, _ = _sent(own.select("_gram").distinct())
+    each = F.concat(*[_grams(F.col("_string"), n) for n in sizes or [3]])
+    held = stored(counted.select("*", F.explode(each).alias("_gram")).join(wanted, "_gram"))
+    often = held.groupBy("_gram").agg(F.sum("texts").alias("_often"))
+    least = own.join(often, "_gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "_gram", "word", "kind")).alias("_r"))
+    chosen, _ = _sent(least.where("_r.n > 0").select("term", "_r._gram", "_r.word", "_r.kind"))
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    place = F.when(F.col("kind") == "first", F.endswith("_string", "word")).when(F.col("kind") == "last", F.startswith("_string", "word")).when(F.col("kind") == "inner", F.col("_string") == F.col("word")).otherwise(True)
+    within = F.contains(spaced(F.regexp_replace("_string", r"[^\p{L}\p{N}_]", " ")), spaced(F.col("word")))
+    met = held.join(chosen, "_gram").where(F.contains("_string", F.col("word")) & (place | within))
+    return met.select("_string", "term", (F.col("kind") == "whole").alias("exact"), "texts")
 
 
 def _meet(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """(accession, weight, term): texts that have a string of a term.  A string that many texts have is dealt out in parts where the table of keys is not sent whole."""
+    """(accession, weight, term, exact): texts that have a string of a term.  A string that many texts have is dealt out in parts where the table of keys is not sent whole."""
     table, sent = _sent(keys)
     if sent:
-        return texts.join(table, "_string").select("accession", "weight", "term")
+        return texts.join(table, "_string").select("accession", "weight", "term", "exact")
     parts = F.ceil(F.col("texts") / HEAVY).cast("int")
-    heavy, _ = _sent(keys.where(F.col("texts") > HEAVY).select("_string", parts.alias("_parts")).distinct())
+    heavy, _ = _sent(table.where(F.col("texts") > HEAVY).select("_string", parts.alias("_parts")).distinct())
     dealt = texts.join(heavy, "_string", "left").withColumn("_part", F.pmod(F.xxhash64("accession", "weight"), F.coalesce("_parts", F.lit(1))).cast("int"))
     each = table.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return dealt.join(each, ["_string", "_part"]).select("accession", "weight", "term")
+    return dealt.join(each, ["_string", "_part"]).select("accession", "weight", "term", "exact")
 
 
 def concept_match(fields: DataFrame, variants: DataFrame, by_keys: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -98,17 +91,19 @@ def concept_match(fields: DataFrame, variants: DataFrame, by_keys: bool = True,
         whole = fields.withColumn("tokens", word_tokens(F.col("text")))
         met = whole.join(F.broadcast(variants), F.contains("text", F.col("term"))).unionByName(whole.join(F.broadcast(variants), ~F.contains("text", F.col("term")) & (F.size(F.array_except("words", "tokens")) == 0)))
         return met.select("accession", "concept_id", *keep, (score * F.col("weight")).alias("confidence"))
-    texts = fields.select("accession", "weight", F.explode(F.array_distinct(term_words(F.col("text")))).alias("_string"))
-    pairs = _meet(texts, rarest_words(texts, variants.select("term").distinct()))
-    listed = pairs.groupBy("accession", "weight").agg(F.collect_set("term").alias("_terms"))
+    texts = stored(fields.select("accession", "weight", F.explode(F.array_distinct(term_words(F.col("text")))).alias("_string")))  # counted, then joined
+    pairs = stored(_meet(texts, rarest_words(texts, variants.select("term").distinct())).distinct())
+    certain = pairs.where("exact").select("accession", "weight", "term", F.lit(True).alias("_whole"))
+    listed = pairs.where("not exact").groupBy("accession", "weight").agg(F.collect_list("term").alias("_terms"))
     # Words of a text, each between blanks: a term's words are among them if each is found between blanks.
     spoken = F.concat(F.lit(" "), F.array_join(word_tokens(F.col("text")), " "), F.lit(" "))
     said = lambda t, words: F.forall(term_words(t), lambda w: F.contains(words, F.concat(F.lit(" "), w, F.lit(" "))))
     judged = lambda words: F.transform("_terms", lambda t: F.struct(t.alias("term"), F.when(F.contains("text", t), True).when(said(t, words), False).alias("_whole")))
     each = F.filter(F.transform(F.array(spoken), judged).getItem(0), lambda x: x["_whole"].isNotNull())  # the words of a text are found once, not once a term
-    met = fields.join(listed, ["accession", "weight"]).select("accession", "weight", F.explode(each).alias("_m"))
+    # Texts are dealt out by record: long ones, with many terms, are not left in the few tasks that read them.
+    met = fields.join(listed.hint("shuffle_hash"), ["accession", "weight"]).select("accession", "weight", F.explode(each).alias("_m"))
     scored, _ = _sent(variants.select("term", "concept_id", phrase_confidence(F.col("words")).alias("_p"), subset_confidence(F.col("words")).alias("_s")))
-    named = met.select("accession", "weight", "_m.*").join(scored, "term")
+    named = certain.unionByName(met.select("accession", "weight", "_m.*")).join(scored, "term")
     return named.select("accession", "concept_id", *keep, (F.when(F.col("_whole"), F.col("_p")).otherwise(F.col("_s")) * F.col("weight")).alias("confidence"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -664,20 +666,38 @@ def set_difference(s, d):
   UNION ALL SELECT 'links without concept', count(*) FROM links WHERE concept_id NOT IN (SELECT concept_id FROM chosen) UNION ALL SELECT 'links source', count(*) FROM links WHERE source NOT IN ('pubmed', 'manual')""", "links", "vectors", more=SOME)
 def integrity_report(s, d):
     """Over tables with gaps: only records with a vector and every third concept are parents."""
-    from functools import reduce
-
     records, links = V.records(s, d), _links(s, d)
     parents = J.integrity_report(records.join(V.vectors(s, d), "accession", "left_semi"), _some(s, d), links, ("pubmed", "manual")).where("check_name like 'links%'")
     own = J.integrity_report(records, V.vocab(s, d), links).where("check_name not like 'links%'")
     return reduce(lambda a, b: a.unionByName(b), [parents, own])
 
 
+@query(ORACLE_SQL["integrity_report"])
+def integrity_of_write(s, d):
+    """The same checks: values with the write of the links, keys and orphans in one pass for each pair of tables."""
+    records, links, path = V.records(s, d), _links(s, d), new_folder(s)
+    with_vector = records.join(V.vectors(s, d), "accession", "left_semi")
+    wrong = writers.write_checked(links, path, {"links source": F.col("source").isin("pubmed", "manual")})
+    written = s.read.schema(LINKS).parquet(path)
+    row = lambda df, column, name: df.select(F.lit(name).alias("check_name"), F.col(column).alias("violations"))
+    per_record = J.keys_and_orphans(with_vector, written, "accession")
+    parts = [
+        row(J.keys_and_orphans(records, records.limit(0), "accession"), "repeated", "records key"),
+        row(J.keys_and_orphans(V.vocab(s, d), written.limit(0), "concept_id"), "repeated", "vocab key"),
+        row(written.groupBy("accession", "concept_id", "source").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n")), "n", "links key"),
+        row(per_record, "orphans", "links without record"),
+        row(J.keys_and_orphans(_some(s, d), written, "concept_id"), "orphans", "links without concept"),
+        s.createDataFrame(list(wrong.items()), "check_name string, violations long"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- scalar functions ---------------------------------------------------------------------------------------------------
 
 
-@query("SELECT accession, trim(regexp_replace(coalesce(summary, ''), '[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+', ' ', 'g')) AS cleaned FROM records", "records")
+@query("SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+', ' ', 'g')) AS cleaned FROM documents")
 def clean_text(s, d):
-    return V.records(s, d).select("accession", T.clean_text(F.col("summary")).alias("cleaned"))
+    return V.table(s, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([CASE lang WHEN 'en' THEN 'Homo sapiens' WHEN 'fr' THEN 'Mus musculus' ELSE lang END, 'Homo sapiens', source], lambda x: x <> ''))), ', ') AS labels FROM documents")
@@ -717,10 +737,10 @@ def embedding_text(s, d):
     return V.records(s, d).select("accession", T.embedding_text(*[F.col(c) for c in ("title", "summary", "overall_design", "organisms", "tech_type")]).alias("embedding_text"))
 
 
-@query("""SELECT accession, CASE WHEN hit IS NULL THEN CASE WHEN length(summary) > 200 THEN substring(summary, 1, 200) || '...' ELSE summary END ELSE CASE WHEN hit - 50 > 0 THEN '...' ELSE '' END || substring(summary, greatest(hit - 50, 0) + 1, least(hit + 200, length(summary)) - greatest(hit - 50, 0)) || CASE WHEN hit + 200 < length(summary) THEN '...' ELSE '' END END AS snippet
-  FROM (SELECT *, least(nullif(strpos(lower(summary), 'tion the'), 0), nullif(strpos(lower(summary), 'ingth'), 0)) - 1 AS hit FROM records)""", "records")
+@query("""SELECT doc_id, CASE WHEN hit IS NULL THEN CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END ELSE CASE WHEN hit - 50 > 0 THEN '...' ELSE '' END || substring(text, greatest(hit - 50, 0) + 1, least(hit + 200, length(text)) - greatest(hit - 50, 0)) || CASE WHEN hit + 200 < length(text) THEN '...' ELSE '' END END AS snippet
+  FROM (SELECT *, least(nullif(strpos(lower(text), 'tion the'), 0), nullif(strpos(lower(text), 'ingth'), 0)) - 1 AS hit FROM documents)""")
 def snippet(s, d):
-    return V.records(s, d).select("accession", T.snippet(F.col("summary"), ["Tion the", "ingth"]).alias("snippet"))
+    return V.table(s, d, "documents").select("doc_id", T.snippet(F.col("text"), ["Tion the", "ingth"]).alias("snippet"))
 
 
 CLEAN = "list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_\\s-]', ' ', 'g'), '\\s+'), lambda x: x <> '')"
@@ -741,9 +761,9 @@ def ngrams(s, d):
     return g.select("doc_id", F.size(F.filter("g", lambda x: ~F.contains(x, F.lit(" ")))).alias("n_words"), F.md5(F.array_join("g", "|")).alias("grams"))
 
 
-@query("SELECT accession, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]+'))), ' ') AS tokens FROM records", "records")
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'))), ' ') AS tokens FROM documents")
 def word_tokens(s, d):
-    return V.records(s, d).select("accession", F.array_join(F.array_sort(T.word_tokens(F.col("title"))), " ").alias("tokens"))
+    return V.table(s, d, "documents").select("doc_id", F.array_join(F.array_sort(T.word_tokens(F.coalesce("text", F.lit("")))), " ").alias("tokens"))
 
 
 @query("""SELECT accession, concept_id, term, max(confidence) AS confidence FROM (SELECT accession, concept_id, term, round(CASE WHEN contains(t, term) THEN least(1.0::DOUBLE, 0.5::DOUBLE + len(words) * 0.1::DOUBLE)

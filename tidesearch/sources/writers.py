@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
@@ -146,6 +146,13 @@ def write_records(df: DataFrame, path: str, partition_by: tuple[str, ...] = (),
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
+def write_checked(df: DataFrame, path: str, checks: dict[str, Column], mode: str = "overwrite") -> dict[str, int]:
+    """Write a table and count, in the same job, the rows that fail each check (a condition; null fails)."""
+    seen = Observation()
+    df.observe(seen, *[F.count_if(~F.coalesce(c, F.lit(False))).alias(name) for name, c in checks.items()]).write.mode(mode).parquet(path)
+    return {name: seen.get[name] for name in checks}
+
+
 def record_to_dict(records: DataFrame) -> DataFrame:
     """(accession, record): the JSON form of a record with ISO dates."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c)

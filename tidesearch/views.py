@@ -25,6 +25,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A concept for each benchmark text: runs of its words are the name and synonyms, the longest of them all words from the 13th on.  Words 1, 2 and 8 are in no
+    term, so that terms are phrases of different length with gaps and a text may hold some terms of a concept and not others."""
     b = table(spark, sf_dir, "benchmark").withColumn("w", F.split("text", r"\s+"))
     part = lambda at, n: F.array_join(F.slice("w", at, n), " ")
     return b.select(
