@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -27,6 +30,15 @@ def _local(bounded: DataFrame) -> DataFrame:
     return bounded.sparkSession.createDataFrame(bounded.toArrow(), bounded.schema)
 
 
+def _meanwhile(job: Callable[[], DataFrame]) -> Future:
+    """Runs a job of its own beside those that follow; ``result()`` waits for it."""
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(job)
+    finally:
+        pool.shutdown(wait=False)
+
+
 def hybrid_search(
     records: DataFrame,
     vectors: DataFrame,
@@ -54,22 +66,24 @@ def hybrid_search(
     """
     expanded, concepts, named = query, None, None
     spark = records.sparkSession
-    if use_concepts:
-        queries = spark.createDataFrame(pa.table({"query_id": [1], "query": [query]}))
-        named = _local(matched_terms(queries, vocab))  # five rows at most; the vocabulary is read once
-        expanded = expansion_text(queries, named).first()["expanded_query"]
-        concepts = [r["concept_id"] for r in named.collect()]
     condition = filter_condition(filters, exact=True)
-    semantic = _empty(records)
+    semantic = None
     if use_semantic and query_vector is not None:
         side = vectors
         if prefilter and filters:
             side = vectors.join(records.where(condition).select("accession"), "accession", "left_semi")
-        semantic = _local(vector_topk(side, query_vector, candidates))
+        nearest = vector_topk(side, query_vector, candidates)
+        semantic = _meanwhile(lambda: _local(nearest))
+    if use_concepts:
+        queries = spark.createDataFrame(pa.table({"query_id": [1], "query": [query]}))
+        named = _local(matched_terms(queries, vocab))  # five rows at most; the vocabulary is read once
+        expanded = expansion_text(queries, named).first()["expanded_query"]
+        concepts = [r["concept_id"] for r in named.collect()]
     if not use_lexical:
         lexical = _empty(records)
     else:
         lexical = index.lexical_match(query_terms(expanded), filters, candidates) if index else _local(lexical_match(records, expanded, filters, candidates))
+    semantic = semantic.result() if semantic else _empty(records)
     # Both lists are bounded and local from here on: one scan of the vectors, one of the texts, one of the links for boosts.
     fused = fuse_full_outer(semantic, lexical)
     boosted = fused.withColumn("boost", F.lit(0.0))
@@ -104,12 +118,13 @@ def search_batch(index: GramIndex, vectors: DataFrame, vocab: DataFrame, links:
     Keywords of all queries are looked up in the stored index at once; vectors and links are read once for all queries.
     """
     asked = _local(queries.select("query_id", "query", "query_vector").limit(MAX_QUERIES + 1))
+    nearest = vector_topk_batch(vectors, asked, candidates).select("query_id", "accession", F.col("rank").alias("sem_rank"))
+    waiting = _meanwhile(lambda: _local(nearest))
     terms = _local(matched_terms(asked.select("query_id", "query"), vocab))  # a few for each query
     words = {r["query_id"]: query_terms(r["expanded_query"]) for r in expansion_text(asked.select("query_id", "query"), terms).collect()}
     spark = vectors.sparkSession
     lexical = spark.createDataFrame(index.match(words, candidates), "query_id long, accession string, lex_rank int")
-    semantic = _local(vector_topk_batch(vectors, asked, candidates).select("query_id", "accession", F.col("rank").alias("sem_rank")))
-    fused = semantic.join(lexical, ["query_id", "accession"], "full_outer")
+    fused = waiting.result().join(lexical, ["query_id", "accession"], "full_outer")
     if links is not None:
         concepts = [r["concept_id"] for r in terms.select("concept_id").distinct().collect()]
         matched = links.where(F.col("concept_id").isin(concepts)).join(F.broadcast(terms.select("query_id", "concept_id")), "concept_id")
