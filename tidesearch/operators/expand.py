@@ -33,7 +33,8 @@ def limit_per_token(hits: DataFrame, max_terms: int = 5) -> DataFrame:
 
 def first_seen_dedupe(limited: DataFrame, max_terms: int = 5) -> DataFrame:
     """Each concept at its first (token, place); the first ``max_terms`` of a query, with ``term_rank`` from 1."""
-    first = limited.groupBy("query_id", "concept_id").agg(F.min(F.struct("pos", "rn")).alias("_at"), F.first("preferred_name").alias("preferred_name"), F.first("entry_terms").alias("entry_terms"))
+    whole = limited.repartition("query_id")  # a few rows a token: from here on a query's rows stay where they are
+    first = whole.groupBy("query_id", "concept_id").agg(F.min(F.struct("pos", "rn")).alias("_at"), F.first("preferred_name").alias("preferred_name"), F.first("entry_terms").alias("entry_terms"))
     ranked = first.withColumn("term_rank", F.row_number().over(W.partitionBy("query_id").orderBy("_at")))
     return ranked.where(F.col("term_rank") <= max_terms).drop("_at")
 
@@ -43,17 +44,19 @@ def matched_terms(queries: DataFrame, vocab: DataFrame, max_terms: int = 5) -> D
     return first_seen_dedupe(limit_per_token(query_term_match(query_tokens(queries), vocab), max_terms), max_terms)
 
 
-def expansion_text(queries: DataFrame, terms: DataFrame, include_synonyms: bool = True) -> DataFrame:
+def expansion_text(queries: DataFrame, terms: DataFrame, include_synonyms: bool = True, keep_terms: bool = False) -> DataFrame:
     """(query_id, query, expanded_query): names and two synonyms of each term that the query does not hold yet, in order.
 
-    Without a matched term the query stays; with some but nothing to add it ends in a space.
+    Without a matched term the query stays; with some but nothing to add it ends in a space.  ``keep_terms`` adds the list ``terms`` of the matched terms
+    (term_rank, concept_id, preferred_name, entry_terms), null if there is none.
     """
     none = F.array().cast("array<string>")
-    words = F.concat(F.array("preferred_name"), F.slice(F.coalesce("entry_terms", none), 1, 2) if include_synonyms else none)
-    listed = terms.groupBy("query_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("term_rank", words.alias("w")))), lambda x: x["w"])).alias("_words"))
+    own = lambda t: F.concat(F.array(t["preferred_name"]), F.slice(F.coalesce(t["entry_terms"], none), 1, 2) if include_synonyms else none)
+    listed = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term_rank", "concept_id", "preferred_name", "entry_terms"))).alias("terms"))
     joined = queries.join(listed, "query_id", "left")
-    added = F.filter("_words", lambda w: ~F.contains(F.lower("query"), F.lower(w)))
-    return joined.select("query_id", "query", F.when(F.col("_words").isNull(), F.col("query")).otherwise(F.concat("query", F.lit(" "), F.array_join(added, " "))).alias("expanded_query"))
+    added = F.filter(F.flatten(F.transform("terms", own)), lambda w: ~F.contains(F.lower("query"), F.lower(w)))
+    expanded = F.when(F.col("terms").isNull(), F.col("query")).otherwise(F.concat("query", F.lit(" "), F.array_join(added, " ")))
+    return joined.select("query_id", "query", expanded.alias("expanded_query"), *(["terms"] if keep_terms else []))
 
 
 def expand_query(queries: DataFrame, vocab: DataFrame, max_terms: int = 5, include_synonyms: bool = True) -> tuple[DataFrame, DataFrame]:

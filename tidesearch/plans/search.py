@@ -6,7 +6,7 @@ from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,6 +30,14 @@ def _local(bounded: DataFrame) -> DataFrame:
     return bounded.sparkSession.createDataFrame(bounded.toArrow(), bounded.schema)
 
 
+def _expanded(queries: DataFrame, vocab: DataFrame) -> tuple[list[Row], DataFrame]:
+    """(rows with query_id, expanded_query and terms; query_id, concept_id, preferred_name) of a bounded table of queries, in one job: a query has five terms at most."""
+    rows = expansion_text(queries, matched_terms(queries, vocab), keep_terms=True).collect()
+    named = [(r["query_id"], t["concept_id"], t["preferred_name"]) for r in rows for t in r["terms"] or []]
+    columns = [pa.array(list(c), k) for c, k in zip(zip(*named) if named else ((), (), ()), (pa.int64(), pa.string(), pa.string()))]
+    return rows, queries.sparkSession.createDataFrame(pa.table(columns, names=["query_id", "concept_id", "preferred_name"]))
+
+
 def _meanwhile(job: Callable[[], DataFrame]) -> Future:
     """Runs a job of its own beside those that follow; ``result()`` waits for it."""
     pool = ThreadPoolExecutor(1)
@@ -76,9 +84,9 @@ def hybrid_search(
         semantic = _meanwhile(lambda: _local(nearest))
     if use_concepts:
         queries = spark.createDataFrame(pa.table({"query_id": [1], "query": [query]}))
-        named = _local(matched_terms(queries, vocab))  # five rows at most; the vocabulary is read once
-        expanded = expansion_text(queries, named).first()["expanded_query"]
-        concepts = [r["concept_id"] for r in named.collect()]
+        rows, named = _expanded(queries, vocab)
+        expanded = rows[0]["expanded_query"]
+        concepts = [t["concept_id"] for t in rows[0]["terms"] or []]
     if not use_lexical:
         lexical = _empty(records)
     else:
@@ -120,13 +128,13 @@ def search_batch(index: GramIndex, vectors: DataFrame, vocab: DataFrame, links:
     asked = _local(queries.select("query_id", "query", "query_vector").limit(MAX_QUERIES + 1))
     nearest = vector_topk_batch(vectors, asked, candidates).select("query_id", "accession", F.col("rank").alias("sem_rank"))
     waiting = _meanwhile(lambda: _local(nearest))
-    terms = _local(matched_terms(asked.select("query_id", "query"), vocab))  # a few for each query
-    words = {r["query_id"]: query_terms(r["expanded_query"]) for r in expansion_text(asked.select("query_id", "query"), terms).collect()}
+    rows, terms = _expanded(asked.select("query_id", "query"), vocab)
+    words = {r["query_id"]: query_terms(r["expanded_query"]) for r in rows}
     spark = vectors.sparkSession
     lexical = spark.createDataFrame(index.match(words, candidates), "query_id long, accession string, lex_rank int")
     fused = waiting.result().join(lexical, ["query_id", "accession"], "full_outer")
     if links is not None:
-        concepts = [r["concept_id"] for r in terms.select("concept_id").distinct().collect()]
+        concepts = sorted({t["concept_id"] for r in rows for t in r["terms"] or []})
         matched = links.where(F.col("concept_id").isin(concepts)).join(F.broadcast(terms.select("query_id", "concept_id")), "concept_id")
         boosts = matched.join(F.broadcast(fused.select("query_id", "accession")), ["query_id", "accession"], "left_semi").groupBy("query_id", "accession").agg(boost_of(F.count("*")).alias("boost"))
         fused = fused.join(boosts, ["query_id", "accession"], "left")

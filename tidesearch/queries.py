@@ -22,7 +22,7 @@ from tidesearch.operators.expand import limit_per_token as limit_hits
 from tidesearch.operators.expand import matched_terms, query_term_match, query_tokens
 from tidesearch.operators.fusion import fusion_order, rrf_fuse
 from tidesearch.operators.ivf import IvfIndex, build_ivf, open_ivf
-from tidesearch.operators.gram_index import GramIndex, build_gram_index, open_gram_index
+from tidesearch.operators.gram_index import GramIndex, build_gram_index
 from tidesearch.plans import ingest as ING
 from tidesearch.plans import partials, report
 from tidesearch.plans import search as S
@@ -87,17 +87,19 @@ def query(oracle: str | None = None, *names: str, more: str = ""):
 
 
 _stored: dict[tuple, str] = {}
+_opened: dict[tuple, GramIndex] = {}
 
 
 def _state(s: SparkSession, d: str, *tables: str) -> tuple:
     """What tells whether tables are still the same: their files with length and time."""
     out = []
     for name in tables:
-        for f in sorted(V.table(s, d, name).inputFiles()):
-            place = s._jvm.org.apache.hadoop.fs.Path(f)
-            status = place.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(place)
-            out.append((f, status.getLen(), status.getModificationTime()))
-    return s.sparkContext.applicationId, d, *out
+        place = s._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        files = place.getFileSystem(s._jsc.hadoopConfiguration()).listFiles(place, True)
+        while files.hasNext():
+            status = files.next()
+            out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return s.sparkContext.applicationId, d, *sorted(out)
 
 
 def _links(s: SparkSession, d: str) -> DataFrame:
@@ -113,11 +115,9 @@ def _links(s: SparkSession, d: str) -> DataFrame:
 def _index(s: SparkSession, d: str) -> GramIndex:
     """The stored records with their gram index, made once a session, as searches find them; again if the table has changed."""
     key = "grams", *_state(s, d, "documents")
-    if key not in _stored:
-        path = new_folder(s)
-        build_gram_index(V.records(s, d), path)
-        _stored[key] = path
-    return open_gram_index(s, _stored[key])
+    if key not in _opened:
+        _opened[key] = build_gram_index(V.records(s, d), new_folder(s))
+    return _opened[key]
 
 
 def _day(c: str):
@@ -835,7 +835,8 @@ SEARCH = f"{TOPK}, {MATCHED}, {EXPANDED}, {SEARCH_LEX}, {FUSED.replace('lexical
 
 
 def _search(s, d):
-    return S.hybrid_search(V.records(s, d), V.vectors(s, d), V.vocab(s, d), _links(s, d), QUERY, V.query_vector(s, d), FILTERS, index=_index(s, d))
+    index = _index(s, d)
+    return S.hybrid_search(index.records().drop("block", "place"), V.vectors(s, d), V.vocab(s, d), _links(s, d), QUERY, V.query_vector(s, d), FILTERS, index=index)
 
 
 @query("""SELECT CAST(row_number() OVER (ORDER BY r) AS INTEGER) AS rank, k.accession, round(k.score, 9) AS score, 'https://example.org/records/' || k.accession AS url, t.tags FROM kept k
