@@ -25,6 +25,13 @@ def term_variants(vocab: DataFrame) -> DataFrame:
     return rows.withColumn("words", term_words(F.col("term"))).where(F.size("words") > 0)
 
 
+def evened(records: DataFrame) -> DataFrame:
+    """Records that fewer tasks read than there are cores (a file of one row group is one task), dealt out over the cores; others stay where they are read."""
+    cores = records.sparkSession.sparkContext.defaultParallelism
+    tasks = records.select(F.spark_partition_id()).distinct().count()
+    return records.repartition(cores, "accession") if tasks < cores else records
+
+
 def text_fields(records: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(accession, weight, text): one row a field that is not empty."""
     parts = [F.struct(F.lit(float(w)).alias("weight"), F.lower(c).alias("text")) for c, w in (weights or FIELD_WEIGHTS).items()]
@@ -112,7 +119,7 @@ def match_records(records: DataFrame, vocab: DataFrame, threshold: float = 0.3,
 
     ``method``: "keys" (joins on the rarest keys of the terms, for any size; the default) or "nested" (every field with every term, for very small vocabularies).
     """
-    found = concept_match(text_fields(records), term_variants(vocab), method == "keys")
+    found = concept_match(text_fields(evened(records)), term_variants(vocab), method == "keys")
     return found.groupBy("accession", "concept_id").agg(F.max("confidence").alias("confidence")).where(F.col("confidence") >= threshold)
 
 
