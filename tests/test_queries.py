@@ -84,7 +84,7 @@ def test_stored_ivf(spark, tmp_path):
     assert index.assigned(odd).count() == 0
 
 
-def test_gram_index(spark, tmp_path):
+def test_gram_index(spark, tmp_path, monkeypatch):
     """Random texts and terms against a scan; the plan reads the partitions of the grams alone; small blocks are read in rounds."""
     import random
 
@@ -102,6 +102,9 @@ def test_gram_index(spark, tmp_path):
             assert [r["accession"] for r in got.orderBy("rank").collect()] == [r["accession"] for r in want]
         every = {r["accession"] for r in index.matches({1: filters.query_terms(query)}).collect()}
         assert every == {r["accession"] for r in filters.lexical_match(records, query, top_k=1000).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(gram_index, "SENT", 0)  # candidates are shuffled
+        assert {r["accession"] for r in index.matches({1: ["zebra"], 2: ["bbbb"]}).collect()} == {r["accession"] for r in filters.lexical_match(records, "zebra bbbb", top_k=1000).collect()}
     text = plan(index.postings(["abc"]))
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", text) and re.search(r"PushedFilters: \[[^\]]*gram,abc", text)
     assert {r["bucket"] for r in index.postings(["abc"]).collect()} == {r["bucket"] for r in index.postings(["abc"]).select("bucket").distinct().collect()}
