@@ -112,6 +112,17 @@ def test_gram_index(spark, tmp_path, monkeypatch):
     assert empty.lexical_match(["abc"]).count() == 0
 
 
+def test_posting_rows_of_blocks_in_any_order():
+    """A task that reads several files meets later blocks first; each gram stays with its own block."""
+    import pyarrow as pa
+
+    from tidesearch.operators.gram_index import _posting_rows
+
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 5, 2, 2, 2, 7], pa.int32()), pa.array([0, 1, 0, 1, 2, 0], pa.int32()), pa.array(["abcd", "bcd", "abc", "xyz", "bcd", "abc"])], ["block", "place", "text"])
+    got = {(r["gram"], r["block"]): r["places"] for b in _posting_rows(iter([batch])) for r in b.to_pylist()}
+    assert got == {("abc", 5): [0], ("bcd", 5): [0, 1], ("abc", 2): [0], ("xyz", 2): [1], ("bcd", 2): [2], ("abc", 7): [0]}
+
+
 def test_batch_plan_has_no_nested_loops(spark):
     assert "NestedLoop" not in plan(Q.search_batch(spark, SF))
     assert "NestedLoop" not in plan(Q.query_term_matches(spark, SF))

@@ -72,7 +72,8 @@ def _posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         block, place = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         while at < b.num_rows:
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, side="right")))
-            stop = at + int(np.searchsorted(block[at:stop], block[at], side="right"))  # records come block by block
+            other = np.flatnonzero(block[at:stop] != block[at])  # records come block by block, but a task reads blocks in any order
+            stop = at + int(other[0]) if len(other) else stop
             grams, to, places = text_grams(b.column(2).slice(at, stop - at), place[at:stop])
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, to), pa.int32()), pa.array(places, pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(np.full(len(grams), block[at]), pa.int32()), lists], ["gram", "block", "places"])
