@@ -123,6 +123,24 @@ def test_posting_rows_of_blocks_in_any_order():
     assert got == {("abc", 5): [0], ("bcd", 5): [0, 1], ("abc", 2): [0], ("xyz", 2): [1], ("bcd", 2): [2], ("abc", 7): [0]}
 
 
+def test_tagging_moves_no_text(spark, monkeypatch):
+    """Terms are verified where a text is read; with tables too large to send, which are shuffled, the links are the same as by every field with every term."""
+    from tidesearch import views as V
+    from tidesearch.operators import tagging
+
+    records, vocab = V.records(spark, SF).cache(), V.vocab(spark, SF).cache()
+    sent = tagging.match_records(records, vocab)
+    assert "ShuffledHashJoin" not in plan(sent) and "SortMergeJoin" not in plan(sent)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(tagging.match_records(records, vocab, method="nested"))
+    assert want and rows(sent) == want
+    with monkeypatch.context() as m:
+        m.setattr(tagging, "SENT", 0)
+        m.setattr(tagging, "HEAVY", 5)
+        assert rows(tagging.match_records(records, vocab)) == want
+    assert rows(tagging.match_records(records, vocab.limit(0))) == []
+
+
 def test_batch_plan_has_no_nested_loops(spark):
     assert "NestedLoop" not in plan(Q.search_batch(spark, SF))
     assert "NestedLoop" not in plan(Q.query_term_matches(spark, SF))

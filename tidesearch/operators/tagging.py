@@ -5,18 +5,33 @@ A concept's term is in a text if it is a substring of it (words need not end the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from tidesearch.functions.text import match_confidence, phrase_confidence, subset_confidence, term_words, word_tokens
 from tidesearch.operators.joins import expand_union_all
 from tidesearch.sources.scratch import stored
 
 FIELD_WEIGHTS = {"title": 2.0, "summary": 1.5, "overall_design": 1.0}
-#: Shorter terms are not matched, so every term that is has a first gram.
+#: Shorter terms are not matched.
 GRAM = 4
-#: Tables of terms or keys of up to so many rows are sent to every task; larger ones are shuffled, with keys of over ``HEAVY`` texts dealt out in parts.
+#: Tables of terms or grams of up to so many rows are sent to every task; larger ones are shuffled, with grams of over ``HEAVY`` texts dealt out in parts.
 SENT, HEAVY = 500_000, 100_000
+#: Characters of the grams that words are looked for by, and the base of the numbers that stand for them.
+SIZES, BASE = (1, 2, 3, 5), 1_000_003
+#: Grams of a term that a text must have beside the rarest; letters whose grams are found at once.
+RAREST, CHUNK = 3, 1 << 20
+#: Bits of a number that a mask of those wanted tells apart.
+MASK = 22
 
 
 def term_variants(vocab: DataFrame) -> DataFrame:
@@ -25,11 +40,11 @@ def term_variants(vocab: DataFrame) -> DataFrame:
     return rows.withColumn("words", term_words(F.col("term"))).where(F.size("words") > 0)
 
 
-def evened(records: DataFrame) -> DataFrame:
-    """Records that fewer tasks read than there are cores (a file of one row group is one task), dealt out over the cores; others stay where they are read."""
-    cores = records.sparkSession.sparkContext.defaultParallelism
-    tasks = records.select(F.spark_partition_id()).distinct().count()
-    return records.repartition(cores, "accession") if tasks < cores else records
+def evened(rows: DataFrame) -> DataFrame:
+    """Rows that fewer tasks read than there are cores (a file of one row group is one task), dealt out over the cores; others stay where they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = rows.select(F.spark_partition_id()).distinct().count()
+    return rows.repartition(cores, "accession") if tasks < cores else rows
 
 
 def text_fields(records: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -44,53 +59,109 @@ def _sent(rows: DataFrame) -> tuple[DataFrame, bool]:
     return (F.broadcast(kept), True) if kept.count() <= SENT else (kept, False)
 
 
-def _grams(text: Column, n: int) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-
-
-def rarest_words(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(_string, term, exact, texts): for each term the strings of the texts that its rarest word may be in, with the number of texts that have the string.
-
-    A text that holds a term, or all of its words, has a string between blanks that holds any of these words: the first at its end, the last at its beginning, an inner one
-    as a whole, or each as a word within the string.  Strings are counted over all texts, and so is how many texts have each gram of the terms' words (of three characters, or as long as a shorter
-    word); the word with the rarest gram is looked for among the strings that hold this gram.  ``exact``: the term is that word, so no text need be verified.  A term with a
-    gram that no text holds is left out.  ``texts``: a row for each text and different string."""
-    counted = stored(texts.groupBy("_string").agg(F.count("*").alias("texts")))
-    placed = terms.select("term", F.size(term_words(F.col("term"))).alias("_n"), F.posexplode(term_words(F.col("term"))).alias("_pos", "word"))
-    kind = F.when(F.col("term") == F.col("word"), "whole").when(F.col("_n") == 1, "part").when(F.col("_pos") == 0, "first").when(F.col("_pos") == F.col("_n") - 1, "last").otherwise("inner")
-    length = F.length("word")
-    own = stored(placed.select("term", "word", kind.alias("kind"), F.explode(F.when(length == 1, _grams(F.col("word"), 1)).when(length == 2, _grams(F.col("word"), 2)).otherwise(_grams(F.col("word"), 3))).alias("_gram")))
-    sizes = sorted(r[0] for r in own.select(F.length("_gram")).distinct().collect())  # 1, 2, 3
-    wanted, _ = _sent(own.select("_gram").distinct())
-    each = F.concat(*[_grams(F.col("_string"), n) for n in sizes or [3]])
-    held = stored(counted.select("*", F.explode(each).alias("_gram")).join(wanted, "_gram"))
-    often = held.groupBy("_gram").agg(F.sum("texts").alias("_often"))
-    least = own.join(often, "_gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "_gram", "word", "kind")).alias("_r"))
-    chosen, _ = _sent(least.where("_r.n > 0").select("term", "_r._gram", "_r.word", "_r.kind"))
-    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    place = F.when(F.col("kind") == "first", F.endswith("_string", "word")).when(F.col("kind") == "last", F.startswith("_string", "word")).when(F.col("kind") == "inner", F.col("_string") == F.col("word")).otherwise(True)
-    within = F.contains(spaced(F.regexp_replace("_string", r"[^\p{L}\p{N}_]", " ")), spaced(F.col("word")))
-    met = held.join(chosen, "_gram").where(F.contains("_string", F.col("word")) & (place | within))
-    return met.select("_string", "term", (F.col("kind") == "whole").alias("exact"), "texts")
-
-
-def _meet(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """(accession, weight, term, exact): texts that have a string of a term.  A string that many texts have is dealt out in parts where the table of keys is not sent whole."""
-    table, sent = _sent(keys)
+def _runs(texts: pa.Array, sizes: list[int], known: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of the texts, runs of so many characters as numbers), some texts at a time; of ``known`` runs alone, as their places in this sorted array.  Different runs may have one number."""
+    lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+    before, at = np.append(0, np.cumsum(lengths)), 0
+    if known is not None:
+        mask = np.zeros(1 << MASK, bool)
+        mask[known & len(mask) - 1] = True
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(before, before[at] + CHUNK, side="right")) - 1)
+        letters = np.frombuffer("".join(t or "" for t in texts[at:stop].to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(at, stop), lengths[at:stop])
+        for n in sizes:
+            if len(letters) >= n:
+                runs = reduce(lambda h, k: h * BASE + letters[k : len(letters) - n + 1 + k], range(1, n), letters[: len(letters) - n + 1] + n)
+                runs = runs ^ runs >> 32
+                within = owner[: len(runs)] == owner[n - 1 :]
+                place = np.flatnonzero(within if known is None else within & mask[runs & len(mask) - 1])
+                own, runs = owner[place], runs[place]
+                if known is not None:
+                    found = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+                    same = known[found] == runs
+                    own, runs = own[same], found[same]
+                yield own, runs
+        at = stop
+
+
+def _known(grams: DataFrame) -> np.ndarray:
+    """A table of ``SENT`` numbers at most, for the tasks."""
+    return np.unique(grams.toArrow().column(0).to_numpy())
+
+
+def _grams(text: Column, sizes: list[int], known: np.ndarray | None = None) -> Column:
+    """The distinct runs of so many characters in a text, as numbers."""
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def grams(texts: pa.Array) -> pa.Array:
+        parts = list(_runs(texts, sizes, known))
+        own, runs = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
+        if known is not None and len(known):
+            own, place = np.divmod(np.unique(own * len(known) + runs), len(known))
+            runs = known[place]
+        else:
+            order = np.lexsort((runs, own))
+            own, runs = own[order], runs[order]
+            new = np.append(True, (own[1:] != own[:-1]) | (runs[1:] != runs[:-1]))[: len(own)]
+            own, runs = own[new], runs[new]
+        ends = np.append(0, np.cumsum(np.bincount(own, minlength=len(texts))))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(runs))
+
+    return grams(text)
+
+
+def _often(texts: DataFrame, sizes: list[int], known: np.ndarray) -> DataFrame:
+    """(_gram, _often): how often the texts hold each known gram."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(known), np.int64)
+        for b in batches:
+            for _, place in _runs(b.column(0), sizes, known):
+                n += np.bincount(place, minlength=len(known))
+        yield pa.RecordBatch.from_arrays([pa.array(known[n > 0]), pa.array(n[n > 0])], ["_gram", "n"])
+
+    return texts.select("text").mapInArrow(count, "_gram long, n long").groupBy("_gram").agg(F.sum("n").alias("_often"))
+
+
+def rarest_grams(texts: DataFrame, terms: DataFrame) -> tuple[DataFrame, list[int], np.ndarray | None]:
+    """((_gram, term, words, also, phrase, texts), sizes of the grams, all grams chosen): for each term the rarest gram of each of its words, the rarest of them first, with the number of texts that
+    have it, up to ``RAREST`` more, and ``phrase``, the rarest of the term as it stands, blanks included.
+
+    A text that holds a term, or all of its words, holds all grams of these words: their runs of the greatest size in ``SIZES`` that a word is long enough for.  How many texts have
+    each is counted over all texts.  A term with a gram that no text holds is left out.  A row a term: the table grows with the vocabulary alone.  Of more grams than can be sent there is no table."""
+    word = terms.select("term", F.explode(term_words(F.col("term"))).alias("_w")).distinct()
+    size = F.greatest(*[F.when(F.length("_w") >= n, n).otherwise(0) for n in SIZES])
+    sized = word.withColumn("_size", size).withColumn("_most", F.max(size).over(W.partitionBy("term"))).where("_size > 1 or _most = 1")
+    parts = sized.select("term", "_w", "_size", F.lit(False).alias("_all")).unionByName(terms.select("term", F.col("term").alias("_w"), F.when(F.length("term") >= max(SIZES), max(SIZES)).otherwise(3).alias("_size"), F.lit(True).alias("_all")))
+    own = stored(reduce(DataFrame.unionByName, [parts.where(F.col("_size") == n).select("term", "_w", "_size", "_all", F.explode(_grams(F.col("_w"), [n])).alias("_gram")) for n in SIZES]))
+    sizes = sorted(r[0] for r in own.select("_size").distinct().collect())  # as many as SIZES at most
+    wanted, sent = _sent(own.select("_gram").distinct())
     if sent:
-        return texts.join(table, "_string").select("accession", "weight", "term", "exact")
+        often = _often(texts, sizes, _known(wanted))
+    else:
+        often = texts.select(F.explode(_grams(F.col("text"), sizes)).alias("_gram")).join(wanted, "_gram").groupBy("_gram").agg(F.count("*").alias("_often"))
+    least = own.join(often, "_gram", "left").groupBy("term", "_w", "_all").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("texts"), "_gram")).alias("_r"))
+    phrase = F.max(F.when(F.col("_all"), F.col("_r._gram"))).alias("phrase")
+    listed = least.groupBy("term").agg(F.array_sort(F.collect_set(F.when(~F.col("_all"), F.col("_r")))).alias("_r"), phrase).where("_r[0].texts > 0")
+    chosen = stored(listed.select(F.col("_r")[0]["_gram"].alias("_gram"), "term", term_words(F.col("term")).alias("words"), F.slice(F.col("_r")["_gram"], 2, RAREST).alias("also"), "phrase", F.col("_r")[0]["texts"].alias("texts")))
+    return chosen, sizes, _known(chosen.select(F.explode(F.concat(F.array("_gram", "phrase"), "also"))).distinct()) if sent else None
+
+
+def _meet(texts: DataFrame, table: DataFrame) -> DataFrame:
+    """``texts`` with the terms whose rarest gram they have, where the table of terms is too large to be sent whole: grams are shuffled, those that many texts have in parts."""
     parts = F.ceil(F.col("texts") / HEAVY).cast("int")
-    heavy, _ = _sent(table.where(F.col("texts") > HEAVY).select("_string", parts.alias("_parts")).distinct())
-    dealt = texts.join(heavy, "_string", "left").withColumn("_part", F.pmod(F.xxhash64("accession", "weight"), F.coalesce("_parts", F.lit(1))).cast("int"))
+    heavy, _ = _sent(table.where(F.col("texts") > HEAVY).select("_gram", parts.alias("_parts")).distinct())
+    own = texts.select("accession", "weight", F.explode("_grams").alias("_gram"))
+    dealt = own.join(heavy, "_gram", "left").withColumn("_part", F.pmod(F.xxhash64("accession", "weight"), F.coalesce("_parts", F.lit(1))).cast("int"))
     each = table.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return dealt.join(each, ["_string", "_part"]).select("accession", "weight", "term", "exact")
+    return texts.join(dealt.join(each, ["_gram", "_part"]).select("accession", "weight", "term", "words", "also", "phrase"), ["accession", "weight"])
 
 
 def concept_match(fields: DataFrame, variants: DataFrame, by_keys: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """(accession, concept_id, confidence) and the columns ``keep`` of ``variants``, a row for each field and variant that match.
 
-    By keys: the strings between blanks of all texts are counted, and each term is looked for where its rarest word is (see ``rarest_words``).  Only strings go
-    through that join; each text then meets the list of its terms once, and they are verified there.
+    By keys: each text meets the terms whose rarest gram it has (see ``rarest_grams``), and these are verified where the text is read: no text is shuffled or written.
     Otherwise every field meets every variant of a broadcast vocabulary, which the caller knows to be small.
     """
     if not by_keys:
@@ -98,20 +169,19 @@ def concept_match(fields: DataFrame, variants: DataFrame, by_keys: bool = True,
         whole = fields.withColumn("tokens", word_tokens(F.col("text")))
         met = whole.join(F.broadcast(variants), F.contains("text", F.col("term"))).unionByName(whole.join(F.broadcast(variants), ~F.contains("text", F.col("term")) & (F.size(F.array_except("words", "tokens")) == 0)))
         return met.select("accession", "concept_id", *keep, (score * F.col("weight")).alias("confidence"))
-    texts = stored(fields.select("accession", "weight", F.explode(F.array_distinct(term_words(F.col("text")))).alias("_string")))  # counted, then joined
-    pairs = stored(_meet(texts, rarest_words(texts, variants.select("term").distinct())).distinct())
-    certain = pairs.where("exact").select("accession", "weight", "term", F.lit(True).alias("_whole"))
-    listed = pairs.where("not exact").groupBy("accession", "weight").agg(F.collect_list("term").alias("_terms"))
-    # Words of a text, each between blanks: a term's words are among them if each is found between blanks.
-    spoken = F.concat(F.lit(" "), F.array_join(word_tokens(F.col("text")), " "), F.lit(" "))
-    said = lambda t, words: F.forall(term_words(t), lambda w: F.contains(words, F.concat(F.lit(" "), w, F.lit(" "))))
-    judged = lambda words: F.transform("_terms", lambda t: F.struct(t.alias("term"), F.when(F.contains("text", t), True).when(said(t, words), False).alias("_whole")))
-    each = F.filter(F.transform(F.array(spoken), judged).getItem(0), lambda x: x["_whole"].isNotNull())  # the words of a text are found once, not once a term
-    # Texts are dealt out by record: long ones, with many terms, are not left in the few tasks that read them.
-    met = fields.join(listed.hint("shuffle_hash"), ["accession", "weight"]).select("accession", "weight", F.explode(each).alias("_m"))
-    scored, _ = _sent(variants.select("term", "concept_id", phrase_confidence(F.col("words")).alias("_p"), subset_confidence(F.col("words")).alias("_s")))
-    named = certain.unionByName(met.select("accession", "weight", "_m.*")).join(scored, "term")
-    return named.select("accession", "concept_id", *keep, (F.when(F.col("_whole"), F.col("_p")).otherwise(F.col("_s")) * F.col("weight")).alias("confidence"))
+    rarest, sizes, chosen = rarest_grams(fields, variants.select("term").distinct())
+    table, sent = _sent(rarest)
+    spoken = F.array_distinct(F.split(F.regexp_replace("text", r"[^\p{L}\p{N}_]+", " "), " ")).alias("_spoken")  # the words of a text
+    texts = fields.select("accession", "weight", "text", spoken, _grams(F.col("text"), sizes, chosen).alias("_grams"))
+    met = texts.select("*", F.explode("_grams").alias("_gram")).join(table, "_gram") if sent else _meet(texts, table)
+    # Most terms fall at a gram or at one of their first words; few are left whose words are all compared.
+    held = [F.coalesce(F.array_contains("_grams", F.get("also", F.lit(k))), F.lit(True)) for k in range(RAREST)]
+    first = [F.coalesce(F.array_contains("_spoken", F.get("words", F.lit(k))), F.lit(True)) for k in range(3)]
+    said = reduce(and_, first) & ((F.size("words") <= len(first)) | (F.size(F.array_except("words", "_spoken")) == 0))
+    whole = F.array_contains("_grams", F.col("phrase")) & F.contains("text", F.col("term"))
+    judged = met.where(reduce(and_, held) & (whole | said)).select("accession", "weight", "term", whole.alias("_whole"))
+    scored, _ = _sent(variants.select("term", "concept_id", *[c for c in keep if c != "term"], phrase_confidence(F.col("words")).alias("_p"), subset_confidence(F.col("words")).alias("_s")))
+    return judged.join(scored, "term").select("accession", "concept_id", *keep, (F.when(F.col("_whole"), F.col("_p")).otherwise(F.col("_s")) * F.col("weight")).alias("confidence"))
 
 
 def match_records(records: DataFrame, vocab: DataFrame, threshold: float = 0.3, method: str = "keys") -> DataFrame:
