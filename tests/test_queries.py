@@ -141,6 +141,26 @@ def test_tagging_moves_no_text(spark, monkeypatch):
     assert rows(tagging.match_records(records, vocab.limit(0))) == []
 
 
+def test_hashed_embeddings_shuffle_no_words(spark, monkeypatch):
+    """Vectors against MD5 digests word by word, with empty, null and repeated words, some rows at a time; nothing is shuffled."""
+    import hashlib
+    import math
+
+    from tidesearch.functions import embedding
+
+    monkeypatch.setattr(embedding, "CELLS", 14)
+    texts = {"a": "Foo bar foo, é_1", "b": "", "c": None, "d": "x " * 50, "e": "-- !"}
+    df = embedding.hashed_embeddings(spark.createDataFrame(list(texts.items()), "k string, t string").coalesce(1), "k", "t", 7)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    for k, got in df.collect():
+        want = [0.0] * 7
+        for w in re.findall(r"\w+", (texts[k] or "").lower()):
+            h = hashlib.md5(w.encode()).hexdigest()
+            want[int(h[:7], 16) % 7] += 1 if h[7] < "8" else -1
+        norm = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert got == pytest.approx([x / norm for x in want], abs=1e-6)
+
+
 def test_batch_plan_has_no_nested_loops(spark):
     assert "NestedLoop" not in plan(Q.search_batch(spark, SF))
     assert "NestedLoop" not in plan(Q.query_term_matches(spark, SF))

@@ -1,27 +1,47 @@
-"""Embeddings as a column: a provider that Spark runs in Arrow batches, or feature hashing in plain Spark."""
+"""Embeddings as a column: a provider that Spark runs in Arrow batches, or feature hashing of words in numpy."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
+
+#: Cells of vectors that are made at once.
+CELLS = 1 << 20
 
 
 def hashed_embeddings(texts: DataFrame, key: str, text: str, dim: int = 384) -> DataFrame:
-    """(key, embedding): feature hashing of the words of each row (unique by ``key``), scaled to unit length; the work grows with the words alone.
+    """(key, embedding): feature hashing of the words of each row (unique by ``key``), scaled to unit length; the work grows with the words alone, and no word leaves its task.
 
-    A word's MD5 gives its cell (first seven digits) and its sign (the eighth).  Counts are made where the words are read and summed by (key, cell).
+    A word's MD5 gives its cell (first seven digits) and its sign (the eighth).
     """
-    words = texts.select(key, F.explode_outer(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("_w"))
-    cell = words.select(key, (F.conv(F.substring(F.md5("_w"), 1, 7), 16, 10).cast("long") % dim).cast("int").alias("_k"), F.when(F.substring(F.md5("_w"), 8, 1) < "8", 1.0).otherwise(-1.0).alias("_v"))
-    summed = cell.groupBy(key, "_k").agg(F.sum("_v").alias("_v"))
-    norm = F.sqrt(F.sum(F.when(F.col("_k").isNotNull(), F.col("_v") * F.col("_v"))))
-    cells = F.map_from_entries(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "_v"))))  # at most `dim` of a row
-    rows = summed.groupBy(key).agg(cells.alias("_m"), norm.alias("_n"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(F.col("_n") > 0, F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.col("_n")).otherwise(0.0).cast("float"))
-    return rows.select(key, dense.alias("embedding"))
+
+    @F.arrow_udf(ArrayType(FloatType()))
+    def embed(words: pa.Array) -> pa.Array:
+        rows = max(1, CELLS // dim)
+        return pa.concat_arrays([_hashed(words[at : at + rows], dim) for at in range(0, max(1, len(words)), rows)])
+
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return texts.select(key, embed(words).alias("embedding"))
+
+
+def _hashed(words: pa.Array, dim: int) -> pa.Array:
+    """The vectors of some rows' words; each different word is digested once."""
+    coded = words.flatten().dictionary_encode()
+    digests = [hashlib.md5(w.encode()).hexdigest() for w in coded.dictionary.to_pylist()]
+    cell = np.array([int(h[:7], 16) % dim for h in digests], np.int64)
+    sign = np.array([1.0 if h[7] < "8" else -1.0 for h in digests], np.float64)
+    owner, word = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False)), coded.indices.to_numpy(zero_copy_only=False)
+    sums = np.bincount(owner * dim + cell[word], sign[word], len(words) * dim).reshape(len(words), dim).astype(np.float64)  # of no words, integers
+    norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    flat = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0).astype(np.float32).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * dim, pa.int32()), pa.array(flat))
 
 
 def embed_column(text: Column, provider: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 32) -> Column:
