@@ -161,6 +161,18 @@ def test_hashed_embeddings_shuffle_no_words(spark, monkeypatch):
         assert got == pytest.approx([x / norm for x in want], abs=1e-6)
 
 
+def test_ngrams_by_one_pass_over_the_words(spark):
+    from tidesearch.functions import text as T
+
+    texts = ["", "One", "a b", "a-b c, d e", "x x x x x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.ngrams("t").alias("g"), T.ngrams("t", 2).alias("h"))
+    assert "sequence(" not in plan(df)
+    for t, g, h in df.collect():
+        w = t.lower().replace(",", " ").split()
+        want = lambda longest: [" ".join(w[i : i + n]) for i in range(len(w)) for n in range(1, longest + 1) if i + n <= len(w)]
+        assert (g, h) == (want(3), want(2))
+
+
 def test_batch_plan_has_no_nested_loops(spark):
     assert "NestedLoop" not in plan(Q.search_batch(spark, SF))
     assert "NestedLoop" not in plan(Q.query_term_matches(spark, SF))

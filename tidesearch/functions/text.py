@@ -93,10 +93,9 @@ def snippet(text: Column, terms: list[str], max_length: int = 200, before: int =
 def ngrams(c: Column, longest: int = 3) -> Column:
     """Array of word n-grams (1 to ``longest``) in order of their start, then length."""
     words = F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s-]", " "), r"(?U)\s+"), lambda w: w != "")
-    grams = lambda ws: F.flatten(
-        F.transform(F.sequence(F.lit(1), F.size(ws)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(ws) - i + 1)), lambda n: F.array_join(F.slice(ws, i, n), " ")))
-    )
-    return F.transform(F.array(words), lambda ws: F.when(F.size(ws) == 0, F.array().cast("array<string>")).otherwise(grams(ws))).getItem(0)
+    spaced = lambda ws, w, i, n: F.concat(w, *[x for k in range(1, n) for x in (F.lit(" "), F.get(ws, i + k))])  # noqa: E731  # null beyond the last word
+    grams = lambda ws: F.array_compact(F.flatten(F.transform(ws, lambda w, i: F.array(*[spaced(ws, w, i, n) for n in range(1, longest + 1)]))))
+    return F.transform(F.array(words), grams).getItem(0)
 
 
 def word_tokens(c: Column) -> Column:
