@@ -112,6 +112,24 @@ def test_gram_index(spark, tmp_path, monkeypatch):
     assert empty.lexical_match(["abc"]).count() == 0
 
 
+def test_posting_lists_are_sorted_by_groups_of_blocks(spark, tmp_path, monkeypatch):
+    """A file, and so the sort before it, holds the lists of a bucket and a few blocks, however many blocks there are; hits are the same."""
+    from pyspark.sql import functions as F
+
+    from tidesearch.operators import filters, gram_index
+
+    monkeypatch.setattr(gram_index, "GROUP", 2, raising=False)
+    columns = [F.format_string("GSE%03d", "id").alias("accession"), F.concat(F.lit("abc"), F.col("id").cast("string")).alias("title"), F.lit("common text").alias("summary"), F.lit(None).cast("string").alias("overall_design")]
+    records = spark.range(120).select(*columns)
+    index = gram_index.build_gram_index(records, f"file://{tmp_path}", block_rows=10, buckets=4)
+    assert index.blocks > 8
+    files = index.postings(["abc", "com", "ext"]).groupBy(F.input_file_name()).agg(F.min("block"), F.max("block"), F.count_distinct("bucket")).collect()
+    assert len(files) > 4 and all(low // 2 == high // 2 and n == 1 for _, low, high, n in files)
+    assert {(r["gram"], r["n"]) for r in index.postings(["abc", "com"]).groupBy("gram").agg(F.sum("n").alias("n")).collect()} == {("abc", 120), ("com", 120)}
+    want = [r["accession"] for r in filters.lexical_match(records, "c11 bc7", top_k=50).orderBy("rank").collect()]
+    assert want and [r["accession"] for r in index.lexical_match(["c11", "bc7"], None, 50).orderBy("rank").collect()] == want
+
+
 def test_posting_rows_of_blocks_in_any_order():
     """A task that reads several files meets later blocks first; each gram stays with its own block."""
     import pyarrow as pa

@@ -1,8 +1,8 @@
 """A stored index of character grams over records: keyword search reads the posting lists of a query's grams and the texts they lead to.
 
 Records are stored in blocks of neighbouring accessions, a file each.  The index has a row for a gram and (part of) a block: the sorted places of
-the block's records whose text holds the gram.  It is partitioned by a hash of the gram and sorted within, so a query reads the partitions, and of these the row groups, of
-its own grams.  No list is longer than a block, however common its gram.
+the block's records whose text holds the gram.  It is partitioned by a hash of the gram, a file for so many blocks, and sorted within, so a query reads the partitions, and of
+these the row groups, of its own grams.  No list is longer than a block, however common its gram, and no file or sort grows with the number of blocks.
 
 Any text that holds a term holds all grams of the term.  The rarest of these are intersected, and the texts found are compared with the term.
 Hits are wanted in the order of accessions, so records are read from the first on, as many as probably hold enough and then ever more, until there are enough.
@@ -35,6 +35,8 @@ COMMON = 16
 WIDER, SENT = 8, 100_000
 #: Bytes of a row group of the stored records: a block is read in several tasks, and few rows are read to fetch one.
 ROW_GROUP = 4 << 20
+#: Blocks whose posting lists of a bucket are sorted in one task and stored in one file.
+GROUP = 32
 
 
 def search_text() -> Column:
@@ -223,7 +225,9 @@ def build_gram_index(records: DataFrame, path: str, block_rows: int = 8192, buck
     texts = spark.read.parquet(f"{path}/records").select("block", "place", search_text().alias("text"))
     lists = texts.mapInArrow(_posting_rows, "gram string, block int, places array<int>")
     lists = lists.withColumn("n", F.size("places")).withColumn("bucket", (F.crc32("gram") % buckets).cast("int"))
-    lists.repartition("bucket").sortWithinPartitions("bucket", "gram", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/grams")
+    # A task for a bucket and GROUP blocks, so that what a task sorts in memory does not grow with the table.
+    dealt = lists.repartitionById(buckets * -(-blocks // GROUP), F.col("bucket") + buckets * F.floor(F.col("block") / GROUP).cast("int"))
+    dealt.sortWithinPartitions("bucket", "gram", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/grams")
     rows = spark.read.parquet(f"{path}/records").agg(F.count("*").alias("rows"), F.coalesce(F.max("block") + 1, F.lit(0)).alias("blocks")).select("blocks", "rows", F.lit(buckets).alias("buckets"))
     rows.write.mode("overwrite").parquet(f"{path}/meta")
     return open_gram_index(spark, path)
