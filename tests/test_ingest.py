@@ -94,6 +94,60 @@ def test_stream(spark, tmp_path):
     assert {n: sorted(map(str, t(n).collect())) for n in before} == before
 
 
+def test_state_meets_many_accessions_at_once():
+    """A group's accessions in one call: the greatest of several entries counts, equal content does not pass, and only the state of these accessions is asked for."""
+    import pandas as pd
+
+    from tidesearch.streaming.ingest import NewContent
+
+    class State(dict):
+        asked: list = []
+
+        def getValue(self, key):
+            self.asked.append(key)
+            return self.get(key)
+
+        updateValue = dict.__setitem__
+
+    state = State({("GSE1",): ("d1",), ("GSE2",): ("d2",), ("GSE9",): ("d9",)})
+    processor = NewContent()
+    processor.init(type("Handle", (), {"getMapState": lambda self, *schema: state})())
+    rows = [("GSE1", "a", "d1"), ("GSE2", "new", "d3"), ("GSE3", "b", "d4"), ("GSE3", "c", "d5"), ("GSE3", "a", "d6")]
+    parts = [pd.DataFrame(r, columns=["accession", "raw", "digest"]) for r in (rows[:4], rows[4:])]
+    out = [tuple(r) for df in processor.handleInputRows((7,), iter(parts), None) for r in df[["accession", "raw"]].itertuples(index=False)]
+    assert sorted(out) == [("GSE2", "new"), ("GSE3", "c")]
+    assert state == {("GSE1",): ("d1",), ("GSE2",): ("d3",), ("GSE3",): ("d5",), ("GSE9",): ("d9",)} and sorted(state.asked) == [("GSE1",), ("GSE2",), ("GSE3",)]
+    assert list(processor.handleInputRows((7,), iter([parts[0][:1]]), None)) == []
+
+
+def test_stream_parses_and_embeds_in_place(spark, tmp_path, monkeypatch):
+    """A batch is parsed once: vectors and items are made from the stored records; reading some columns shuffles no text."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tests.test_queries import plan
+    from tidesearch.streaming import ingest as ST
+
+    landing, root, plans = Path(tmp_path, "in"), f"file://{tmp_path}/tables", {}
+    landing.mkdir()
+    vocab = spark.createDataFrame([("D1", "Lung Cancer", ["Lung Tumor"])], "concept_id string, preferred_name string, entry_terms array<string>")
+    for name, f in (("vectors", ST.embed_records), ("items", ST.item_log)):
+        monkeypatch.setattr(ST, f.__name__, lambda *a, name=name, f=f, **b: plans.update({name: f(*a, **b)}) or plans[name])
+    for k in (1, 2):
+        Path(landing, f"{k}.json").write_text(response(k))
+        Path(landing, f"{k}b.json").write_text(response(k + 10, accession=f"GDS{k}"))
+        stream_ingest(spark, f"file://{landing}", root, vocab, dim=8)
+    assert "Exchange" not in plan(plans["vectors"]) and all("/records/" in f for n in plans for f in plans[n].inputFiles())
+    assert sorted((r["run_id"], r["accession"], r["status"]) for r in read_table(spark, root, "items").collect()) == [(0, "GDS1", "failed"), (0, "GSE1", "completed"), (1, "GDS2", "failed"), (1, "GSE2", "completed")]
+    assert sorted((r["run_id"], r["total_count"], r["error_count"]) for r in read_table(spark, root, "runs").collect()) == [(0, 2, 1), (1, 2, 1)]
+    some = read_table(spark, root, "records", F.md5("summary").alias("m"))
+    assert sorted(map(tuple, some.collect())) == sorted((r["accession"], r["batch"], r["m"]) for r in read_table(spark, root, "records").withColumn("m", F.md5("summary")).collect())
+    shuffled = re.findall(r"Exchange\nInput \[\d+\]: (.*)", spark._jvm.PythonSQLUtils.explainString(some._jdf.queryExecution(), "formatted"))
+    assert shuffled and not any("summary" in columns for columns in shuffled)
+    assert [r["error_count"] for r in read_table(spark, root, "runs", "error_count").collect()] == [1, 1]
+
+
 def test_record_json(spark):
     import datetime
 

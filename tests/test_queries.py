@@ -159,6 +159,66 @@ def test_tagging_moves_no_text(spark, monkeypatch):
     assert rows(tagging.match_records(records, vocab.limit(0))) == []
 
 
+def test_terms_are_found_without_counting_grams(spark, monkeypatch):
+    """Texts are read once, by what finds the terms; the links are those of every field with every term."""
+    from tidesearch import views as V
+    from tidesearch.operators import tagging
+
+    def counted(*_):
+        raise AssertionError("grams of the texts are counted")
+
+    monkeypatch.setattr(tagging, "rarest_grams", counted)
+    columns = "accession string, title string, summary string, overall_design string"
+    odd = [("a", "Lung\u00a0cancer, lung  CANCER", "", None), ("b", "cancer of the lung", "plung cancers", "É-a_1"), ("c", None, None, None), ("d", "lung", "cancer", "lung-cancer cancer"), ("d", "lung cancer", None, ""), ("e", "𝒳𝒴𝒵 𝒳𝒴𝒵é", "lung" * 50, " lung cancer ")]
+    records = spark.createDataFrame(odd, columns)
+    vocab = spark.createDataFrame([("D1", "Lung Cancer", ["cancer", "Cancer lung lung", "lung\u00a0cancer", "\u00e9-A_1"]), ("D2", "𝒳𝒴𝒵é", ["gLun", "lung-cancer", "of the lung cancer x", "    "]), ("D3", "none such", None)], "concept_id string, preferred_name string, entry_terms array<string>")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for r, v in ((records, vocab), (V.records(spark, SF), V.vocab(spark, SF)), (records.limit(0), vocab)):
+        assert rows(tagging.match_records(r, v, 0.0)) == rows(tagging.match_records(r, v, 0.0, "nested"))
+    assert len(rows(tagging.match_records(records, vocab))) > 5
+
+
+def test_term_finder(monkeypatch):
+    """Random texts and terms against a search term by term, some letters at a time; numbers that agree by chance are told apart."""
+    import pickle
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tidesearch.operators import term_finder as TF
+
+    wordy = np.zeros(TF.CODES, bool)
+    wordy[[ord(c) for c in "abé_1𝒳"]] = True
+    for seed in range(40):
+        rng = random.Random(seed)
+        monkeypatch.setattr(TF, "CHUNK", rng.choice([1, 7, 50, 1 << 20]))
+        monkeypatch.setattr(TF, "SIZE", rng.choice([2, 3, 5]))
+        if seed >= 30:  # many runs have one number
+            monkeypatch.setattr(TF, "BASE", 1)
+            monkeypatch.setattr(TF, "INVERSE", 1)
+        letters = rng.choice(["ab ", "abé, \n", "aab_1 -𝒳 ", "a "])
+        some = lambda n: "".join(rng.choice(letters) for _ in range(n))
+        terms = sorted({some(rng.choice([1, 2, 3, 4, 6, 9])) for _ in range(rng.choice([0, 1, 5, 60]))})
+        texts = [rng.choice([None, "", some(3), some(10), some(40), some(200)]) for _ in range(rng.choice([0, 1, 40]))]
+        found = pickle.loads(pickle.dumps(TF.TermFinder(terms, [t.split() for t in terms], wordy))).find(pa.array(texts, pa.string()))
+        want = []
+        for t in texts:
+            words = set(re.findall(r"[abé_1𝒳]+", t or ""))
+            want.append([2 * k + (x in (t or "")) for k, x in enumerate(terms) if x in (t or "") or x.split() and set(x.split()) <= words])
+        assert found.to_pylist() == want
+
+
+def test_hashed_texts_are_not_shuffled(spark):
+    from tidesearch.functions.embedding import embed_texts
+
+    df = spark.createDataFrame([("a", "one two"), ("b", "one two"), ("c", None)], "k string, t string")
+    made = embed_texts(df, "k", "t", dim=8)
+    assert "Exchange" not in plan(made)
+    rows = {r["k"]: (r["embedding"], r["digest"]) for r in made.collect()}
+    assert rows["a"] == rows["b"] != rows["c"] and rows["c"][0] == [0.0] * 8 and len(rows["c"][1]) == 64
+
+
 def test_hashed_embeddings_shuffle_no_words(spark, monkeypatch):
     """Vectors against MD5 digests word by word, with empty, null and repeated words, some rows at a time; nothing is shuffled."""
     import hashlib

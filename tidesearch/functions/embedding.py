@@ -21,14 +21,18 @@ def hashed_embeddings(texts: DataFrame, key: str, text: str, dim: int = 384) ->
 
     A word's MD5 gives its cell (first seven digits) and its sign (the eighth).
     """
+    return texts.select(key, hashed_embedding(F.col(text), dim).alias("embedding"))
+
+
+def hashed_embedding(text: Column, dim: int) -> Column:
+    """The vector of each text, see ``hashed_embeddings``."""
 
     @F.arrow_udf(ArrayType(FloatType()))
     def embed(words: pa.Array) -> pa.Array:
         rows = max(1, CELLS // dim)
         return pa.concat_arrays([_hashed(words[at : at + rows], dim) for at in range(0, max(1, len(words)), rows)])
 
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return texts.select(key, embed(words).alias("embedding"))
+    return embed(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
 
 
 def _hashed(words: pa.Array, dim: int) -> pa.Array:
@@ -62,9 +66,11 @@ def embed_column(text: Column, provider: Callable[[], Callable[[list[str]], list
 def embed_texts(texts: DataFrame, key: str, text: str, provider: Callable | None = None, dim: int = 384, batch: int = 32, known: DataFrame | None = None) -> DataFrame:
     """(key, embedding, digest) of each row (unique by ``key``): from ``provider``, or by feature hashing (``hashed_embeddings``) without one.
 
-    Every different text is embedded once, and not at all if ``known`` (digest, embedding; of the same provider) has it.  A null text is embedded as an empty one.
+    A provider meets every different text once, and not at all if ``known`` (digest, embedding; of the same provider) has it.  A null text is embedded as an empty one.
     """
     rows = texts.select(key, F.coalesce(text, F.lit("")).alias("_text")).withColumn("digest", F.sha2("_text", 256))
+    if provider is None and known is None:  # hashed where the text is read, which is less than to shuffle it
+        return rows.select(key, hashed_embedding(F.col("_text"), dim).alias("embedding"), "digest")
     fresh = rows.select("digest", "_text").dropDuplicates(["digest"])
     if known is not None:
         fresh = fresh.join(known.select("digest"), "digest", "left_anti")

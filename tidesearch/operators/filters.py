@@ -76,10 +76,14 @@ def name_contains(vocab: DataFrame, text: str | None, first: int = 100, show: in
     return vocab.orderBy("preferred_name", "concept_id").limit(first).where(F.contains(F.lower("preferred_name"), F.lit(text.lower())))
 
 
+def reject_reason(prefix: str = "GSE") -> Column:
+    """Why a raw record is rejected: its error, or that it has no accession of that prefix; null if it is valid."""
+    return F.when(F.col("error").isNotNull(), F.col("error")).when(~F.coalesce(F.col("accession").startswith(prefix), F.lit(False)), F.lit("invalid accession"))
+
+
 def reject_invalid(raw: DataFrame, prefix: str = "GSE") -> tuple[DataFrame, DataFrame]:
     """(valid, rejected): rejected are records with an error or without an accession of that prefix, with the reason."""
-    reason = F.when(F.col("error").isNotNull(), F.col("error")).when(~F.coalesce(F.col("accession").startswith(prefix), F.lit(False)), F.lit("invalid accession"))
-    marked = raw.withColumn("reason", reason)
+    marked = raw.withColumn("reason", reject_reason(prefix))
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 

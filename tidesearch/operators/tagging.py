@@ -19,13 +19,14 @@ from pyspark.sql.types import ArrayType, LongType
 
 from tidesearch.functions.text import match_confidence, phrase_confidence, subset_confidence, term_words, word_tokens
 from tidesearch.operators.joins import expand_union_all
+from tidesearch.operators.term_finder import TermFinder, word_letters
 from tidesearch.sources.scratch import stored
 
 FIELD_WEIGHTS = {"title": 2.0, "summary": 1.5, "overall_design": 1.0}
 #: Shorter terms are not matched.
 GRAM = 4
-#: Tables of terms or grams of up to so many rows are sent to every task; larger ones are shuffled, with grams of over ``HEAVY`` texts dealt out in parts.
-SENT, HEAVY = 500_000, 100_000
+#: Tables of terms or grams of up to so many rows (terms: of ``LETTERS`` letters on average) are sent to every task; larger ones are shuffled, with grams of over ``HEAVY`` texts dealt out in parts.
+SENT, LETTERS, HEAVY = 500_000, 16, 100_000
 #: Characters of the grams that words are looked for by, and the base of the numbers that stand for them.
 SIZES, BASE = (1, 2, 3, 5), 1_000_003
 #: Grams of a term that a text must have beside the rarest; letters whose grams are found at once.
@@ -158,10 +159,23 @@ def _meet(texts: DataFrame, table: DataFrame) -> DataFrame:
     return texts.join(dealt.join(each, ["_gram", "_part"]).select("accession", "weight", "term", "words", "also", "phrase"), ["accession", "weight"])
 
 
+def _finder(terms: DataFrame) -> tuple[TermFinder | None, DataFrame | None]:
+    """What finds the terms in texts, and (term, _n) with the places by which it calls them; nothing for more terms than can be sent."""
+    kept = stored(terms.where("term != ''").distinct())
+    n, letters = kept.agg(F.count("*"), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
+    if n > SENT or letters > SENT * LETTERS:
+        return None, None
+    rows = kept.select("term", term_words(F.col("term")).alias("words")).toArrow()
+    spark, names = terms.sparkSession, rows["term"].to_pylist()
+    numbered = spark.createDataFrame(list(zip(names, range(n))), "term string, _n long")
+    return TermFinder(names, rows["words"].to_pylist(), word_letters(spark)), numbered
+
+
 def concept_match(fields: DataFrame, variants: DataFrame, by_keys: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """(accession, concept_id, confidence) and the columns ``keep`` of ``variants``, a row for each field and variant that match.
 
-    By keys: each text meets the terms whose rarest gram it has (see ``rarest_grams``), and these are verified where the text is read: no text is shuffled or written.
+    By keys: terms are found where a text is read (see ``TermFinder``), and no text is shuffled or written.  With more terms than can be sent, each text meets the terms whose rarest gram it has
+    (see ``rarest_grams``), and these are verified.
     Otherwise every field meets every variant of a broadcast vocabulary, which the caller knows to be small.
     """
     if not by_keys:
@@ -169,6 +183,19 @@ def concept_match(fields: DataFrame, variants: DataFrame, by_keys: bool = True,
         whole = fields.withColumn("tokens", word_tokens(F.col("text")))
         met = whole.join(F.broadcast(variants), F.contains("text", F.col("term"))).unionByName(whole.join(F.broadcast(variants), ~F.contains("text", F.col("term")) & (F.size(F.array_except("words", "tokens")) == 0)))
         return met.select("accession", "concept_id", *keep, (score * F.col("weight")).alias("confidence"))
+    columns = [F.col(c) for c in ("concept_id", *keep) if c != "term"]
+    confidences = (phrase_confidence(F.col("words")).alias("_p"), subset_confidence(F.col("words")).alias("_s"))
+    scored_as = (F.when(F.col("_whole"), F.col("_p")).otherwise(F.col("_s")) * F.col("weight")).alias("confidence")
+    finder, numbered = _finder(variants.select("term"))
+    if finder:
+
+        @F.arrow_udf(ArrayType(LongType()))
+        def found(texts: pa.Array) -> pa.Array:
+            return finder.find(texts)
+
+        judged = fields.select("accession", "weight", F.explode(found(F.col("text"))).alias("_f")).select("accession", "weight", F.shiftright("_f", 1).alias("_n"), (F.col("_f") % 2 == 1).alias("_whole"))
+        scored, _ = _sent(variants.join(numbered, "term").select("_n", "term", *columns, *confidences))
+        return judged.join(scored, "_n").select("accession", "concept_id", *keep, scored_as)
     rarest, sizes, chosen = rarest_grams(fields, variants.select("term").distinct())
     table, sent = _sent(rarest)
     spoken = F.array_distinct(F.split(F.regexp_replace("text", r"[^\p{L}\p{N}_]+", " "), " ")).alias("_spoken")  # the words of a text
@@ -180,8 +207,8 @@ def concept_match(fields: DataFrame, variants: DataFrame, by_keys: bool = True,
     said = reduce(and_, first) & ((F.size("words") <= len(first)) | (F.size(F.array_except("words", "_spoken")) == 0))
     whole = F.array_contains("_grams", F.col("phrase")) & F.contains("text", F.col("term"))
     judged = met.where(reduce(and_, held) & (whole | said)).select("accession", "weight", "term", whole.alias("_whole"))
-    scored, _ = _sent(variants.select("term", "concept_id", *[c for c in keep if c != "term"], phrase_confidence(F.col("words")).alias("_p"), subset_confidence(F.col("words")).alias("_s")))
-    return judged.join(scored, "term").select("accession", "concept_id", *keep, (F.when(F.col("_whole"), F.col("_p")).otherwise(F.col("_s")) * F.col("weight")).alias("confidence"))
+    scored, _ = _sent(variants.select("term", *columns, *confidences))
+    return judged.join(scored, "term").select("accession", "concept_id", *keep, scored_as)
 
 
 def match_records(records: DataFrame, vocab: DataFrame, threshold: float = 0.3, method: str = "keys") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidesearch.functions import text as T
@@ -17,8 +17,8 @@ from tidesearch.sources.readers import flatten_esummary, summary_to_raw
 from tidesearch.sources.writers import upsert_records
 
 
-def parse_record(raw: DataFrame) -> DataFrame:
-    """Raw records as stored ones: cleaned text, normalised organisms (the taxon if there are none), type, dates, count; the raw form is kept as JSON."""
+def parse_record(raw: DataFrame, *more: Column) -> DataFrame:
+    """Raw records as stored ones: cleaned text, normalised organisms (the taxon if there are none), type, dates, count; the raw form is kept as JSON.  ``more`` are further columns of raw ones."""
     none = F.array().cast("array<string>")
     listed = lambda c: F.coalesce(c, none)
     organisms = F.when((F.size(listed(F.col("organisms"))) == 0) & (F.coalesce("taxon", F.lit("")) != ""), F.array("taxon")).otherwise(listed(F.col("organisms")))
@@ -37,6 +37,7 @@ def parse_record(raw: DataFrame) -> DataFrame:
         T.parse_date_multi(F.col("entrez_date")).alias("last_update_date"),
         T.safe_int(F.col("n_samples")).alias("sample_count"),
         F.to_json(F.struct(*raw.columns)).alias("raw_record"),
+        *more,
     )
 
 
@@ -67,17 +68,35 @@ def one_entry(raw: DataFrame) -> DataFrame:
 def ingest_raw(raw: DataFrame, run_id: int, at, provider: Callable | None = None, dim: int = 384, prefix: str = "GSE", known: DataFrame | None = None) -> Ingested:
     """As ``ingest_new`` for raw records, one an accession, all of which are taken."""
     new, bad = reject_invalid(raw, prefix)
+    parsed = parse_stamped(new, at)
+    items = item_log(parsed, bad, run_id, at)
+    return Ingested(parsed, embed_records(parsed, at, provider, dim, known), items, run_log(items, run_id, at))
+
+
+def parse_stamped(raw: DataFrame, at, *more: Column) -> DataFrame:
+    """Parsed records with the time of the ingest."""
     stamp = F.lit(at).cast("timestamp")
-    parsed = parse_record(new).withColumn("created_at", stamp).withColumn("updated_at", stamp)
+    return parse_record(raw, *more).withColumn("created_at", stamp).withColumn("updated_at", stamp)
+
+
+def embed_records(parsed: DataFrame, at, provider: Callable | None = None, dim: int = 384, known: DataFrame | None = None) -> DataFrame:
+    """The vectors of parsed records."""
     texts = T.embedding_text(*[F.col(c) for c in ("title", "summary", "overall_design", "organisms", "tech_type")])
-    embedded = embed_texts(parsed.select("accession", texts.alias("text")), "accession", "text", provider, dim, known=known).withColumn("updated_at", stamp)
-    item = lambda d, status, why: d.select(F.lit(run_id).cast("long").alias("run_id"), "accession", F.lit(status).alias("status"), why.alias("error_message"), stamp.alias("process_time"))
-    items = item(parsed, "completed", F.lit(None).cast("string")).unionByName(item(bad, "failed", F.col("reason")))
-    counts = run_status(items)
-    run = raw.sparkSession.createDataFrame([(run_id,)], "run_id long").join(counts, "run_id", "left")
+    return embed_texts(parsed.select("accession", texts.alias("text")), "accession", "text", provider, dim, known=known).withColumn("updated_at", F.lit(at).cast("timestamp"))
+
+
+def item_log(parsed: DataFrame, bad: DataFrame, run_id: int, at) -> DataFrame:
+    """An item for each record that was parsed or rejected."""
+    stamp = F.lit(at).cast("timestamp").alias("process_time")
+    item = lambda d, status, why: d.select(F.lit(run_id).cast("long").alias("run_id"), "accession", F.lit(status).alias("status"), why.alias("error_message"), stamp)
+    return item(parsed, "completed", F.lit(None).cast("string")).unionByName(item(bad, "failed", F.col("reason")))
+
+
+def run_log(items: DataFrame, run_id: int, at) -> DataFrame:
+    """The run's row, from its items."""
+    run = items.sparkSession.createDataFrame([(run_id,)], "run_id long").join(run_status(items), "run_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    run = run.select("run_id", F.coalesce("status", F.lit("completed")).alias("status"), zero("total_count"), zero("success_count"), zero("error_count"), stamp.alias("start_time"))
-    return Ingested(parsed, embedded, items, run)
+    return run.select("run_id", F.coalesce("status", F.lit("completed")).alias("status"), zero("total_count"), zero("success_count"), zero("error_count"), F.lit(at).cast("timestamp").alias("start_time"))
 
 
 def ingest_batch(landed: DataFrame, records: DataFrame, vectors: DataFrame, run_id: int, at, provider: Callable | None = None, dim: int = 384, skip: bool = True, prefix: str = "GSE") -> Ingested:

@@ -926,8 +926,9 @@ def stream_ingest(s, d):
     for landed in (_landed(s, d, "_uid").where(even), _landed(s, d, "_uid", title=again)):
         landed.select("value").write.mode("append").text(landing)
         ST.stream_ingest(s, landing, root, V.vocab(s, d), wholetext=False)
-    t = lambda name: ST.read_table(s, root, name)
-    out = t("records").select("accession", F.col("batch").alias("run_id"), "title", F.md5("summary").alias("summary_md5")).join(t("vectors").select("accession", F.size("embedding").alias("dim")), "accession")
+    t = lambda name, *columns: ST.read_table(s, root, name, *columns)
+    records = t("records", "title", F.md5("summary").alias("summary_md5")).withColumnRenamed("batch", "run_id")
+    out = records.join(t("vectors", F.size("embedding").alias("dim")).drop("batch"), "accession")
     return out.join(t("items").select("accession", "run_id", F.col("status").alias("item")), ["accession", "run_id"]).join(t("runs").select("run_id", F.col("total_count").alias("run_total")), "run_id")
 
 
