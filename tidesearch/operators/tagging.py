@@ -166,9 +166,8 @@ def _finder(terms: DataFrame) -> tuple[TermFinder | None, DataFrame | None]:
     if n > SENT or letters > SENT * LETTERS:
         return None, None
     rows = kept.select("term", term_words(F.col("term")).alias("words")).toArrow()
-    spark, names = terms.sparkSession, rows["term"].to_pylist()
-    numbered = spark.createDataFrame(list(zip(names, range(n))), "term string, _n long")
-    return TermFinder(names, rows["words"].to_pylist(), word_letters(spark)), numbered
+    numbered = terms.sparkSession.createDataFrame(pa.table({"term": rows["term"], "_n": np.arange(n)}))
+    return TermFinder(rows["term"].to_pylist(), rows["words"].to_pylist(), word_letters(terms.sparkSession)), numbered
 
 
 def concept_match(fields: DataFrame, variants: DataFrame, by_keys: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:

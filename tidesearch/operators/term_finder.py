@@ -113,9 +113,9 @@ class TermFinder:
             owner, place = _spread(self.at[mine], self.length[mine] - size + 1)
             gram = sums.runs(place, np.full(len(place), size))
             _, which, often = np.unique(gram, return_inverse=True, return_counts=True)
-            order = np.lexsort((place, often[which], owner))
-            rarest = order[np.unique(owner[order], return_index=True)[1]]
-            self.grams[size] = _Numbers(gram[rarest], mine[owner[rarest]], place[rarest] - self.at[mine[owner[rarest]]])
+            score = often[which] << 33 | place  # the rarest, and of these the first
+            least = np.minimum.reduceat(score, np.flatnonzero(np.diff(owner, prepend=-1))) & (1 << 33) - 1
+            self.grams[size] = _Numbers(sums.runs(least, np.full(len(least), size)), mine, least - self.at[mine])
         # Words: terms with a word that no text can have are found as substrings alone.
         own = [(t, list(dict.fromkeys(w))) for t, w in enumerate(words)]
         own = [(t, w) for t, w in own if w and wordy[_codes("".join(w))].all()]
